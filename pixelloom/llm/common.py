@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,7 +93,7 @@ def batches(it, rows: int = 4096, size: int = 8 << 20):
         ends = np.zeros(batch.num_rows, np.int64)
         for col in batch.columns:
             if pa.types.is_string(col.type) or pa.types.is_binary(col.type):
-                ends += np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), np.int64))
+                ends += np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
