@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .fm_toxicity import remainder, toxicity_scores
+from .knn_quality import quality_scores
 from .simhash import hex_fingerprint, simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -25,6 +27,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), lambda doc: remainder(doc, 3) != 1)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), lambda doc: remainder(doc, 4) != 2)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -77,5 +89,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_simhash, op8_suffix_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op6_knn_quality, op7_simhash, op8_suffix_dedup, op10_decontaminate)}
 ORACLES = {"op1_substring_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL}
