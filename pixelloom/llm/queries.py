@@ -11,6 +11,10 @@ from .knn_quality import quality_scores
 from .simhash import hex_fingerprint, simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .wfst import encode_documents
+
+#: A public SentencePiece model; operators take its path as a parameter.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +36,10 @@ def op2_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op4_wfst_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), MODEL)
+
+
 def op6_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), lambda doc: remainder(doc, 4) != 2)
     return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
@@ -89,5 +97,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op6_knn_quality, op7_simhash, op8_suffix_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op4_wfst_sentencepiece, op6_knn_quality, op7_simhash, op8_suffix_dedup, op10_decontaminate)}
 ORACLES = {"op1_substring_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL}

@@ -86,6 +86,19 @@ def per_document(flag: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return total[docs[1:]] - total[docs[:-1]]
 
 
+def _layout(block: Block, gone: np.ndarray) -> pa.Array:
+    """The texts without the removed words and the white space that follows them; what stays, stays as it was."""
+    s, e, docs = word_spans(block.data, block.offsets, SPACED)
+    until = np.append(s[1:], len(block.data))
+    last = docs[1:][np.diff(docs) > 0] - 1
+    until[last] = e[last]  # the white space at a text's end stays
+    edge = np.zeros(len(block.data) + 1, np.int8)
+    edge[s[gone]] += 1
+    np.subtract.at(edge, until[gone], 1)
+    cut = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    return strings(block.data[~cut], block.offsets - np.concatenate([[0], np.cumsum(cut)])[block.offsets])
+
+
 def _finish(block: Block, starts: np.ndarray) -> dict[str, pa.Array]:
     gone = block.covered(starts)
     data = np.append(block.data, np.uint8(32))
@@ -104,13 +117,17 @@ def _finish(block: Block, starts: np.ndarray) -> dict[str, pa.Array]:
     return {"n_words": pa.array(np.diff(docs), pa.int64()), "n_removed": pa.array(per_document(gone, docs), pa.int64()), "kept": strings(out, at), "spans": span_lists(gone, docs)}
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None, **sizes: int) -> DataFrame:
+def _finish_layout(block: Block, starts: np.ndarray) -> dict[str, pa.Array]:
+    return _finish(block, starts) | {"kept": _layout(block, block.covered(starts))}
+
+
+def substring_dedup(docs: DataFrame, window: int = 20, layout: bool = False, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None, **sizes: int) -> DataFrame:
     """(id, extra columns, n_words, n_removed, kept, spans) of each document.
 
     Words are maximal runs of bytes other than space and \\x09-\\x0D.  kept: the words outside duplicate spans, joined by
-    one space; spans: the duplicate spans as word numbers from 0, ends exclusive.  Earlier means a smaller id, or the
+    one space, or with layout=True the text itself without the others; spans: the duplicate spans as word numbers from 0, ends exclusive.  Earlier means a smaller id, or the
     same document and an earlier start; rows that share an id are ordered by their texts, and of wholly equal rows the
     first read keeps its words.  Null or empty text: no words, kept is empty.  Null ids come before all others.
     """
     kind = Kind(window, max(1, min(8, window // 2)), _words, lambda data, codes: codes, factor_phrases)
-    return repeated_windows(docs, kind, _finish, "n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>", extra, id_col, text_col, **sizes)
+    return repeated_windows(docs, kind, _finish_layout if layout else _finish, "n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>", extra, id_col, text_col, **sizes)
