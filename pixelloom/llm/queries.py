@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .fm_toxicity import remainder, toxicity_scores
+from .hilbert import hilbert_shards
 from .knn_quality import quality_scores
 from .simhash import hex_fingerprint, simhash_groups
 from .substring_dedup import substring_dedup
@@ -50,6 +51,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(_table(spark, sf_dir, "documents"), shards=8)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
@@ -97,5 +102,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op4_wfst_sentencepiece, op6_knn_quality, op7_simhash, op8_suffix_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op4_wfst_sentencepiece, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate)}
 ORACLES = {"op1_substring_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL}
