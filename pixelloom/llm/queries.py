@@ -9,6 +9,8 @@ from .decontaminate import decontaminate
 from .fm_toxicity import remainder, toxicity_scores
 from .hilbert import hilbert_shards
 from .knn_quality import quality_scores
+from .license_scan import license_scan
+from .license_scan import oracle as license_oracle
 from .simhash import hex_fingerprint, simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -37,6 +39,10 @@ def op2_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_wfst_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), MODEL)
 
@@ -102,5 +108,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op4_wfst_sentencepiece, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate)}
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op3_license_scan, op4_wfst_sentencepiece, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate)}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_license_scan": license_oracle(), "op10_decontaminate": OP10_SQL}
