@@ -66,7 +66,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null("" if pa.types.is_string(column.type) else b"")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32

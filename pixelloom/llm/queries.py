@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .embed_dedup import embedding_groups
 from .fm_toxicity import remainder, toxicity_scores
 from .hilbert import hilbert_shards
 from .knn_quality import quality_scores
@@ -47,6 +48,10 @@ def op4_wfst_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), MODEL)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op6_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), lambda doc: remainder(doc, 4) != 2)
     return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
@@ -85,6 +90,19 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_remo
 FROM words w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept k ON k.doc_id = w.doc_id
 """
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1), c AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.c, e.vec_id)) AS component_id, e.vec_id <= coalesce(c.c, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -108,5 +126,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op3_license_scan, op4_wfst_sentencepiece, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate)}
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_license_scan": license_oracle(), "op10_decontaminate": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op3_license_scan, op4_wfst_sentencepiece, op5_embedding_dedup, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate)}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_license_scan": license_oracle(), "op5_embedding_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}
