@@ -84,7 +84,7 @@ def strings(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = No
     return pa.Array.from_buffers(large, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
 
 
-def batches(it, rows: int = 4096, size: int = 8 << 20):
+def batches(it, rows: int = 4096, size: int = 2 << 20):
     """Cut record batches to pieces of at most `rows` rows and about `size` bytes, single rows kept whole."""
     for batch in it:
         if batch.num_rows == 0:

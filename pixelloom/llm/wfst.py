@@ -68,7 +68,7 @@ def _fields(data: bytes):
 class Transducer:
     """The compiled machines of one model."""
 
-    def __init__(self, model: bytes, keep: int = 600_000):
+    def __init__(self, model: bytes, keep: int = 250_000):
         self.pieces: list[tuple[str, float, int]] = []
         kind, normal = UNIGRAM, {}
         for number, value in _fields(model):
