@@ -1,6 +1,550 @@
-"""The registered queries and the SQL that must give the same rows."""
+"""The registered queries over the raster views, and the SQL that must give the same rows.
+
+Wide results are given as checksums by image (each pixel's channels times its place), narrow ones in full.  Doubles are
+rounded to 6 decimals on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelloom.functions import color
+from pixelloom.operators import grouped, masks, measure, palette, pixels, resample, stencil
+from pixelloom.operators.kernels import Options
+from pixelloom.sources import images
+
+from . import views
+from .views import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = sql(oracle)
+        return f
+
+    return register
+
+
+def _cols() -> list[Column]:
+    return [F.col(c) for c in "argb"]
+
+
+def checksum(p: DataFrame) -> DataFrame:
+    """image_id, width, height, n, and sums of each channel times (1 + its place)."""
+    at = F.col("y").cast("long") * F.col("width") + F.col("x") + 1
+    return p.groupBy("image_id", "width", "height").agg(F.count("*").alias("n"), *[F.sum(F.col(c) * at).alias("s" + c) for c in "argb"])
+
+
+CHECK = "SELECT image_id, width::INTEGER AS width, height::INTEGER AS height, count(*) AS n, " + ", ".join(f"sum({c}::BIGINT * (y * width + x + 1))::BIGINT AS s{c}" for c in "argb") + " FROM out GROUP BY image_id, width, height"
+LUM = "((54 * {0}r + 183 * {0}g + 19 * {0}b + 128) >> 8)"
+ON_WHITE = f"CASE WHEN a = 255 THEN {LUM.format('')} ELSE 255 - (((255 - {LUM.format('')}) * a) >> 8) END"
+
+# ---------------------------------------------------------------- projections
+
+
+@query(f"SELECT image_id, sum({ON_WHITE})::BIGINT AS on_white, min({ON_WHITE})::INTEGER AS least, max({LUM.format('')})::INTEGER AS most FROM synth GROUP BY image_id")
+def gray_levels(spark, sf_dir):
+    p = views.synth(spark, sf_dir)
+    g = color.on_white(*_cols())
+    return p.groupBy("image_id").agg(F.sum(g).alias("on_white"), F.min(g).alias("least"), F.max(color.luminance(F.col("r"), F.col("g"), F.col("b"))).alias("most"))
+
+
+@query(f"SELECT ({ON_WHITE})::INTEGER AS gray, count(*) AS n FROM synth GROUP BY 1")
+def gray_histogram(spark, sf_dir):
+    return views.synth(spark, sf_dir).groupBy(color.on_white(*_cols()).alias("gray")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT image_id, round(avg(CASE WHEN r = 0 AND g = 0 AND b = 0 THEN 0 WHEN r = 255 AND g = 255 AND b = 255 THEN 1 ELSE (0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b) / 255 END), 6) AS level FROM synth GROUP BY image_id")
+def gray_double(spark, sf_dir):
+    return views.synth(spark, sf_dir).groupBy("image_id").agg(F.round(F.avg(color.rgb_to_gray(F.col("r"), F.col("g"), F.col("b"))), 6).alias("level"))
+
+
+@query(f", out AS (SELECT image_id, width, height, x, y, 255 AS a, {ON_WHITE} AS r, {ON_WHITE} AS g, {ON_WHITE} AS b FROM synth) {CHECK}")
+def gray_rgb(spark, sf_dir):
+    return checksum(pixels.gray_pixels(views.synth(spark, sf_dir)))
+
+
+@query(f"SELECT image_id, x::INTEGER AS x, y::INTEGER AS y, ({ON_WHITE})::INTEGER AS gray, CASE WHEN bool_or(a < 255) OVER (PARTITION BY image_id) THEN a END AS alpha_mask, CASE WHEN bool_or(a < 255) OVER (PARTITION BY image_id) THEN (a >= 128)::INTEGER END AS binary_mask FROM rgba4")
+def grayed(spark, sf_dir):
+    return pixels.grayed(views.rgba4(spark, sf_dir)).drop("width", "height")
+
+
+@query("SELECT image_id, x, y, a AS gray FROM rgba4")
+def alpha_mask(spark, sf_dir):
+    return masks.alpha_mask(views.rgba4(spark, sf_dir)).select("image_id", "x", "y", "gray")
+
+
+def _packed(bits: str) -> str:
+    return f"SELECT image_id, y::INTEGER AS y, (x // 8)::INTEGER AS byte_no, sum({bits} * (1 << (7 - x % 8)))::INTEGER AS value FROM {{}} GROUP BY image_id, y, x // 8"
+
+
+@query(_packed("(a >= 128)::INTEGER").format("synth"))
+def binary_mask_bytes(spark, sf_dir):
+    return masks.pack_bits(masks.binary_mask(views.synth(spark, sf_dir)))
+
+
+@query("SELECT image_id, CASE WHEN a = 0 THEN 0 ELSE a END AS a, round(r * a / 255.0::DOUBLE, 6) AS pr, ((a // 8 * 32 + r // 8) * 32 + g // 8)::BIGINT AS k FROM rgba4")
+def premultiplied(spark, sf_dir):
+    k = (F.shiftright("a", 3).cast("long") * 32 + F.shiftright("r", 3)) * 32 + F.shiftright("g", 3)
+    return views.rgba4(spark, sf_dir).select("image_id", "a", F.round(color.premultiplied(F.col("r"), F.col("a")), 6).alias("pr"), k.alias("k"))
+
+
+BLEND = "floor(({0} * a + 255 * (255 - a)) / 255.0::DOUBLE + 0.5)::INTEGER"
+
+
+@query(f", out AS (SELECT image_id, width, height, x, y, 255 AS a, {BLEND.format('r')} AS r, {BLEND.format('g')} AS g, {BLEND.format('b')} AS b FROM synth) {CHECK}")
+def flatten_white(spark, sf_dir):
+    return checksum(pixels.flatten_white(views.synth(spark, sf_dir)))
+
+
+@query(f", o AS (SELECT * EXCLUDE (a), floor(a * 0.6::DOUBLE + 0.5)::INTEGER AS a FROM synth), out AS (SELECT image_id, width, height, x, y, a, CASE WHEN a = 0 THEN 0 ELSE r END AS r, CASE WHEN a = 0 THEN 0 ELSE g END AS g, CASE WHEN a = 0 THEN 0 ELSE b END AS b FROM o) {CHECK}")
+def opacity(spark, sf_dir):
+    return checksum(pixels.opacity(views.synth(spark, sf_dir), 0.6))
+
+
+@query("SELECT * FROM (VALUES (1, 92, 92, 255), (2, 58, 58, 122)) AS t(pair, r, g, b)")
+def compose_colors(spark, sf_dir):
+    white, blue = (255, 255, 255), (0, 0, 255)
+    rows = [(1, *color.compose((255, *white), (204, *blue))), (2, *color.compose((77, *white), (128, *blue)))]
+    return spark.createDataFrame(rows, "pair int, r int, g int, b int")
+
+
+# ---------------------------------------------------------------- filters and geometry
+
+
+@query("SELECT image_id, bool_or(a < 255) AS has_alpha FROM (SELECT image_id, a FROM synth UNION ALL SELECT -image_id - 1, a FROM rgba4) GROUP BY image_id")
+def has_alpha(spark, sf_dir):
+    both = views.synth(spark, sf_dir).select("image_id", "a").union(views.rgba4(spark, sf_dir).select(-F.col("image_id") - 1, "a"))
+    return masks.has_alpha(both)
+
+
+_HIT = "abs(r - 128) <= 64 AND abs(g - 128) <= 64 AND abs(b - 128) <= 64"
+
+
+@query(", out AS (SELECT image_id, width, height, x, y, " + ", ".join(f"CASE WHEN {_HIT} THEN 0 ELSE {c} END AS {c}" for c in "argb") + f" FROM synth) {CHECK}")
+def color_key(spark, sf_dir):
+    return checksum(pixels.color_key(views.synth(spark, sf_dir), (128, 128, 128), 0.25))
+
+
+GRID = "(SELECT image_id, width, height, (pos % width)::INTEGER AS x, (pos // width)::INTEGER AS y FROM (SELECT *, unnest(range(width * height)) AS pos FROM {0}))"
+FILL = "SELECT g.*, coalesce(p.a, 0) AS a, coalesce(p.r, 0) AS r, coalesce(p.g, 0) AS g, coalesce(p.b, 0) AS b FROM {0} g LEFT JOIN {1} p ON p.image_id = g.image_id AND p.x = g.x AND p.y = g.y"
+
+
+@query(", s AS (SELECT DISTINCT image_id, 9 AS width, 11 AS height FROM synth), m AS (SELECT image_id, x - 2 AS x, y + 3 AS y, a, r, g, b FROM synth), out AS (" + FILL.format(GRID.format("s"), "m") + f") {CHECK}")
+def place_crop(spark, sf_dir):
+    return checksum(pixels.place(views.synth(spark, sf_dir), -2, 3, 9, 11))
+
+
+@query(
+    ", s0 AS (SELECT DISTINCT image_id, width AS iw, height AS ih, greatest(width / 12.0::DOUBLE, height / 10.0::DOUBLE) AS rate FROM synth), "
+    "s AS (SELECT image_id, iw, ih, CASE WHEN iw <= 12 AND ih <= 10 THEN 12 ELSE ceil(12 * rate)::INTEGER END AS width, CASE WHEN iw <= 12 AND ih <= 10 THEN 10 ELSE ceil(10 * rate)::INTEGER END AS height FROM s0), "
+    "m AS (SELECT p.image_id, p.x + (s.width - iw) // 2 AS x, p.y + (s.height - ih) AS y, a, r, g, b FROM synth p JOIN s USING (image_id)), "
+    "out AS (" + FILL.format(GRID.format("(SELECT image_id, width, height FROM s)"), "m") + f") {CHECK}"
+)
+def align_box(spark, sf_dir):
+    return checksum(pixels.align(views.synth(spark, sf_dir), "BOTTOM", 12, 10))
+
+
+@query(", out AS (SELECT image_id, height AS width, width AS height, height - 1 - y AS x, x AS y, a, r, g, b FROM synth UNION ALL SELECT -image_id, width, height, width - 1 - x, height - 1 - y, a, r, g, b FROM synth UNION ALL SELECT image_id + 1000000000, height, width, y, width - 1 - x, a, r, g, b FROM synth) " + CHECK)
+def rotate_quarter(spark, sf_dir):
+    p = views.synth(spark, sf_dir)
+    half = pixels.rotate_quarter(p, 180).withColumn("image_id", -F.col("image_id"))
+    three = pixels.rotate_quarter(p, 270).withColumn("image_id", F.col("image_id") + 1000000000)
+    return checksum(pixels.rotate_quarter(p, 90).unionByName(half).unionByName(three))
+
+
+@query(
+    ", two AS (SELECT image_id, height AS w2, width AS h2, height - 1 - y AS x, x AS y, a, r, g, b FROM synth), "
+    "s AS (SELECT DISTINCT a.image_id, a.width AS dx, a.width + b.w2 AS width, greatest(a.height, b.h2) AS height FROM synth a JOIN two b USING (image_id)), "
+    "m AS (SELECT image_id, x, y, a, r, g, b FROM synth UNION ALL SELECT t.image_id, t.x + s.dx, t.y, a, r, g, b FROM two t JOIN s USING (image_id)), "
+    "out AS (SELECT g.*, 255 AS a, coalesce(" + BLEND.format("r") + ", 255) AS r, coalesce(" + BLEND.format("p.g") + ", 255) AS g, coalesce(" + BLEND.format("b") + ", 255) AS b FROM " + GRID.format("(SELECT image_id, width, height FROM s)") + f" g LEFT JOIN m p ON p.image_id = g.image_id AND p.x = g.x AND p.y = g.y) {CHECK}"
+)
+def join_canvas(spark, sf_dir):
+    p = views.synth(spark, sf_dir)
+    return checksum(pixels.join_canvas(p, pixels.rotate_quarter(p, 90), "HORIZONTAL"))
+
+
+@query(_packed("(" + LUM.format("") + " >= 130)::INTEGER").format("gray8p"))
+def threshold_bits(spark, sf_dir):
+    return masks.pack_bits(masks.threshold(views.gray8_pixels(spark, sf_dir), 130))
+
+
+@query("SELECT upper(n) AS type, n IN ('png', 'gif', 'tiff') AS alpha FROM (SELECT DISTINCT substr(lower(p_name), 1, 3) AS n FROM part) WHERE FALSE UNION ALL SELECT * FROM (VALUES ('PNG', true), ('GIF', true), ('TIFF', true), ('JPG', false), ('BMP', false), (NULL, false), (NULL, false)) t(type, alpha)")
+def image_types(spark, sf_dir):
+    names = spark.createDataFrame([("png",), ("Gif",), ("TIFF",), ("jpg",), ("bmp",), ("jpeg",), ("tif",)], "n string")
+    return names.select(images.image_type(F.col("n")).alias("type"), images.alpha_supported(F.col("n")).alias("alpha"))
+
+
+# ---------------------------------------------------------------- halftone
+
+
+def _screen_sql(matrix) -> str:
+    cells = ", ".join(str(v) for row in matrix for v in row)
+    return _packed(f"([{cells}][(y % 8) * 8 + x % 8 + 1] < gray)::INTEGER").format("gray8")
+
+
+@query(_screen_sql(masks.BAYER))
+def bayer(spark, sf_dir):
+    return masks.pack_bits(masks.ordered_dither(views.gray8(spark, sf_dir), "BAYER"))
+
+
+@query(_screen_sql(masks.CLUSTERED))
+def clustered(spark, sf_dir):
+    return masks.pack_bits(masks.ordered_dither(views.gray8(spark, sf_dir), "CLUSTERED"))
+
+
+@query()
+def floyd_steinberg_1bit(spark, sf_dir):
+    return grouped.floyd_steinberg_bits(pixels.assemble(views.gray8_pixels(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- measures
+
+
+def _pairs(spark, sf_dir):
+    p = views.synth(spark, sf_dir)
+    return measure.pair_pixels(p, views.coarser(p))
+
+
+_CLEAR = "a = 0 AND a2 = 0"
+
+
+@query(f"SELECT image_id, max(CASE WHEN {_CLEAR} THEN 0 ELSE greatest(abs(a - a2), abs(r - r2), abs(g - g2), abs(b - b2)) END)::INTEGER AS max_error FROM pairs GROUP BY image_id")
+def max_error(spark, sf_dir):
+    return measure.max_error(_pairs(spark, sf_dir))
+
+
+@query(f"SELECT image_id, round(sum(CASE WHEN {_CLEAR} THEN 0 ELSE greatest(abs(r - r2), abs(g - g2), abs(b - b2)) END) / count(*)::DOUBLE, 6) AS avg_error FROM pairs GROUP BY image_id")
+def avg_error(spark, sf_dir):
+    return measure.avg_error(_pairs(spark, sf_dir)).withColumn("avg_error", F.round("avg_error", 6))
+
+
+@query("SELECT image_id, round((sum((a - a2) * (a - a2)) + sum(" + " + ".join(f"({c} * a - {c}2 * a2) * ({c} * a - {c}2 * a2)::BIGINT" for c in "rgb") + ") / 65025.0::DOUBLE) / count(*)::DOUBLE, 6) AS premul_error FROM pairs GROUP BY image_id")
+def premul_error(spark, sf_dir):
+    return measure.premultiplied_error(_pairs(spark, sf_dir)).withColumn("premul_error", F.round("premul_error", 6))
+
+
+@query("SELECT image_id, round(1 - sum(abs(r - r2) + abs(g - g2) + abs(b - b2)) / (count(*) * 3)::DOUBLE / 255, 6) AS similarity FROM pairs GROUP BY image_id")
+def similarity_same_size(spark, sf_dir):
+    return measure.similarity(_pairs(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+
+
+_LUMA = "(299 * {0} + 587 * {1} + 114 * {2}) // 1000"
+
+
+@query(
+    f", l AS (SELECT image_id, width AS w, height AS h, x, y, ({_LUMA.format('r', 'g', 'b')})::DOUBLE AS p, ({_LUMA.format('r2', 'g2', 'b2')})::DOUBLE AS q FROM pairs), "
+    "s AS (SELECT DISTINCT image_id, w, h, least(8, w) AS bw, least(8, h) AS bh FROM l), "
+    "wx AS (SELECT *, unnest(range((w - bw + 3) // 4 + 1)) AS ix FROM s), wxy AS (SELECT *, unnest(range((h - bh + 3) // 4 + 1)) AS iy FROM wx), "
+    "win AS (SELECT image_id, ix, iy, least(ix * 4, w - bw) AS x0, least(iy * 4, h - bh) AS y0, bw, bh FROM wxy), "
+    "m AS (SELECT win.image_id, ix, iy, avg(p) AS mp, avg(q) AS mq, coalesce(var_samp(p), 0) AS vp, coalesce(var_samp(q), 0) AS vq, coalesce(covar_samp(p, q), 0) AS c FROM win JOIN l ON l.image_id = win.image_id AND l.x >= x0 AND l.x < x0 + bw AND l.y >= y0 AND l.y < y0 + bh GROUP BY win.image_id, ix, iy) "
+    "SELECT image_id, round(avg(((2 * mp * mq + 6.5025) * (2 * c + 58.5225)) / ((mp * mp + mq * mq + 6.5025) * (vp + vq + 58.5225))), 6) AS ssim FROM m GROUP BY image_id"
+)
+def ssim(spark, sf_dir):
+    return measure.ssim(_pairs(spark, sf_dir)).withColumn("ssim", F.round("ssim", 6))
+
+
+def _oklab_sql(suffix: str) -> str:
+    lin = lambda c: f"(CASE WHEN {c}{suffix} / 255.0::DOUBLE <= 0.04045 THEN {c}{suffix} / 255.0::DOUBLE / 12.92 ELSE pow(({c}{suffix} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END * (a{suffix} / 255.0::DOUBLE) + ground * (1 - a{suffix} / 255.0::DOUBLE))"
+    lms = [" + ".join(f"{m}::DOUBLE * {lin(c)}" for m, c in zip(row, "rgb")) for row in color.OKLAB_LMS]
+    return ", ".join(f"cbrt({e}) AS {n}{suffix or '1'}" for e, n in zip(lms, "lms"))
+
+
+_LAB = ["(" + " + ".join(f"{m}::DOUBLE * ({n}1 - {n}2)" for m, n in zip(row, "lms")) + ")" for row in color.OKLAB_LAB]
+
+
+def _color_error_sql(ground: str) -> str:
+    return f""", k AS (SELECT image_id, {_oklab_sql('')}, {_oklab_sql('2')} FROM (SELECT *, ({ground})::DOUBLE AS ground FROM pairs)),
+d AS (SELECT image_id, 100 * sqrt({' + '.join(f'{e} * {e}' for e in _LAB)}) AS d FROM k)
+SELECT image_id, round(avg(d), 6) AS mean, round(quantile_disc(d, 0.95), 6) AS p95, round(max(d), 6) AS max FROM d GROUP BY image_id"""
+
+
+def _color_error(spark, sf_dir, ground):
+    return measure.color_error(_pairs(spark, sf_dir), ground).select("image_id", *[F.round(c, 6).alias(c) for c in ("mean", "p95", "max")])
+
+
+@query(_color_error_sql("0"))
+def color_error_black(spark, sf_dir):
+    return _color_error(spark, sf_dir, "BLACK")
+
+
+@query(_color_error_sql("1"))
+def color_error_white(spark, sf_dir):
+    return _color_error(spark, sf_dir, "WHITE")
+
+
+@query(_color_error_sql("(x // 8 + y // 8) % 2"))
+def color_error_checkerboard(spark, sf_dir):
+    return _color_error(spark, sf_dir, "CHECKERBOARD")
+
+
+# ---------------------------------------------------------------- histograms and palettes
+
+KEY = "CASE WHEN a = 0 THEN 0 ELSE ((a::BIGINT * 256 + r) * 256 + g) * 256 + b END"
+KEY6 = "CASE WHEN a = 0 THEN 0 ELSE ((r >> 2)::BIGINT * 64 + (g >> 2)) * 64 + (b >> 2) END"
+SUMS = "count(*) AS cnt, sum(r::BIGINT * a)::BIGINT AS sr, sum(g::BIGINT * a)::BIGINT AS sg, sum(b::BIGINT * a)::BIGINT AS sb, sum(a)::BIGINT AS sa"
+
+
+@query(f"SELECT image_id, ({KEY})::BIGINT AS key, {SUMS}, min(y * width + x)::BIGINT AS first_pos FROM synth GROUP BY 1, 2")
+def color_histogram(spark, sf_dir):
+    return palette.histogram(views.synth(spark, sf_dir))
+
+
+@query(f"SELECT image_id, count(DISTINCT ({KEY})) AS colors FROM synth GROUP BY 1")
+def distinct_colors(spark, sf_dir):
+    return palette.distinct_colors(views.synth(spark, sf_dir))
+
+
+@query(f"SELECT ({KEY6})::BIGINT AS key, {SUMS} FROM big GROUP BY 1")
+def coarse_histogram(spark, sf_dir):
+    return palette.histogram(views.big(spark, sf_dir), 6).drop("image_id", "first_pos")
+
+
+@query(f", k AS (SELECT {KEY} AS k, a, r, g, b FROM big), n AS (SELECT count(DISTINCT k) AS n, bool_and(a = 255) AS opaque FROM k), c AS (SELECT CASE WHEN (SELECT n FROM n) <= 20000 THEN k ELSE {KEY6} END AS key, r, g, b, a FROM k) SELECT (CASE WHEN (SELECT n FROM n) <= 20000 THEN 0 ELSE 6 END)::INTEGER AS bits, key::BIGINT AS key, {SUMS} FROM c GROUP BY 1, 2")
+def adaptive_histogram(spark, sf_dir):
+    """Exact while at most 20,000 colours, so that the fallback is taken on small tables too."""
+    return palette.adaptive_histogram(views.big(spark, sf_dir), 20_000).select("bits", "key", "cnt", "sr", "sg", "sb", "sa")
+
+
+_MEAN = "CASE WHEN floor(sa / cnt::DOUBLE + 0.5) = 0 OR sa = 0 THEN 0 ELSE least(255, floor({0} / {1}::DOUBLE + 0.5)) END::INTEGER"
+PALETTE = f""", h AS (SELECT image_id, ({KEY})::BIGINT AS key, {SUMS}, min(y * width + x) AS first_pos FROM rgba4 GROUP BY 1, 2),
+e AS (SELECT image_id, key, first_pos, {_MEAN.format('sa', 'cnt')} AS a, {_MEAN.format('sr', 'sa')} AS r, {_MEAN.format('sg', 'sa')} AS g, {_MEAN.format('sb', 'sa')} AS b FROM h),
+pal AS (SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY (a = 255)::INTEGER, first_pos) - 1)::INTEGER AS idx, key, a, r, g, b FROM e)
+"""
+
+
+@query(PALETTE + "SELECT * FROM pal")
+def lossless_palette(spark, sf_dir):
+    return palette.lossless_palette(palette.histogram(views.rgba4(spark, sf_dir)))
+
+
+@query(PALETTE + f"SELECT p.image_id, x, y, idx FROM (SELECT *, ({KEY})::BIGINT AS key FROM rgba4) p JOIN pal ON pal.image_id = p.image_id AND pal.key = p.key")
+def index_plane(spark, sf_dir):
+    p = views.rgba4(spark, sf_dir)
+    return palette.index_plane(p, palette.lossless_palette(palette.histogram(p))).select("image_id", "x", "y", "idx")
+
+
+@query(PALETTE + "SELECT image_id, count(*) AS entries, (CASE WHEN count(*) <= 2 THEN 1 WHEN count(*) <= 4 THEN 2 WHEN count(*) <= 16 THEN 4 ELSE 8 END)::INTEGER AS depth, count(*) * 3 AS plte_bytes, coalesce(max(CASE WHEN a < 255 THEN idx + 1 END), 0)::INTEGER AS trns_bytes FROM pal GROUP BY 1")
+def palette_bit_depth(spark, sf_dir):
+    return palette.palette_layout(palette.lossless_palette(palette.histogram(views.rgba4(spark, sf_dir))))
+
+
+#: A fixed palette: the corners of the colour cube.
+CORNERS = [(255, r, g, b) for r in (0, 255) for g in (0, 255) for b in (0, 255)]
+
+
+@query(
+    ", c(i, pr, pg, pb) AS (VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for i, (_, r, g, b) in enumerate(CORNERS)) + "), "
+    "d AS (SELECT image_id, x, y, i, (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb) AS d FROM synth, c), "
+    "n AS (SELECT image_id, x, y, arg_min(i, (d * 16 + i)) AS idx FROM d GROUP BY 1, 2, 3) SELECT image_id, idx::INTEGER AS idx, count(*) AS n FROM n GROUP BY 1, 2"
+)
+def nearest_palette(spark, sf_dir):
+    p = views.synth(spark, sf_dir)
+    near = palette.nearest_entry(F.lit(255), F.col("r"), F.col("g"), F.col("b"), CORNERS)
+    return p.groupBy("image_id", near.alias("idx")).agg(F.count("*").alias("n"))
+
+
+_P = {c: f"({c} * a / 255.0::DOUBLE)" for c in "rgb"} | {"a": "a::DOUBLE"}
+
+
+@query(
+    ", h AS (SELECT image_id, (" + KEY + ")::BIGINT AS key, " + SUMS + ", min(y * width + x) AS first_pos FROM rgba4 GROUP BY 1, 2), "
+    "p AS (SELECT image_id, key, first_pos, sr / cnt::DOUBLE / 255 AS pr, sg / cnt::DOUBLE / 255 AS pg, sb / cnt::DOUBLE / 255 AS pb, sa / cnt::DOUBLE AS pa FROM h), "
+    "c AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY first_pos) - 1 AS idx, pr, pg, pb, pa FROM p QUALIFY idx < 4), "
+    "d AS (SELECT p.image_id, p.key, c.idx, (p.pr - c.pr) * (p.pr - c.pr) + (p.pg - c.pg) * (p.pg - c.pg) + (p.pb - c.pb) * (p.pb - c.pb) + (p.pa - c.pa) * (p.pa - c.pa) AS d FROM p JOIN c USING (image_id)) "
+    "SELECT image_id, key, idx::INTEGER AS idx FROM d QUALIFY row_number() OVER (PARTITION BY image_id, key ORDER BY d, idx) = 1"
+)
+def nearest_centroid(spark, sf_dir):
+    from pyspark.sql import Window
+
+    hist = palette.histogram(views.rgba4(spark, sf_dir))
+    points = palette.bucket_points(hist)
+    first = F.row_number().over(Window.partitionBy("image_id").orderBy("first_pos")) - 1
+    centroids = palette.bucket_points(hist.withColumn("idx", first).filter("idx < 4").withColumn("key", F.col("idx"))).withColumnRenamed("key", "idx")
+    return palette.nearest_centroid(points, centroids.drop("cnt")).withColumn("idx", F.col("idx").cast("int"))
+
+
+# ---------------------------------------------------------------- stencils
+
+
+@query(", o AS (SELECT image_id, width, height, x, y, min(b) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM synth), e AS (SELECT image_id, width, y, x, min(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM o) SELECT image_id, sum(v)::BIGINT AS s, sum(v * (y * width + x + 1))::BIGINT AS c FROM e GROUP BY 1")
+def erode3x3(spark, sf_dir):
+    e = stencil.erode(views.synth(spark, sf_dir).select("image_id", "width", "height", "x", "y", F.col("b").alias("v")), "v")
+    return e.groupBy("image_id").agg(F.sum("v").alias("s"), F.sum(F.col("v") * (F.col("y").cast("long") * F.col("width") + F.col("x") + 1)).alias("c"))
+
+
+def _importance_sql() -> str:
+    near = "(SELECT p.image_id, p.width, p.height, p.x, p.y, u.u, v.v, q.a, q.r, q.g, q.b FROM synth p, (VALUES (-1), (0), (1)) u(u), (VALUES (-1), (0), (1)) v(v), synth q WHERE q.image_id = p.image_id AND q.x = greatest(0, least(p.width - 1, p.x + u.u)) AND q.y = greatest(0, least(p.height - 1, p.y + v.v)))"
+    left = " + ".join(f"(sum({e} * {e}) - sum({e}) * sum({e}) / 9 - (sum(u * {e}) * sum(u * {e}) + sum(v * {e}) * sum(v * {e})) / 6)" for e in _P.values())
+    return (
+        f", s AS (SELECT image_id, width, height, x, y, sqrt(greatest(0, round({left}, 9)) / 6) / 12 AS d FROM {near} GROUP BY 1, 2, 3, 4, 5), "
+        "w AS (SELECT image_id, width, height, x, y, floor(3.0::DOUBLE / (1 + d * d) + 0.5)::INTEGER + 1 AS w FROM s), "
+        "o AS (SELECT *, min(w) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM w), "
+        "e AS (SELECT image_id, width, y, x, min(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM o) "
+        "SELECT image_id, sum(v)::BIGINT AS s, sum(v * (y * width + x + 1))::BIGINT AS c FROM e GROUP BY 1"
+    )
+
+
+@query(_importance_sql())
+def importance(spark, sf_dir):
+    e = stencil.importance(views.synth(spark, sf_dir))
+    return e.groupBy("image_id").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * (F.col("y").cast("long") * F.col("width") + F.col("x") + 1)).alias("c"))
+
+
+@query(", s AS (SELECT image_id, width, height, x, y, gray, sum(gray) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM gray8), t AS (SELECT *, sum(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM s) SELECT image_id, x, y, (CASE WHEN x > 0 AND y > 0 AND x < 7 AND y < 7 THEN 255 ELSE 0 END)::INTEGER AS a, (CASE WHEN x > 0 AND y > 0 AND x < 7 AND y < 7 THEN greatest(0, least(255, 10 * gray - n)) ELSE 0 END)::INTEGER AS r FROM t")
+def sharpen3x3(spark, sf_dir):
+    return stencil.sharpen(views.gray8_pixels(spark, sf_dir), 1).select("image_id", "x", "y", "a", "r")
+
+
+def _filters_sql() -> str:
+    lag = lambda c, by, over: f"coalesce(lag({c}) OVER (PARTITION BY image_id, ch, {by} ORDER BY {over}), 0)"
+    return f""", f0 AS (SELECT image_id, y, x, ch, v FROM (SELECT image_id, x, y, 0 AS ch, r AS v FROM synth UNION ALL SELECT image_id, x, y, 1, g FROM synth UNION ALL SELECT image_id, x, y, 2, b FROM synth)),
+f1 AS (SELECT *, {lag('v', 'y', 'x')} AS l FROM f0), f2 AS (SELECT *, {lag('v', 'x', 'y')} AS u, {lag('l', 'x', 'y')} AS k FROM f1),
+f3 AS (SELECT *, abs(u - k) AS dl, abs(l - k) AS du, abs(l + u - 2 * k) AS dc FROM f2),
+f4 AS (SELECT *, CASE WHEN dl <= du AND dl <= dc THEN l WHEN du <= dc THEN u ELSE k END AS p FROM f3),
+f5 AS (SELECT image_id, y, x, ch, v AS c0, (v - l + 256) % 256 AS c1, (v - u + 256) % 256 AS c2, (v - (l + u) // 2 + 256) % 256 AS c3, (v - p + 256) % 256 AS c4 FROM f4),
+f6 AS (SELECT image_id, y, {', '.join(f'sum(CASE WHEN c{i} < 128 THEN c{i} ELSE 256 - c{i} END) AS c{i}' for i in range(5))} FROM f5 GROUP BY 1, 2)
+"""
+
+
+@query(_filters_sql() + "SELECT image_id, y::INTEGER AS y, (CASE " + " ".join(f"WHEN c{i} = least(c0, c1, c2, c3, c4) THEN {i}" for i in range(5)) + " END)::INTEGER AS filter, least(c0, c1, c2, c3, c4)::BIGINT AS cost FROM f6")
+def png_filter_choice(spark, sf_dir):
+    return stencil.filter_choice(views.synth(spark, sf_dir))
+
+
+@query(_filters_sql() + "SELECT image_id, ch::INTEGER AS channel, sum(c2)::BIGINT AS up, sum(c4)::BIGINT AS paeth FROM f5 GROUP BY 1, 2")
+def up_filter(spark, sf_dir):
+    return stencil.filtered(views.synth(spark, sf_dir)).groupBy("image_id", "channel").agg(F.sum("f2").alias("up"), F.sum("f4").alias("paeth"))
+
+
+# ---------------------------------------------------------------- resampling
+
+
+@query("SELECT image_id, (x // 3)::INTEGER AS x, (y // 3)::INTEGER AS y, round(avg(a), 6) AS pa, round(sum(r * a) / 255.0::DOUBLE / count(*), 6) AS pr FROM synth GROUP BY image_id, x // 3, y // 3")
+def box_shrink(spark, sf_dir):
+    return resample.box_shrink(views.synth(spark, sf_dir), 3, 3).select("image_id", "x", "y", F.round("pa", 6).alias("pa"), F.round("pr", 6).alias("pr"))
+
+
+def _mitchell_sql(target: int) -> str:
+    rows = ", ".join(f"({i}, {k}, {w!r}::DOUBLE)" for i, k, w in resample.weights(8, target))
+    return f", w(t, s, w) AS (VALUES {rows}), h AS (SELECT image_id, y, t, sum(gray * w) AS g FROM gray8 JOIN w ON x = s GROUP BY 1, 2, 3), v AS (SELECT image_id, h.t AS x, w.t AS y, sum(g * w) AS g FROM h JOIN w ON y = s GROUP BY 1, 2, 3) SELECT image_id, x::INTEGER AS x, y::INTEGER AS y, greatest(0, least(255, floor(round(g, 9) + 0.5)))::INTEGER AS r FROM v"
+
+
+@query(_mitchell_sql(5))
+def mitchell_resize(spark, sf_dir):
+    return resample.resize(views.gray8_pixels(spark, sf_dir), 8, 8, 5, 5).select("image_id", "x", "y", "r")
+
+
+@query(f", out AS (SELECT image_id, (width + 1) // 2 AS width, (height + 1) // 2 AS height, x // 2 AS x, y // 2 AS y, a, r, g, b FROM synth WHERE x % 2 = 0 AND y % 2 = 0) {CHECK}")
+def decimated(spark, sf_dir):
+    return checksum(resample.decimate(views.synth(spark, sf_dir), 2))
+
+
+@query()
+def resize_kernel(spark, sf_dir):
+    return grouped.resized(pixels.assemble(views.synth(spark, sf_dir)), 5, 4)
+
+
+@query()
+def rotate_any(spark, sf_dir):
+    return grouped.rotated(pixels.assemble(views.rgba4(spark, sf_dir)), 30)
+
+
+@query("SELECT image_id, 8 AS width, 8 AS height, list(((255::BIGINT * 256 + gray) * 256 + gray) * 256 + gray ORDER BY y, x) AS argb FROM gray8 GROUP BY 1")
+def assemble(spark, sf_dir):
+    return pixels.assemble(views.gray8_pixels(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- colour reduction and files
+
+
+@query()
+def quantize(spark, sf_dir):
+    return grouped.palettes(views.synth(spark, sf_dir), Options(max_colors=16))
+
+
+@query()
+def encode_png(spark, sf_dir):
+    return grouped.encode_png(views.synth(spark, sf_dir), Options(max_colors=16))
+
+
+@query()
+def quantize_dither(spark, sf_dir):
+    return grouped.encode_png(views.rgba4(spark, sf_dir), Options(max_colors=4, dither=0.5))
+
+
+@query()
+def png_fast(spark, sf_dir):
+    return grouped.fast_png(pixels.assemble(views.rgba4(spark, sf_dir)))
+
+
+def _files(spark, sf_dir):
+    return grouped.fast_png(pixels.assemble(views.synth(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT image_id, width AS native_width, height AS native_height, width, height FROM synth")
+def header_size(spark, sf_dir):
+    """From PNG headers, natively and by the kernel that reads JPEG too."""
+    size = _files(spark, sf_dir).select("image_id", images.native_size(F.col("content")).alias("n"), images.image_size("content").alias("k"))
+    return size.select("image_id", F.col("n.width").alias("native_width"), F.col("n.height").alias("native_height"), F.col("k.width").alias("width"), F.col("k.height").alias("height"))
+
+
+@query(f", out AS (SELECT * FROM synth) {CHECK}")
+def png_round_trip(spark, sf_dir):
+    """Encoded, decoded and exploded again: the pixels of the view."""
+    return checksum(pixels.explode_pixels(images.decode_png(_files(spark, sf_dir))))
+
+
+@query("SELECT image_id, type, n::INTEGER AS n FROM (SELECT DISTINCT image_id FROM synth), (VALUES ('IHDR', 1), ('IDAT', 1), ('IEND', 1)) t(type, n)")
+def png_chunks(spark, sf_dir):
+    spark.udtf.register("png_chunks", images.PngChunks)
+    _files(spark, sf_dir).createOrReplaceTempView("png_files")
+    return spark.sql("SELECT image_id, type, CAST(count(*) AS INT) AS n FROM png_files, LATERAL png_chunks(content) GROUP BY image_id, type")
+
+
+@query("SELECT DISTINCT image_id, map {'Author': 'nobody', 'Size': width::VARCHAR} ['Author'] AS author, width::VARCHAR AS size FROM synth")
+def text_metadata(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    tagged = files.select("image_id", images.add_text("content", F.create_map(F.lit("Author"), F.lit("nobody"), F.lit("Size"), images.native_size(F.col("content"))["width"].cast("string"))).alias("content"))
+    entries = tagged.select("image_id", images.text_metadata("content").alias("m"))
+    return entries.select("image_id", F.col("m")["Author"].alias("author"), F.col("m")["Size"].alias("size"))
+
+
+@query("SELECT DISTINCT image_id, false AS profile FROM synth")
+def png_icc(spark, sf_dir):
+    return _files(spark, sf_dir).select("image_id", images.png_profile("content").isNotNull().alias("profile"))
+
+
+@query("SELECT DISTINCT image_id, true AS unchanged FROM synth")
+def jpeg_reconcile(spark, sf_dir):
+    """Files that are no JPEG come back as they are; contradicting ones are built in the tests."""
+    return _files(spark, sf_dir).select("image_id", (images.reconcile_jpeg("content") == F.col("content")).alias("unchanged"))
+
+
+@query()
+def tiff(spark, sf_dir):
+    return images.encode_files(pixels.assemble(views.rgba4(spark, sf_dir)), "TIFF")
+
+
+@query("SELECT DISTINCT image_id, width AS native_width, height AS native_height, width, height FROM synth")
+def bmp_size(spark, sf_dir):
+    files = images.encode_files(pixels.assemble(views.synth(spark, sf_dir)), "BMP")
+    size = files.select("image_id", images.native_size(F.col("content")).alias("n"), images.image_size("content").alias("k"))
+    return size.select("image_id", F.col("n.width").alias("native_width"), F.col("n.height").alias("native_height"), F.col("k.width").alias("width"), F.col("k.height").alias("height"))
+
+
+@query("SELECT image_id, count(*) AS n, sum(a)::BIGINT AS s FROM rgba4 GROUP BY 1")
+def scan_hook(spark, sf_dir):
+    """A user function over whole rasters, one result row each."""
+    return grouped.scan(pixels.assemble(views.rgba4(spark, sf_dir)), lambda r: (int(r.shape[0] * r.shape[1]), int(r[..., 0].sum())), "n bigint, s bigint")
+
+
+__all__ = ["ORACLES", "QUERIES"]
