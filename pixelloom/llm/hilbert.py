@@ -17,8 +17,10 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 BITS = 3
-BUCKETS, SALTS = 64, 32
+BUCKETS, SALTS, HOT = 64, 32, 1000
 
 
 def curve_place(x: list[int], bits: int) -> int:
@@ -81,13 +83,20 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
         *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")).alias(f"m{i}") for i, c in enumerate(meta)],
     )
     # One place for all equal texts: text hash, checksum and size stand for the text.
+    narrow = stage(narrow, "narrow")
     group = ["hash", "crc", "size"]
-    least = narrow.groupBy(*group).agg(F.min(F.struct(*[f"m{i}" for i in range(len(meta))])).alias("m"))
+    least = narrow.groupBy(*group).agg(F.min(F.struct(*[f"m{i}" for i in range(len(meta))])).alias("m"), F.count("*").alias("n"))
     levels = 1 << bits
     scale = F.least(F.greatest(F.floor(F.log2(F.col("size")) / 2) - 1, F.lit(0)), F.lit(levels - 1)).cast("int")
     cell = hilbert_index([*[F.pmod(F.crc32(F.col(f"m.m{i}").cast("binary")), levels).cast("int") for i in range(len(meta))], scale], bits)
-    placed = least.select(*group, cell.alias("cell"))
-    rows = narrow.select("doc", *group).join(placed, group).select("doc", "size", "crc", "cell", F.pmod(F.col("crc"), BUCKETS).cast("int").alias("bucket"), F.pmod(F.crc32(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary")), SALTS).cast("int").alias("salt"))
+    placed = least.select(*group, cell.alias("cell"), "n")
+    # Texts with a thousandth of all rows or more, a thousand of them at most, are broadcast; so no join task gets one whole.
+    hot = placed.filter(F.col("n") * HOT >= narrow.count())
+    plain = narrow.select("doc", *group)
+    rows = plain.join(F.broadcast(hot), group).unionByName(plain.join(F.broadcast(hot), group, "left_anti").join(placed, group))
+    rows = rows.select("doc", "size", "crc", "cell", F.pmod(F.col("crc"), BUCKETS).cast("int").alias("bucket"), F.pmod(F.crc32(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary")), SALTS).cast("int").alias("salt"))
+    # The totals and the numbering both start from here.
+    rows = stage(rows, "placed")
     # Totals: cells (bounded by 8^dims) in a row, buckets and salts within their cell.
     parts = rows.groupBy("cell", "bucket", "salt").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     cells = parts.groupBy("cell").agg(F.sum("b").alias("b"))
