@@ -84,7 +84,7 @@ def compare(x: np.ndarray, home: np.ndarray, visits: np.ndarray, weight: np.ndar
     return links, label
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = 1000, most_cells: int = 2048, sample: int = 20_000, block_rows: int = 6000) -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = 1000, least_cells: int = 64, most_cells: int = 2048, sample: int = 20_000, block_rows: int = 20_000) -> DataFrame:
     """(id, n_links, component_id, kept): one row per row of vectors.
 
     n_links: other vectors with a cosine of at least threshold; component_id: the least id that links reach; kept: whether
@@ -93,7 +93,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     null if there is none, and are not kept if there is one.  Repeated rows are rows of their own; all rows that carry a
     component's least id are kept.
 
-    cell_rows: vectors per cell aimed at; most_cells: centres that are broadcast at most; sample: vectors that k-means
+    cell_rows: vectors per cell aimed at, once there are least_cells cells (with fewer, nearly every vector visits every
+    cell, and visits would grow faster than the input); most_cells: centres that are broadcast at most; sample: vectors that k-means
     sees at most; block_rows: vectors of a cell in one task.
     """
     spark = vectors.sparkSession
@@ -105,7 +106,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     found = None
     for (size,) in distinct.select(F.size("v")).distinct().orderBy(F.size("v")).toLocalIterator():
         of_size = distinct.filter(F.size("v") == size)
-        part = _links(of_size, of_size.count(), size, threshold, cell_rows, most_cells, sample, block_rows)
+        part = _links(of_size, of_size.count(), size, threshold, cell_rows, least_cells, most_cells, sample, block_rows)
         found = part if found is None else found.union(part)
     if found is None:
         found = spark.createDataFrame([], "node long, root long, links long")
@@ -121,12 +122,12 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(distinct: DataFrame, count: int, size: int, threshold: float, cell_rows: int, most_cells: int, sample: int, block_rows: int) -> DataFrame:
+def _links(distinct: DataFrame, count: int, size: int, threshold: float, cell_rows: int, least_cells: int, most_cells: int, sample: int, block_rows: int) -> DataFrame:
     """(node, root, links) of the distinct vectors of one length that have links."""
     spark = distinct.sparkSession
     share = min(1.0, sample / max(count, 1))
     seen = distinct.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow()
-    k = int(min(max(1, -(-count // cell_rows)), most_cells, max(len(seen), 1)))
+    k = int(max(1, min(max(least_cells, -(-count // cell_rows)), most_cells, len(seen) // 4)))
     centres = spherical_kmeans(_unit(_matrix(seen.column("v"))), k) if len(seen) else np.eye(1, size)
     shared = spark.sparkContext.broadcast(centres)
     reach = np.sqrt(max(2 - 2 * threshold, 0)) / 2
