@@ -87,7 +87,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
     group = ["hash", "crc", "size"]
     least = narrow.groupBy(*group).agg(F.min(F.struct(*[f"m{i}" for i in range(len(meta))])).alias("m"), F.count("*").alias("n"))
     levels = 1 << bits
-    scale = F.least(F.greatest(F.floor(F.log2(F.col("size")) / 2) - 1, F.lit(0)), F.lit(levels - 1)).cast("int")
+    # Sizes by powers of 4, from 16 on; compared as integers, as logarithms round.
+    scale = sum(((F.col("size") >= 4 ** (j + 1)).cast("int") for j in range(1, levels)), F.lit(0))
     cell = hilbert_index([*[F.pmod(F.crc32(F.col(f"m.m{i}").cast("binary")), levels).cast("int") for i in range(len(meta))], scale], bits)
     placed = least.select(*group, cell.alias("cell"), "n")
     # Texts with a thousandth of all rows or more, a thousand of them at most, are broadcast; so no join task gets one whole.
@@ -127,3 +128,32 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc
     same &= F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 1 == F.col("placed_size")
     out = docs.join(placed, same).drop("placed_id", "placed_size", "placed_crc")
     out.repartition("shard", F.pmod(F.col("cell"), F.lit(16))).sortWithinPartitions("shard", "cell").write.partitionBy("shard").parquet(path)
+
+
+def oracle(shards: int = 8, bits: int = BITS) -> str:
+    """The same in DuckDB's SQL, over documents; crc32 is a fold over bytes with the usual table."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    levels = 1 << bits
+    curve = ", ".join(str(curve_place(list(x), bits)) for x in itertools.product(range(levels), repeat=3))
+
+    def crc(value: str) -> str:
+        code = f"list_transform(range(octet_length(encode({value}))), lambda i: ('0x' || substr(hex(encode({value})), 2 * i + 1, 2))::BIGINT)"
+        return f"xor(coalesce(list_reduce({code}, lambda c, x: xor(c >> 8, list_extract(t, (xor(c, x) & 255) + 1)), 4294967295::BIGINT), 4294967295), 4294967295)"
+
+    scale = " + ".join(f"(size >= {4 ** (j + 1)})::INTEGER" for j in range(1, levels))
+    return f"""
+WITH t AS (SELECT [{", ".join(map(str, table))}]::BIGINT[] AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc("coalesce(text, '')")} AS crc, {crc("coalesce(doc_id::VARCHAR, '')")} % {SALTS} AS salt, struct_pack(a := coalesce(lang, chr(0)), b := coalesce(source, chr(0))) AS m FROM documents, t),
+g AS (SELECT text, min(m) AS m FROM d GROUP BY 1),
+r AS (SELECT d.doc_id, d.size, d.crc, d.salt, d.crc % {BUCKETS} AS bucket, list_extract([{curve}], ({crc("g.m.a")} % {levels} * {levels} + {crc("g.m.b")} % {levels}) * {levels} + {scale} + 1) AS cell FROM d JOIN g ON g.text = d.text, t),
+p AS (SELECT cell, bucket, salt, sum(size)::BIGINT AS b FROM r GROUP BY 1, 2, 3),
+q AS (SELECT *, sum(b) OVER (ORDER BY cell, bucket, salt)::BIGINT - b AS pos, sum(b) OVER ()::BIGINT AS total FROM p),
+u AS (SELECT *, sum(b) OVER (PARTITION BY cell, bucket)::BIGINT AS unit_b, min(pos) OVER (PARTITION BY cell, bucket) AS unit_pos FROM q),
+s AS (SELECT cell, bucket, salt, least(CASE WHEN unit_b * {shards} <= total THEN 2 * unit_pos + unit_b ELSE 2 * pos + b END * {shards} // (2 * total), {shards - 1})::INTEGER AS shard FROM u)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, bucket, salt, doc_id, crc, size) - 1 AS slot, NULL::INTEGER AS grown_shard, cell::INTEGER AS cell
+FROM r JOIN s USING (cell, bucket, salt)
+"""

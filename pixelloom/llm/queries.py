@@ -9,6 +9,7 @@ from .decontaminate import decontaminate
 from .embed_dedup import embedding_groups
 from .fm_toxicity import remainder, toxicity_scores
 from .hilbert import hilbert_shards
+from .hilbert import oracle as shards_oracle
 from .knn_quality import quality_scores
 from .license_scan import license_scan
 from .license_scan import oracle as license_oracle
@@ -103,6 +104,21 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
 
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+edges AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM later),
+runs AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM edges),
+spans AS (SELECT doc_id, g, min(i) AS lo, max(i) + 100 AS hi FROM runs GROUP BY 1, 2),
+marks AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM spans),
+pieces AS (SELECT doc_id, before AS a, lo AS b FROM marks UNION ALL SELECT d.doc_id, coalesce(max(hi), 0), any_value(n) FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT p.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM pieces p JOIN d USING (doc_id) GROUP BY 1),
+n AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM spans GROUP BY 1)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n.removed, 0)::BIGINT AS n_removed, coalesce(n.spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -127,4 +143,4 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id =
 """
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op3_license_scan, op4_wfst_sentencepiece, op5_embedding_dedup, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate)}
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_license_scan": license_oracle(), "op5_embedding_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_license_scan": license_oracle(), "op5_embedding_dedup": OP5_SQL, "op8_suffix_dedup": OP8_SQL, "op9_hilbert_shards": shards_oracle(), "op10_decontaminate": OP10_SQL}
