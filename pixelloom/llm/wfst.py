@@ -12,8 +12,8 @@ the composition is the encoding:
   (a merge across pieces would have to start between two of them), so the shortest path equals BPE's result, which
   scores as weights could not give.  The grammar's arcs are expanded on demand and kept.
 
-No piece has a word mark after another character, so the composition falls apart at word marks, and the shortest path of
-a stretch is computed once a worker for as long as it stays in a bounded table.
+The composition falls apart where no piece can reach across, before word marks and (in most models) between letters and
+other characters; the shortest path of a stretch is computed once a worker for as long as it stays in a bounded table.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def _fields(data: bytes):
 class Transducer:
     """The compiled machines of one model."""
 
-    def __init__(self, model: bytes, keep: int = 250_000):
+    def __init__(self, model: bytes, keep: int = 200_000):
         self.pieces: list[tuple[str, float, int]] = []
         kind, normal = UNIGRAM, {}
         for number, value in _fields(model):
@@ -91,16 +91,37 @@ class Transducer:
         scores = [s for _, s, t in self.pieces if t == NORMAL]
         self.miss = (min(scores) if scores else 0.0) - 10
         self.inner = all(MARK not in p.lstrip(MARK) for p in self.number)
+        # States of the lexicon: [arcs by character, piece that ends here or -1].
         self.trie: dict = {}
         for p, i in self.number.items():
-            node = self.trie
+            arcs, state = self.trie, None
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                state = arcs.setdefault(c, [{}, -1])
+                arcs = state[0]
+            state[1] = i
         self.keep = keep
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.built: dict[int, tuple] = {}
         self.paths: dict[str, bytes] = {}
-        self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.older: dict[str, bytes] = {}
+        self.cut = re.compile(self._stretches())
+
+    def _stretches(self) -> str:
+        """A pattern of stretches that no piece reaches across, so that each has its own shortest path.
+
+        Stretches end before word marks, and between a letter and another character where no piece holds such a pair.
+        """
+        letter = re.compile(r"[^\W\d_]").fullmatch
+        apart: set[str] = set()  # letters that pieces join to other characters count as such
+        pairs = {p[i : i + 2] for p in self.number for i in range(len(p) - 1)}
+        for _ in range(3):
+            crossing = [(x, y) for x, y in pairs if MARK not in (x, y) and (bool(letter(x)) and x not in apart) != (bool(letter(y)) and y not in apart)]
+            if not crossing:
+                inside = "".join(map(re.escape, sorted(apart)))
+                letters, rest = rf"[^\W\d_{inside}]", rf"(?:(?![^\W\d_{inside}])[^{MARK}])"
+                return f"{MARK}*{letters}+|{MARK}*{rest}+|{MARK}+"
+            apart |= {c for pair in crossing for c in pair if letter(c)}
+        return f"{MARK}+[^{MARK}]*|[^{MARK}]+"
 
     # ------------------------------------------------------------ machines
 
@@ -113,83 +134,153 @@ class Transducer:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """What merging the best-scored neighbours, leftmost first, makes of the symbols: it defines the grammar's arcs."""
-        number, score = self.number, self.score
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                n = number.get(symbols[i] + symbols[i + 1])
-                if n is not None and (best is None or score[n] > best):
-                    best, at = score[n], i
-            if best is None:
-                break
+        while len(symbols) > 1 and (at := self.best_merge(symbols)) >= 0:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def best_merge(self, symbols: list[str]) -> int:
+        """The place of the best-scored pair of neighbours that is a piece, the leftmost among equals; -1 if there is none."""
+        number, score = self.number, self.score
+        best, at = None, -1
+        for i in range(len(symbols) - 1):
+            n = number.get(symbols[i] + symbols[i + 1])
+            if n is not None and (best is None or score[n] > best):
+                best, at = score[n], i
+        return at
+
+    def edges(self, piece: int) -> tuple[list[float], list[str], list[str]]:
+        """How merging builds a piece from its characters: scores of the merges in order, and the symbols at its left and
+        right end before each of them and at the end.  If merging builds something else, the last ends are not the piece."""
+        known = self.built.get(piece)
+        if known is None:
+            symbols = list(self.pieces[piece][0])
+            scores, left, right = [], [symbols[0]], [symbols[-1]]
+            while len(symbols) > 1:
+                at = self.best_merge(symbols)
+                if at < 0:
+                    break
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+                scores.append(self.score[self.number[symbols[at]]])
+                left.append(symbols[0])
+                right.append(symbols[-1])
+            known = self.built[piece] = (scores, left, right)
+        return known
+
     def allows(self, last: int, piece: int) -> bool:
-        """Whether the grammar has an arc of weight zero from the state of the last piece (-1: the start) over this one."""
+        """Whether the grammar has an arc of weight zero from the state of the last piece (-1: the start) over this one.
+
+        Merging works on both pieces at once and takes the best merge of either; the arc is there unless, at some time,
+        a merge of the two neighbouring ends is better than what is left to do on both sides (of equals the leftmost is).
+        """
         key = (last, piece)
         known = self.pairs.get(key)
         if known is None:
-            right = self.pieces[piece][0]
-            left = self.pieces[last][0] if last >= 0 else ""
-            known = self.merge([*left, *right]) == ([left, right] if left else [right])
+            known = self._stable(last, piece)
             if len(self.pairs) >= self.keep:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
 
+    def _stable(self, last: int, piece: int) -> bool:
+        after, left, _ = self.edges(piece)
+        if left[-1] != self.pieces[piece][0]:
+            return False
+        if last < 0:
+            return True
+        before, _, right = self.edges(last)
+        if right[-1] != self.pieces[last][0]:
+            return False
+        number, score, none = self.number, self.score, float("-inf")
+        i = j = 0
+        while True:
+            a = before[i] if i < len(before) else none
+            b = after[j] if j < len(after) else none
+            across = number.get(right[i] + left[j])
+            if across is not None and (a == none or score[across] > a) and (b == none or score[across] >= b):
+                return False
+            if a == none and b == none:
+                return True
+            if a >= b and a != none:
+                i += 1
+            else:
+                j += 1
+
     def shortest_path(self, stretch: str) -> list[int]:
         """The pieces of the path of least weight through input, lexicon and grammar.
 
         States are places in the input, in topological order, with the grammar's state.  In a BPE model only one grammar
-        state can be reached at a place, as any prefix has one encoding; in a unigram model there is only one.
+        state can be reached at a place, as any prefix has one encoding, and weights are zero or infinite, so a state is
+        its back pointer; in a unigram model there is one grammar state, and the lightest way to a place counts.
         """
         n = len(stretch)
-        weight = [None] * (n + 1)
-        weight[0] = 0.0
         back: list = [None] * (n + 1)
+        (self._reach_bpe if self.kind == BPE else self._reach_unigram)(stretch, n, back)
+        out, at = [], n
+        while at:
+            at, piece = back[at]
+            out.append(piece)
+        return [i for p in reversed(out) for i in ((p,) if isinstance(p, int) else p)]
+
+    def fallback(self, character: str) -> tuple[int, ...]:
+        """Byte-fallback arcs of a character that is no piece."""
+        return tuple(self.bytes[b] for b in character.encode()) if self.bytes else (self.unknown,)
+
+    def _reach_bpe(self, stretch: str, n: int, back: list) -> None:
+        trie, pairs, allows = self.trie, self.pairs, self.allows
         last = [-1] * (n + 1)
-        bpe, trie, score = self.kind == BPE, self.trie, self.score
         for s in range(n):
-            if weight[s] is None:
+            if s and back[s] is None:
                 continue
-            node, e, covered = trie, s, False
-            while e < n:
-                node = node.get(stretch[e])
-                if node is None:
+            before, arcs = last[s], trie
+            for e in range(s + 1, n + 1):
+                state = arcs.get(stretch[e - 1])
+                if state is None:
                     break
-                e += 1
-                piece = node.get("")
-                if piece is None:
-                    continue
-                covered |= e == s + 1
-                w = weight[s] if bpe else weight[s] - score[piece]
-                if (weight[e] is None or w < weight[e]) and (not bpe or self.allows(last[s], piece)):
-                    weight[e], back[e], last[e] = w, (s, [piece]), piece
-            if not covered:
-                # Byte fallback, for a character that is no piece.  Nothing merges with it.
-                w = weight[s] if bpe else weight[s] - self.miss
-                if weight[s + 1] is None or w < weight[s + 1]:
-                    ids = [self.bytes[b] for b in stretch[s].encode()] if self.bytes else [self.unknown]
-                    weight[s + 1], back[s + 1], last[s + 1] = w, (s, ids), -1
-        out, at = [], n
-        while at:
-            at, ids = back[at]
-            out.append(ids)
-        return [i for ids in reversed(out) for i in ids]
+                arcs, piece = state
+                if piece >= 0 and back[e] is None:
+                    free = pairs.get((before, piece))
+                    if allows(before, piece) if free is None else free:
+                        back[e], last[e] = (s, piece), piece
+            state = trie.get(stretch[s])
+            if state is None or state[1] < 0:
+                # Nothing merges with such a character, so what follows starts afresh.
+                back[s + 1], last[s + 1] = (s, self.fallback(stretch[s])), -1
+
+    def _reach_unigram(self, stretch: str, n: int, back: list) -> None:
+        trie, score = self.trie, self.score
+        weight: list = [0.0] + [None] * n
+        for s in range(n):
+            arcs, covered = trie, False
+            for e in range(s + 1, n + 1):
+                state = arcs.get(stretch[e - 1])
+                if state is None:
+                    break
+                arcs, piece = state
+                if piece >= 0:
+                    covered |= e == s + 1
+                    w = weight[s] - score[piece]
+                    if weight[e] is None or w < weight[e]:
+                        weight[e], back[e] = w, (s, piece)
+            w = weight[s] - self.miss
+            if not covered and (weight[s + 1] is None or w < weight[s + 1]):
+                weight[s + 1], back[s + 1] = w, (s, self.fallback(stretch[s]))
 
     # ------------------------------------------------------------ encoding and decoding
 
     def encode(self, text: str) -> np.ndarray:
         text = self.normalise(text)
-        paths, out = self.paths, []
+        paths, out, pack = self.paths, [], struct.pack
         for u in self.cut.findall(text) if self.inner else [text]:
             ids = paths.get(u)
             if ids is None:
-                ids = np.array(self.shortest_path(u), np.int32).tobytes()
+                ids = self.older.get(u)
+                if ids is None:
+                    found = self.shortest_path(u)
+                    ids = pack(f"={len(found)}i", *found)
                 if len(u) <= 64:
                     if len(paths) >= self.keep:
-                        paths.clear()
+                        self.older, self.paths = paths, {}
+                        paths = self.paths
                     paths[u] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
