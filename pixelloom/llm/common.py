@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -205,29 +206,61 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- blocks of documents in the order of their ids
 
 
-def splitters(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> np.ndarray:
-    """Ids that cut the documents into blocks of about block_bytes of text each: one long per block."""
-    size, rows = docs.agg(F.sum(F.octet_length(text_col)), F.count(id_col)).first()
-    n = int(min((size or 0) // block_bytes + 1, max(rows, 1)))
-    if n < 2:
-        return np.zeros(0, np.int64)
-    cuts = docs.approxQuantile(id_col, [i / n for i in range(1, n)], 0.25 / n)
-    return np.unique(np.array(cuts, np.float64)).astype(np.int64)
-
+@dataclass(frozen=True)
+class Cuts:
+    """How ids fall into blocks: ids up to which a new range begins, and how many blocks each range is dealt to.
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, cuts: np.ndarray, extra: list[str]) -> DataFrame:
-    """(block, doc, text, x0, x1 ...): block is the number of cuts up to the id, so blocks follow the order of ids.
+    Ranges of one id whose rows hold more than a block are dealt to several, by the hashes of their texts; all others
+    are one block.  nulls: blocks of the rows without an id, which come first.
+    """
 
-    Null ids come first.  The extra columns come along under names that clash with nothing.
+    ids: np.ndarray
+    dealt: np.ndarray
+    nulls: int
+
+    @property
+    def blocks(self) -> int:
+        return int(self.nulls + self.dealt.sum())
+
+    def block(self, ids: np.ndarray, valid: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ids, ids, "right")
+        first = np.append(0, np.cumsum(self.dealt))[at] + self.nulls
+        parts = np.where(valid, self.dealt[at], self.nulls)
+        # The upper half of a hash, scaled: ranges of hashes, so that the order of blocks is an order of texts.
+        sub = ((hashes.view(np.uint64) >> np.uint64(32)) * parts.astype(np.uint64)) >> np.uint64(32)
+        return np.where(valid, first, 0) + sub.astype(np.int64)
+
+
+def splitters(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Cuts:
+    """Cuts into blocks of about block_bytes of text each: one long per block reaches the driver."""
+    one = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long").alias("size"))
+    rows = one.agg(F.sum("size"), F.count("id"), F.count("*"), F.sum(F.when(F.col("id").isNull(), F.col("size")))).first()
+    total, known, every, nulls = (v or 0 for v in rows)
+    n = int(min(total // block_bytes + 1, max(known, 1)))
+    cuts = np.unique(np.array(one.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n), np.float64)).astype(np.int64) if n > 1 and known else np.zeros(0, np.int64)
+    # An id can only hold a block's worth of text in several rows if the quantiles meet it, or it is one long text.
+    hot = {}
+    if len(cuts) < n - 1:
+        many = one.filter("id is not null").groupBy("id").agg(F.sum("size").alias("size"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("size") > block_bytes))
+        hot = {r.id: -(-r.size // block_bytes) for r in many.toLocalIterator()}  # total / block_bytes ids at most
+    edges = np.unique(np.concatenate([cuts, *[[i, i + 1] for i in hot]]).astype(np.int64)) if hot else cuts
+    starts = np.append(np.iinfo(np.int64).min, edges)
+    return Cuts(edges, np.array([hot.get(int(i), 1) for i in starts], np.int64), int(max(1, -(-nulls // block_bytes))) if known < every else 0)
+
+
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, cuts: Cuts, extra: list[str]) -> DataFrame:
+    """(block, doc, text, x0, x1 ...): blocks follow the order of ids, null ids first.
+
+    The extra columns come along under names that clash with nothing.
     """
     columns = [F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)]]
     chosen = docs.select(columns)
+    hashed = chosen.select(F.xxhash64("text").alias("hash"), "*")
 
     def put(it):
         for batch in it:
-            ids = batch.column(0)
-            block = np.searchsorted(cuts, np.asarray(ids.fill_null(0), np.int64), "right") if len(cuts) else np.zeros(len(ids), np.int64)
-            block = np.where(np.asarray(ids.is_valid()), block, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *batch.columns], ["block", *batch.schema.names])
+            ids = batch.column(1)
+            block = cuts.block(np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_valid()), np.ascontiguousarray(batch.column(0), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *batch.columns[1:]], ["block", *batch.schema.names[1:]])
 
-    return chosen.mapInArrow(put, T.StructType([T.StructField("block", T.LongType()), *chosen.schema.fields]))
+    return hashed.mapInArrow(put, T.StructType([T.StructField("block", T.LongType()), *chosen.schema.fields]))

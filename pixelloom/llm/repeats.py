@@ -302,7 +302,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Block, np.nd
     does not grow with it.
     """
     cuts = splitters(docs, id_col, text_col, block_bytes)
-    n_parts = 1 << int(np.ceil(np.log2(max(1, (len(cuts) + 1) * block_bytes / part_bytes))))
+    n_parts = 1 << int(np.ceil(np.log2(max(1, cuts.blocks * block_bytes / part_bytes))))
     kinds = "block long, part long, phase int, payload binary"
     blocks = in_blocks(docs, id_col, text_col, cuts, extra or [])
     carried = [f for f in blocks.schema.fields if f.name not in ("block", "text")]

@@ -126,8 +126,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, layout: bool = False, id_
 
     Words are maximal runs of bytes other than space and \\x09-\\x0D.  kept: the words outside duplicate spans, joined by
     one space, or with layout=True the text itself without the others; spans: the duplicate spans as word numbers from 0, ends exclusive.  Earlier means a smaller id, or the
-    same document and an earlier start; rows that share an id are ordered by their texts, and of wholly equal rows the
-    first read keeps its words.  Null or empty text: no words, kept is empty.  Null ids come before all others.
+    same document and an earlier start; rows that share an id have a fixed order that their texts decide, and one of
+    wholly equal rows keeps its words.  Null or empty text: no words, kept is empty.  Null ids come before all others.
     """
     kind = Kind(window, max(1, min(8, window // 2)), _words, lambda data, codes: codes, factor_phrases)
     return repeated_windows(docs, kind, _finish_layout if layout else _finish, "n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>", extra, id_col, text_col, **sizes)

@@ -92,6 +92,22 @@ def test_spans_with_odd_tables(spark):
     assert [r.n_removed for r in suffix_dedup(frame(spark, [(1, long), (1, long)])).collect()].count(0) == 1
 
 
+@pytest.mark.parametrize("key", [None, 5])
+def test_rows_that_share_an_id_spread_over_blocks(spark, key):
+    """A third of all rows without an id, or with one: many blocks, each text kept once."""
+    from pixelloom.llm.common import splitters
+
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(key, text(i % 30)) for i in range(60)] + [(100 + i, text(i)) for i in range(20, 100)] + [(1, text(500))]
+    docs = frame(spark, rows)
+    cuts = splitters(docs, "doc_id", "text", 1500)
+    assert max(cuts.nulls, *cuts.dealt) > 5
+    out = substring_dedup(docs, block_bytes=1500, part_bytes=3000).collect()
+    assert len(out) == len(rows) and sum(r.n_words - r.n_removed for r in out) == 40 * 101
+    assert sum(r.n_removed for r in out if r.doc_id == key) == 40 * 30 and {r.n_removed for r in out} == {0, 40}
+    assert sum(r.n_removed > 0 for r in out if r.doc_id is not None and r.doc_id > 99) == 10
+
+
 def simhash(text, k=3):
     w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
