@@ -74,53 +74,65 @@ def rotated(rasters: DataFrame, degree: int, fit: bool = True) -> DataFrame:
     return each_raster(rasters, turn, "width int, height int, argb array<bigint>")
 
 
-def palettes(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIMIT) -> DataFrame:
-    """(image_id, bits, key, idx, lossless, a, r, g, b): the entry of each colour key and its colour.
+def fits(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIMIT) -> DataFrame:
+    """One row per image: bits, lossless, its colour keys in order with the entry of each, and the palette, packed.
 
-    Weights, histogram and fallback are native; only histograms reach the kernel.
+    Weights, histogram and fallback are native; only histograms reach the kernel, 2^20 + 1 rows of an image at most.
     """
-    if options.importance > 0:
-        weighted = importance(pixels, options.importance).select("image_id", "x", "y", "weight")
-        hist = adaptive_histogram(pixels.join(weighted, ["image_id", "x", "y"]), limit, F.col("weight"))
-    else:
-        hist = adaptive_histogram(pixels, limit)
+    weight = F.col("weight") if options.importance > 0 else None
+    hist = adaptive_histogram(importance(pixels, options.importance) if options.importance > 0 else pixels, limit, weight)
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by("first_pos")  # the order in which a scan meets the colours
         cnt = table.column("cnt").to_numpy()
         sums = np.stack([table.column(c).to_numpy() for c in ("sr", "sg", "sb", "sa")], axis=1).astype(float)
-        bits = table.column("bits")[0].as_py()
+        bits, key = table.column("bits")[0].as_py(), table.column("key").to_numpy()
         pal, label, lossless = quantize_histogram(cnt, sums, options, bits == 0)
-        return pa.table({"image_id": table.column("image_id"), "bits": pa.array([bits] * len(cnt), pa.int32()), "key": table.column("key"), "idx": pa.array(label, pa.int32()), "lossless": pa.array([lossless] * len(cnt)), **{c: pa.array(pal[label, i], pa.int32()) for i, c in enumerate("argb")}})
+        order = np.argsort(key)
+        lists = {"keys": (key[order], pa.int64()), "entries": (label[order], pa.int32()), "palette": (pack(pal), pa.int64())}
+        return pa.table({"image_id": table.column("image_id")[:1], "bits": pa.array([bits], pa.int32()), "lossless": pa.array([lossless]), **{n: pa.array([v], pa.list_(t)) for n, (v, t) in lists.items()}})
 
-    return hist.groupBy("image_id").applyInArrow(fit, "image_id bigint, bits int, key bigint, idx int, lossless boolean, a int, r int, g int, b int")
+    return hist.groupBy("image_id").applyInArrow(fit, "image_id bigint, bits int, lossless boolean, keys array<bigint>, entries array<int>, palette array<bigint>")
+
+
+def palettes(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIMIT) -> DataFrame:
+    """(image_id, bits, key, idx, lossless, a, r, g, b): the entry of each colour key and its colour."""
+    each = fits(pixels, options, limit).select("image_id", "bits", "lossless", "palette", F.explode(F.arrays_zip("keys", "entries")).alias("k"))
+    packed = F.element_at("palette", F.col("k.entries") + 1)
+    part = lambda n: F.shiftright(packed, n).bitwiseAND(F.lit(255)).cast("int")
+    return each.select("image_id", "bits", F.col("k.keys").alias("key"), F.col("k.entries").alias("idx"), "lossless", *[part(n).alias(c) for c, n in zip("argb", (24, 16, 8, 0))])
+
+
+def _keys(argb: np.ndarray, bits: int) -> np.ndarray:
+    """Colour keys of packed pixels, as functions.color makes them."""
+    a, r, g, b = (argb >> n & 255 for n in (24, 16, 8, 0))
+    if bits == 0:
+        key = argb
+    elif bits == 6:
+        key = (r >> 2) << 12 | (g >> 2) << 6 | b >> 2
+    else:
+        key = 1 + ((a >> 3) << 15 | (r >> 3) << 10 | (g >> 3) << 5 | b >> 3)
+    return np.where(a == 0, 0, key)
 
 
 def encode_png(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIMIT) -> DataFrame:
     """(image_id, width, height, colors, lossless, content): reduced images as PNG, palette or, if asked for, true colour."""
-    from pixelloom.functions.color import coarse_key
-
-    table = palettes(pixels, options, limit)
-    chosen = table.groupBy("image_id").agg(F.first("bits").alias("bits"), F.first("lossless").alias("lossless"), F.array_sort(F.collect_set(F.struct("idx", "a", "r", "g", "b"))).alias("palette"))
-    keyed = pixels.join(chosen.select("image_id", "bits"), "image_id").withColumn("key", coarse_key(F.col("bits"), *[F.col(c) for c in "argb"]))
-    indexed = keyed.join(table.select("image_id", "key", "idx"), ["image_id", "key"])
-    packed = ((F.col("a").cast("long") * 256 + F.col("r")) * 256 + F.col("g")) * 256 + F.col("b")
-    plane = indexed.groupBy("image_id", "width", "height").agg(F.array_sort(F.collect_list(F.struct("y", "x", "idx", packed.alias("c")))).alias("p"))
-    plane = plane.select("image_id", "width", "height", F.transform("p", lambda p: p["idx"]).alias("idx"), F.transform("p", lambda p: p["c"]).alias("argb"))
 
     def write(it):
         for batch in it:
-            for row in batch.to_pylist():
-                pal = np.array([[e[c] for c in "argb"] for e in row["palette"]], np.int64)
-                index = np.array(row["idx"], np.int64)
-                w, h = row["width"], row["height"]
-                if options.dither and not row["lossless"]:
-                    index = dither_palette(unpack(row["argb"], w, h), pal, options.dither).ravel()
-                form = png.indexed if row["lossless"] or options.palettize_lossy else png.truecolor
-                data = form(index.reshape(h, w), pal, options.deflate)
-                yield pa.RecordBatch.from_pydict({"image_id": pa.array([row["image_id"]], pa.int64()), "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), "colors": pa.array([len(pal)], pa.int32()), "lossless": pa.array([row["lossless"]]), "content": pa.array([data], pa.binary())})
-
-    return plane.join(chosen.select("image_id", "lossless", "palette"), "image_id").mapInArrow(write, "image_id bigint, width int, height int, colors int, lossless boolean, content binary")
+            for i in range(batch.num_rows):
+                at = lambda c: batch.column(c)[i]  # noqa: B023, E731
+                w, h, lossless = at("width").as_py(), at("height").as_py(), at("lossless").as_py()
+                argb, keys, entries, packed = (at(c).values.to_numpy().astype(np.int64) for c in ("argb", "keys", "entries", "palette"))
+                pal = np.stack([packed >> n & 255 for n in (24, 16, 8, 0)], axis=1)
+                if options.dither and not lossless:
+                    index = dither_palette(unpack(argb, w, h), pal, options.dither)
+                else:
+                    index = entries[np.searchsorted(keys, _keys(argb, at("bits").as_py()))].reshape(h, w)
+                form = png.indexed if lossless or options.palettize_lossy else png.truecolor
+                yield pa.RecordBatch.from_pydict({"image_id": pa.array([at("image_id").as_py()], pa.int64()), "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), "colors": pa.array([len(pal)], pa.int32()), "lossless": pa.array([lossless]), "content": pa.array([form(index, pal, options.deflate)], pa.binary())})
+
+    return assemble(pixels).join(fits(pixels, options, limit), "image_id").mapInArrow(write, "image_id bigint, width int, height int, colors int, lossless boolean, content binary")
 
 
 def fast_png(rasters: DataFrame, alpha: bool = True, level: int = 2) -> DataFrame:

@@ -26,21 +26,18 @@ def histogram(pixels: DataFrame, bits: Column | int = 0, weight: Column | None =
     )
 
 
-def histogram_bits(pixels: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
-    """(image_id, bits): 0 while the distinct colours fit the limit, else 6 for wholly opaque images and 5 for others."""
-    keys = pixels.groupBy("image_id", exact_key(*[F.col(c) for c in "argb"]).alias("key")).agg(F.min("a").alias("a"))
-    found = keys.groupBy("image_id").agg(F.count("*").alias("n"), F.min("a").alias("a"))
-    return found.select("image_id", F.when(F.col("n") <= limit, 0).when(F.col("a") == 255, 6).otherwise(5).alias("bits"))
-
-
 def adaptive_histogram(pixels: DataFrame, limit: int = EXACT_LIMIT, weight: Column | None = None) -> DataFrame:
-    """histogram() at each image's own precision, with the column bits.
+    """histogram() with the column bits: 0 while an image's colours fit the limit, else 6 if it is opaque and 5 if not.
 
-    One row per image decides, so that table joins small; hence two aggregates of the pixels, both with partial sums.
+    Pixels are read once: coarse buckets are sums of exact ones, as all sums are additive.
     """
-    chosen = histogram_bits(pixels, limit)
-    out = histogram(pixels.join(chosen, "image_id"), F.col("bits"), weight)
-    return out.join(chosen, "image_id")
+    exact = histogram(pixels, 0, weight)
+    part = lambda n: F.shiftright("key", n).bitwiseAND(F.lit(255)).cast("int")
+    a, r, g, b = (part(n) for n in (24, 16, 8, 0))
+    found = exact.groupBy("image_id").agg(F.count("*").alias("n"), F.min(a).alias("least"))
+    bits = F.when(F.col("n") <= limit, 0).when(F.col("least") == 255, 6).otherwise(5)
+    joined = exact.join(found, "image_id").withColumn("bits", bits).withColumn("key", coarse_key(F.col("bits"), a, r, g, b))
+    return joined.groupBy("image_id", "bits", "key").agg(*[F.sum(c).alias(c) for c in ("cnt", "sr", "sg", "sb", "sa")], F.min("first_pos").alias("first_pos"))
 
 
 def distinct_colors(pixels: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def erode(plane: DataFrame, value: str) -> DataFrame:
 
 
 def importance(pixels: DataFrame, strength: float = 3.0, detail: float = 12.0) -> DataFrame:
-    """(image_id, width, height, x, y, weight): how much a pixel counts when a palette is chosen.
+    """The pixels with the column weight: how much a pixel counts when a palette is chosen.
 
     A pixel counts the more, the better its clamped 3x3 surroundings are a plane in premultiplied space: what a
     least-squares plane leaves unexplained is sum(p^2) - sum(p)^2/9 - (sum(up)^2 + sum(vp)^2)/6.  Each weight finally
@@ -33,7 +33,7 @@ def importance(pixels: DataFrame, strength: float = 3.0, detail: float = 12.0) -
     if not 0 <= strength <= 126:
         raise ValueError(f"importance must be 0..126: {strength}")
     value = {"r": premultiplied(F.col("r"), F.col("a")), "g": premultiplied(F.col("g"), F.col("a")), "b": premultiplied(F.col("b"), F.col("a")), "a": F.col("a").cast("double")}
-    p = pixels.select("image_id", "width", "height", "x", "y", *[v.alias("p" + c) for c, v in value.items()])
+    p = pixels.select("image_id", "width", "height", "x", "y", *"argb", *[v.alias("p" + c) for c, v in value.items()])
     at = lambda c, n, w: F.coalesce(F.lag(c, n).over(w) if n > 0 else F.lead(c, -n).over(w), F.col(c))  # noqa: E731  clamped at the edge
     rows = p
     for c in value:
@@ -51,7 +51,7 @@ def importance(pixels: DataFrame, strength: float = 3.0, detail: float = 12.0) -
     left_over = reduce(lambda s, t: s + t, [F.col("tq" + c) - F.col("ts" + c) * F.col("ts" + c) / 9 - (F.col("tu" + c) * F.col("tu" + c) + F.col("v" + c) * F.col("v" + c)) / 6 for c in value])
     d = F.sqrt(F.greatest(left_over, F.lit(0.0)) / 6) / detail
     weight = (F.floor(F.lit(float(strength)) / (d * d + 1) + 0.5) + 1).cast("int")
-    return erode(both.select("image_id", "width", "height", "x", "y", weight.alias("weight")), "weight")
+    return erode(both.select("image_id", "width", "height", "x", "y", *"argb", weight.alias("weight")), "weight")
 
 
 def sharpen(pixels: DataFrame, level: int = 1) -> DataFrame:
