@@ -93,6 +93,11 @@ def unpremultiply(c: Column, a: Column) -> Column:
     return F.when(a == 0, F.lit(0)).otherwise(clamp(half_up(c * F.lit(255.0) / a)))
 
 
+def bin_of(value: Column, least: Column, scale: Column) -> Column:
+    """Which of 256 bins a value falls in, cut at both ends."""
+    return clamp(F.floor((value - least) * scale)).cast("int")
+
+
 def compose(base: tuple[int, int, int, int], over: tuple[int, int, int, int]) -> tuple[int, int, int]:
     """One colour over another over black, both as (a, r, g, b); the alpha of `over` counts twice."""
     rounded = lambda x: int(x + 0.5)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pixelloom.sources import png
 
 from .kernels import Options, dither_palette, floyd_steinberg, quantize_histogram, resize_raster, rotate_raster
+from .masks import ordered_dither
 from .palette import EXACT_LIMIT, adaptive_histogram
 from .pixels import assemble
 from .stencil import importance
@@ -62,6 +63,31 @@ def floyd_steinberg_bits(rasters: DataFrame) -> DataFrame:
     return each_raster(rasters, lambda r: (r.shape[1], r.shape[0], floyd_steinberg(r[..., 3]).ravel().astype(int)), "width int, height int, bits array<int>")
 
 
+def dither(pixels: DataFrame, algorithm: str) -> DataFrame:
+    """(image_id, width, height, x, y, bit) of grey pixels, read from the blue channel: BAYER, CLUSTERED or FLOYD_STEINBERG."""
+    if algorithm == "FLOYD_STEINBERG":
+        rows = floyd_steinberg_bits(assemble(pixels)).select("image_id", "width", "height", F.posexplode("bits").alias("p", "bit"))
+        return rows.select("image_id", "width", "height", (F.col("p") % F.col("width")).alias("x"), F.floor(F.col("p") / F.col("width")).cast("int").alias("y"), "bit")
+    return ordered_dither(pixels.select("image_id", "width", "height", "x", "y", F.col("b").alias("gray")), algorithm)
+
+
+def similarity_any(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(image_id, similarity) of two rasters of any sizes: both are resampled to the smaller width and height first."""
+    other = second.select("image_id", F.col("width").alias("w2"), F.col("height").alias("h2"), F.col("argb").alias("argb2"))
+    both = first.select(F.col("image_id").cast("long").alias("image_id"), "width", "height", "argb").join(other, "image_id")
+
+    def compare(it):
+        for batch in it:
+            for i in range(batch.num_rows):
+                image, w, h, w2, h2 = (batch.column(c)[i].as_py() for c in ("image_id", "width", "height", "w2", "h2"))
+                size = min(w, w2), min(h, h2)
+                one, two = (resize_raster(unpack(batch.column(c)[i].values.to_numpy(), *s), *size) for c, s in (("argb", (w, h)), ("argb2", (w2, h2))))
+                value = 1 - np.abs(one[..., 1:] - two[..., 1:]).sum() / (size[0] * size[1] * 3.0) / 255
+                yield pa.RecordBatch.from_pydict({"image_id": pa.array([image], pa.int64()), "similarity": pa.array([float(value)])})
+
+    return both.mapInArrow(compare, "image_id bigint, similarity double")
+
+
 def resized(rasters: DataFrame, to_width: int, to_height: int) -> DataFrame:
     return each_raster(rasters, lambda r: (to_width, to_height, pack(resize_raster(r, to_width, to_height))), "width int, height int, argb array<bigint>")
 
@@ -140,4 +166,4 @@ def fast_png(rasters: DataFrame, alpha: bool = True, level: int = 2) -> DataFram
     return each_raster(rasters, lambda r: (png.fast(r, alpha, level),), "content binary")
 
 
-__all__ = ["assemble", "encode_png", "fast_png", "floyd_steinberg_bits", "palettes", "resized", "rotated", "scan"]
+__all__ = ["assemble", "dither", "encode_png", "similarity_any", "fast_png", "floyd_steinberg_bits", "palettes", "resized", "rotated", "scan"]

@@ -64,6 +64,18 @@ def ordered_dither(gray: DataFrame, algorithm: str = "BAYER") -> DataFrame:
     return gray.select("image_id", "width", "height", "x", "y", bit.cast("int").alias("bit"))
 
 
+def is_binary(pixels: DataFrame) -> DataFrame:
+    """(image_id, is_binary): whether all pixels are opaque and either black or white."""
+    level = lambda v: (F.col("r") == v) & (F.col("g") == v) & (F.col("b") == v)
+    return pixels.groupBy("image_id").agg(F.bool_and((F.col("a") == 255) & (level(0) | level(255))).alias("is_binary"))
+
+
+def bits_to_pixels(bits: DataFrame) -> DataFrame:
+    """Bits as opaque black and white pixels."""
+    v = F.col("bit") * 255
+    return bits.select("image_id", "width", "height", "x", "y", F.lit(255).alias("a"), v.alias("r"), v.alias("g"), v.alias("b"))
+
+
 def pack_bits(bits: DataFrame) -> DataFrame:
     """(image_id, y, byte_no, value): eight bits to a byte, the first highest; a row starts a new byte."""
     weight = F.element_at(F.array(*[F.lit(1 << (7 - i)) for i in range(8)]), F.col("x") % 8 + 1)

@@ -206,6 +206,25 @@ def floyd_steinberg_1bit(spark, sf_dir):
     return grouped.floyd_steinberg_bits(pixels.assemble(views.gray8_pixels(spark, sf_dir)))
 
 
+@query("SELECT image_id, bool_and(a = 255 AND r = g AND g = b AND r IN (0, 255)) AS is_binary FROM (SELECT * FROM gray8p UNION ALL SELECT -image_id - 1, width, height, x, y, 255, 255 * (gray > 100)::INTEGER, 255 * (gray > 100)::INTEGER, 255 * (gray > 100)::INTEGER FROM gray8) GROUP BY 1")
+def is_binary(spark, sf_dir):
+    p = views.gray8_pixels(spark, sf_dir)
+    bits = views.gray8(spark, sf_dir).select((-F.col("image_id") - 1).alias("image_id"), "width", "height", "x", "y", (F.col("gray") > 100).cast("int").alias("bit"))
+    return masks.is_binary(p.unionByName(masks.bits_to_pixels(bits)))
+
+
+@query("SELECT image_id, greatest(0, least(255, floor((gray - 20) * 1.5::DOUBLE)))::INTEGER AS bin, count(*) AS n FROM gray8 GROUP BY 1, 2")
+def color_bins(spark, sf_dir):
+    return views.gray8(spark, sf_dir).groupBy("image_id", color.bin_of(F.col("gray"), F.lit(20), F.lit(1.5)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query()
+def dither_dispatch(spark, sf_dir):
+    p = views.gray8_pixels(spark, sf_dir)
+    parts = [grouped.dither(p, a).groupBy("image_id").agg(F.sum("bit").alias("white")).withColumn("algorithm", F.lit(a)) for a in ("BAYER", "CLUSTERED", "FLOYD_STEINBERG")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # ---------------------------------------------------------------- measures
 
 
@@ -237,6 +256,13 @@ def similarity_same_size(spark, sf_dir):
     return measure.similarity(_pairs(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
+@query()
+def similarity_resized(spark, sf_dir):
+    """Each image against its quarter turn, whose sizes differ."""
+    p = views.synth(spark, sf_dir)
+    return grouped.similarity_any(pixels.assemble(p), pixels.assemble(pixels.rotate_quarter(p, 90)))
+
+
 _LUMA = "(299 * {0} + 587 * {1} + 114 * {2}) // 1000"
 
 
