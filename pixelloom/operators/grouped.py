@@ -108,17 +108,28 @@ def fits(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIM
     weight = F.col("weight") if options.importance > 0 else None
     hist = adaptive_histogram(importance(pixels, options.importance) if options.importance > 0 else pixels, limit, weight)
 
-    def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by("first_pos")  # the order in which a scan meets the colours
-        cnt = table.column("cnt").to_numpy()
-        sums = np.stack([table.column(c).to_numpy() for c in ("sr", "sg", "sb", "sa")], axis=1).astype(float)
-        bits, key = table.column("bits")[0].as_py(), table.column("key").to_numpy()
-        pal, label, lossless = quantize_histogram(cnt, sums, options, bits == 0)
-        order = np.argsort(key)
-        lists = {"keys": (key[order], pa.int64()), "entries": (label[order], pa.int32()), "palette": (pack(pal), pa.int64())}
-        return pa.table({"image_id": table.column("image_id")[:1], "bits": pa.array([bits], pa.int32()), "lossless": pa.array([lossless]), **{n: pa.array([v], pa.list_(t)) for n, (v, t) in lists.items()}})
-
-    return hist.groupBy("image_id").applyInArrow(fit, "image_id bigint, bits int, lossless boolean, keys array<bigint>, entries array<int>, palette array<bigint>")
+    # One row per image, its buckets in the order in which a scan meets the colours; images of a batch share the Arrow work.
+    buckets = F.sort_array(F.collect_list(F.struct("first_pos", "key", "cnt", "sr", "sg", "sb", "sa")))
+    images = hist.groupBy("image_id", "bits").agg(buckets.alias("h"))
+
+    def fit(it):
+        for batch in it:
+            rows = batch.column(2)
+            at = rows.offsets.to_numpy()
+            flat = rows.values
+            key, cnt = (flat.field(c).to_numpy() for c in ("key", "cnt"))
+            sums = np.stack([flat.field(c).to_numpy() for c in ("sr", "sg", "sb", "sa")], axis=1).astype(float)
+            out: dict[str, list] = {"lossless": [], "keys": [], "entries": [], "palette": []}
+            for i, bits in enumerate(batch.column(1).to_pylist()):
+                cut = slice(at[i], at[i + 1])
+                pal, label, lossless = quantize_histogram(cnt[cut], sums[cut], options, bits == 0)
+                order = np.argsort(key[cut])
+                for name, value in (("lossless", lossless), ("keys", key[cut][order]), ("entries", label[order]), ("palette", pack(pal))):
+                    out[name].append(value)
+            kinds = {"lossless": pa.bool_(), "keys": pa.list_(pa.int64()), "entries": pa.list_(pa.int32()), "palette": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, kinds[n]) for n, v in out.items()]], ["image_id", "bits", *out])
+
+    return images.mapInArrow(fit, "image_id bigint, bits int, lossless boolean, keys array<bigint>, entries array<int>, palette array<bigint>")
 
 
 def palettes(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIMIT) -> DataFrame:
