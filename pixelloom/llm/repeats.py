@@ -76,13 +76,14 @@ class Phrases:
     whole: np.ndarray
 
 
-def phrases(codes: np.ndarray, docs: np.ndarray, window: int, gram: int) -> Phrases:
+def phrases(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: int = 1 << 24) -> Phrases:
+    """Of the symbols of a block, whose documents begin at docs (n + 1 offsets).  most: symbols looked at at once."""
     n, none = len(codes), np.zeros(0, np.int64)
     if n < window:
         return Phrases(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    if n >= 1 << 24:
-        # Places are kept in 24 bits: cut between documents, or, within a very long one, with W - 1 symbols in common.
-        return _halves(codes, docs, window, gram)
+    if n >= most:
+        # Places are kept in 24 bits: longer blocks are looked at in pieces that have W - 1 symbols in common.
+        return _pieces(codes, docs, window, gram, most)
     roll = Rolling(codes)
     grams = roll.grams(gram)
     # Sliding minimum over window - gram + 1 anchors; the place breaks ties, to the left.
@@ -110,13 +111,13 @@ def phrases(codes: np.ndarray, docs: np.ndarray, window: int, gram: int) -> Phra
     return Phrases(first, last, at, mix(grams[at] ^ np.uint64(0x5851F42D4C957F2D)), roll.of(first, last + window))
 
 
-def _halves(codes, docs, window, gram) -> Phrases:
+def _pieces(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: int) -> Phrases:
     n, parts, at = len(codes), [], 0
-    step = (1 << 24) - 1 - window
+    step = most - 1
     while at + window <= n:
         to = min(at + step, n)
         inner = docs[(docs > at) & (docs < to)]
-        p = phrases(codes[at:to], np.concatenate([[0], inner - at, [to - at]]), window, gram)
+        p = phrases(codes[at:to], np.concatenate([[0], inner - at, [to - at]]), window, gram, most)
         for name in ("first", "last", "place"):
             setattr(p, name, getattr(p, name) + at)
         parts.append(p)

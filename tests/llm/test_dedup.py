@@ -92,6 +92,25 @@ def test_spans_with_odd_tables(spark):
     assert [r.n_removed for r in suffix_dedup(frame(spark, [(1, long), (1, long)])).collect()].count(0) == 1
 
 
+def test_very_long_blocks_have_the_same_windows():
+    """Looked at in pieces, a block has phrases for the same windows, with the same anchors."""
+    import numpy as np
+
+    from pixelloom.llm.repeats import phrases
+
+    r = np.random.default_rng(3)
+    codes = r.integers(0, 2**63, 4000, dtype=np.uint64)
+    docs = np.array([0, 0, 1300, 1310, 1311, 3999, 4000])
+
+    def windows(p):
+        return {int(s): (int(m), int(a)) for f, t, m, a in zip(p.first, p.last, p.place, p.anchor) for s in range(f, t + 1)}
+
+    whole = windows(phrases(codes, docs, 20, 8))
+    assert len(whole) == 1300 - 19 + 2688 - 19
+    for most in (3999, 1000, 57):
+        assert windows(phrases(codes, docs, 20, 8, most)) == whole
+
+
 @pytest.mark.parametrize("key", [None, 5])
 def test_rows_that_share_an_id_spread_over_blocks(spark, key):
     """A third of all rows without an id, or with one: many blocks, each text kept once."""
