@@ -29,6 +29,12 @@ def pack(raster: np.ndarray) -> np.ndarray:
     return r[:, 0] << 24 | r[:, 1] << 16 | r[:, 2] << 8 | r[:, 3]
 
 
+def spread(images: DataFrame) -> DataFrame:
+    """Rows by image over all cores: kernels cost time rather than bytes, so tasks must not be merged for being small."""
+    spark = images.sparkSession
+    return images.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "image_id")
+
+
 def each_raster(rasters: DataFrame, function, schema: str) -> DataFrame:
     """function(raster (h, w, 4)) -> tuple of values, for each row of rasters; a row at a time is held."""
     names = [f.split()[0] for f in schema.split(", ")]
@@ -50,7 +56,7 @@ def each_raster(rasters: DataFrame, function, schema: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
     out_schema = StructType.fromDDL(f"image_id bigint, {schema}")
-    return rasters.select(F.col("image_id").cast("long").alias("image_id"), "width", "height", "argb").mapInArrow(typed, out_schema)
+    return spread(rasters.select(F.col("image_id").cast("long").alias("image_id"), "width", "height", "argb")).mapInArrow(typed, out_schema)
 
 
 def scan(rasters: DataFrame, body, schema: str) -> DataFrame:
@@ -110,7 +116,7 @@ def fits(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIM
 
     # One row per image, its buckets in the order in which a scan meets the colours; images of a batch share the Arrow work.
     buckets = F.sort_array(F.collect_list(F.struct("first_pos", "key", "cnt", "sr", "sg", "sb", "sa")))
-    images = hist.groupBy("image_id", "bits").agg(buckets.alias("h"))
+    images = spread(hist).groupBy("image_id", "bits").agg(buckets.alias("h"))
 
     def fit(it):
         for batch in it:
@@ -169,7 +175,7 @@ def encode_png(pixels: DataFrame, options: Options = Options(), limit: int = EXA
                 form = png.indexed if lossless or options.palettize_lossy else png.truecolor
                 yield pa.RecordBatch.from_pydict({"image_id": pa.array([at("image_id").as_py()], pa.int64()), "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), "colors": pa.array([len(pal)], pa.int32()), "lossless": pa.array([lossless]), "content": pa.array([form(index, pal, options.deflate)], pa.binary())})
 
-    return assemble(pixels).join(fits(pixels, options, limit), "image_id").mapInArrow(write, "image_id bigint, width int, height int, colors int, lossless boolean, content binary")
+    return assemble(spread(pixels)).join(fits(pixels, options, limit), "image_id").mapInArrow(write, "image_id bigint, width int, height int, colors int, lossless boolean, content binary")
 
 
 def fast_png(rasters: DataFrame, alpha: bool = True, level: int = 2) -> DataFrame:

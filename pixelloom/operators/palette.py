@@ -81,14 +81,12 @@ def nearest_entry(a: Column, r: Column, g: Column, b: Column, palette: list[tupl
     """Number of the nearest of at most 256 entries, the first among equals, in premultiplied space, as a column expression."""
     if not 1 <= len(palette) <= 256:
         raise ValueError("a palette has 1 to 256 entries")
-    point = F.struct(*[premultiplied(c, a).alias(n) for c, n in zip((r, g, b), "rgb")], a.cast("double").alias("a"))
-    entries = F.array(*[F.struct(*[F.lit(float(c * e[0] / 255.0)).alias(n) for c, n in zip(e[1:], "rgb")], F.lit(float(e[0])).alias("a"), F.lit(i).alias("i")) for i, e in enumerate(palette)])
-
-    def ranked(e: Column) -> Column:
-        d = [(point[n] - e[n]) * (point[n] - e[n]) for n in "rgba"]
-        return F.struct((d[0] + d[1] + d[2] + d[3]).alias("d"), e["i"].alias("i"))
-
-    return F.array_min(F.transform(entries, ranked))["i"]
+    point = [a.cast("double"), *[premultiplied(c, a) for c in (r, g, b)]]
+    ranked = []
+    for i, e in enumerate(palette):
+        d = [(p - F.lit(float(v))) * (p - F.lit(float(v))) for p, v in zip(point, (e[0], *[c * e[0] / 255.0 for c in e[1:]]))]
+        ranked.append(F.struct((d[1] + d[2] + d[3] + d[0]).alias("d"), F.lit(i).alias("i")))
+    return (F.least(*ranked) if len(ranked) > 1 else ranked[0])["i"]
 
 
 def nearest_centroid(buckets: DataFrame, centroids: DataFrame) -> DataFrame:
