@@ -41,7 +41,7 @@ def test_entry_without_the_optional_package(monkeypatch):
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("pixelloom.llm", "corpus_pipeline")) else real(name, *a))
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
     e = importlib.import_module("__spark_entry__")
-    assert e.queries() == catalogue.QUERIES and e.oracle_sql() == catalogue.ORACLES
+    assert list(e.queries()) == list(catalogue.QUERIES) and e.oracle_sql() == catalogue.ORACLES
     sys.modules.pop("__spark_entry__")
 
 
