@@ -14,7 +14,7 @@ from pixelloom.llm.decontaminate import decontaminate
 from pixelloom.llm.fm_toxicity import remainder
 from pixelloom.llm.knn_quality import quality_scores
 from pixelloom.llm.queries import MODEL
-from pixelloom.llm.simhash import simhash_groups
+from pixelloom.llm.shingle_dedup import shingle_groups
 from pixelloom.llm.substring_dedup import substring_dedup
 from pixelloom.llm.wfst import encode_documents
 
@@ -37,9 +37,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the least id; of repeated rows one.
 
-    Rows without an id stay if no document of their group has one.
+    Near copies share 0.8 or more of their five-word shingles (Jaccard); groups are what such pairs connect.  Rows without
+    an id stay if no document of their group has one.
     """
-    groups = simhash_groups(docs)
+    groups = shingle_groups(docs, shingle=5)
+    groups = groups.join(groups.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
     keep = stage(groups.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
     out = _only(docs, keep)
     if keep.filter("n > 1").limit(1).count():
