@@ -23,11 +23,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id, null or not, is among the distinct ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled neighbours vote to be of quality; the others go."""
     scored = quality_scores(docs, _table(spark, sf_dir, "labels"), lambda doc: remainder(doc, 4) != 2)
@@ -35,15 +30,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id; of repeated rows one.
+    """Of each group of near copies one row: that of the least id, and of the least text hash among those; of repeated rows one.
 
-    Near copies share 0.8 or more of their five-word shingles (Jaccard); groups are what such pairs connect.  Rows without
-    an id stay if no document of their group has one.
+    Near copies share 0.8 or more of their five-word shingles (Jaccard); groups are what such pairs connect.  A row
+    without an id stays only if no row of its group has one.
     """
-    groups = shingle_groups(docs, shingle=5)
-    groups = groups.join(groups.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component")
-    keep = stage(groups.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
-    out = _only(docs, keep)
+    rows = shingle_groups(docs, shingle=5).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("first")
+    keep = stage(rows.groupBy("component").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"), "first.n"), "keep")
+    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
     if keep.filter("n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])
     return out

@@ -66,3 +66,13 @@ def test_stage_removes_near_copies(spark):
         rows += [(d, " ".join(w)), (d + 1, " ".join([*w[:30], "other", *w[31:]]))]
     got = {x.doc_id for x in corpus_pipeline.near_dedup(spark, table(spark, rows), "").collect()}
     assert got == set(range(0, 40, 2))
+
+
+def test_stage_judges_rows_not_ids(spark):
+    r = random.Random(12)
+    a, b, c, d, e = [[f"w{r.randint(0, 9999)}" for _ in range(60)] for _ in range(5)]
+    text, copy = " ".join, lambda w: " ".join([*w[:30], "other", *w[31:]])
+    rows = [(None, text(a)), (None, copy(a)), (5, text(b)), (None, copy(b)), (None, text(c)), (None, text(c)), (7, text(d)), (7, text(e)), (3, copy(e))]
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, table(spark, rows), "").collect()]
+    assert len(got) == 5 and sum(x in got for x in rows[:2]) == 1
+    assert {x for x in got if x not in rows[:2]} == {(5, text(b)), (None, text(c)), (7, text(d)), (3, copy(e))}
