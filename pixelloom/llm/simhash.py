@@ -54,8 +54,13 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndar
 
 
 def _moves(radius: int) -> list[tuple[tuple[int, int], ...]]:
-    """Sets of at most `radius` dimensions with a direction each."""
-    return [tuple(zip(dims, signs)) for n in range(1, radius + 1) for dims in itertools.combinations(range(8), n) for signs in itertools.product((-1, 1), repeat=n)]
+    """Sets of dimensions with a number of cells each, up or down, that may cost no more than the radius."""
+    least = {n: (abs(n) - 1) * WIDTH + 1 for n in range(-9 // WIDTH, 9 // WIDTH + 1) if n}
+    out, last = [], [((), 0)]
+    while last:
+        last = [((*move, (dim, n)), price + least[n]) for move, price in last for dim in range(move[-1][0] + 1 if move else 0, 8) for n in least if price + least[n] <= radius]
+        out += [move for move, _ in last]
+    return out
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -70,13 +75,14 @@ def visits(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     weight = 8 ** np.arange(8, dtype=np.int64)
     home = grid @ weight
     rows, cells, homes = [np.arange(len(fp))], [home], [np.ones(len(fp), bool)]
-    cost = {-1: inside + 1, 1: WIDTH - inside}
+    cost = lambda n: n * WIDTH - inside if n > 0 else inside + 1 + (-n - 1) * WIDTH
+    costs = {n: cost(n) for move in _moves(radius) for _, n in move}
     for move in _moves(radius):
-        price = sum(cost[sign][:, dim] for dim, sign in move)
-        step = sum(sign * int(weight[dim]) for dim, sign in move)
+        price = sum(costs[n][:, dim] for dim, n in move)
+        step = sum(n * int(weight[dim]) for dim, n in move)
         ok = np.flatnonzero(price <= radius) if step > 0 else np.zeros(0, np.int64)
-        for dim, sign in move:
-            ok = ok[(grid[ok, dim] + sign >= 0) & (grid[ok, dim] + sign < 8)]
+        for dim, n in move:
+            ok = ok[(grid[ok, dim] + n >= 0) & (grid[ok, dim] + n < 8)]
         rows.append(ok)
         cells.append(home[ok] + step)
         homes.append(np.zeros(len(ok), bool))
