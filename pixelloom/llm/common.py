@@ -9,46 +9,62 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- shared folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one set here where the session names none."""
+    """The folder that all machines share: spark.checkpoint.dir.
+
+    A session that names none gets a temporary folder if it runs on this machine alone, as in tests; on a cluster that
+    is an error, as executors could not read each other's files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="pixelloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, buckets: tuple[str, int] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut, and a lost executor costs one task.
 
+    buckets: a column and a number; the table is dealt by it once, and grouping by that column then needs no shuffle.
     Shuffle files of the write are released at once where Spark can do so; the table itself goes when the JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pixelloom/{name}-{uuid.uuid4().hex}"
+    unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pixelloom/{unique}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     if before is not None:
         spark.conf.set(key, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        if buckets:
+            by, n = buckets
+            df.repartition(n, by).write.option("compression", "zstd").option("path", path).bucketBy(n, by).saveAsTable(unique)
+        else:
+            df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is not None:
             spark.conf.set(key, before)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    if not buckets:
+        return spark.read.schema(df.schema).parquet(path)
+    out = spark.table(unique)
+    spark.sql(f"DROP TABLE {unique}")  # the name alone: the files are outside the warehouse
+    return out
 
 
 def release(df: DataFrame) -> None:
@@ -138,59 +154,69 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
 
 # ---------------------------------------------------------------- fingerprints
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: A random odd number for each byte value, so that fingerprints don't depend on small byte differences.
-BYTE_CODE = (np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers 0 to n of the base, or of its inverse, modulo 2^64."""
-    key = "down" if inverse else "up"
-    if len(_powers.get(key, ())) <= n:
-        out = np.empty(max(n + 1, 1 << 16), np.uint64)
-        out[0] = 1
-        out[1:] = _INVERSE if inverse else _BASE
-        _powers[key] = np.multiply.accumulate(out)
-    return _powers[key][: n + 1]
+_M = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xE7037ED1A0B428DB)]
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit over the word."""
     x = x ^ (x >> np.uint64(32))
-    x *= np.uint64(0xD6E8FEB86659FD93)
+    x *= _M[0]
     x ^= x >> np.uint64(29)
-    x *= np.uint64(0xA0761D6478BD642F)
+    x *= _M[1]
     x ^= x >> np.uint64(32)
     return x
 
 
-class Rolling:
-    """Polynomial fingerprints, modulo 2^64, of every stretch of a sequence of 64-bit codes."""
+def pair(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A fingerprint of two fingerprints in order.  Mixing between the steps leaves no algebra that structured texts could cancel."""
+    x = a * _M[2 + seed] + b
+    x ^= x >> np.uint64(32)
+    x *= _M[seed]
+    x ^= x >> np.uint64(29)
+    return x
+
 
-    def __init__(self, codes: np.ndarray):
-        n = len(codes)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * powers(n)[:n], out=self.sums[1:])
-        self.down = powers(n, inverse=True)
+def eight(data: np.ndarray) -> np.ndarray:
+    """Of each byte the 8 bytes from there on, as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix(((self.sums[ends] - self.sums[starts]) * self.down[starts]) + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
-    def grams(self, k: int) -> np.ndarray:
-        """Of every stretch of length k."""
-        n = len(self.sums) - 1
-        if n < k:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[: n + 1 - k]) * self.down[: n + 1 - k])
+def grams(codes: np.ndarray, k: int, span: int = 1) -> np.ndarray:
+    """Fingerprints of all stretches of k symbols, by doubling; a code covers `span` symbols from its own on."""
+    n, level, width = len(codes), codes, span
+    if n < k:
+        return np.zeros(0, np.uint64)
+    while width * 2 <= k:
+        level = pair(level[: n - 2 * width + 1], level[width : n - width + 1])
+        width *= 2
+    return mix(level[: n - k + 1]) if width == k else pair(level[: n - k + 1], level[k - width : n - width + 1])
 
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each word; equal words have equal codes."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    return Rolling(BYTE_CODE[data]).of(starts, ends)
+    """A 64-bit fingerprint of each word, eight bytes at a time."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _M[3])
+    if len(size) == 0:
+        return out
+    lead = eight(data)
+    short = np.flatnonzero(size <= LONG_WORD)
+    at, left, h = starts[short], size[short], out[short]
+    done = 0
+    while len(at):
+        h = pair(h, lead[at] & _KEEP[np.minimum(left, 8)])
+        out[short] = h
+        done += 8
+        more = left > 8
+        short, at, left, h = short[more], at[more] + 8, left[more] - 8, h[more]
+    out = mix(out)
+    raw = data.data
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], 7)
+    return out
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -203,64 +229,21 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - (ends - lengths), lengths)
 
 
-# ---------------------------------------------------------------- blocks of documents in the order of their ids
+# ---------------------------------------------------------------- blocks of documents
 
 
-@dataclass(frozen=True)
-class Cuts:
-    """How ids fall into blocks: ids up to which a new range begins, and how many blocks each range is dealt to.
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, extra: list[str], block_bytes: int) -> tuple[DataFrame, int]:
+    """(block, doc, hash, text, x0, x1 ...) and the number of blocks, each of about block_bytes of text.
 
-    Ranges of one id whose rows hold more than a block are dealt to several, by the hashes of their texts; all others
-    are one block.  nulls: blocks of the rows without an id, which come first.
+    A row's block comes from hashes of its id, its text and its partition, so neither rows that share an id or a text nor
+    wholly equal rows gather in one block.  The table is staged in buckets of blocks: whoever groups it by block later
+    needs no shuffle.  The extra columns come along under names that clash with nothing.
     """
-
-    ids: np.ndarray
-    dealt: np.ndarray
-    nulls: int
-
-    @property
-    def blocks(self) -> int:
-        return int(self.nulls + self.dealt.sum())
-
-    def block(self, ids: np.ndarray, valid: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.ids, ids, "right")
-        first = np.append(0, np.cumsum(self.dealt))[at] + self.nulls
-        parts = np.where(valid, self.dealt[at], self.nulls)
-        # The upper half of a hash, scaled: ranges of hashes, so that the order of blocks is an order of texts.
-        sub = ((hashes.view(np.uint64) >> np.uint64(32)) * parts.astype(np.uint64)) >> np.uint64(32)
-        return np.where(valid, first, 0) + sub.astype(np.int64)
-
-
-def splitters(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Cuts:
-    """Cuts into blocks of about block_bytes of text each: one long per block reaches the driver."""
-    one = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long").alias("size"))
-    rows = one.agg(F.sum("size"), F.count("id"), F.count("*"), F.sum(F.when(F.col("id").isNull(), F.col("size")))).first()
-    total, known, every, nulls = (v or 0 for v in rows)
-    n = int(min(total // block_bytes + 1, max(known, 1)))
-    cuts = np.unique(np.array(one.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n), np.float64)).astype(np.int64) if n > 1 and known else np.zeros(0, np.int64)
-    # An id can only hold a block's worth of text in several rows if the quantiles meet it, or it is one long text.
-    hot = {}
-    if len(cuts) < n - 1:
-        many = one.filter("id is not null").groupBy("id").agg(F.sum("size").alias("size"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("size") > block_bytes))
-        hot = {r.id: -(-r.size // block_bytes) for r in many.toLocalIterator()}  # total / block_bytes ids at most
-    edges = np.unique(np.concatenate([cuts, *[[i, i + 1] for i in hot]]).astype(np.int64)) if hot else cuts
-    starts = np.append(np.iinfo(np.int64).min, edges)
-    return Cuts(edges, np.array([hot.get(int(i), 1) for i in starts], np.int64), int(max(1, -(-nulls // block_bytes))) if known < every else 0)
-
-
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, cuts: Cuts, extra: list[str]) -> DataFrame:
-    """(block, doc, text, x0, x1 ...): blocks follow the order of ids, null ids first.
-
-    The extra columns come along under names that clash with nothing.
-    """
-    columns = [F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)]]
-    chosen = docs.select(columns)
-    hashed = chosen.select(F.xxhash64("text").alias("hash"), "*")
-
-    def put(it):
-        for batch in it:
-            ids = batch.column(1)
-            block = cuts.block(np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_valid()), np.ascontiguousarray(batch.column(0), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), *batch.columns[1:]], ["block", *batch.schema.names[1:]])
-
-    return hashed.mapInArrow(put, T.StructType([T.StructField("block", T.LongType()), *chosen.schema.fields]))
+    spark = docs.sparkSession
+    text = F.col(f"`{text_col}`").cast("string")
+    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
+    total = docs.select(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(64))).first()[0] or 0
+    blocks = int(total // block_bytes + 1)
+    buckets = min(max(int(total // (8 * block_bytes)) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
+    put = chosen.select(F.pmod(F.xxhash64("doc", "hash", F.spark_partition_id()), F.lit(blocks)).alias("block"), "*")
+    return stage(put, "blocks", ("block", buckets)), blocks

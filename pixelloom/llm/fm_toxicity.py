@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, BYTE_CODE, LOWER, Rolling, batches, text_buffer, word_spans
+from .common import ALNUM, LOWER, batches, text_buffer, word_codes, word_spans
 
 PREFIXES = (4, 5, 6)
 
@@ -28,12 +28,11 @@ def hashed_terms(data: np.ndarray, offsets: np.ndarray, dims: int, chosen: np.nd
     s, e, docs = word_spans(low, offsets, ALNUM)
     if not len(s):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    roll = Rolling(BYTE_CODE[low])
     doc = np.repeat(np.arange(len(docs) - 1), np.diff(docs))
     keys = []
     for k in (0, *PREFIXES):
         long = slice(None) if k == 0 else np.flatnonzero(e - s > k)
-        term = (roll.of(s[long], e[long] if k == 0 else s[long] + k) ^ np.uint64(k)) % np.uint64(dims)
+        term = (word_codes(low, s[long], e[long] if k == 0 else s[long] + k) ^ np.uint64(k)) % np.uint64(dims)
         term, d = term.astype(np.int64), doc[long]
         if chosen is not None:
             term = chosen[term]

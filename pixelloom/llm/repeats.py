@@ -3,19 +3,22 @@
 A corpus is a sequence of symbols (bytes or words) for each document; a window is W consecutive symbols of one
 document.  Each window chooses one anchor, the K-gram of least fingerprint in it, so equal windows choose equal anchors
 at the same place.  Consecutive starts with one anchor form a *phrase*: the symbols of all their windows.  Phrases tile
-the windows, about one phrase for (W - K + 2) / 2 symbols, and decide nearly everything:
-
-1. Every block of documents (in the order of ids) sends each distinct (anchor, phrase) once, to the index part that
-   owns the anchor.  The part answers with two bits a phrase: unseen elsewhere, starts earlier in another block, or
-   "other phrases have this anchor".
-2. Only phrases of the third kind, first of their kind, send their symbols, to the part that owns the anchor.  There
-   the operator's own method (factoring against the reference block, or sorting suffix buckets) finds the windows that
-   start earlier in another phrase.  The first place of any window lies in the first copy of its phrase, so this is
-   complete.
-3. Every block adds up both answers and its own repeats.
-
-A block sends one entry for a phrase however often it holds it, and answers are bits, so a passage in a third of all
-rows costs its index part one entry a block.  Nothing is collected; no pairs are made.
+the windows, about one phrase for (W - K + 2) / 2 symbols.  Blocks of documents ask an index that is dealt by content:
+
+1. Every block sends each distinct phrase once, by a 128-bit fingerprint and the place of its first copy, to the index part that owns the
+   fingerprint, and each distinct anchor once, with the number of its phrases, to the part that owns the anchor.  The
+   first part answers where the phrase occurs first, the second whether other phrases have the anchor, and whether so
+   many have it that it is *hot*.
+2. Phrases that are the first of their kind and share an anchor may hold windows of other phrases.  Each of their
+   windows is looked up by its own fingerprint; or, where the operator has a method of its own for the symbols, those of
+   an anchor that is not hot meet in the part that owns the anchor.  The first place of any window lies in the first
+   copy of its phrase, so this is complete.
+3. Every block adds up the answers and its own repeats; each repeated window has the place where it starts first.
+
+First means least in (id, hash of the text, block, row of the block, start), null ids before all others, so no order of blocks is needed.
+A block sends an entry for a phrase, a window or an anchor, however often it holds it, so an index part gets one entry a
+block of even the commonest passage, and of a line that stands in every document, each time in another context, one
+entry of its anchor and the fingerprints of its windows, which are dealt by themselves.  Nothing is collected; no pairs are made.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Rolling, gather, in_blocks, mix, splitters, stage, text_buffer
+from .common import gather, grams, in_blocks, mix, pair, stage, text_buffer
 
 _INDEX_BITS = np.uint64(24)
+ANCHORS, PHRASES, WINDOWS, SYMBOLS = range(4)
 
 
 @dataclass(frozen=True)
@@ -38,56 +42,62 @@ class Kind:
     """What a symbol is and how long windows and anchors are.
 
     code: symbols of a block: (data, offsets) -> (64-bit codes, n + 1 offsets of documents into them).
-    raw: the symbols themselves as they are sent (uint8 or uint64), from (data, codes).
-    resolve: the operator's method of step 2: see Contexts.
+    span: symbols that a code covers from its own on; gram is at least as many.
+    resolve: the operator's own method for the symbols of step 2, which are the block's bytes: see Contexts.
     """
 
     window: int
     gram: int
     code: Callable
-    raw: Callable
-    resolve: Callable[[Contexts], np.ndarray]
+    span: int = 1
+    resolve: Callable[[Contexts], np.ndarray] | None = None
 
 
 @dataclass
 class Contexts:
     """Phrases of one index part, in the order of their places in the corpus.
 
-    symbols[bounds[i]:bounds[i + 1]] is phrase i; anchor[i] its anchor's fingerprint, at[i] the anchor's place in it.
-    Phrase i holds length - window + 1 windows.  A method returns one boolean per window, phrase by phrase: whether the
-    same symbols start in an earlier phrase.
+    symbols[bounds[i]:bounds[i + 1]] is phrase i, of length - window + 1 windows.  A method returns one boolean per
+    window, phrase by phrase: whether the same symbols start in an earlier phrase.
     """
 
     symbols: np.ndarray
     bounds: np.ndarray
-    anchor: np.ndarray
-    at: np.ndarray
     window: int
 
 
 @dataclass
 class Phrases:
-    """Phrases of a block in order: first and last start, place and fingerprint of the anchor, of all their symbols."""
+    """Phrases of a block in order: first and last start, place and fingerprint of the anchor, two of all symbols."""
 
     first: np.ndarray
     last: np.ndarray
     place: np.ndarray
     anchor: np.ndarray
     whole: np.ndarray
+    check: np.ndarray
+
 
+def window_prints(g: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of the windows at the given starts, from those of all K-grams."""
+    steps = [*range(0, window - gram, gram), window - gram]
+    one = two = g[starts]
+    for s in steps[1:]:
+        one, two = pair(one, g[starts + s]), pair(two, g[starts + s], 2)
+    return mix(one), mix(two)
 
-def phrases(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: int = 1 << 24) -> Phrases:
+
+def phrases(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: int = 1 << 24, span: int = 1) -> Phrases:
     """Of the symbols of a block, whose documents begin at docs (n + 1 offsets).  most: symbols looked at at once."""
     n, none = len(codes), np.zeros(0, np.int64)
     if n < window:
-        return Phrases(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Phrases(none, none, none, *[none.astype(np.uint64)] * 3)
     if n >= most:
         # Places are kept in 24 bits: longer blocks are looked at in pieces that have W - 1 symbols in common.
-        return _pieces(codes, docs, window, gram, most)
-    roll = Rolling(codes)
-    grams = roll.grams(gram)
+        return _pieces(codes, docs, window, gram, most, span)
+    g = grams(codes, gram, span)
     # Sliding minimum over window - gram + 1 anchors; the place breaks ties, to the left.
-    least = ((grams >> _INDEX_BITS) << _INDEX_BITS) | np.arange(len(grams), dtype=np.uint64)
+    least = ((g >> _INDEX_BITS) << _INDEX_BITS) | np.arange(len(g), dtype=np.uint64)
     width, want = 1, window - gram + 1
     while width * 2 <= want:
         least = np.minimum(least[: len(least) - width], least[width:])
@@ -108,103 +118,180 @@ def phrases(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: i
     # Adjacent documents: the last start of one and the first of the next are never neighbours, as W > 1.
     first, last = np.flatnonzero(opens), np.flatnonzero(closes)
     at = place[first]
-    return Phrases(first, last, at, mix(grams[at] ^ np.uint64(0x5851F42D4C957F2D)), roll.of(first, last + window))
+    # A phrase is shorter than two windows, so its first and last one hold all its symbols.
+    length = (last - first).astype(np.uint64)
+    (a, b), (c, d) = window_prints(g, first, window, gram), window_prints(g, last, window, gram)
+    return Phrases(first, last, at, mix(g[at] ^ np.uint64(0x5851F42D4C957F2D)), mix(pair(a, c) + length), mix(pair(b, d, 2) ^ length))
 
 
-def _pieces(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: int) -> Phrases:
+def _pieces(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: int, span: int) -> Phrases:
     n, parts, at = len(codes), [], 0
     step = most - 1
     while at + window <= n:
         to = min(at + step, n)
         inner = docs[(docs > at) & (docs < to)]
-        p = phrases(codes[at:to], np.concatenate([[0], inner - at, [to - at]]), window, gram, most)
+        p = phrases(codes[at:to], np.concatenate([[0], inner - at, [to - at]]), window, gram, most, span)
         for name in ("first", "last", "place"):
             setattr(p, name, getattr(p, name) + at)
         parts.append(p)
         if to == n:
             break
         at = to - window + 1
-    return Phrases(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("first", "last", "place", "anchor", "whole")))
+    return Phrases(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("first", "last", "place", "anchor", "whole", "check")))
 
 
-@dataclass
-class Distinct:
-    """Distinct phrases of a block, by anchor: `one` holds the first of each among the phrases, `of` its number for each phrase."""
+def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
+    """n + 1 bounds, by the leading bits, of sorted keys."""
+    bucket = keys >> np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else np.zeros(len(keys), np.uint64)
+    return np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
 
-    one: np.ndarray
-    of: np.ndarray
-    parts: np.ndarray
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """True where sorted rows differ from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+@dataclass
+class Answers:
+    """What the index said: of distinct phrases, and of the windows that were looked up, in the order they were sent."""
 
-def distinct(p: Phrases, parts: int) -> Distinct:
-    order = np.lexsort((p.whole, p.anchor))
-    a, w = p.anchor[order], p.whole[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    one = order[new]  # lexsort keeps the order of places among equals
-    shift = np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else None
-    bucket = (p.anchor[one] >> shift).astype(np.int64) if parts > 1 else np.zeros(len(one), np.int64)
-    return Distinct(one, of, np.searchsorted(bucket, np.arange(parts + 1)))
+    phrases: dict[int, bytes]
+    anchors: dict[int, bytes]
+    windows: dict[int, bytes]
+    symbols: dict[int, bytes]
 
+    @classmethod
+    def of(cls, table: pa.Table) -> Answers:
+        found: list[dict] = [{}, {}, {}, {}]
+        for part, phase, payload in zip(table.column("part").to_pylist(), table.column("phase").to_pylist(), table.column("payload")):
+            found[phase][part] = payload.as_py()
+        return cls(found[PHRASES], found[ANCHORS], found[WINDOWS], found[SYMBOLS])
 
-def _bits(state: np.ndarray) -> bytes:
-    """Two bits for each of 0, 1, 2."""
-    return np.packbits(np.stack([state >> 1, state & 1], axis=1).astype(np.uint8)).tobytes()
 
+@dataclass
+class Repeats:
+    """For each start whether its window starts earlier in the corpus, and if so the row and start where it is first."""
 
-def _unbits(data: bytes, n: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(data, np.uint8))[: 2 * n].reshape(-1, 2)
-    return bits[:, 0] * 2 + bits[:, 1]
+    starts: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
 
 
 class Block:
-    """One block's documents: read from the group's table, sorted by id and text, with phrases found on demand."""
+    """One block's documents, in order, with their distinct phrases and anchors."""
 
     def __init__(self, table: pa.Table, kind: Kind, parts: int):
-        table = table.combine_chunks()
-        table = table.sort_by([("doc", "ascending"), ("text", "ascending")])
-        at = table.column("doc").combine_chunks()
-        nulls = at.null_count  # sort_by puts them last; here they come first
+        table = table.combine_chunks().sort_by([("doc", "ascending"), ("hash", "ascending"), ("text", "ascending")])
+        nulls = table.column("doc").combine_chunks().null_count  # sort_by puts them last; here they come first
         if nulls:
-            table = pa.concat_tables([table.slice(len(table) - nulls), table.slice(0, len(table) - nulls)])
-        self.table = table
+            table = pa.concat_tables([table.slice(len(table) - nulls), table.slice(0, len(table) - nulls)]).combine_chunks()
+        self.table, self.kind, self.n_parts = table, kind, parts
+        self.number = int(table.column("block")[0].as_py()) if len(table) else 0
         self.data, self.offsets = text_buffer(table.column("text"))
         self.codes, self.docs = kind.code(self.data, self.offsets)
-        self.kind = kind
-        self.phrases = phrases(self.codes, self.docs, kind.window, kind.gram)
-        self.distinct = distinct(self.phrases, parts)
-
-    def states(self, answers: dict[int, bytes]) -> np.ndarray:
-        """Of each distinct phrase."""
-        out = np.zeros(len(self.distinct.one), np.uint8)
-        for part, data in answers.items():
-            lo, hi = self.distinct.parts[part : part + 2]
-            out[lo:hi] = _unbits(data, hi - lo)
+        p = self.phrases = phrases(self.codes, self.docs, kind.window, kind.gram, span=kind.span)
+        # Distinct phrases in the order of their fingerprints: the first of each, and of every phrase its number.
+        by = np.lexsort((p.check, p.whole))  # keeps the order of places among equals
+        new = _heads(p.whole[by], p.check[by])
+        self.one, self.of = by[new], np.empty(len(by), np.int64)
+        self.of[by] = np.cumsum(new) - 1
+        self.phrase_parts = _bounds(p.whole[self.one], parts)
+        # Distinct anchors of these, likewise.
+        anchor = p.anchor[self.one]
+        self.by_anchor = np.argsort(anchor, kind="stable")
+        new = _heads(anchor[self.by_anchor])
+        self.anchors = anchor[self.by_anchor][new]
+        self.first_phrase = self.by_anchor[new]
+        self.anchor_of = np.empty(len(anchor), np.int64)
+        self.anchor_of[self.by_anchor] = np.cumsum(new) - 1
+        self.anchor_parts = _bounds(self.anchors, parts)
+        self.doc_of = np.searchsorted(self.docs, p.first, "right") - 1
+
+    def rows(self, doc: np.ndarray) -> list[np.ndarray]:
+        """A table of the documents that entries refer to, and the references."""
+        used, ref = np.unique(doc, return_inverse=True)
+        ids = self.table.column("doc").combine_chunks().take(pa.array(used))
+        hashes = self.table.column("hash").combine_chunks().take(pa.array(used))
+        return [used.astype(np.uint32), np.asarray(ids.is_valid()).astype(np.uint8), np.asarray(ids.fill_null(0), np.int64), np.asarray(hashes.fill_null(0), np.int64), ref.ravel().astype(np.uint32)]
+
+    def send_index(self) -> list[tuple[int, int, bytes]]:
+        p, out = self.phrases, []
+        n = np.bincount(self.anchor_of, minlength=len(self.anchors)).astype(np.uint32)
+        for i in np.flatnonzero(np.diff(self.anchor_parts)).tolist():
+            cut = slice(self.anchor_parts[i], self.anchor_parts[i + 1])
+            one = self.one[self.first_phrase[cut]]
+            out.append((i, ANCHORS, _pack(self.anchors[cut], p.whole[one], p.check[one], n[cut])))
+        for i in np.flatnonzero(np.diff(self.phrase_parts)).tolist():
+            one = self.one[self.phrase_parts[i] : self.phrase_parts[i + 1]]
+            doc = self.doc_of[one]
+            out.append((i, PHRASES, _pack(p.whole[one], p.check[one], (p.first[one] - self.docs[doc]).astype(np.uint32), *self.rows(doc))))
         return out
 
-    def open(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct phrases that step 2 asks about, and n + 1 bounds by index part."""
-        asks = np.flatnonzero(states == 2)
-        return asks, np.searchsorted(asks, self.distinct.parts)
-
-    def repeated(self, states: np.ndarray, windows: dict[int, bytes]) -> np.ndarray:
-        """For each start whether its window starts earlier in the corpus."""
-        p, d = self.phrases, self.distinct
-        out = np.zeros(len(self.codes) + 1, np.int8)
-        whole = (states[d.of] == 1) | (d.one[d.of] != np.arange(len(d.of)))
-        out[p.first[whole]] += 1
-        out[p.last[whole] + 1] -= 1
-        out = np.cumsum(out[:-1], dtype=np.int8).astype(bool)
-        asks, bounds = self.open(states)
-        for part, data in windows.items():
-            these = d.one[asks[bounds[part] : bounds[part + 1]]]
-            lengths = p.last[these] - p.first[these] + 1
-            bits = np.unpackbits(np.frombuffer(data, np.uint8))[: int(lengths.sum())].astype(bool)
-            out[gather(p.first[these], lengths)[bits]] = True
+    def read(self, answers: Answers) -> None:
+        """Of distinct phrases: whether they occur earlier, and where; of anchors: 0 single, 1 shared, 2 hot."""
+        self.repeated, self.row, self.start = np.zeros(len(self.one), bool), self.number << 24 | self.doc_of[self.one], self.phrases.first[self.one] - self.docs[self.doc_of[self.one]]
+        for i, data in answers.phrases.items():
+            _hits(data, self.phrase_parts[i], self.phrase_parts[i + 1], self.repeated, self.row, self.start)
+        self.sharing = np.zeros(len(self.anchors), np.uint8)
+        for i, data in answers.anchors.items():
+            self.sharing[self.anchor_parts[i] : self.anchor_parts[i + 1]] = np.frombuffer(data, np.uint8)
+        sharing = np.where(self.repeated, 0, self.sharing[self.anchor_of])
+        by_symbols = (sharing == 1) if self.kind.resolve else np.zeros(len(sharing), bool)
+        self.ask_symbols = self.by_anchor[by_symbols[self.by_anchor]]
+        self.ask_windows = np.flatnonzero((sharing > 0) & ~by_symbols)
+        self.symbol_parts = _bounds(self.phrases.anchor[self.one[self.ask_symbols]], self.n_parts)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows to be looked up, in the order of their fingerprints, two of those, and bounds by part."""
+        p, one = self.phrases, np.sort(self.one[self.ask_windows])
+        starts = gather(p.first[one], p.last[one] - p.first[one] + 1)
+        prints = [np.zeros(0, np.uint64)] * 2
+        most = 1 << 23
+        for lo in range(0, len(self.codes) if len(starts) else 0, most):
+            these = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, lo + most)] - lo
+            g = grams(self.codes[lo : lo + most + self.kind.window + self.kind.span], self.kind.gram, self.kind.span)
+            prints = [np.concatenate(x) for x in zip(prints, window_prints(g, these, self.kind.window, self.kind.gram))]
+        by = np.lexsort((starts, prints[1], prints[0]))
+        return starts[by], prints[0][by], prints[1][by], _bounds(prints[0][by], self.n_parts)
+
+    def send_asked(self) -> list[tuple[int, int, bytes]]:
+        p, out = self.phrases, []
+        starts, a, b, parts = self.windows()
+        doc = np.searchsorted(self.docs, starts, "right") - 1
+        for i in np.flatnonzero(np.diff(parts)).tolist():
+            cut = slice(parts[i], parts[i + 1])
+            out.append((i, WINDOWS, _pack(a[cut], b[cut], (starts[cut] - self.docs[doc[cut]]).astype(np.uint32), *self.rows(doc[cut]))))
+        for i in np.flatnonzero(np.diff(self.symbol_parts)).tolist():
+            one = self.one[self.ask_symbols[self.symbol_parts[i] : self.symbol_parts[i + 1]]]
+            length, doc = p.last[one] - p.first[one] + self.kind.window, self.doc_of[one]
+            out.append((i, SYMBOLS, _pack(self.data[gather(p.first[one], length)], length.astype(np.uint16), (p.first[one] - self.docs[doc]).astype(np.uint32), *self.rows(doc))))
         return out
 
+    def repeats(self, answers: Answers) -> Repeats:
+        p, n = self.phrases, len(self.codes)
+        found, row, start = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        later = np.flatnonzero(self.repeated[self.of] | (self.one[self.of] != np.arange(len(self.of))))
+        length = p.last[later] - p.first[later] + 1
+        at = gather(p.first[later], length)
+        found[at], row[at] = True, np.repeat(self.row[self.of[later]], length)
+        start[at] = np.repeat(self.start[self.of[later]] - p.first[later], length) + at
+        starts, _, _, parts = self.windows()
+        hit, r, s = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for i, data in answers.windows.items():
+            _hits(data, parts[i], parts[i + 1], hit, r, s)
+        found[starts[hit]], row[starts[hit]], start[starts[hit]] = True, r[hit], s[hit]
+        for i, data in answers.symbols.items():
+            one = self.one[self.ask_symbols[self.symbol_parts[i] : self.symbol_parts[i + 1]]]
+            length = p.last[one] - p.first[one] + 1
+            bits = np.unpackbits(np.frombuffer(data, np.uint8))[: int(length.sum())].astype(bool)
+            found[gather(p.first[one], length)[bits]] = True
+        return Repeats(found, row, start)
+
     def covered(self, starts: np.ndarray) -> np.ndarray:
         """For each symbol whether one of the windows covers it."""
         n, w = len(self.codes), self.kind.window
@@ -215,18 +302,13 @@ class Block:
         return np.cumsum(edge[:-1]) > 0
 
 
-def _rows(**columns) -> pa.Table:
-    kinds = {"block": pa.int64(), "part": pa.int64(), "phase": pa.int32(), "payload": pa.binary()}
-    return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
-
-
-def _join_arrays(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one or more kinds, each after its length in bytes."""
     out = b"".join(np.int64(a.nbytes).tobytes() + np.ascontiguousarray(a).tobytes() for a in arrays)
     return pa.compress(out, codec="zstd", asbytes=True) + np.int64(len(out)).tobytes()
 
 
-def _split_arrays(data: bytes, *kinds) -> list[np.ndarray]:
+def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
     raw = pa.decompress(data[:-8], int(np.frombuffer(data[-8:], np.int64)[0]), codec="zstd", asbytes=True)
     out, at = [], 0
     for kind in kinds:
@@ -236,112 +318,130 @@ def _split_arrays(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def judge_phrases(table: pa.Table) -> pa.Table:
-    """Step 1 at an index part: the state of every phrase of every block."""
-    blocks = table.column("block").to_numpy()
-    order = np.argsort(blocks, kind="stable")
-    payload = table.column("payload")
-    got = [_split_arrays(payload[int(i)].as_py(), np.uint64, np.uint64) for i in order]
-    sizes = np.array([len(a) for a, _ in got])
-    anchor, whole = np.concatenate([a for a, _ in got]), np.concatenate([w for _, w in got])
-    by = np.lexsort((whole, anchor))  # stable: blocks stay in order
-    a, w = anchor[by], whole[by]
-    same_a = np.zeros(len(by), bool)
-    same_a[1:] = a[1:] == a[:-1]
-    first = np.ones(len(by), bool)
-    first[1:] = ~same_a[1:] | (w[1:] != w[:-1])
-    group = np.cumsum(~same_a) - 1
-    several = np.bincount(group, weights=first)[group] > 1
-    state = np.empty(len(by), np.uint8)
-    state[by] = np.where(first, np.where(several, 2, 0), 1)
-    ends = np.cumsum(sizes)
-    return _rows(block=blocks[order], part=table.column("part").to_numpy()[order], phase=np.ones(len(order), np.int32), payload=[_bits(state[e - s : e]) for s, e in zip(sizes, ends)])
-
-
-def judge_windows(kind: Kind) -> Callable[[pa.Table], pa.Table]:
-    """Step 2 at an index part: bits of the windows of the phrases sent."""
-    symbol = kind.raw(np.zeros(0, np.uint8), np.zeros(0, np.uint64)).dtype
+def _hits(data: bytes, lo: int, hi: int, hit: np.ndarray, row: np.ndarray, start: np.ndarray) -> None:
+    """Unpack the answers about entries lo to hi."""
+    bits, rows, starts = _unpack(data, np.uint8, np.int64, np.uint32)
+    these = lo + np.flatnonzero(np.unpackbits(bits)[: hi - lo])
+    hit[these], row[these], start[these] = True, rows, starts
+
+
+_ROWS = (np.uint32, np.uint8, np.int64, np.int64, np.uint32)
+
+
+def _order(blocks: np.ndarray, got: list[list[np.ndarray]], starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all entries, whose documents are in the last arrays of each payload: place in the corpus as one number, and row."""
+    index, valid, ids, hashes = (np.concatenate([g[starts + 1 + i] for g in got]) for i in range(4))
+    sizes = np.array([len(g[starts + 1]) for g in got])
+    block = np.repeat(blocks, sizes)
+    by = np.lexsort((index, block, hashes, ids, valid))
+    rank = np.empty(len(by), np.uint64)
+    rank[by] = np.arange(len(by), dtype=np.uint64)
+    ref = np.concatenate([g[starts + 5].astype(np.int64) + base for g, base in zip(got, np.cumsum(sizes) - sizes)])
+    return (rank[ref] << np.uint64(32)) | np.concatenate([g[starts] for g in got]).astype(np.uint64), (block << 24 | index.astype(np.int64))[ref]
+
+
+def judge_first(blocks: np.ndarray, payloads: list[bytes]) -> list[bytes]:
+    """Of each entry of phrases or windows: whether the same fingerprints stand at an earlier place, and where they are first."""
+    got = [_unpack(x, np.uint64, np.uint64, np.uint32, *_ROWS) for x in payloads]
+    sizes = np.array([len(g[0]) for g in got])
+    a, b = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+    place, row = _order(blocks, got, 2)
+    by = np.lexsort((place, b, a))
+    new = _heads(a[by], b[by])
+    first = np.empty(len(by), np.int64)
+    first[by] = by[new][np.cumsum(new) - 1]
+    later = np.ones(len(by), bool)
+    later[by[new]] = False
+    start = (place & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out = []
+    for lo, hi in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes)):
+        source = first[lo:hi][later[lo:hi]]
+        out.append(_pack(np.packbits(later[lo:hi]), row[source], start[source]))
+    return out
 
-    def judge(table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_numpy()
-        order = np.argsort(blocks, kind="stable")
-        payload = table.column("payload")
-        got = [_split_arrays(payload[int(i)].as_py(), np.uint64, np.uint32, np.uint16, np.uint16, symbol) for i in order]
+
+def judge_anchors(hot: int) -> Callable:
+    def judge(blocks: np.ndarray, payloads: list[bytes]) -> list[bytes]:
+        """Of each entry 0 if no other phrase has the anchor, 2 if more than `hot` may have it, else 1."""
+        got = [_unpack(x, np.uint64, np.uint64, np.uint64, np.uint32) for x in payloads]
+        anchor, whole, check = (np.concatenate([g[i] for g in got]) for i in range(3))
+        n = np.concatenate([g[3] for g in got]).astype(np.int64)
+        by = np.lexsort((check, whole, anchor))
+        group = np.cumsum(_heads(anchor[by])) - 1
+        kinds = np.bincount(group, weights=_heads(anchor[by], whole[by], check[by])) if len(by) else np.zeros(0)
+        total, most = np.bincount(group, weights=n[by]), np.zeros(len(kinds), np.int64)
+        np.maximum.at(most, group, n[by])
+        state = np.empty(len(by), np.uint8)
+        state[by] = np.where((kinds > 1) | (most > 1), np.where(total > hot, 2, 1), 0)[group]
         sizes = np.array([len(g[0]) for g in got])
-        anchor, place, at, length, symbols = (np.concatenate([g[i] for g in got]) for i in range(5))
-        starts = np.cumsum(length.astype(np.int64)) - length
-        place_order = np.lexsort((place, np.repeat(np.arange(len(got)), sizes)))
-        lengths = length[place_order].astype(np.int64)
-        bounds = np.concatenate([[0], np.cumsum(lengths)])
-        hit = kind.resolve(Contexts(symbols[gather(starts[place_order], lengths)], bounds, anchor[place_order], at[place_order].astype(np.int64), kind.window))
-        # Back to the order in which phrases were sent.
-        n_windows = length.astype(np.int64) - kind.window + 1
-        ends_by_place = np.cumsum(n_windows[place_order])
-        begin = np.empty(len(anchor), np.int64)
-        begin[place_order] = ends_by_place - n_windows[place_order]
-        out, base = [], 0
-        for s in sizes:
-            out.append(np.packbits(hit[gather(begin[base : base + s], n_windows[base : base + s])]).tobytes())
-            base += s
-        return _rows(block=blocks[order], part=table.column("part").to_numpy()[order], phase=np.full(len(order), 2, np.int32), payload=out)
+        return [state[e - s : e].tobytes() for s, e in zip(sizes, np.cumsum(sizes))]
 
     return judge
 
 
-def _answers(table: pa.Table) -> tuple[dict[int, bytes], dict[int, bytes]]:
-    found: tuple[dict, dict] = ({}, {})
-    for part, phase, payload in zip(table.column("part").to_pylist(), table.column("phase").to_pylist(), table.column("payload")):
-        found[phase - 1][part] = payload.as_py()
-    return found
+def judge_symbols(kind: Kind) -> Callable:
+    def judge(blocks: np.ndarray, payloads: list[bytes]) -> list[bytes]:
+        """Bits of the windows of the phrases sent."""
+        got = [_unpack(x, np.uint8, np.uint16, np.uint32, *_ROWS) for x in payloads]
+        sizes = np.array([len(g[1]) for g in got])
+        symbols, length = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64)
+        by = np.argsort(_order(blocks, got, 2)[0], kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(length[by])])
+        hit = kind.resolve(Contexts(symbols[gather((np.cumsum(length) - length)[by], length[by])], bounds, kind.window))
+        # Back to the order in which phrases were sent.
+        n = length - kind.window + 1
+        begin = np.empty(len(n), np.int64)
+        begin[by] = np.cumsum(n[by]) - n[by]
+        return [np.packbits(hit[gather(begin[e - s : e], n[e - s : e])]).tobytes() for s, e in zip(sizes, np.cumsum(sizes))]
 
+    return judge
 
-def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Block, np.ndarray], dict[str, pa.Array]], schema: str, extra: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 3 << 20, part_bytes: int = 24 << 20) -> DataFrame:
-    """finish(block, starts) of every block, as columns of the given schema; starts tells which windows start earlier.
+
+def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Block, Repeats], dict[str, pa.Array]], schema: str, extra: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 3 << 20, part_bytes: int = 24 << 20, hot: int = 100_000) -> DataFrame:
+    """finish(block, repeats) of every block, as columns of the given schema.
 
     extra: columns of docs that come along, whatever they hold.  block_bytes: text held by a task at once.  part_bytes:
     text whose phrases an index part owns; the number of parts, a power of two, follows the input, so what a task holds
-    does not grow with it.
+    does not grow with it.  hot: phrases of one anchor that may meet in one part.
     """
-    cuts = splitters(docs, id_col, text_col, block_bytes)
-    n_parts = 1 << int(np.ceil(np.log2(max(1, cuts.blocks * block_bytes / part_bytes))))
-    kinds = "block long, part long, phase int, payload binary"
-    blocks = in_blocks(docs, id_col, text_col, cuts, extra or [])
-    carried = [f for f in blocks.schema.fields if f.name not in ("block", "text")]
-    bare = blocks.select("block", "doc", "text")
-
-    def send_phrases(table: pa.Table) -> pa.Table:
-        b = Block(table, kind, n_parts)
-        d, p = b.distinct, b.phrases
-        parts = np.flatnonzero(np.diff(d.parts))
-        cut = [d.one[d.parts[i] : d.parts[i + 1]] for i in parts]
-        return _rows(block=np.full(len(parts), table.column("block")[0].as_py(), np.int64), part=parts, phase=np.zeros(len(parts), np.int32), payload=[_join_arrays(p.anchor[x], p.whole[x]) for x in cut])
-
-    def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+    blocks, n_blocks = in_blocks(docs, id_col, text_col, extra or [], block_bytes)
+    n_parts = 1 << int(np.ceil(np.log2(max(1, n_blocks * block_bytes / part_bytes))))
+    message = "block long, part long, phase int, payload binary"
+    kinds = {"block": pa.int64(), "part": pa.int64(), "phase": pa.int32(), "payload": pa.binary()}
+    carried = [f for f in blocks.schema.fields if f.name not in ("block", "hash", "text")]
+    bare = blocks.select("block", "doc", "hash", "text")
+    judges = {ANCHORS: judge_anchors(hot), PHRASES: judge_first, WINDOWS: judge_first, SYMBOLS: judge_symbols(kind)}
+
+    def rows(block, sent: list[tuple[int, int, bytes]]) -> pa.Table:
+        part, phase, payload = ([x[i] for x in sent] for i in range(3))
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in (("block", [block] * len(sent)), ("part", part), ("phase", phase), ("payload", payload))})
+
+    def send_index(table: pa.Table) -> pa.Table:
+        return rows(table.column("block")[0].as_py(), Block(table, kind, n_parts).send_index())
+
+    def judge(table: pa.Table) -> pa.Table:
+        numbers, payload = table.column("block").to_numpy(), table.column("payload")
+        phase = table.column("phase")[0].as_py()
+        return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array(judges[phase](numbers, [x.as_py() for x in payload]), pa.binary()))
+
+    def send_asked(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
-            return _rows(block=[], part=[], phase=[], payload=[])
+            return rows(0, [])
         b = Block(left, kind, n_parts)
-        p = b.phrases
-        asks, bounds = b.open(b.states(_answers(right)[0]))
-        raw = kind.raw(b.data, b.codes)
-        parts = np.flatnonzero(np.diff(bounds))
-        payload = []
-        for i in parts:
-            x = b.distinct.one[asks[bounds[i] : bounds[i + 1]]]
-            length = p.last[x] - p.first[x] + kind.window
-            payload.append(_join_arrays(p.anchor[x], p.first[x].astype(np.uint32), (p.place[x] - p.first[x]).astype(np.uint16), length.astype(np.uint16), raw[gather(p.first[x], length)]))
-        return _rows(block=np.full(len(parts), left.column("block")[0].as_py(), np.int64), part=parts, phase=np.zeros(len(parts), np.int32), payload=payload)
+        b.read(Answers.of(right))
+        return rows(b.number, b.send_asked())
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left, kind, n_parts)
-        states, windows = _answers(right)
-        return pa.table({f: b.table.column(f) for f in names} | finish(b, b.repeated(b.states(states), windows)))
+        b, answers = Block(left, kind, n_parts), Answers.of(right)
+        b.read(answers)
+        made = {f: b.table.column(f) for f in names} | finish(b, b.repeats(answers))
+        return pa.table({f: made[f] for f in out.names})
 
     names = [f.name for f in carried]
-
-    sent = bare.groupBy("block").applyInArrow(send_phrases, kinds)
-    first = stage(sent.groupBy("part").applyInArrow(judge_phrases, kinds), "phrases")
-    asked = bare.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_windows, kinds)
-    second = stage(asked.groupBy("part").applyInArrow(judge_windows(kind), kinds), "windows")
+    sent = bare.groupBy("block").applyInArrow(send_index, message)
+    first = stage(sent.groupBy("phase", "part").applyInArrow(judge, message), "phrases")
+    asked = bare.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_asked, message)
+    second = stage(asked.groupBy("phase", "part").applyInArrow(judge, message), "windows")
     out = T.StructType([*carried, *T.StructType.fromDDL(schema).fields])
     ended = blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(end, out)
     return ended.toDF(id_col, *(extra or []), *[f.name for f in out.fields[len(carried) :]])

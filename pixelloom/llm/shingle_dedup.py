@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, Rolling, batches, gather, release, stage, text_buffer, word_codes, word_spans
+from .common import LOWER, SPACED, batches, gather, mix, pair, release, stage, text_buffer, word_codes, word_spans
 from .components import components
 
 #: Similarity as a fraction, so that all tests are made in integers.
@@ -35,7 +35,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[n
     n_words = np.diff(docs)
     count = np.maximum(n_words - shingle + 1, 1)
     first = gather(docs[:-1], count)
-    h = Rolling(word_codes(low, s, e)).of(first, first + np.repeat(np.minimum(n_words, shingle), count))
+    codes, size = word_codes(low, s, e), np.repeat(np.minimum(n_words, shingle), count)
+    h = size.astype(np.uint64)
+    for k in range(shingle):
+        some = slice(None) if size.min(initial=shingle) > k else np.flatnonzero(size > k)
+        h[some] = pair(h[some], codes[first[some] + k])
+    h = mix(h)
     owner = np.repeat(np.arange(len(count)), count)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]

@@ -1,11 +1,12 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The corpus itself, cut in blocks of documents, is the reference.  Blocks index their phrases (see repeats), the index
-parts keep the first of each, and a document is factored greedily against all of it: at a word where a window of
-`window` words starts in the reference, the factor runs on for as long as the reference does; else the word is a
-literal.  A factor of at least `window` words is a duplicate span.  The windows that straddle a factor's boundary are
-looked up as well, so a repeat that greedy factoring would cut in two is still found: the result is exactly the words
-covered by windows that start earlier in the corpus.
+The corpus itself, cut in blocks of documents, is the reference.  All blocks are indexed by content (see repeats): the
+index tells, for every window of `window` words, the first place in the corpus where its words start.  A document is
+then factored greedily against that: at a word where a window has an earlier source, the factor runs on for as long as
+the source does, over as many documents' worth of phrases as it takes; else the word is a literal.  A factor of at least
+`window` words is a duplicate span.  At a factor's boundary the windows that straddle it have sources of their own and
+open the next factor, which overlaps the one before, so a repeat that greedy factoring would cut in two is still found:
+the spans are exactly the words covered by windows that start earlier in the corpus.
 """
 
 from __future__ import annotations
@@ -14,45 +15,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACED, Rolling, gather, strings, word_codes, word_spans
-from .repeats import Block, Contexts, Kind, repeated_windows
+from .common import SPACED, gather, strings, word_codes, word_spans
+from .repeats import Block, Kind, Repeats, repeated_windows
 
 
-def factors(source: np.ndarray, phrase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors as first and last window; source[i] is the first window with the words of window i, i if none is earlier.
+def factors(r: Repeats, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each greedy factor of the documents, which begin at docs (n + 1 offsets).
 
-    A factor runs on while the next window of the same phrase has the next source.
+    A factor runs on while the next window's source is the next place of the same document.
     """
-    found = source != np.arange(len(source))
-    runs_on = np.zeros(len(source), bool)
-    runs_on[1:] = found[1:] & found[:-1] & (source[1:] == source[:-1] + 1) & (phrase[1:] == phrase[:-1]) & (phrase[source[1:]] == phrase[source[:-1]])
-    first = np.flatnonzero(found & ~runs_on)
-    ends = found.copy()
+    begins = np.zeros(len(r.starts) + 1, bool)
+    begins[docs] = True
+    runs_on = np.zeros(len(r.starts), bool)
+    runs_on[1:] = r.starts[1:] & r.starts[:-1] & (r.row[1:] == r.row[:-1]) & (r.start[1:] == r.start[:-1] + 1)
+    runs_on &= ~begins[:-1]
+    ends = r.starts.copy()
     ends[:-1] &= ~runs_on[1:]
-    return first, np.flatnonzero(ends)
-
-
-def factor_phrases(c: Contexts) -> np.ndarray:
-    """Windows of the phrases that lie in a factor, each phrase being parsed against all the phrases before it."""
-    n = np.diff(c.bounds) - c.window + 1
-    starts = gather(c.bounds[:-1], n)
-    if not len(starts):
-        return np.zeros(0, bool)
-    phrase = np.repeat(np.arange(len(n)), n)
-    seed = Rolling(c.symbols).of(starts, starts + c.window)
-    by = np.argsort(seed, kind="stable")
-    new = np.ones(len(by), bool)
-    new[1:] = seed[by][1:] != seed[by][:-1]
-    source = np.empty(len(by), np.int64)
-    source[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-    first, last = factors(source, phrase)
-    # A factor counts if its words are the reference's, one by one, not just by fingerprint.
-    length = starts[last] - starts[first] + c.window
-    same = c.symbols[gather(starts[first], length)] == c.symbols[gather(starts[source[first]], length)]
-    sound = np.logical_and.reduceat(same, np.cumsum(length) - length) if len(length) else np.zeros(0, bool)
-    hit = np.zeros(len(starts), bool)
-    hit[gather(first[sound], (last - first + 1)[sound])] = True
-    return hit
+    return np.flatnonzero(r.starts & ~runs_on), np.flatnonzero(ends)
+
+
+def factored(block: Block, r: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word lies in a factor, and the number of factors of each document."""
+    first, last = factors(r, block.docs)
+    edge = np.zeros(len(block.codes) + 1, np.int32)
+    np.add.at(edge, first, 1)
+    np.subtract.at(edge, last + block.kind.window, 1)
+    return np.cumsum(edge[:-1]) > 0, np.diff(np.searchsorted(first, block.docs))
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +87,8 @@ def _layout(block: Block, gone: np.ndarray) -> pa.Array:
     return strings(block.data[~cut], block.offsets - np.concatenate([[0], np.cumsum(cut)])[block.offsets])
 
 
-def _finish(block: Block, starts: np.ndarray) -> dict[str, pa.Array]:
-    gone = block.covered(starts)
+def _finish(block: Block, r: Repeats) -> dict[str, pa.Array]:
+    gone, n_factors = factored(block, r)
     data = np.append(block.data, np.uint8(32))
     s, e, docs = word_spans(block.data, block.offsets, SPACED)
     keep = np.flatnonzero(~gone)
@@ -114,20 +102,23 @@ def _finish(block: Block, starts: np.ndarray) -> dict[str, pa.Array]:
     drop = at[1:][np.diff(kept_at) > 0] - 1
     out = np.delete(out, drop)
     at = at - np.concatenate([[0], np.cumsum(np.diff(kept_at) > 0)])
-    return {"n_words": pa.array(np.diff(docs), pa.int64()), "n_removed": pa.array(per_document(gone, docs), pa.int64()), "kept": strings(out, at), "spans": span_lists(gone, docs)}
+    return {"n_words": pa.array(np.diff(docs), pa.int64()), "n_removed": pa.array(per_document(gone, docs), pa.int64()), "kept": strings(out, at), "spans": span_lists(gone, docs), "n_factors": pa.array(n_factors, pa.int64())}
 
 
-def _finish_layout(block: Block, starts: np.ndarray) -> dict[str, pa.Array]:
-    return _finish(block, starts) | {"kept": _layout(block, block.covered(starts))}
+def _finish_layout(block: Block, r: Repeats) -> dict[str, pa.Array]:
+    return _finish(block, r) | {"kept": _layout(block, factored(block, r)[0])}
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, layout: bool = False, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None, **sizes: int) -> DataFrame:
-    """(id, extra columns, n_words, n_removed, kept, spans) of each document.
+def substring_dedup(docs: DataFrame, window: int = 20, layout: bool = False, with_factors: bool = False, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None, **sizes: int) -> DataFrame:
+    """(id, extra columns, n_words, n_removed, kept, spans[, n_factors]) of each document.
 
     Words are maximal runs of bytes other than space and \\x09-\\x0D.  kept: the words outside duplicate spans, joined by
-    one space, or with layout=True the text itself without the others; spans: the duplicate spans as word numbers from 0, ends exclusive.  Earlier means a smaller id, or the
-    same document and an earlier start; rows that share an id have a fixed order that their texts decide, and one of
-    wholly equal rows keeps its words.  Null or empty text: no words, kept is empty.  Null ids come before all others.
+    one space, or with layout=True the text itself without the others; spans: the duplicate spans as word numbers from 0,
+    ends exclusive; n_factors: the factors that they come from.  Earlier means a smaller id, or the same document and an
+    earlier start; rows that share an id have a fixed order that their texts decide, and one of wholly equal rows keeps
+    its words.  Null or empty text: no words, kept is empty.  Null ids come before all others; ids are cast to long.
+    Words are compared by 64-bit and windows by 128-bit fingerprints, which mix after every step.
     """
-    kind = Kind(window, max(1, min(8, window // 2)), _words, lambda data, codes: codes, factor_phrases)
-    return repeated_windows(docs, kind, _finish_layout if layout else _finish, "n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>", extra, id_col, text_col, **sizes)
+    kind = Kind(window, max(1, min(8, window // 2)), _words)
+    schema = "n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>" + (", n_factors long" if with_factors else "")
+    return repeated_windows(docs, kind, _finish_layout if layout else _finish, schema, extra, id_col, text_col, **sizes)

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE_CODE, gather, strings
-from .repeats import Block, Contexts, Kind, repeated_windows
+from .common import eight, gather, strings
+from .repeats import Block, Contexts, Kind, Repeats, repeated_windows
 from .substring_dedup import per_document, span_lists
 
 PERIOD = 32
@@ -125,8 +125,12 @@ def _sort_bucket(p: np.ndarray, lead: np.ndarray, rank: np.ndarray, window: int)
     return hit
 
 
-def _finish(block: Block, starts: np.ndarray) -> dict[str, pa.Array]:
-    gone = block.covered(starts)
+def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return eight(data)[: len(data)].copy(), offsets
+
+
+def _finish(block: Block, r: Repeats) -> dict[str, pa.Array]:
+    gone = block.covered(r.starts)
     spans = span_lists(gone, block.offsets)
     at = block.offsets - np.concatenate([[0], np.cumsum(gone)])[block.offsets]
     return {
@@ -146,5 +150,5 @@ def suffix_dedup(docs: DataFrame, window: int = 100, id_col: str = "doc_id", tex
     """
     if window < 2 * PERIOD:
         raise ValueError(f"window must be {2 * PERIOD} or more")
-    kind = Kind(window, 32, lambda data, offsets: (BYTE_CODE[data], offsets), lambda data, codes: data, sort_buckets)
+    kind = Kind(window, 32, _codes, 8, sort_buckets)
     return repeated_windows(docs, kind, _finish, "n_bytes long, n_removed long, kept binary, spans array<struct<first:long,last:long>>", extra, id_col, text_col, **sizes)

@@ -114,19 +114,104 @@ def test_very_long_blocks_have_the_same_windows():
 @pytest.mark.parametrize("key", [None, 5])
 def test_rows_that_share_an_id_spread_over_blocks(spark, key):
     """A third of all rows without an id, or with one: many blocks, each text kept once."""
-    from pixelloom.llm.common import splitters
+    from pixelloom.llm.common import in_blocks
 
     text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
     rows = [(key, text(i % 30)) for i in range(60)] + [(100 + i, text(i)) for i in range(20, 100)] + [(1, text(500))]
     docs = frame(spark, rows)
-    cuts = splitters(docs, "doc_id", "text", 1500)
-    assert max(cuts.nulls, *cuts.dealt) > 5
+    blocks, n = in_blocks(docs, "doc_id", "text", [], 1500)
+    assert n > 10 and blocks.filter(F.col("doc").eqNullSafe(F.lit(key))).select("block").distinct().count() > 5
     out = substring_dedup(docs, block_bytes=1500, part_bytes=3000).collect()
     assert len(out) == len(rows) and sum(r.n_words - r.n_removed for r in out) == 40 * 101
     assert sum(r.n_removed for r in out if r.doc_id == key) == 40 * 30 and {r.n_removed for r in out} == {0, 40}
     assert sum(r.n_removed > 0 for r in out if r.doc_id is not None and r.doc_id > 99) == 10
 
 
+def test_wholly_equal_rows_keep_one(spark):
+    docs = frame(spark, [(3, " ".join(f"w{j}" for j in range(50)))] * 40).repartition(7)
+    for out in (substring_dedup(docs, block_bytes=600, part_bytes=3000), suffix_dedup(docs, block_bytes=600, part_bytes=3000)):
+        assert sorted(r.n_removed > 0 for r in out.collect()) == [False] + [True] * 39
+
+
+def thue_morse(k, flip=False):
+    out = [int(flip)]
+    for _ in range(k):
+        out += [1 - x for x in out]
+    return "".join("ab"[x] for x in out)
+
+
+def test_words_of_two_letters_have_fingerprints_of_their_own(spark):
+    """Thue-Morse words of 1,024 letters and more are equal under any polynomial modulo 2^64."""
+    import numpy as np
+
+    from pixelloom.llm.common import eight, grams, word_codes
+
+    for k in (6, 10, 11, 12):
+        words = [thue_morse(k), thue_morse(k, True)]
+        data = np.frombuffer("".join(words).encode(), np.uint8)
+        a, b = word_codes(data, np.array([0, 1 << k]), np.array([1 << k, 2 << k]))
+        assert a != b
+        g = grams(eight(data)[: len(data)].copy(), 1 << k, 8)
+        assert g[0] != g[1 << k]
+    words = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([*words, thue_morse(11)])), (2, " ".join([*words, thue_morse(11, True)])), (3, " ".join([*words, thue_morse(11)]))]
+    assert {r.doc_id: r.n_removed for r in substring_dedup(frame(spark, rows)).collect()} == {1: 0, 2: 0, 3: 20}
+    rows = [(1, "x" * 60 + thue_morse(11)), (2, "x" * 60 + thue_morse(11, True))]
+    want = brute([(i, t.encode()) for i, t in rows], 100)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup(frame(spark, rows)).collect()} == {i: sum(g) for i, (_, g) in want.items()}
+
+
+def boilerplate(n, line, seed=4):
+    r = random.Random(seed)
+    word = lambda: f"w{r.randint(0, 99999)}"
+    return [(i, " ".join([*(word() for _ in range(r.randint(12, 30))), *line, *(word() for _ in range(r.randint(12, 30)))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [100_000, 20])
+@pytest.mark.parametrize("size", [13, 20, 26])
+def test_a_line_in_every_document(spark, size, hot):
+    """Its anchors have a phrase of their own in each document: beyond `hot`, windows are dealt by themselves."""
+    rows = boilerplate(150, [f"line{j}" for j in range(size)])
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 150, 9)]
+    want = brute([(i, re.findall(WORD, t)) for i, t in rows], 20)
+    got = {r.doc_id: r.n_removed for r in substring_dedup(frame(spark, rows), block_bytes=2000, part_bytes=4000, hot=hot).collect()}
+    assert got == {i: sum(g) for i, (_, g) in want.items()}
+    want = brute([(i, t.encode()) for i, t in rows], 100)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup(frame(spark, rows), block_bytes=2000, part_bytes=4000, hot=hot).collect()}
+    assert got == {i: sum(g) for i, (_, g) in want.items()}
+
+
+def test_no_index_part_gets_a_line_of_every_document():
+    """An anchor costs a block one entry, and its phrases and windows spread over the parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pixelloom.llm.repeats import ANCHORS, Answers, Block, Kind, _unpack
+    from pixelloom.llm.substring_dedup import _words
+
+    rows = boilerplate(2000, [f"line{j}" for j in range(15)])
+    table = pa.table({"block": [1] * len(rows), "doc": [i for i, _ in rows], "hash": [0] * len(rows), "text": [t for _, t in rows]})
+    b = Block(table, Kind(20, 8, _words), 64)
+    sent = b.send_index()
+    sizes = {ANCHORS: np.zeros(64), 1: np.zeros(64)}
+    for part, phase, payload in sent:
+        sizes[phase][part] = len(_unpack(payload, np.uint64)[0])
+    assert all(s.max() < 1.5 * s.mean() for s in sizes.values())
+    hot = {i: (np.ones(n, np.uint8) * 2).tobytes() for i, n in enumerate(np.diff(b.anchor_parts))}
+    b.read(Answers({}, hot, {}, {}))
+    _, _, _, parts = b.windows()
+    assert np.diff(parts).max() < 1.5 * np.diff(parts).mean() and parts[-1] > 20_000
+
+
+def test_factors_run_across_phrases(spark):
+    """A passage of 400 words is one factor, whatever phrases it is cut to; a document that joins two passages has two."""
+    r = random.Random(2)
+    a, b = [[f"w{r.randint(0, 99999)}" for _ in range(400)] for _ in range(2)]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[50:300])), (4, " ".join(a[:100] + b[200:260])), (5, "nothing here")]
+    got = {x.doc_id: (x.n_factors, x.n_removed) for x in substring_dedup(frame(spark, rows), with_factors=True, block_bytes=1500, part_bytes=3000).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (1, 250), 4: (2, 160), 5: (0, 0)}
+
+
 def simhash(text, k=3):
     w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
