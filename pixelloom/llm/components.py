@@ -23,16 +23,16 @@ def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (u, v): root is the least node that can be reached.
 
     Each round puts every node's larger neighbours under its least one, then every node under its least smaller one.
     Edges never grow in number, rounds are few (their number grows as the logarithm of the longest path at worst
-    squared), and no task gets a whole component: stars are made by a partial minimum and a join that AQE can split.
+    squared; they go on until nothing changes), and no task gets a whole component: stars are made by a partial minimum and a join that AQE can split.
     """
     e = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or now[0] == 0:
             break

@@ -5,8 +5,8 @@ document.  Each window chooses one anchor, the K-gram of least fingerprint in it
 at the same place.  Consecutive starts with one anchor form a *phrase*: the symbols of all their windows.  Phrases tile
 the windows, about one phrase for (W - K + 2) / 2 symbols.  Blocks of documents ask an index that is dealt by content:
 
-1. Every block sends each distinct phrase once, by a 128-bit fingerprint and the place of its first copy, to the index part that owns the
-   fingerprint, and each distinct anchor once, with the number of its phrases, to the part that owns the anchor.  The
+1. Every block sends each distinct phrase once, by a 96-bit fingerprint and the place of its first copy, to the index part that
+   owns the fingerprint, and each distinct anchor once, with the number of its phrases, to the part that owns the anchor.  The
    first part answers where the phrase occurs first, the second whether other phrases have the anchor, and whether so
    many have it that it is *hot*.
 2. Phrases that are the first of their kind and share an anchor may hold windows of other phrases.  Each of their
@@ -15,7 +15,7 @@ the windows, about one phrase for (W - K + 2) / 2 symbols.  Blocks of documents
    copy of its phrase, so this is complete.
 3. Every block adds up the answers and its own repeats; each repeated window has the place where it starts first.
 
-First means least in (id, hash of the text, block, row of the block, start), null ids before all others, so no order of blocks is needed.
+First means least in (id, block, row of the block, start), null ids before all others; blocks need no order by id.
 A block sends an entry for a phrase, a window or an anchor, however often it holds it, so an index part gets one entry a
 block of even the commonest passage, and of a line that stands in every document, each time in another context, one
 entry of its anchor and the fingerprints of its windows, which are dealt by themselves.  Nothing is collected; no pairs are made.
@@ -79,19 +79,19 @@ class Phrases:
 
 
 def window_prints(g: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two fingerprints of the windows at the given starts, from those of all K-grams."""
+    """Fingerprints, of 64 and of 32 bits, of the windows at the given starts, from those of all K-grams."""
     steps = [*range(0, window - gram, gram), window - gram]
     one = two = g[starts]
     for s in steps[1:]:
         one, two = pair(one, g[starts + s]), pair(two, g[starts + s], 2)
-    return mix(one), mix(two)
+    return mix(one), mix(two).astype(np.uint32)
 
 
 def phrases(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: int = 1 << 24, span: int = 1) -> Phrases:
     """Of the symbols of a block, whose documents begin at docs (n + 1 offsets).  most: symbols looked at at once."""
     n, none = len(codes), np.zeros(0, np.int64)
     if n < window:
-        return Phrases(none, none, none, *[none.astype(np.uint64)] * 3)
+        return Phrases(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint32))
     if n >= most:
         # Places are kept in 24 bits: longer blocks are looked at in pieces that have W - 1 symbols in common.
         return _pieces(codes, docs, window, gram, most, span)
@@ -121,7 +121,8 @@ def phrases(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: i
     # A phrase is shorter than two windows, so its first and last one hold all its symbols.
     length = (last - first).astype(np.uint64)
     (a, b), (c, d) = window_prints(g, first, window, gram), window_prints(g, last, window, gram)
-    return Phrases(first, last, at, mix(g[at] ^ np.uint64(0x5851F42D4C957F2D)), mix(pair(a, c) + length), mix(pair(b, d, 2) ^ length))
+    b, d = b.astype(np.uint64), d.astype(np.uint64)
+    return Phrases(first, last, at, mix(g[at] ^ np.uint64(0x5851F42D4C957F2D)), mix(pair(a, c) + length), mix(pair(b, d, 2) ^ length).astype(np.uint32))
 
 
 def _pieces(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: int, span: int) -> Phrases:
@@ -140,7 +141,7 @@ def _pieces(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: i
     return Phrases(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("first", "last", "place", "anchor", "whole", "check")))
 
 
-def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
+def key_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     """n + 1 bounds, by the leading bits, of sorted keys."""
     bucket = keys >> np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else np.zeros(len(keys), np.uint64)
     return np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
@@ -182,14 +183,20 @@ class Repeats:
     start: np.ndarray
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """A block's rows in the order of the corpus; wholly equal ids and texts may change places, other rows never do."""
+    table = table.combine_chunks().sort_by([("doc", "ascending"), ("hash", "ascending"), ("text", "ascending")])
+    nulls = table.column("doc").combine_chunks().null_count  # sort_by puts them last; here they come first
+    if nulls:
+        table = pa.concat_tables([table.slice(len(table) - nulls), table.slice(0, len(table) - nulls)]).combine_chunks()
+    return table
+
+
 class Block:
     """One block's documents, in order, with their distinct phrases and anchors."""
 
     def __init__(self, table: pa.Table, kind: Kind, parts: int):
-        table = table.combine_chunks().sort_by([("doc", "ascending"), ("hash", "ascending"), ("text", "ascending")])
-        nulls = table.column("doc").combine_chunks().null_count  # sort_by puts them last; here they come first
-        if nulls:
-            table = pa.concat_tables([table.slice(len(table) - nulls), table.slice(0, len(table) - nulls)]).combine_chunks()
+        table = in_order(table)
         self.table, self.kind, self.n_parts = table, kind, parts
         self.number = int(table.column("block")[0].as_py()) if len(table) else 0
         self.data, self.offsets = text_buffer(table.column("text"))
@@ -200,7 +207,7 @@ class Block:
         new = _heads(p.whole[by], p.check[by])
         self.one, self.of = by[new], np.empty(len(by), np.int64)
         self.of[by] = np.cumsum(new) - 1
-        self.phrase_parts = _bounds(p.whole[self.one], parts)
+        self.phrase_parts = key_bounds(p.whole[self.one], parts)
         # Distinct anchors of these, likewise.
         anchor = p.anchor[self.one]
         self.by_anchor = np.argsort(anchor, kind="stable")
@@ -209,15 +216,14 @@ class Block:
         self.first_phrase = self.by_anchor[new]
         self.anchor_of = np.empty(len(anchor), np.int64)
         self.anchor_of[self.by_anchor] = np.cumsum(new) - 1
-        self.anchor_parts = _bounds(self.anchors, parts)
+        self.anchor_parts = key_bounds(self.anchors, parts)
         self.doc_of = np.searchsorted(self.docs, p.first, "right") - 1
 
     def rows(self, doc: np.ndarray) -> list[np.ndarray]:
         """A table of the documents that entries refer to, and the references."""
         used, ref = np.unique(doc, return_inverse=True)
         ids = self.table.column("doc").combine_chunks().take(pa.array(used))
-        hashes = self.table.column("hash").combine_chunks().take(pa.array(used))
-        return [used.astype(np.uint32), np.asarray(ids.is_valid()).astype(np.uint8), np.asarray(ids.fill_null(0), np.int64), np.asarray(hashes.fill_null(0), np.int64), ref.ravel().astype(np.uint32)]
+        return [used.astype(np.uint32), np.asarray(ids.is_valid()).astype(np.uint8), np.asarray(ids.fill_null(0), np.int64), ref.ravel().astype(np.uint32)]
 
     def send_index(self) -> list[tuple[int, int, bytes]]:
         p, out = self.phrases, []
@@ -225,11 +231,11 @@ class Block:
         for i in np.flatnonzero(np.diff(self.anchor_parts)).tolist():
             cut = slice(self.anchor_parts[i], self.anchor_parts[i + 1])
             one = self.one[self.first_phrase[cut]]
-            out.append((i, ANCHORS, _pack(self.anchors[cut], p.whole[one], p.check[one], n[cut])))
+            out.append((i, ANCHORS, pack(self.anchors[cut], p.whole[one], n[cut])))
         for i in np.flatnonzero(np.diff(self.phrase_parts)).tolist():
             one = self.one[self.phrase_parts[i] : self.phrase_parts[i + 1]]
             doc = self.doc_of[one]
-            out.append((i, PHRASES, _pack(p.whole[one], p.check[one], (p.first[one] - self.docs[doc]).astype(np.uint32), *self.rows(doc))))
+            out.append((i, PHRASES, pack(p.whole[one], p.check[one], (p.first[one] - self.docs[doc]).astype(np.uint32), *self.rows(doc))))
         return out
 
     def read(self, answers: Answers) -> None:
@@ -244,20 +250,20 @@ class Block:
         by_symbols = (sharing == 1) if self.kind.resolve else np.zeros(len(sharing), bool)
         self.ask_symbols = self.by_anchor[by_symbols[self.by_anchor]]
         self.ask_windows = np.flatnonzero((sharing > 0) & ~by_symbols)
-        self.symbol_parts = _bounds(self.phrases.anchor[self.one[self.ask_symbols]], self.n_parts)
+        self.symbol_parts = key_bounds(self.phrases.anchor[self.one[self.ask_symbols]], self.n_parts)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the windows to be looked up, in the order of their fingerprints, two of those, and bounds by part."""
         p, one = self.phrases, np.sort(self.one[self.ask_windows])
         starts = gather(p.first[one], p.last[one] - p.first[one] + 1)
-        prints = [np.zeros(0, np.uint64)] * 2
+        prints = [np.zeros(0, np.uint64), np.zeros(0, np.uint32)]
         most = 1 << 23
         for lo in range(0, len(self.codes) if len(starts) else 0, most):
             these = starts[np.searchsorted(starts, lo) : np.searchsorted(starts, lo + most)] - lo
             g = grams(self.codes[lo : lo + most + self.kind.window + self.kind.span], self.kind.gram, self.kind.span)
             prints = [np.concatenate(x) for x in zip(prints, window_prints(g, these, self.kind.window, self.kind.gram))]
         by = np.lexsort((starts, prints[1], prints[0]))
-        return starts[by], prints[0][by], prints[1][by], _bounds(prints[0][by], self.n_parts)
+        return starts[by], prints[0][by], prints[1][by], key_bounds(prints[0][by], self.n_parts)
 
     def send_asked(self) -> list[tuple[int, int, bytes]]:
         p, out = self.phrases, []
@@ -265,11 +271,11 @@ class Block:
         doc = np.searchsorted(self.docs, starts, "right") - 1
         for i in np.flatnonzero(np.diff(parts)).tolist():
             cut = slice(parts[i], parts[i + 1])
-            out.append((i, WINDOWS, _pack(a[cut], b[cut], (starts[cut] - self.docs[doc[cut]]).astype(np.uint32), *self.rows(doc[cut]))))
+            out.append((i, WINDOWS, pack(a[cut], b[cut], (starts[cut] - self.docs[doc[cut]]).astype(np.uint32), *self.rows(doc[cut]))))
         for i in np.flatnonzero(np.diff(self.symbol_parts)).tolist():
             one = self.one[self.ask_symbols[self.symbol_parts[i] : self.symbol_parts[i + 1]]]
             length, doc = p.last[one] - p.first[one] + self.kind.window, self.doc_of[one]
-            out.append((i, SYMBOLS, _pack(self.data[gather(p.first[one], length)], length.astype(np.uint16), (p.first[one] - self.docs[doc]).astype(np.uint32), *self.rows(doc))))
+            out.append((i, SYMBOLS, pack(self.data[gather(p.first[one], length)], length.astype(np.uint16), (p.first[one] - self.docs[doc]).astype(np.uint32), *self.rows(doc))))
         return out
 
     def repeats(self, answers: Answers) -> Repeats:
@@ -302,13 +308,13 @@ class Block:
         return np.cumsum(edge[:-1]) > 0
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one or more kinds, each after its length in bytes."""
     out = b"".join(np.int64(a.nbytes).tobytes() + np.ascontiguousarray(a).tobytes() for a in arrays)
     return pa.compress(out, codec="zstd", asbytes=True) + np.int64(len(out)).tobytes()
 
 
-def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
+def unpack(data: bytes, *kinds) -> list[np.ndarray]:
     raw = pa.decompress(data[:-8], int(np.frombuffer(data[-8:], np.int64)[0]), codec="zstd", asbytes=True)
     out, at = [], 0
     for kind in kinds:
@@ -320,29 +326,29 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
 
 def _hits(data: bytes, lo: int, hi: int, hit: np.ndarray, row: np.ndarray, start: np.ndarray) -> None:
     """Unpack the answers about entries lo to hi."""
-    bits, rows, starts = _unpack(data, np.uint8, np.int64, np.uint32)
+    bits, rows, starts = unpack(data, np.uint8, np.int64, np.uint32)
     these = lo + np.flatnonzero(np.unpackbits(bits)[: hi - lo])
     hit[these], row[these], start[these] = True, rows, starts
 
 
-_ROWS = (np.uint32, np.uint8, np.int64, np.int64, np.uint32)
+_ROWS = (np.uint32, np.uint8, np.int64, np.uint32)
 
 
 def _order(blocks: np.ndarray, got: list[list[np.ndarray]], starts: int) -> tuple[np.ndarray, np.ndarray]:
     """Of all entries, whose documents are in the last arrays of each payload: place in the corpus as one number, and row."""
-    index, valid, ids, hashes = (np.concatenate([g[starts + 1 + i] for g in got]) for i in range(4))
+    index, valid, ids = (np.concatenate([g[starts + 1 + i] for g in got]) for i in range(3))
     sizes = np.array([len(g[starts + 1]) for g in got])
     block = np.repeat(blocks, sizes)
-    by = np.lexsort((index, block, hashes, ids, valid))
+    by = np.lexsort((index, block, ids, valid))
     rank = np.empty(len(by), np.uint64)
     rank[by] = np.arange(len(by), dtype=np.uint64)
-    ref = np.concatenate([g[starts + 5].astype(np.int64) + base for g, base in zip(got, np.cumsum(sizes) - sizes)])
+    ref = np.concatenate([g[starts + 4].astype(np.int64) + base for g, base in zip(got, np.cumsum(sizes) - sizes)])
     return (rank[ref] << np.uint64(32)) | np.concatenate([g[starts] for g in got]).astype(np.uint64), (block << 24 | index.astype(np.int64))[ref]
 
 
 def judge_first(blocks: np.ndarray, payloads: list[bytes]) -> list[bytes]:
     """Of each entry of phrases or windows: whether the same fingerprints stand at an earlier place, and where they are first."""
-    got = [_unpack(x, np.uint64, np.uint64, np.uint32, *_ROWS) for x in payloads]
+    got = [unpack(x, np.uint64, np.uint32, np.uint32, *_ROWS) for x in payloads]
     sizes = np.array([len(g[0]) for g in got])
     a, b = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
     place, row = _order(blocks, got, 2)
@@ -356,19 +362,19 @@ def judge_first(blocks: np.ndarray, payloads: list[bytes]) -> list[bytes]:
     out = []
     for lo, hi in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes)):
         source = first[lo:hi][later[lo:hi]]
-        out.append(_pack(np.packbits(later[lo:hi]), row[source], start[source]))
+        out.append(pack(np.packbits(later[lo:hi]), row[source], start[source]))
     return out
 
 
 def judge_anchors(hot: int) -> Callable:
     def judge(blocks: np.ndarray, payloads: list[bytes]) -> list[bytes]:
         """Of each entry 0 if no other phrase has the anchor, 2 if more than `hot` may have it, else 1."""
-        got = [_unpack(x, np.uint64, np.uint64, np.uint64, np.uint32) for x in payloads]
-        anchor, whole, check = (np.concatenate([g[i] for g in got]) for i in range(3))
-        n = np.concatenate([g[3] for g in got]).astype(np.int64)
-        by = np.lexsort((check, whole, anchor))
+        got = [unpack(x, np.uint64, np.uint64, np.uint32) for x in payloads]
+        anchor, whole, n = (np.concatenate([g[i] for g in got]) for i in range(3))
+        n = n.astype(np.int64)
+        by = np.lexsort((whole, anchor))
         group = np.cumsum(_heads(anchor[by])) - 1
-        kinds = np.bincount(group, weights=_heads(anchor[by], whole[by], check[by])) if len(by) else np.zeros(0)
+        kinds = np.bincount(group, weights=_heads(anchor[by], whole[by])) if len(by) else np.zeros(0)
         total, most = np.bincount(group, weights=n[by]), np.zeros(len(kinds), np.int64)
         np.maximum.at(most, group, n[by])
         state = np.empty(len(by), np.uint8)
@@ -382,7 +388,7 @@ def judge_anchors(hot: int) -> Callable:
 def judge_symbols(kind: Kind) -> Callable:
     def judge(blocks: np.ndarray, payloads: list[bytes]) -> list[bytes]:
         """Bits of the windows of the phrases sent."""
-        got = [_unpack(x, np.uint8, np.uint16, np.uint32, *_ROWS) for x in payloads]
+        got = [unpack(x, np.uint8, np.uint16, np.uint32, *_ROWS) for x in payloads]
         sizes = np.array([len(g[1]) for g in got])
         symbols, length = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64)
         by = np.argsort(_order(blocks, got, 2)[0], kind="stable")

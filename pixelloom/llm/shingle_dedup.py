@@ -1,28 +1,39 @@
-"""Near copies by exact Jaccard similarity of word shingles, with a prefix filter that loses no pair.
+"""Near copies: SimHash links first, then every other pair of enough similarity, all held against whole sets of shingles.
+
+Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more.  SimHash
+fingerprints of the sets, linked by op7's grid, find the closest of them; but texts of that similarity differ in ten bits
+of 64 on average, which no grid over popcounts can reach, so a prefix filter that loses no pair completes them:
 
 All shingles stand in one order, the rare ones first.  Two sets of similarity t share at least t of the members of each,
-so the first that they share is among the first a - ceil(t a) + 1 of a set of a members, of both sets.  Only these
-prefixes are shuffled; pairs that meet in one are verified on the whole sets.  The order comes from a table of counts of
-fixed size: where its counts are coarse, more pairs are verified, but any order finds the same pairs.
+so the first that they share is among the first a - ceil(t a) + 1 of a set of a members, of both sets.  Blocks of
+documents ask an index, dealt by shingle, which members of their prefixes another block has too; most have none.  Only
+those that are shared become rows, pairs that meet in one are verified on the whole sets.  The order comes from a table
+of counts of fixed size: where its counts are coarse, more pairs are verified, but any order finds the same pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, SPACED, batches, gather, mix, pair, release, stage, text_buffer, word_codes, word_spans
+from .common import LOWER, SPACED, batches, gather, in_blocks, mix, pair, release, stage, text_buffer, word_codes, word_spans
 from .components import components
+from .repeats import in_order, key_bounds, pack, unpack
+from .simhash import majority, near_fingerprints
 
 #: Similarity as a fraction, so that all tests are made in integers.
 ENOUGH = (4, 5)
 #: The table of counts has 2 to this power entries.
 BITS = 20
+MESSAGE = "block long, part long, payload binary"
+#: Messages about the rows of a block go to this part.
+ROWS = -1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,37 +60,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[n
     return h[new], np.searchsorted(owner[new], np.arange(len(count) + 1))
 
 
-def _nodes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A fingerprint of each set."""
-    raw = h.tobytes()
-    return np.fromiter((xxhash.xxh64_intdigest(raw[8 * a : 8 * b], 42) for a, b in zip(at[:-1].tolist(), at[1:].tolist())), np.uint64, len(at) - 1).view(np.int64)
-
-
-def _over_sets(texts: DataFrame, schema: str, shingle: int, emit: Callable) -> DataFrame:
-    """emit(batch, h, at) gives the columns of the rows for a batch of texts, which are the last column."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def take(it):
-        for batch in batches(it):
-            columns = emit(batch, *shingle_sets(*text_buffer(batch.column(batch.num_columns - 1)), shingle))
-            table = pa.RecordBatch.from_arrays(columns, names)
-            for lo in range(0, table.num_rows, 1 << 16):
-                yield table.slice(lo, 1 << 16)
-
-    return texts.mapInArrow(take, schema)
-
-
-def with_nodes(docs: DataFrame, shingle: int, columns: list, schema: str) -> DataFrame:
-    """The given columns of docs (the text last), and the node of the text's set."""
-    return _over_sets(docs.select(*columns), f"{schema}, node long", shingle, lambda batch, h, at: [*batch.columns, pa.array(_nodes(h, at))])
-
-
 def shingle_counts(texts: DataFrame, shingle: int, bits: int) -> np.ndarray:
     """How many shingles of all texts fall on each entry of the table: 2^bits numbers reach the driver."""
 
     def count(it):
         total = np.zeros(1 << bits, np.int64)
-        for batch in batches(it):
+        for batch in batches(it, size=1 << 20):
             h, _ = shingle_sets(*text_buffer(batch.column(0)), shingle)
             total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         some = np.flatnonzero(total)
@@ -105,56 +91,173 @@ def prefixes(h: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndar
     return order[keep], owner[keep], place[keep]
 
 
-def near_nodes(texts: DataFrame, shingle: int, bits: int = BITS) -> DataFrame:
-    """(node, root) for the sets in groups of more than one: the least set that links of enough similarity reach.
-
-    Members of a prefix's list are first held against the least one alone, so that a dense group costs as many pairs as
-    members; then all pairs that these links leave apart are.
-    """
+class Shingled:
+    """A block's rows in order, with their sets; node: a fingerprint of each set; one: the first row of each node."""
+
+    def __init__(self, table: pa.Table, shingle: int):
+        self.table = in_order(table)
+        self.number = int(self.table.column("block")[0].as_py())
+        self.h, self.at = shingle_sets(*text_buffer(self.table.column("text")), shingle)
+        raw = self.h.tobytes()
+        self.node = np.fromiter((xxhash.xxh64_intdigest(raw[8 * a : 8 * b], 42) for a, b in zip(self.at[:-1].tolist(), self.at[1:].tolist())), np.uint64, len(self.at) - 1).view(np.int64)
+        self.one = np.unique(self.node, return_index=True)[1]
+
+    def prefix(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingle, row, place) of the members of the distinct sets' prefixes, in the order of shingles."""
+        some, owner, place = prefixes(self.h, self.at, counts)
+        keep = np.isin(owner, self.one)
+        some, owner, place = some[keep], owner[keep], place[keep]
+        by = np.argsort(self.h[some], kind="stable")
+        return self.h[some][by], owner[by], place[by]
+
+
+def _low(h: np.ndarray, parts: int) -> np.ndarray:
+    """The 32 bits of a shingle that follow those which tell its part."""
+    return ((h << np.uint64((parts - 1).bit_length())) >> np.uint64(32)).astype(np.uint32)
+
+
+def judge_shared(table: pa.Table) -> pa.Table:
+    """For each member of the blocks' prefixes whether another block has one of the same bits."""
+    got = [unpack(x.as_py(), np.uint32)[0] for x in table.column("payload")]
+    every = np.concatenate(got)
+    values, which, n = np.unique(every, return_inverse=True, return_counts=True)
+    shared = n[which.ravel()] > 1
+    ends = np.cumsum([len(x) for x in got])
+    bits = [np.packbits(shared[e - len(x) : e]).tobytes() for e, x in zip(ends, got)]
+    return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array(bits, pa.binary()))
+
+
+@dataclass
+class Near:
+    """blocks: the staged rows; rows: (row, node, known, id); roots: (node, root) of the groups of more than one set."""
+
+    blocks: DataFrame
+    rows: DataFrame
+    roots: DataFrame
+
+
+def near_groups(docs: DataFrame, shingle: int, id_col: str, text_col: str, extra: list[str], bits: int = BITS, block_bytes: int = 3 << 20, part_bytes: int = 24 << 20) -> Near:
+    """Members of a prefix's list are first held against the least one alone, so that a dense group costs as many pairs
+    as members; then all pairs that these links leave apart are."""
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs.select(F.col(f"`{text_col}`").cast("string")), shingle, bits))
+    blocks, n_blocks = in_blocks(docs, id_col, text_col, extra, block_bytes)
+    n_parts = 1 << int(np.ceil(np.log2(max(1, n_blocks * block_bytes / part_bytes))))
+    bare = blocks.select("block", "doc", "hash", "text")
+    kinds = {"block": pa.int64(), "part": pa.int64(), "payload": pa.binary()}
+
+    def send(table: pa.Table) -> pa.Table:
+        b = Shingled(table, shingle)
+        ids = b.table.column("doc").combine_chunks()
+        h = np.unique(b.prefix(counts.value)[0])
+        at = key_bounds(h, n_parts)
+        parts = np.flatnonzero(np.diff(at)).tolist()
+        payload = [pack(_low(h[at[i] : at[i + 1]], n_parts)) for i in parts]
+        payload.append(pack(b.node, majority(b.h, b.at), np.asarray(ids.is_valid()).astype(np.uint8), np.asarray(ids.fill_null(0), np.int64)))
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in (("block", [b.number] * len(payload)), ("part", [*parts, ROWS]), ("payload", payload))})
+
+    def unpack_rows(it):
+        for batch in it:
+            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                node, fp, known, ids = unpack(payload.as_py(), np.int64, np.uint64, np.uint8, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((number << 24) + np.arange(len(node))), pa.array(node), pa.array(fp.view(np.int64)), pa.array(known.astype(bool)), pa.array(ids)], ["row", "node", "fp", "known", "id"])
+
+    sent = stage(bare.groupBy("block").applyInArrow(send, MESSAGE), "prefixes")
+    rows = stage(sent.filter(F.col("part") == ROWS).select("block", "payload").mapInArrow(unpack_rows, "row long, node long, fp long, known boolean, id long"), "rows")
+    judged = sent.filter(F.col("part") != ROWS).groupBy("part").applyInArrow(judge_shared, MESSAGE)
+
+    def hit(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return pa.table({"h": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "size": pa.array([], pa.int32()), "place": pa.array([], pa.int32())})
+        b = Shingled(left, shingle)
+        h, owner, place = b.prefix(counts.value)
+        values, which, n = np.unique(h, return_inverse=True, return_counts=True)
+        shared, at = n > 1, key_bounds(values, n_parts)
+        for i, data in zip(right.column("part").to_pylist(), right.column("payload")):
+            shared[at[i] : at[i + 1]] |= np.unpackbits(np.frombuffer(data.as_py(), np.uint8))[: at[i + 1] - at[i]].astype(bool)
+        keep = shared[which.ravel()]
+        owner = owner[keep]
+        return pa.table({"h": h[keep].view(np.int64), "node": b.node[owner], "size": np.diff(b.at)[owner].astype(np.int32), "place": place[keep].astype(np.int32)})
+
+    records = stage(bare.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(hit, "h long, node long, size int, place int"), "shared_prefixes")
+    release(sent)
+    return Near(blocks, rows, _roots(bare, rows, records.distinct(), shingle))
+
+
+def _roots(bare: DataFrame, rows: DataFrame, records: DataFrame, shingle: int) -> DataFrame:
     num, den = ENOUGH
-    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, shingle, bits))
-
-    def emit(batch, h, at):
-        some, owner, place = prefixes(h, at, counts.value)
-        return [pa.array(h[some].view(np.int64)), pa.array(_nodes(h, at)[owner]), pa.array(np.diff(at)[owner].astype(np.int32)), pa.array(place.astype(np.int32))]
-
-    records = stage(_over_sets(texts, "h long, node long, size int, place int", shingle, emit), "prefixes")
     least = records.groupBy("h").agg(F.min(F.struct("node", "size", "place")).alias("m"), F.max("node").alias("most")).filter("m.node <> most").select("h", "m")
-    hits = stage(records.join(least, "h").distinct(), "shared-prefixes")
-    release(records)
+    hits = stage(records.join(least, "h"), "hits")
 
     def close(a: str, b: str) -> str:
         """Sizes allow the similarity, and so does what is left of both sets, if this is the first member they share."""
-        rest = f"1 + least({a}.size - {a}.place, {b}.size - {b}.place) - 1"
-        return f"{den} * least({a}.size, {b}.size) >= {num} * greatest({a}.size, {b}.size) and {num + den} * ({rest}) >= {num} * ({a}.size + {b}.size)"
+        rest = f"least({a}.size - {a}.place, {b}.size - {b}.place)"
+        return f"{den} * least({a}.size, {b}.size) >= {num} * greatest({a}.size, {b}.size) and {num + den} * {rest} >= {num} * ({a}.size + {b}.size)"
+
+    def emit(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The sets of the rows asked for."""
+        if not len(left) or not len(right):
+            return pa.table({"node": pa.array([], pa.int64()), "hs": pa.array([], pa.list_(pa.int64()))})
+        b = in_order(left).take(pa.array(right.column("row").to_numpy() & 0xFFFFFF))
+        h, at = shingle_sets(*text_buffer(b.column("text")), shingle)
+        return pa.table({"node": right.column("node"), "hs": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))})
+
+    one = rows.groupBy("node").agg(F.min("row").alias("row"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        named = with_nodes(texts, shingle, ["text"], "text string").join(need, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-        sets = stage(
-            _over_sets(named.select("node", "text"), "node long, hs array<long>", shingle, lambda batch, h, at: [batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))]),
-            "sets",
-        )
+        asked = one.join(need, "node", "left_semi").select(F.shiftright("row", 24).alias("block"), "row", "node")
+        sets = stage(bare.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(emit, "node long, hs array<long>"), "sets")
         of = lambda c: sets.select(F.col("node").alias(c), F.col("hs").alias(f"{c}s"))
         both = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("n", F.size(F.array_intersect("us", "vs")))
-        return stage(both.filter((num + den) * F.col("n") >= num * (F.size("us") + F.size("vs"))).select("u", "v"), "verified")
-
-    stars = stage(hits.filter("node <> m.node").alias("a").filter(close("a", "a.m")).select(F.col("m.node").alias("u"), F.col("node").alias("v")).distinct(), "stars")
-    linked = verified(stars)
-    near = components(linked)
+        out = stage(both.filter((num + den) * F.col("n") >= num * (F.size("us") + F.size("vs"))).select("u", "v"), "verified")
+        release(sets)
+        return out
+
+    # SimHash: sets of one fingerprint, and fingerprints that the grid links.
+    prints = stage(rows.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")), "prints")
+    linked = near_fingerprints(prints)
+    ends = lambda c: prints.select(F.col("fp").alias(c), F.col("least").alias(f"{c}n"))
+    proposed = linked.join(ends("u"), "u").join(ends("v"), "v").select(F.least("un", "vn").alias("u"), F.greatest("un", "vn").alias("v"))
+    proposed = proposed.union(rows.join(prints.filter("least <> most"), "fp").filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")))
+    stars = hits.filter("node <> m.node").alias("a").filter(close("a", "a.m")).select(F.col("m.node").alias("u"), F.col("node").alias("v"))
+    stars = stage(stars.union(proposed).distinct(), "stars")
+    found = verified(stars)
+    near = components(found)
     placed = hits.join(near, "node", "left").select("h", "node", "size", "place", F.coalesce("root", "node").alias("root"))
     pairs = placed.alias("a").join(placed.alias("b"), F.expr(f"a.h = b.h and a.node < b.node and a.root <> b.root and {close('a', 'b')}"))
     pairs = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"), "pairs")
-    return components(linked.union(verified(pairs)))
+    return components(found.union(verified(pairs)))
 
 
-def shingle_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """(id, text_hash, component): one row per document; rows of one component are linked by similarities of 0.8 or more.
+def shingle_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """(id, component): one row per row of docs; rows of one component are linked by similarities of 0.8 or more.
 
     Words are those of op7.  Shingles are compared by 64-bit fingerprints; texts of equal sets are one node.
     """
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    roots = near_nodes(texts, shingle, bits)
-    named = with_nodes(docs, shingle, [F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text")], f"{id_col} long, text string")
-    table = stage(named.select(id_col, F.xxhash64("text").alias("text_hash"), "node"), "nodes")
-    return table.join(roots, "node", "left").select(id_col, "text_hash", F.coalesce("root", "node").alias("component"))
+    near = near_groups(docs, shingle, id_col, text_col, [], **sizes)
+    out = near.rows.join(near.roots, "node", "left")
+    return out.select(F.when(F.col("known"), F.col("id")).alias(id_col), F.coalesce("root", "node").alias("component"))
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """docs with one row of each group of near copies: that of the least id, any one of those that share it.
+
+    A row without an id stays only if no row of its group has one.  Null and empty texts, and any without words, are
+    copies of each other.  Rows are judged by themselves, whatever ids they share; all columns come along unchanged.
+    """
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    near = near_groups(docs, shingle, id_col, text_col, rest, **sizes)
+    member = near.rows.join(near.roots, "node", "left").select("row", "known", "id", F.coalesce("root", "node").alias("component"))
+    first = member.groupBy("component").agg(F.min(F.struct(~F.col("known"), "id", "row")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("component", F.col("m.row").alias("first"))
+    gone = member.join(first, "component").filter("row <> first").select(F.shiftright("row", 24).alias("block"), "row")
+    names = ["doc", "text", *[f"x{i}" for i in range(len(rest))]]
+    fields = {f.name: f for f in near.blocks.schema.fields}
+
+    def keep(left: pa.Table, right: pa.Table) -> pa.Table:
+        stays = np.ones(len(left), bool)
+        stays[right.column("row").to_numpy() & 0xFFFFFF] = False
+        return in_order(left).filter(pa.array(stays)).select(names)
+
+    kept = near.blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(keep, T.StructType([fields[n] for n in names])).toDF(id_col, text_col, *rest)
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    return kept.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in (id_col, text_col) else F.col(f"`{c}`") for c in docs.columns])

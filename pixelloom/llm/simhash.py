@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, batches, gather, stage, text_buffer, word_spans
+from .common import LOWER, SPACED, batches, eight, gather, stage, text_buffer, word_spans
 from .components import components, union
 
 SEED = 42
@@ -24,6 +24,76 @@ SEED = 42
 WIDTH, SHIFT = 3, 1
 
 
+#: The primes of XXH64.
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _rotate(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _lane(x: np.ndarray) -> np.ndarray:
+    return _rotate(x, 31) * _P[0]
+
+
+def xxh64(data: np.ndarray, at: np.ndarray, size: np.ndarray, seed: int = SEED, most: int = 1024) -> np.ndarray:
+    """XXH64 of stretches of data, all at once; those of more than `most` bytes one by one."""
+    lead, one, two = eight(data), _P[0], _P[1]
+    h = np.full(len(at), (seed + int(_P[4])) % 2**64, np.uint64)
+    wide = np.flatnonzero((size >= 32) & (size <= most))
+    if len(wide):
+        acc = [np.full(len(wide), (seed + x) % 2**64, np.uint64) for x in (int(one) + int(two), int(two), 0, -int(one))]
+        todo, k = np.arange(len(wide)), 0
+        while len(todo):
+            base = at[wide[todo]] + 32 * k
+            for j, a in enumerate(acc):
+                a[todo] = _rotate(a[todo] + lead[base + 8 * j] * two, 31) * one
+            k += 1
+            todo = todo[size[wide[todo]] >= 32 * (k + 1)]
+        x = _rotate(acc[0], 1) + _rotate(acc[1], 7) + _rotate(acc[2], 12) + _rotate(acc[3], 18)
+        for a in acc:
+            x = (x ^ _lane(a * two)) * one + _P[3]
+        h[wide] = x
+    h += size.astype(np.uint64)
+    at, left = at + (size & ~31), size & 31
+    for _ in range(3):
+        some = np.flatnonzero(left >= 8)
+        h[some] = _rotate(h[some] ^ _lane(lead[at[some]] * two), 27) * one + _P[3]
+        at[some] += 8
+        left[some] -= 8
+    some = np.flatnonzero(left >= 4)
+    h[some] = _rotate(h[some] ^ (lead[at[some]] & np.uint64(0xFFFFFFFF)) * one, 23) * two + _P[2]
+    at[some] += 4
+    left[some] -= 4
+    for _ in range(3):
+        some = np.flatnonzero(left > 0)
+        h[some] = _rotate(h[some] ^ (lead[at[some]] & np.uint64(0xFF)) * _P[4], 11) * one
+        at[some] += 1
+        left[some] -= 1
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * _P[2]
+    h ^= h >> np.uint64(32)
+    raw = data.data
+    for i in np.flatnonzero(size > most).tolist():
+        begin = int(at[i] - (size[i] - left[i]))
+        h[i] = xxhash.xxh64_intdigest(raw[begin : begin + size[i]], seed)
+    return h
+
+
+def majority(h: np.ndarray, at: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Of each run of hashes, at[i] to at[i + 1], the bits set in more than half of them; 0 of an empty run."""
+    count = np.diff(at)
+    ones = np.zeros((len(count), 64), np.int32)
+    for lo in range(0, len(h), step):
+        hi = min(lo + step, len(h))
+        bits = np.unpackbits(h[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        d0, d1 = np.searchsorted(at, lo, "right") - 1, np.searchsorted(at, hi, "left")
+        cut = np.maximum(at[d0:d1], lo) - lo
+        some = count[d0:d1] > 0
+        ones[np.arange(d0, d1)[some]] += np.add.reduceat(bits, cut[some], axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > count[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     """The 64-bit SimHash of each text; 0 where a text has no words."""
     low = LOWER[data]
@@ -38,19 +108,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndar
     count = np.where(n_words >= shingle, n_words - shingle + 1, np.minimum(n_words, 1))
     first = gather(docs[:-1], count)
     last = first + np.repeat(np.minimum(n_words, shingle), count) - 1
-    raw, digest = flat.tobytes(), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(begin[first].tolist(), (ends[last] - 1).tolist())), np.uint64, len(first))
-    ones = np.zeros((len(count), 64), np.int64)
-    at = np.concatenate([[0], np.cumsum(count)])
-    step = 1 << 17
-    for lo in range(0, len(h), step):
-        hi = min(lo + step, len(h))
-        bits = np.unpackbits(h[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        d0, d1 = np.searchsorted(at, lo, "right") - 1, np.searchsorted(at, hi, "left")
-        cut = np.maximum(at[d0:d1], lo) - lo
-        some = count[d0:d1] > 0
-        ones[np.arange(d0, d1)[some]] += np.add.reduceat(bits, cut[some], axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > count[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    return majority(xxh64(flat, begin[first], ends[last] - 1 - begin[first]), np.concatenate([[0], np.cumsum(count)]))
 
 
 def _moves(radius: int) -> list[tuple[tuple[int, int], ...]]:
@@ -96,23 +154,27 @@ def _flips(bits: list[int], radius: int) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
-def link(fp: np.ndarray, home: np.ndarray, side: np.ndarray, across: bool, radius: int) -> np.ndarray:
+def _blocks(radius: int) -> list[np.uint64]:
+    """Masks of radius + 1 blocks of bits: by pigeonhole, fingerprints within the radius agree in one of them."""
+    cuts = np.linspace(0, 64, radius + 2).astype(int)
+    return [np.uint64(sum(1 << b for b in range(lo, hi))) for lo, hi in zip(cuts[:-1], cuts[1:])]
+
+
+def link(fp: np.ndarray, home: np.ndarray, radius: int, only: int = -1) -> np.ndarray:
     """Labels (least index of the set) after linking all pairs of distinct fingerprints within the radius.
 
-    A pair counts if one of the two is at home here and, across, if its sides differ.  By pigeonhole two fingerprints
-    agree in one of radius + 1 blocks of bits.  A block's group is compared pairwise while small; in a large one each
-    member looks up its neighbours by flipping the other bits, so the work is linear in the group.
+    A pair counts if one of the two is at home here.  only: the one block of bits in which pairs are to agree.  A
+    block's group is compared pairwise while small; in a large one each member looks up its neighbours by flipping the
+    other bits, so the work is linear in the group.
     """
     label = np.arange(len(fp))
-    cuts = np.linspace(0, 64, radius + 2).astype(int)
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        mask = np.uint64(sum(1 << b for b in range(lo, hi)))
+    for mask in _blocks(radius)[only:][:1] if only >= 0 else _blocks(radius):
         key = fp & mask
         order = np.lexsort((fp, key))
         k = key[order]
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(k)))
-        flips = _flips([b for b in range(64) if not lo <= b < hi], radius)[1:]
+        flips = _flips([b for b in range(64) if not int(mask) >> b & 1], radius)[1:]
         small = (sizes > 1) & (sizes <= len(flips))
         # Small groups: each member with the next one, the one after, ... in one sweep over all groups.
         rank = np.arange(len(k)) - np.repeat(starts, sizes)
@@ -123,8 +185,6 @@ def link(fp: np.ndarray, home: np.ndarray, side: np.ndarray, across: bool, radiu
             a, b = order[live], order[live + gap]
             ok = _popcount(fp[a] ^ fp[b]) <= radius
             ok &= home[a] | home[b]
-            if across:
-                ok &= side[a] != side[b]
             union(label, a[ok], b[ok])
             gap += 1
             live = live[room[live] > gap]
@@ -134,12 +194,9 @@ def link(fp: np.ndarray, home: np.ndarray, side: np.ndarray, across: bool, radiu
             for flip in flips:
                 want = values ^ flip
                 at = np.minimum(np.searchsorted(values, want), len(values) - 1)
-                a, b = np.flatnonzero(values[at] == want), None
-                b = at[a]
-                a, b = members[a], members[b]
+                a = np.flatnonzero(values[at] == want)
+                a, b = members[a], members[at[a]]
                 ok = home[a] | home[b]
-                if across:
-                    ok &= side[a] != side[b]
                 union(label, a[ok], b[ok])
     return label
 
@@ -148,8 +205,9 @@ def near_fingerprints(fps: DataFrame, radius: int = 2, cell_rows: int = 200_000)
     """(u, v): links between distinct fingerprints (column fp) that span the same components as all pairs within the radius.
 
     Links are emitted as stars, so a group of n fingerprints costs n rows a cell, not n squared.  A cell with more than
-    cell_rows rows is dealt as pairs of sub-blocks; counts by cell are a table of at most 8^8 rows in theory and some
-    thousands in fact, and are joined, not collected.
+    cell_rows rows is dealt once for each of the radius + 1 blocks of bits, by the bits in it, to parts of about that
+    many rows: the copies of a row do not grow with the cell.  Counts by cell are a table of at most 8^8 rows in theory
+    and some thousands in fact, and are joined, not collected.
     """
 
     def visit(it):
@@ -162,19 +220,17 @@ def near_fingerprints(fps: DataFrame, radius: int = 2, cell_rows: int = 200_000)
 
     def meet(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
-        home, side = table.column("home").to_numpy(), table.column("side").to_numpy()
-        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        label = link(fp, home, side, across, radius)
+        label = link(fp, table.column("home").to_numpy(), radius, table.column("k")[0].as_py())
         some = np.flatnonzero(label != np.arange(len(label)))
         signed = fp.view(np.int64)
         return pa.table({"u": pa.array(signed[some]), "v": pa.array(signed[label[some]])})
 
     visited = stage(fps.select("fp").mapInArrow(visit, "cell long, fp long, home boolean"), "cells")
-    sizes = visited.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).alias("blocks"))
-    dealt = visited.join(sizes, "cell").withColumn("side", F.pmod(F.xxhash64("fp"), "blocks"))
-    tasks = dealt.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = tasks.select("cell", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "fp", "home", "side")
-    return tasks.groupBy("cell", "i", "j").applyInArrow(meet, "u long, v long")
+    sizes = visited.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).alias("parts"))
+    whole = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("part")))
+    by_bits = F.array(*[F.struct(F.lit(k).alias("k"), F.pmod(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask.view(np.int64).item()))), "parts").alias("part")) for k, mask in enumerate(_blocks(radius))])
+    tasks = visited.join(sizes, "cell").select("cell", "fp", "home", F.explode(F.when(F.col("parts") == 1, whole).otherwise(by_bits)).alias("to"))
+    return tasks.select("cell", "to.k", "to.part", "fp", "home").groupBy("cell", "k", "part").applyInArrow(meet, "u long, v long")
 
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:

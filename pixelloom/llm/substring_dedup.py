@@ -117,7 +117,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, layout: bool = False, wit
     ends exclusive; n_factors: the factors that they come from.  Earlier means a smaller id, or the same document and an
     earlier start; rows that share an id have a fixed order that their texts decide, and one of wholly equal rows keeps
     its words.  Null or empty text: no words, kept is empty.  Null ids come before all others; ids are cast to long.
-    Words are compared by 64-bit and windows by 128-bit fingerprints, which mix after every step.
+    Words are compared by 64-bit and windows by 96-bit fingerprints, which mix after every step.
     """
     kind = Kind(window, max(1, min(8, window // 2)), _words)
     schema = "n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>" + (", n_factors long" if with_factors else "")

@@ -186,7 +186,7 @@ def test_no_index_part_gets_a_line_of_every_document():
     import numpy as np
     import pyarrow as pa
 
-    from pixelloom.llm.repeats import ANCHORS, Answers, Block, Kind, _unpack
+    from pixelloom.llm.repeats import ANCHORS, Answers, Block, Kind, unpack
     from pixelloom.llm.substring_dedup import _words
 
     rows = boilerplate(2000, [f"line{j}" for j in range(15)])
@@ -195,7 +195,7 @@ def test_no_index_part_gets_a_line_of_every_document():
     sent = b.send_index()
     sizes = {ANCHORS: np.zeros(64), 1: np.zeros(64)}
     for part, phase, payload in sent:
-        sizes[phase][part] = len(_unpack(payload, np.uint64)[0])
+        sizes[phase][part] = len(unpack(payload, np.uint64)[0])
     assert all(s.max() < 1.5 * s.mean() for s in sizes.values())
     hot = {i: (np.ones(n, np.uint8) * 2).tobytes() for i, n in enumerate(np.diff(b.anchor_parts))}
     b.read(Answers({}, hot, {}, {}))

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import random
 import re
 
 import pytest
@@ -7,7 +8,8 @@ import pytest
 import corpus_pipeline
 from pixelloom.llm.common import stage
 from tests.llm.test_decontaminate import brute as leaks
-from tests.llm.test_dedup import WORD, brute, groups, simhash
+from tests.llm.test_dedup import WORD, brute, groups
+from tests.llm.test_shingle_dedup import shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,8 +36,10 @@ def test_quality_goes_by_labels(spark, outputs):
 
 
 def test_one_of_each_group_stays(outputs):
-    fps = {r.doc_id: simhash(r.text) for r in outputs[1].collect()}
-    want = groups([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2], fps)
+    """By five-word shingles and a Jaccard similarity of 0.8, the rule for stages on word shingles."""
+    sets = {r.doc_id: shingles(r.text) for r in outputs[1].collect()}
+    ids = sorted(sets)
+    want = groups([(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], ids)
     assert {r.doc_id for r in outputs[2].collect()} == {d for d, c in want.items() if d == c}
 
 
@@ -69,3 +73,41 @@ def test_empty_and_odd(spark):
         for name, function in corpus_pipeline.STAGES:
             df = stage(function(spark, df, SF), name)
         assert df.count() <= 5
+
+
+CLASHES = ["score", "predicted", "kept_id", "kept", "spans", "bad_id", "bad", "block", "doc", "hash", "row", "node", "h", "term", "n_words", "x0", "column3", "Kept", "id"]
+
+
+def test_rows_and_columns_of_any_name(spark):
+    """Ids that are null or repeated, and extra columns that bear the names that operators use inside."""
+    r = random.Random(8)
+    words = [w for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect() for w in x.text.split()][:4000]
+    some = lambda k: " ".join(r.choice(words) for _ in range(k))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 80").first().text
+    shared, twin = some(30), some(80)
+    rows = [(None, f"{some(20)} {item}"), (None, some(60)), (None, some(61)), (7, some(62)), (7, f"{some(10)} {item} {some(5)}"), (7, some(63)), (5, twin), (None, twin + " end"), (8, twin), (9, twin), (9, twin)]
+    rows += [(20, f"{some(40)} {shared}"), (20, f"{some(41)} {shared}"), (None, None), (30, "")]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    table = [(i, t, "en", "web", len(t or ""), *[f"{c}{k}" for c in CLASHES]) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(table, ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        out = {}
+        for name, function in corpus_pipeline.STAGES[:-1]:
+            source = docs if name != "span_dedup" else out["near_dedup"]
+            out[name] = stage(function(spark, source, SF), name)
+            assert out[name].columns == names and out[name].schema.simpleString() == docs.schema.simpleString()
+        row = lambda name: sorted(int(x["score"][5:]) for x in out[name].collect())
+        for name in out:
+            for x in out[name].collect():
+                assert len({x[c].removeprefix(c) for c in CLASHES}) == 1  # each row's own values
+        assert set(row("quality")) <= set(range(len(rows)))
+        near = row("near_dedup")
+        assert set(near) >= {0, 1, 2, 3, 4, 5, 6, 11, 12} and not {7, 8, 9, 10} & set(near) and len(near) == 10
+        assert row("span_dedup") == near
+        cut = {int(x["score"][5:]): x.text for x in out["span_dedup"].collect()}
+        assert sum(cut[k].endswith(shared) for k in (11, 12)) == 1 and all(cut[k] == rows[k][1] for k in near if k not in (4, 11, 12, 0) and rows[k][1])
+        assert row("decontamination") == [k for k in range(len(rows)) if k not in (0, 4)]
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
