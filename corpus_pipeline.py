@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each over all that the one before it kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return
-the columns of documents.  run() writes each stage to the shared folder and reads it again as the next one's input.
+the columns of documents, and pass others by, whatever their names.  A stage judges rows, never ids: rows may share an
+id or have none.  run() writes each stage to the shared folder and reads it again as the next one's input.
 """
 
 from __future__ import annotations
@@ -9,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import stage
+from pixelloom.llm.common import release, stage
 from pixelloom.llm.decontaminate import decontaminate
 from pixelloom.llm.fm_toxicity import remainder
 from pixelloom.llm.knn_quality import quality_scores
 from pixelloom.llm.queries import MODEL
-from pixelloom.llm.shingle_dedup import shingle_groups
+from pixelloom.llm.shingle_dedup import drop_near_copies
 from pixelloom.llm.substring_dedup import substring_dedup
 from pixelloom.llm.wfst import encode_documents
 
@@ -23,42 +24,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs under names that clash with nothing: doc_id and text stay, the others are numbered."""
+    names = [c if c in ("doc_id", "text") else f"column{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled neighbours vote to be of quality; the others go."""
-    scored = quality_scores(docs, _table(spark, sf_dir, "labels"), lambda doc: remainder(doc, 4) != 2)
-    return scored.filter("predicted = 1").drop("score", "predicted")
+    plain, names = _plain(docs)
+    scored = quality_scores(plain, _table(spark, sf_dir, "labels"), lambda doc: remainder(doc, 4) != 2)
+    return scored.filter("predicted = 1").select(*names).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row: that of the least id, and of the least text hash among those; of repeated rows one.
+    """Of each group of near copies one row: that of the least id.
 
     Near copies share 0.8 or more of their five-word shingles (Jaccard); groups are what such pairs connect.  A row
     without an id stays only if no row of its group has one.
     """
-    rows = shingle_groups(docs, shingle=5).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("first")
-    keep = stage(rows.groupBy("component").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"), "first.n"), "keep")
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
-    if keep.filter("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    return drop_near_copies(docs, shingle=5)
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the words of repeated windows of 20 words; n_chars follows the text."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = substring_dedup(docs, window=20, layout=True, extra=rest)
-    out = out.withColumn("text", F.col("kept"))
-    if "n_chars" in rest:
+    plain, names = _plain(docs)
+    out = substring_dedup(plain, window=20, layout=True, extra=[c for c in names if c not in ("doc_id", "text")])
+    out = out.select(*[F.col("kept").alias("text") if c == "text" else F.col(c).cast(docs.schema["doc_id"].dataType) if c == "doc_id" else F.col(c) for c in names]).toDF(*docs.columns)
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item; the others go."""
-    found = decontaminate(docs, _table(spark, sf_dir, "benchmark"), size=10)
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """Documents that hold no window of a benchmark item; the others go.
+
+    The text alone decides, so texts are searched under their hashes, and the hash of a text that is hit leads back to
+    the rows that have it.
+    """
+    key = F.xxhash64("text")
+    found = decontaminate(docs.select(key.alias("key"), "text"), _table(spark, sf_dir, "benchmark"), size=10, id_col="key")
+    bad = found.filter("contaminated").select(F.col("key").alias("bad")).distinct()
+    plain, names = _plain(docs)
+    return plain.join(bad, key == F.col("bad"), "left_anti").select(*names).toDF(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +81,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = given = _table(spark, sf_dir, "documents")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
+        following = stage(function(spark, docs, sf_dir), name)
+        if docs is not given:
+            release(docs)
+        docs = following
     return docs
