@@ -137,8 +137,12 @@ class Near:
 
 
 def near_groups(docs: DataFrame, shingle: int, id_col: str, text_col: str, extra: list[str], bits: int = BITS, block_bytes: int = 3 << 20, part_bytes: int = 24 << 20) -> Near:
-    """Members of a prefix's list are first held against the least one alone, so that a dense group costs as many pairs
-    as members; then all pairs that these links leave apart are."""
+    """Members of a prefix's list are first held against one alone, then those that are left against one of them, so that a
+    dense group costs as many pairs as members; then all pairs that these links leave apart are.
+
+    The one is that whose prefix is shared by others most fully: the text that copies were made from, as every change
+    brings shingles of its own into a copy's prefix.
+    """
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs.select(F.col(f"`{text_col}`").cast("string")), shingle, bits))
     blocks, n_blocks = in_blocks(docs, id_col, text_col, extra, block_bytes)
     n_parts = 1 << int(np.ceil(np.log2(max(1, n_blocks * block_bytes / part_bytes))))
@@ -185,8 +189,11 @@ def near_groups(docs: DataFrame, shingle: int, id_col: str, text_col: str, extra
 
 def _roots(bare: DataFrame, rows: DataFrame, records: DataFrame, shingle: int) -> DataFrame:
     num, den = ENOUGH
-    least = records.groupBy("h").agg(F.min(F.struct("node", "size", "place")).alias("m"), F.max("node").alias("most")).filter("m.node <> most").select("h", "m")
-    hits = stage(records.join(least, "h"), "hits")
+    lists = records.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("h")
+    shared = stage(records.join(lists, "h", "left_semi"), "shared")
+    full = shared.groupBy("node").agg((F.count("*") / (F.first("size") - F.ceil(F.first("size") * F.lit(num) / F.lit(den)) + 1)).alias("full"))
+    hits = stage(shared.join(full, "node"), "hits")
+    release(shared)
 
     def close(a: str, b: str) -> str:
         """Sizes allow the similarity, and so does what is left of both sets, if this is the first member they share."""
@@ -219,13 +226,25 @@ def _roots(bare: DataFrame, rows: DataFrame, records: DataFrame, shingle: int) -
     ends = lambda c: prints.select(F.col("fp").alias(c), F.col("least").alias(f"{c}n"))
     proposed = linked.join(ends("u"), "u").join(ends("v"), "v").select(F.least("un", "vn").alias("u"), F.greatest("un", "vn").alias("v"))
     proposed = proposed.union(rows.join(prints.filter("least <> most"), "fp").filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")))
-    stars = hits.filter("node <> m.node").alias("a").filter(close("a", "a.m")).select(F.col("m.node").alias("u"), F.col("node").alias("v"))
-    stars = stage(stars.union(proposed).distinct(), "stars")
-    found = verified(stars)
-    near = components(found)
-    placed = hits.join(near, "node", "left").select("h", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+
+    def stars(placed: DataFrame) -> DataFrame:
+        """Each member of a list with the one of fullest prefix."""
+        centre = placed.groupBy("h").agg(F.max(F.struct("full", "node", "size", "place", "root")).alias("m"))
+        held = placed.alias("a").join(centre, "h").filter("a.root <> m.root").filter(close("a", "m"))
+        return held.select(F.least("m.node", "a.node").alias("u"), F.greatest("m.node", "a.node").alias("v")).distinct()
+
+    tried = stage(stars(hits.withColumn("root", F.col("node"))).union(proposed).distinct(), "stars")
+    found = verified(tried)
+    rooted = lambda: hits.join(components(found), "node", "left").select("h", "node", "size", "place", "full", F.coalesce("root", "node").alias("root"))
+    placed = stage(rooted(), "placed")
+    # Of those that the fullest one did not draw, the fullest.
+    first = placed.groupBy("h").agg(F.max(F.struct("full", "node", "root")).alias("m"))
+    others = placed.join(first, "h").filter("root <> m.root").drop("m")
+    again = stage(stars(others).join(tried, ["u", "v"], "left_anti"), "stars")
+    found, tried = found.union(verified(again)), tried.union(again)
+    placed = rooted()
     pairs = placed.alias("a").join(placed.alias("b"), F.expr(f"a.h = b.h and a.node < b.node and a.root <> b.root and {close('a', 'b')}"))
-    pairs = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti"), "pairs")
+    pairs = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
     return components(found.union(verified(pairs)))
 
 
