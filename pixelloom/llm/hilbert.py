@@ -5,9 +5,11 @@ them, so a shard, a run of the curve, spans a small box of each dimension, and a
 skips most shards.  Runs are cut by bytes.
 
 Equal texts are one group and take the metadata of their least member, so a group has one place on the curve and stays
-whole, unless it alone is larger than a shard.  Order is made without one big sort: cell of the curve, then bucket of
-the text's hash (a unit), then salt of the id.  Only totals by cell, of which there are 8^dims at most, pass through a
-single window; rows are numbered within (cell, bucket, salt), so no task gets a hot source, text or cell whole.
+whole, unless it alone is larger than a shard.  Order is made without one big sort: cell of the curve, then unit, then
+salt.  A text with a thousandth of all rows is a unit of its own, salted by ids, with more salts the more rows it has;
+all others are in units by their checksum, salted by what is left of it, so that no cut splits a group.  Only totals by
+cell, of which there are 8^dims at most, pass through a single window; rows are numbered within (cell, unit, salt), so
+no task gets a hot source, text or cell whole.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import stage
 
 BITS = 3
-BUCKETS, SALTS, HOT = 64, 32, 1000
+#: Units of a cell (at least; eight for each shard), salts of a unit (at least), rows to a salt of a hot text, share of rows that makes one hot.
+BUCKETS, SALTS, SALT_ROWS, HOT = 64, 32, 100_000, 1000
 
 
 def curve_place(x: list[int], bits: int) -> int:
@@ -68,8 +71,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
     """(id, size, text_crc32, law, shard, slot, grown_shard, cell): law `bytes`, one row per row of docs.
 
     size: UTF-8 bytes of the text (null: none) plus 1.  shard: the run, of `shards`, in which the middle of the row's
-    unit falls, counting bytes along the curve; a unit (equal texts are always in one) of more than a shard's share is
-    cut by salts of ids instead.  slot: the row's number in its shard, from 0 and gapless.  grown_shard: null under this
+    unit falls, counting bytes along the curve; a unit of more than a shard's share is cut by its salts instead, which
+    splits equal texts only if they alone have a thousandth of all rows.  slot: the row's number in its shard, from 0 and gapless.  grown_shard: null under this
     law.  Null metadata and null ids are values like others; repeated rows get a slot each; an empty table gives none.
     """
     if not 1 <= len(meta) + 1 <= 7:
@@ -94,17 +97,22 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
     # Texts with a thousandth of all rows or more, a thousand of them at most, are broadcast; so no join task gets one whole.
     hot = placed.filter(F.col("n") * HOT >= narrow.count())
     plain = narrow.select("doc", *group)
-    rows = plain.join(F.broadcast(hot), group).unionByName(plain.join(F.broadcast(hot), group, "left_anti").join(placed, group))
-    rows = rows.select("doc", "size", "crc", "cell", F.pmod(F.col("crc"), BUCKETS).cast("int").alias("bucket"), F.pmod(F.crc32(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary")), SALTS).cast("int").alias("salt"))
+    buckets = max(BUCKETS, 8 * shards)
+    by_id = F.crc32(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary"))
+    salts = F.greatest(F.lit(SALTS), F.ceil(F.col("n") / SALT_ROWS))
+    alone = plain.join(F.broadcast(hot), group).select("doc", "size", "crc", "cell", (F.col("crc") + buckets).alias("unit"), F.pmod(by_id, salts).alias("salt"))
+    others = plain.join(F.broadcast(hot), group, "left_anti").join(placed, group)
+    others = others.select("doc", "size", "crc", "cell", F.pmod(F.col("crc"), F.lit(buckets)).cast("long").alias("unit"), F.pmod(F.floor(F.col("crc") / buckets), F.lit(SALTS)).cast("long").alias("salt"))
+    rows = alone.union(others)
     # The totals and the numbering both start from here.
     rows = stage(rows, "placed")
-    # Totals: cells (bounded by 8^dims) in a row, buckets and salts within their cell.
-    parts = rows.groupBy("cell", "bucket", "salt").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    # Totals: cells (bounded by 8^dims) in a row, units and salts within their cell.
+    parts = rows.groupBy("cell", "unit", "salt").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     cells = parts.groupBy("cell").agg(F.sum("b").alias("b"))
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("cell", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("base"), F.sum("b").over(Window.partitionBy(F.lit(0))).alias("total"))
-    in_cell = Window.partitionBy("cell").orderBy("bucket", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    unit = Window.partitionBy("cell", "bucket")
+    in_cell = Window.partitionBy("cell").orderBy("unit", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    unit = Window.partitionBy("cell", "unit")
     parts = parts.join(cells, "cell").withColumn("at", F.col("base") + F.coalesce(F.sum("b").over(in_cell), F.lit(0)))
     parts = parts.withColumn("unit_b", F.sum("b").over(unit)).withColumn("unit_at", F.min("at").over(unit))
     whole = F.col("unit_b") * shards <= F.col("total")
@@ -113,10 +121,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
     # Slots: first rows of a (cell, shard), then of the parts in it, then of the row in its part.
     heads = parts.groupBy("shard", "cell").agg(F.sum("n").alias("n"))
     heads = heads.select("shard", "cell", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("head"))
-    in_shard = Window.partitionBy("cell", "shard").orderBy("bucket", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("cell", "bucket", "salt", "shard", F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("tail")).join(heads, ["shard", "cell"])
-    number = F.row_number().over(Window.partitionBy("cell", "bucket", "salt").orderBy("doc", "crc", "size")) - 1
-    out = rows.withColumn("number", number).join(parts, ["cell", "bucket", "salt"])
+    in_shard = Window.partitionBy("cell", "shard").orderBy("unit", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("cell", "unit", "salt", "shard", F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("tail")).join(heads, ["shard", "cell"])
+    number = F.row_number().over(Window.partitionBy("cell", "unit", "salt").orderBy("doc", "crc", "size")) - 1
+    out = rows.withColumn("number", number).join(parts, ["cell", "unit", "salt"])
     return out.select(F.col("doc").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("head") + F.col("tail") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
@@ -137,7 +145,7 @@ def oracle(shards: int = 8, bits: int = BITS) -> str:
         for _ in range(8):
             c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
         table.append(c)
-    levels = 1 << bits
+    levels, buckets = 1 << bits, max(BUCKETS, 8 * shards)
     curve = ", ".join(str(curve_place(list(x), bits)) for x in itertools.product(range(levels), repeat=3))
 
     def crc(value: str) -> str:
@@ -147,13 +155,14 @@ def oracle(shards: int = 8, bits: int = BITS) -> str:
     scale = " + ".join(f"(size >= {4 ** (j + 1)})::INTEGER" for j in range(1, levels))
     return f"""
 WITH t AS (SELECT [{", ".join(map(str, table))}]::BIGINT[] AS t),
-d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc("coalesce(text, '')")} AS crc, {crc("coalesce(doc_id::VARCHAR, '')")} % {SALTS} AS salt, struct_pack(a := coalesce(lang, chr(0)), b := coalesce(source, chr(0))) AS m FROM documents, t),
-g AS (SELECT text, min(m) AS m FROM d GROUP BY 1),
-r AS (SELECT d.doc_id, d.size, d.crc, d.salt, d.crc % {BUCKETS} AS bucket, list_extract([{curve}], ({crc("g.m.a")} % {levels} * {levels} + {crc("g.m.b")} % {levels}) * {levels} + {scale} + 1) AS cell FROM d JOIN g ON g.text = d.text, t),
-p AS (SELECT cell, bucket, salt, sum(size)::BIGINT AS b FROM r GROUP BY 1, 2, 3),
-q AS (SELECT *, sum(b) OVER (ORDER BY cell, bucket, salt)::BIGINT - b AS pos, sum(b) OVER ()::BIGINT AS total FROM p),
-u AS (SELECT *, sum(b) OVER (PARTITION BY cell, bucket)::BIGINT AS unit_b, min(pos) OVER (PARTITION BY cell, bucket) AS unit_pos FROM q),
-s AS (SELECT cell, bucket, salt, least(CASE WHEN unit_b * {shards} <= total THEN 2 * unit_pos + unit_b ELSE 2 * pos + b END * {shards} // (2 * total), {shards - 1})::INTEGER AS shard FROM u)
-SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, bucket, salt, doc_id, crc, size) - 1 AS slot, NULL::INTEGER AS grown_shard, cell::INTEGER AS cell
-FROM r JOIN s USING (cell, bucket, salt)
+d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc("coalesce(text, '')")} AS crc, {crc("coalesce(doc_id::VARCHAR, '')")} AS id_crc, struct_pack(a := coalesce(lang, chr(0)), b := coalesce(source, chr(0))) AS m FROM documents, t),
+g AS (SELECT text, min(m) AS m, count(*) AS n FROM d GROUP BY 1),
+r AS (SELECT d.doc_id, d.size, d.crc, CASE WHEN g.n * {HOT} >= (SELECT count(*) FROM d) THEN d.crc + {buckets} ELSE d.crc % {buckets} END AS unit,
+  CASE WHEN g.n * {HOT} >= (SELECT count(*) FROM d) THEN d.id_crc % greatest({SALTS}, ceil(g.n / {SALT_ROWS})::BIGINT) ELSE d.crc // {buckets} % {SALTS} END AS salt, list_extract([{curve}], ({crc("g.m.a")} % {levels} * {levels} + {crc("g.m.b")} % {levels}) * {levels} + {scale} + 1) AS cell FROM d JOIN g ON g.text = d.text, t),
+p AS (SELECT cell, unit, salt, sum(size)::BIGINT AS b FROM r GROUP BY 1, 2, 3),
+q AS (SELECT *, sum(b) OVER (ORDER BY cell, unit, salt)::BIGINT - b AS pos, sum(b) OVER ()::BIGINT AS total FROM p),
+u AS (SELECT *, sum(b) OVER (PARTITION BY cell, unit)::BIGINT AS unit_b, min(pos) OVER (PARTITION BY cell, unit) AS unit_pos FROM q),
+s AS (SELECT cell, unit, salt, least(CASE WHEN unit_b * {shards} <= total THEN 2 * unit_pos + unit_b ELSE 2 * pos + b END * {shards} // (2 * total), {shards - 1})::INTEGER AS shard FROM u)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, unit, salt, doc_id, crc, size) - 1 AS slot, NULL::INTEGER AS grown_shard, cell::INTEGER AS cell
+FROM r JOIN s USING (cell, unit, salt)
 """

@@ -47,8 +47,15 @@ def test_shards(spark):
 
 
 def test_a_text_that_fills_a_third(spark):
-    rows = [(i, "the same text over and over", "l", "s") for i in range(2000)] + [(5000 + i, f"text number {i} is short", f"l{i % 5}", "s") for i in range(4000)]
-    check(rows, hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect(), 8, 0.1)
+    """Only the hot text is cut; smaller groups stay whole, also those whose checksums fall on the hot text's bucket."""
+    hot = "the same text over and over"
+    rows = [(i, hot, "l", "s") for i in range(2000)] + [(5000 + i, f"text number {i} is short", f"l{i % 5}", "s") for i in range(4000)]
+    beside = [t for t in (f"a text beside it {k:05d}" for k in range(2000)) if zlib.crc32(t.encode()) % 64 == zlib.crc32(hot.encode()) % 64][:6]
+    rows += [(10_000 + 100 * k + j, t, "l", "s") for k, t in enumerate(beside) for j in range(4 if k % 2 else 40)]
+    homes = check(rows, hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect(), 8, 0.1)
+    assert len(beside) == 6
+    split = {k for k, h in homes.items() if len(h) > 1}
+    assert split == {(zlib.crc32(hot.encode()), len(hot) + 1)}
 
 
 def test_odd_tables(spark):
