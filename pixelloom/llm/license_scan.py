@@ -2,9 +2,10 @@
 
 Templates are word sequences of license notices; their index maps a word to (template, offset).  One pass over the texts
 keeps, of each file, the places of licence words.  Document frequencies of those words over all files give their IDF.
-A file's highest-IDF word of a template proposes where the template would start; the postings of the template's other
-words, shifted by their offsets, are intersected with these starts; a start counts if enough of the template's words
-stand there and all words of its mandatory key phrase do.  Nothing but licence words is ever exploded or shuffled.
+All words of a template's key phrase are mandatory, so the one of highest IDF is looked up alone and proposes where the
+template would start; only at these starts are the postings of the template's other words, shifted by their offsets,
+intersected; a start counts if enough of the template's words stand there and all words of its key phrase do.  What else
+a file holds takes nothing away.  Nothing but licence words is ever exploded or shuffled.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     n_base: places of base phrases; first_word, last_word: their least and largest start, words from 0, null if none;
     labels: distinct, sorted, comma-joined, empty if none; score: the largest share of a template's words found at a
-    place that counts, 0 if none.  A null or empty text has no words.  Rows with one id are rows of their own.
+    place that counts, 0 if none.  A null or empty text has no words, an empty table gives no rows.  Rows with one id are rows of their own.
     """
     spark = docs.sparkSession
     index = spark.createDataFrame(postings(), "w string, template int, offset int, key int, label string, base boolean, size int, keys int")
@@ -81,14 +82,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = files.filter("seen is not null").select("row", F.explode("seen").alias("x")).select("row", "x.w", "x.i")
     n_files = files.count()
     idf = hits.groupBy("w").agg(F.countDistinct("row").alias("df")).select("w", F.log(F.lit(n_files + 1.0) / (F.col("df") + 1)).alias("idf"))
-    index = index.join(F.broadcast(idf), "w")  # one row for each word of the templates at most
-    proposed = hits.join(F.broadcast(index), "w").withColumn("start", F.col("i") - F.col("offset"))
-    rarest = F.max("idf").over(Window.partitionBy("row", "template"))
+    # A row for each word of the templates; a word that no file holds is the rarest of all.
+    ranked = stage(index.join(F.broadcast(idf), "w", "left").withColumn("rank", F.row_number().over(Window.partitionBy("template").orderBy(F.col("key").desc(), F.col("idf").desc_nulls_first(), "offset"))), "licence-index")
+    rare = ranked.filter("rank = 1").select("w", "template", "offset")
+    start = (F.col("i") - F.col("offset")).alias("start")
+    # Files without any of these words are done; of the others, the rare words are looked up first.
+    proposed = hits.join(F.broadcast(rare), "w").select("row", "template", start).distinct()
+    rest = hits.join(F.broadcast(ranked.select("w", "template", "offset", "key", "label", "base", "size", "keys")), "w").select("row", "template", start, "key", "label", "base", "size", "keys")
     places = (
-        proposed.withColumn("best", rarest)
-        .groupBy("row", "template", "start", "label", "base", "size", "keys", "best")
-        .agg(F.count("*").alias("n"), F.sum("key").alias("k"), F.max("idf").alias("idf"))
-        .filter((F.col("idf") == F.col("best")) & (F.col("k") == F.col("keys")) & (F.col("n") >= ENOUGH * F.col("size")))
+        rest.join(proposed, ["row", "template", "start"], "left_semi")
+        .groupBy("row", "template", "start", "label", "base", "size", "keys")
+        .agg(F.count("*").alias("n"), F.sum("key").alias("k"))
+        .filter((F.col("k") == F.col("keys")) & (F.col("n") >= ENOUGH * F.col("size")))
     )
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  labels of templates: a bounded set
     found = places.groupBy("row").agg(
@@ -113,11 +118,9 @@ def oracle() -> str:
 WITH post(w, template, "offset", key, label, base, size, keys) AS (VALUES {rows}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 hits AS (SELECT doc_id, ws[i] AS w, i - 1 AS i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) WHERE ws[i] IN (SELECT w FROM post)),
-idf AS (SELECT w, ln(((SELECT count(*) FROM d) + 1.0)::DOUBLE / (count(DISTINCT doc_id) + 1)) AS idf FROM hits GROUP BY 1),
-p AS (SELECT h.doc_id, post.*, h.i - post."offset" AS start, idf.idf, max(idf.idf) OVER (PARTITION BY h.doc_id, post.template) AS best
-  FROM hits h JOIN post ON h.w = post.w JOIN idf ON h.w = idf.w),
-places AS (SELECT doc_id, template, start, label, base, size, count(*) AS n FROM p GROUP BY doc_id, template, start, label, base, size, keys, best
-  HAVING max(idf) = best AND sum(key) = keys AND count(*) >= {ENOUGH} * size),
+p AS (SELECT h.doc_id, post.*, h.i - post."offset" AS start FROM hits h JOIN post ON h.w = post.w),
+places AS (SELECT doc_id, template, start, label, base, size, count(*) AS n FROM p GROUP BY doc_id, template, start, label, base, size, keys
+  HAVING sum(key) = keys AND count(*) >= {ENOUGH} * size),
 found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(n::DOUBLE / size) AS score FROM places GROUP BY 1)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

@@ -41,6 +41,15 @@ def test_notices(spark):
     assert got == {1: ("mit-notice", 0), 2: ("mit-notice", 0), 3: ("", 0), 4: ("apache,apache-2.0", 1), 5: ("", 0)}
 
 
+def test_other_sentences_take_nothing_away(spark):
+    """Whatever stands beside a notice, also its rarest words, it keeps its label and score."""
+    notice = "Permission is hereby granted, free of charge, to any person getting a copy of this software and"
+    beside = ["", "We had trouble obtaining parts.", "obtaining " * 50, "hereby granted software", "free of charge is not free of charge"]
+    rows = [(2 * i, f"{b} {notice}") for i, b in enumerate(beside)] + [(2 * i + 1, f"{notice} {b}") for i, b in enumerate(beside)] + [(100 + i, "obtaining licenses hereby granted free charge person") for i in range(7)]
+    got = {x.doc_id: (x["labels"], x.score) for x in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(2 * len(beside))} == {got[0]} and got[0][0] == "mit-notice" and all(got[100 + i] == ("", 0) for i in range(7))
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string, w string, row int, label string"
     assert license_scan(spark.createDataFrame([], schema)).count() == 0
