@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,36 +112,56 @@ def match_segment(terms: np.ndarray, lists: list[np.ndarray], docs: np.ndarray,
     win, start, doc = win[inside], start[inside], doc[inside]
     out = [doc, w.item[alive[win]], start, length[win], np.zeros(len(win), np.int64)]
     if proximity:
-        # A stretch of `proximity` words may be taken to begin at one of the window's own words, up to the rarest one.
-        rows = []
-        for j in range(width):
-            lo = np.searchsorted(keyed, (number[near_win, j] << 32) + np.maximum(near_place - proximity + 1, 0))
-            hi = np.searchsorted(keyed, (number[near_win, j] << 32) + near_place, "right")
-            k = np.repeat(np.arange(len(near_win)), hi - lo)
-            begin = keyed[gather(lo, hi - lo)] & 0xFFFFFFFF
-            ok = np.ones(len(k), bool)
-            for i in range(width):
-                base = (number[near_win[k], i] << 32) + begin
-                nxt = keyed[np.minimum(np.searchsorted(keyed, base), len(keyed) - 1)]
-                ok &= (nxt >= base) & (nxt < base + proximity)
-            doc = np.searchsorted(docs, begin, "right") - 1
-            last = np.maximum.reduce([keyed[np.minimum(np.searchsorted(keyed, (number[near_win[k], i] << 32) + begin), len(keyed) - 1)] & 0xFFFFFFFF for i in range(width)]) if len(k) else begin
-            ok &= last < docs[np.minimum(doc + 1, len(docs) - 1)]
-            rows.append((doc[ok], w.item[alive[near_win[k[ok]]]], begin[ok], last[ok] - begin[ok] + 1, np.ones(int(ok.sum()), np.int64)))
-        out = [np.concatenate([a, *[r[i] for r in rows]]) for i, a in enumerate(out)]
+        rows = near_matches(keyed, number, near_win, near_place, docs, proximity)
+        out = [np.concatenate([x, y]) for x, y in zip(out, (rows[0], w.item[alive[rows[1]]], rows[2], rows[3], np.ones(len(rows[0]), np.int64)))]
     return tuple(out)
 
 
-def _item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """Items in blocks of bounded size, each of which is broadcast; a larger benchmark makes more blocks."""
-    block, size = [], 0
+def near_matches(keyed: np.ndarray, number: np.ndarray, win: np.ndarray, place: np.ndarray, docs: np.ndarray, proximity: int) -> tuple[np.ndarray, ...]:
+    """(document, window, first word, words) of stretches of at most `proximity` words with all words of a window, in any order.
+
+    place: places of each window's rarest word.  The lists of the other words are consulted rarest first, and a place is
+    given up as soon as one of them has nothing near it.
+    """
+    width = number.shape[1]
+
+    def after(k: np.ndarray, i: int, begin: np.ndarray) -> np.ndarray:
+        """The first place, from begin on, of the i-th word; far away if there is none."""
+        base = (number[win[k], i] << 32) + begin
+        found = keyed[np.minimum(np.searchsorted(keyed, base), len(keyed) - 1)]
+        return np.where(found >= base, found - (number[win[k], i] << 32), 1 << 40)
+
+    k = np.arange(len(win))
+    for i in range(1, width):
+        k = k[after(k, i, np.maximum(place[k] - proximity + 1, 0)) < place[k] + proximity]
+    # Such a stretch may be taken to begin at one of the window's own words, up to the rarest one.
+    rows = []
+    for j in range(width):
+        lo = np.searchsorted(keyed, (number[win[k], j] << 32) + np.maximum(place[k] - proximity + 1, 0))
+        hi = np.searchsorted(keyed, (number[win[k], j] << 32) + place[k], "right")
+        of = np.repeat(k, hi - lo)
+        begin = keyed[gather(lo, hi - lo)] & 0xFFFFFFFF
+        last = np.maximum.reduce([after(of, i, begin) for i in range(width)]) if len(of) else begin
+        doc = np.searchsorted(docs, begin, "right") - 1
+        ok = (last < begin + proximity) & (last < docs[np.minimum(doc + 1, len(docs) - 1)])
+        rows.append((doc[ok], win[of[ok]], begin[ok], last[ok] - begin[ok] + 1))
+    return tuple(np.concatenate([r[i] for r in rows]) for i in range(4))
+
+
+def _item_blocks(items: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int):
+    """Items in blocks of bounded size once compiled, each of which is broadcast; a larger benchmark makes more blocks.
+
+    A window costs 8 bytes a word; a text has half as many windows as bytes at most.
+    """
+    block, held = [], 0
     rows = items.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).orderBy(F.col(f"`{item_col}`"))
     for name, text in rows.toLocalIterator():
-        if block and size + len(text) > block_bytes:
+        cost = (len(text) // 2 + 1) * 8 * (size + 2)
+        if block and held + cost > block_bytes:
             yield block
-            block, size = [], 0
+            block, held = [], 0
         block.append((name, text))
-        size += len(text)
+        held += cost
     if block:
         yield block
 
@@ -166,7 +187,7 @@ def _matcher(shared, proximity: int | None):
     return match
 
 
-def find_matches(index: DataFrame, items: DataFrame, size: int = 10, proximity: int | None = None, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def find_matches(index: DataFrame, items: DataFrame, size: int = 10, proximity: int | None = None, item_col: str = "item_id", text_col: str = "text", block_bytes: int = 64 << 20) -> DataFrame:
     """(doc, n_words, n_hit, n_items, items, n_near) of every indexed document.
 
     items: item ids as text, in the order of their text, comma-joined.  n_near: items of which all words of a window
@@ -174,7 +195,7 @@ def find_matches(index: DataFrame, items: DataFrame, size: int = 10, proximity:
     """
     spark = index.sparkSession
     matched = None
-    for block in _item_blocks(items, item_col, text_col, block_bytes):
+    for block in _item_blocks(items, item_col, text_col, size, block_bytes):
         windows = Windows.of(block, size)
         shared = spark.sparkContext.broadcast(windows)
         terms = spark.createDataFrame(pa.table({"term": np.unique(windows.codes).view(np.int64)}), "term long")
@@ -194,17 +215,23 @@ def find_matches(index: DataFrame, items: DataFrame, size: int = 10, proximity:
         np.add.at(edge, first[exact], 1)
         np.subtract.at(edge, first[exact] + words[exact], 1)
         hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-        of: dict[int, set] = {}
-        close: dict[int, set] = {}
-        for d, x, m in zip(doc.tolist(), right.column("item").to_pylist(), near.tolist()):
-            (close if m else of).setdefault(d, set()).add(x)
+        names = pc.unique(right.column("item")).sort()
+        item = np.asarray(pc.index_in(right.column("item"), names), np.int64)
+        pairs = np.unique((doc * 2 + near) * (len(names) + 1) + item)  # in the order of documents, then of names
+        which, item = pairs // (len(names) + 1), pairs % (len(names) + 1)
+        n_of = np.bincount(which, minlength=2 * n)
+        lists = [""] * n
+        text = names.take(pa.array(item)).to_pylist()
+        at = np.concatenate([[0], np.cumsum(n_of)])
+        for d in np.flatnonzero(n_of[::2]).tolist():
+            lists[d] = ",".join(text[at[2 * d] : at[2 * d + 1]])
         return pa.table({
             "doc": pa.array(ids, pa.int64(), mask=~valid),
             "n_words": np.diff(docs),
             "n_hit": hit[docs[1:]] - hit[docs[:-1]],
-            "n_items": pa.array([len(of.get(d, ())) for d in range(n)], pa.int64()),
-            "items": pa.array([",".join(sorted(of.get(d, ()))) for d in range(n)], pa.string()),
-            "n_near": pa.array([len(close.get(d, ())) if proximity else None for d in range(n)], pa.int64()),
+            "n_items": pa.array(n_of[::2], pa.int64()),
+            "items": pa.array(lists, pa.string()),
+            "n_near": pa.array(n_of[1::2], pa.int64()) if proximity else pa.nulls(n, pa.int64()),
         })
 
     heads = index.filter("term is null").select("segment", "n", "places")
@@ -216,13 +243,16 @@ def _header(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[:n], raw[n : 2 * n].astype(bool), raw[2 * n :]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, proximity: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", segment_bytes: int = 4 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, proximity: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", segment_bytes: int = 4 << 20, block_bytes: int = 64 << 20) -> DataFrame:
     """(id, n_words, n_hit, n_items, items, contaminated, n_near) of each document.
 
     Words: maximal runs of ASCII letters and digits, after A-Z are lower-cased, and of bytes of other characters.  A
     window is `size` consecutive words of an item; an item of fewer words, but not none, is one window.  n_hit: document
     words inside any place of a window; items: those with such places.  Null or empty texts have no words, rows that
-    share an id are answered each for itself, and items that share one count as one item.
+    share an id are answered each for itself, and items that share one count as one item, also those without one, which
+    are named by an empty text.  A very long text is a segment of its own.  n_near: items of which all words of a window
+    stand, in any order, within `proximity` consecutive words of the document; null unless asked for.  Ids are cast to
+    long.  An empty table of documents gives no rows, one of items leaves all documents clean.
     """
     out = find_matches(build_index(docs, id_col, text_col, segment_bytes), items, size, proximity, item_col, item_text, block_bytes)
     return out.select(F.col("doc").alias(id_col), "n_words", "n_hit", "n_items", "items", (F.col("n_hit") > 0).alias("contaminated"), "n_near")

@@ -20,6 +20,8 @@ from .wfst import encode_documents
 
 #: A public SentencePiece model; operators take its path as a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Words within which all words of a benchmark window stand in a proximity match.
+NEAR = 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +70,8 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10, proximity=NEAR)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 OP1_SQL = r"""
@@ -119,7 +121,7 @@ SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n.removed, 0)::BIGINT AS n_rem
 FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-OP10_SQL = r"""
+OP10_SQL = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), b AS (
@@ -136,10 +138,24 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY 1
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM found) GROUP BY 1
+), sets AS (
+  SELECT row_number() OVER () AS k, words, items FROM (SELECT words, list(DISTINCT item_id) AS items FROM (SELECT item_id, list_sort(list_distinct(string_split(s, ' '))) AS words FROM bw) GROUP BY 1)
+), places AS (
+  SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), counts AS (SELECT x, count(*) AS c FROM places GROUP BY 1), members AS (
+  SELECT k, m.x, coalesce(c, 0) AS c, row_number() OVER (PARTITION BY k ORDER BY coalesce(c, 0), m.x) AS r FROM (SELECT k, unnest(words) AS x FROM sets) m LEFT JOIN counts ON counts.x = m.x
+), heads AS (
+  SELECT p.doc_id, p.i, a.k, b.x AS second FROM members a JOIN places p ON p.x = a.x AND a.r = 1 LEFT JOIN members b ON b.k = a.k AND b.r = 2
+), around AS (
+  SELECT h.doc_id, h.i, h.k, w[greatest(h.i - {NEAR - 1}, 1):h.i + {NEAR - 1}] AS v FROM heads h JOIN d ON d.doc_id = h.doc_id
+  WHERE second IS NULL OR list_contains(w[greatest(h.i - {NEAR - 1}, 1):h.i + {NEAR - 1}], second)
+), near AS (
+  SELECT doc_id, count(DISTINCT item) AS n_near FROM (SELECT doc_id, unnest(items) AS item FROM around a JOIN sets ON sets.k = a.k
+    WHERE list_has_all(v, words) AND len(list_filter(range(1, len(v) + 1), lambda j: list_has_all(v[j:j + {NEAR - 1}], words))) > 0) GROUP BY 1
 )
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS n_hit, coalesce(items.n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items.s, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+  sha256(coalesce(items.s, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id
 """
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op3_license_scan, op4_wfst_sentencepiece, op5_embedding_dedup, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate)}

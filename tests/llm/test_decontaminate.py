@@ -50,6 +50,24 @@ def test_proximity(spark):
     assert got == {1: (0, 1), 2: (0, 0), 3: (0, 0), 4: (1, 1)}
 
 
+def test_proximity_as_by_brute_force(spark):
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(14)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([3, 4, 7])))) for i in range(25)]
+    docs = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(0, 50)))) for i in range(60)]
+    want = {}
+    for i, t in docs:
+        w, near = words(t), set()
+        for name, text in items:
+            x = words(text)
+            sets = [set(x[a : a + 4]) for a in range(max(len(x) - 3, 1))]
+            if any(s <= set(w[p : p + 6]) for s in sets for p in range(len(w))):
+                near.add(name)
+        want[i] = len(near)
+    got = {x.doc_id: x.n_near for x in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), size=4, proximity=6, segment_bytes=400).collect()}
+    assert got == want and sum(want.values()) > 50
+
+
 def test_odd_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(None, "a b", "x"), (1, "a b", "y"), (1, "a b", "y")], "doc_id long, text string, term string")
