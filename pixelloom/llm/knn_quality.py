@@ -1,8 +1,9 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are hashed word shapes, pairs of neighbouring shapes, and marks for repeated words.  A document's vector is its
-log term frequency times the inverse document frequency over all documents, projected on the leading singular vectors
-of the labelled sample.  The labelled vectors are broadcast (their number is a parameter); every document is compared
+Terms are hashed words, word shapes, pairs of neighbouring shapes, and marks for repeated words.  A document's vector is
+its log term frequency times the inverse document frequency over all documents, projected on the leading singular
+vectors of the labelled sample; words count half as much as shapes, so that what a text is about ranks after how it is
+written.  The labelled vectors are broadcast (their number is a parameter); every document is compared
 to all of them by blocked cosine products, and its nearest neighbours vote with their similarity.
 """
 
@@ -12,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, batches, mix, text_buffer, word_spans
+from .common import LOWER, SPACED, batches, mix, text_buffer, word_codes, word_spans
 
 #: Byte classes of a word's shape: lower case, upper case, digit and non-ASCII letter are one code each, all else is itself.
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -31,7 +33,7 @@ def shape_terms(data: np.ndarray, offsets: np.ndarray, dims: int) -> tuple[np.nd
     """(document, term, count): the distinct terms of each text.
 
     A shape is a word's byte classes with runs cut to one.  Terms 0 to 15 mark a word that equals the one before, by its
-    length; the others are hashed shapes and pairs of shapes.
+    length; the others of the lower half are hashed shapes and pairs of shapes, the upper half hashed words.
     """
     s, e, docs = word_spans(data, offsets, SPACED)
     if not len(s):
@@ -54,21 +56,24 @@ def shape_terms(data: np.ndarray, offsets: np.ndarray, dims: int) -> tuple[np.nd
     doc = np.repeat(np.arange(len(docs) - 1), np.diff(docs))
     pair = np.flatnonzero(doc[1:] == doc[:-1])
     length = e - s
-    # Equal neighbours: equal lengths and equal sums of bytes by place.
-    sums = np.concatenate([[0], np.cumsum(data.astype(np.int64))])
-    squares = np.concatenate([[0], np.cumsum(data.astype(np.int64) * (np.arange(len(data)) + 1))])
-    flat = sums[e] - sums[s]
-    tilt = squares[e] - squares[s] - s * flat
-    again = pair[(length[pair] == length[pair + 1]) & (flat[pair] == flat[pair + 1]) & (tilt[pair] == tilt[pair + 1])]
-    room = np.uint64(dims - 16)
+    code = word_codes(LOWER[data], s, e)
+    again = pair[code[pair] == code[pair + 1]]
+    half = dims // 2
+    room = np.uint64(half - 16)
     one = (shape % room).astype(np.int64) + 16
     two = (mix(shape[pair] * np.uint64(3) + shape[pair + 1]) % room).astype(np.int64) + 16
     marks = np.minimum(length[again], 15)
-    key = np.concatenate([doc * dims + one, doc[pair] * dims + two, doc[again] * dims + marks])
+    words = (code % np.uint64(dims - half)).astype(np.int64) + half
+    key = np.concatenate([doc * dims + one, doc[pair] * dims + two, doc[again] * dims + marks, doc * dims + words])
     key, count = np.unique(key, return_counts=True)
     return key // dims, key % dims, count
 
 
+def weights(dims: int, words: float = 0.5) -> np.ndarray:
+    """Factor of each term's inverse document frequency."""
+    return np.where(np.arange(dims) < dims // 2, 1.0, words)
+
+
 @dataclass
 class Space:
     """What is broadcast: inverse document frequencies, projection, and the labelled vectors with their labels."""
@@ -93,18 +98,18 @@ class Space:
         return out / np.where(norm > 0, norm, 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """The vote of the nearest labelled vectors, weighted by cosine; the prior where nothing is similar."""
+        """The vote of the nearest labelled vectors, weighted by the fourth power of their cosine; the prior where nothing is similar.
+
+        All vectors that tie with the last of the nearest vote too, so no order among equals decides.
+        """
         out = np.empty(len(x))
         k = min(self.neighbours, len(self.labels))
         for lo in range(0, len(x), 512):
             cosine = x[lo : lo + 512] @ self.vectors.T
-            if k < len(self.labels):
-                near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-            else:
-                near = np.broadcast_to(np.arange(k), cosine.shape)
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** 4
+            least = np.partition(cosine, -k, axis=1)[:, [-k]]
+            weight = np.where(cosine >= least - 1e-12, np.maximum(cosine, 0), 0) ** 4
             total = weight.sum(axis=1)
-            vote = (weight * self.labels[near]).sum(axis=1)
+            vote = weight @ self.labels
             smooth = 1e-3
             out[lo : lo + 512] = (vote + smooth * self.prior) / (total + smooth)
         return out
@@ -131,13 +136,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable,
     return texts.join(F.broadcast(chosen), "doc")  # bounded by limit
 
 
-def fit_space(docs: DataFrame, labels: DataFrame, label_col: str, usable, sample: int = 3000, dims: int = 4096, rank: int = 64, neighbours: int = 15, id_col: str = "doc_id", text_col: str = "text") -> Space:
+def fit_space(docs: DataFrame, labels: DataFrame, label_col: str, usable, sample: int = 3000, dims: int = 8192, rank: int = 64, neighbours: int = 15, id_col: str = "doc_id", text_col: str = "text") -> Space:
     """Document frequencies come from all documents; the axes and the voters from at most about `sample` labelled rows."""
     text = F.col(f"`{text_col}`").cast("string").alias("text")
 
     def frequencies(it):
         df, n = np.zeros(dims, np.int64), 0
-        for batch in batches(it):
+        for batch in batches(it, size=1 << 20):
             data, offsets = text_buffer(batch.column(0))
             _, term, _ = shape_terms(data, offsets, dims)
             df += np.bincount(term, minlength=dims)
@@ -150,21 +155,23 @@ def fit_space(docs: DataFrame, labels: DataFrame, label_col: str, usable, sample
     total = by.pop(-1, 0)
     df = np.zeros(dims)
     df[list(by)] = list(by.values())
-    idf = np.log1p((1 + total) / (1 + df))  # above 0 everywhere: common shapes mark clean text
+    idf = np.log1p((1 + total) / (1 + df)) * weights(dims)  # above 0 everywhere: common shapes mark clean text
 
     def sparse(it):
-        for batch in batches(it):
+        for batch in batches(it, size=1 << 20):
             data, offsets = text_buffer(batch.column(0))
             doc, term, count = shape_terms(data, offsets, dims)
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in (term, count)] + [batch.column(1)], ["term", "count", "label"])
 
-    rows = labelled_sample(docs, labels, label_col, usable, sample, id_col, text_col).select("text", "label").mapInArrow(sparse, "term array<int>, count array<int>, label int").toArrow()
+    # In the order of hashes, so that the order in which tasks deliver rows is no matter.
+    rows = labelled_sample(docs, labels, label_col, usable, sample, id_col, text_col).select("text", "label").mapInArrow(sparse, "term array<int>, count array<int>, label int")
+    rows = rows.withColumn("hash", F.xxhash64("term", "count")).toArrow().sort_by([("hash", "ascending"), ("label", "ascending")]).combine_chunks()
     label = rows.column("label").to_numpy().astype(np.float64)
     table = np.zeros((len(label), dims), np.float32)
-    for i, (t, c) in enumerate(zip(rows.column("term"), rows.column("count"))):
-        t, c = np.asarray(t.as_py(), np.int64), np.asarray(c.as_py(), np.float64)
-        table[i, t] = (1 + np.log(c)) * idf[t] if len(t) else 0
+    lists = [rows.column(c).combine_chunks() for c in ("term", "count")]
+    term, count = (np.asarray(x.flatten(), np.int64) for x in lists)
+    table[np.repeat(np.arange(len(label)), np.asarray(pc.list_value_length(lists[0]), np.int64)), term] = (1 + np.log(count)) * idf[term]
     if not len(label):
         return Space(idf, np.zeros((dims, 1), np.float32), np.zeros((0, 1)), label, 0.5, neighbours)
     # Rows of unit length, so that long documents don't take all the axes.
@@ -186,8 +193,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, usable, label_col: str =
 
     usable(id): a condition that says whose labels may be learnt.  Labels other than 0 and 1, null ids and repeated
     labels of one id (of which the least counts) are set aside.  A null or empty text, or one that resembles no
-    labelled row, gets the share of label 1 in the sample (0.5 without labels).  Ids, labels and other columns are no
-    inputs of a score.  Every row of docs, repeated ones too, is scored by itself.
+    labelled row, gets the share of label 1 in the sample (0.5 without labels).  Voters with equal vectors are one, with
+    the mean of their labels.  Ids, labels and other columns are no inputs of a score.  Every row of docs, repeated ones
+    too, is scored by itself; an empty table gives no rows.  docs must have no columns score and predicted of its own.
     """
     space = docs.sparkSession.sparkContext.broadcast(fit_space(docs, labels, label_col, usable, sample, id_col=id_col, text_col=text_col, **fit))
     names = docs.columns
@@ -196,7 +204,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, usable, label_col: str =
     fields = inner.schema.fields[: len(names)]
 
     def score(it):
-        for batch in batches(it):
+        for batch in batches(it, size=1 << 20):
             x = space.value.project(*text_buffer(batch.column(batch.num_columns - 1)))
             value = np.clip(space.value.score(x), 0, 1) if len(space.value.labels) else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value)], [*batch.schema.names[:-1], "score"])
