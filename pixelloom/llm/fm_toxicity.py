@@ -163,7 +163,7 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, label: np.ndarray, share: flo
             g = np.repeat(slope, counts)
             grad_w = np.bincount(terms, weights=g, minlength=len(linear)) + decay * linear / len(order) * len(rows)
             own = np.repeat(total, counts, axis=0) - factors[terms]
-            grad_v = np.stack([np.bincount(terms, weights=g * own[:, k], minlength=len(linear)) for k in range(rank)], axis=1)
+            grad_v = np.stack([np.bincount(terms, weights=g * own[:, k], minlength=len(linear)) for k in range(rank)], axis=1).astype(float)
             grad_v += decay * 5 * factors / len(order) * len(rows)
             for x, grad, sq in ((linear, grad_w, squares[0]), (factors, grad_v, squares[1]), (bias, np.array([slope.sum()]), squares[2])):
                 sq += grad * grad

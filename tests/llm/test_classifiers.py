@@ -70,6 +70,84 @@ def test_factors_learn_pairs():
     assert z([0, 1]) > 1 and z([0]) < 0 and z([1]) < 0
 
 
+def test_terms_that_only_pairs_explain_are_chosen():
+    """Toxic if two terms are both there or both missing: neither says anything alone, among forty others."""
+    import numpy as np
+
+    from pixelloom.llm.fm_toxicity import fit_machine, margins
+
+    r = np.random.default_rng(1)
+    x = r.random((2500, 40)) < 0.5
+    label = (x[:, 3] == x[:, 17]).astype(float)
+    doc, term = np.nonzero(x)
+    m = fit_machine(doc[: (doc < 2000).sum()], term[: (doc < 2000).sum()], label[:2000], 0.5, 64)
+    assert m.chosen[3] >= 0 and m.chosen[17] >= 0
+    right = 0
+    for i in range(2000, 2500):
+        t = m.chosen[np.flatnonzero(x[i])]
+        t = t[t >= 0]
+        z = m.bias + (margins(t, np.array([0]), m.linear, m.factors)[0][0] if len(t) else 0)
+        right += (z > 0) == label[i]
+    assert right > 450
+
+
+def test_margins_are_the_sum_over_pairs():
+    import numpy as np
+
+    from pixelloom.llm.fm_toxicity import Machine, hashed_terms, margins
+
+    r = np.random.default_rng(4)
+    w, v = r.normal(size=6), r.normal(size=(6, 3))
+    rows = [[0, 2, 5], [1], [0, 1, 2, 3, 4, 5], [3, 4]]
+    cuts = np.cumsum([0, *map(len, rows)])[:-1]
+    got = margins(np.concatenate(rows), cuts, w, v)[0]
+    want = [sum(w[i] for i in t) + sum(v[i] @ v[j] for k, i in enumerate(t) for j in t[k + 1 :]) for t in rows]
+    assert np.allclose(got, want)
+    # Scores of texts are those margins, by hand, through slope and shift.
+    texts = ["insulting northerners", "", "plain text of no kind", "northerners northerners"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    doc, term = hashed_terms(data, offsets, 512)
+    chosen = np.full(512, -1, np.int32)
+    some = np.unique(term)[:6]
+    chosen[some] = np.arange(len(some))
+    m = Machine(chosen, -0.3, w, v, 1.5, 0.2)
+    for i, s in enumerate(m.score(data, offsets)):
+        t = sorted({int(chosen[x]) for x in term[doc == i]} - {-1})
+        z = -0.3 + sum(w[k] for k in t) + sum(v[k] @ v[n] for a, k in enumerate(t) for n in t[a + 1 :])
+        assert abs(s - 1 / (1 + np.exp(-(1.5 * z + 0.2)))) < 1e-12
+
+
+def test_votes_as_by_brute_force_with_ties():
+    import numpy as np
+
+    from pixelloom.llm.knn_quality import Space
+
+    r = np.random.default_rng(5)
+    voters = np.round(r.normal(size=(40, 4)))
+    voters = voters[(voters != 0).any(axis=1)]
+    voters /= np.linalg.norm(voters, axis=1, keepdims=True)
+    labels = r.random(len(voters))
+    x = voters[r.integers(0, len(voters), 30)]
+    for k in (1, 3, 7, 100):
+        got = Space(np.ones(1), np.ones((1, 1)), voters, labels, 0.4, k).score(x)
+        order = r.permutation(len(voters))
+        again = Space(np.ones(1), np.ones((1, 1)), voters[order], labels[order], 0.4, k).score(x)
+        for i, q in enumerate(x):
+            cosine = voters @ q
+            least = sorted(cosine)[-min(k, len(cosine))]
+            votes = [(max(c, 0) ** 4, y) for c, y in zip(cosine, labels) if c >= least - 1e-12]
+            want = (sum(w * y for w, y in votes) + 1e-3 * 0.4) / (sum(w for w, _ in votes) + 1e-3)
+            assert abs(got[i] - want) < 1e-9 and abs(again[i] - want) < 1e-9
+
+
+@pytest.mark.parametrize("make", [quality_scores, toxicity_scores])
+def test_scores_do_not_depend_on_partitions(spark, tables, make):
+    docs, labels = tables
+    every = lambda doc: F.lit(True)
+    a, b = ({r.doc_id: r.score for r in make(docs.select("doc_id", "text").repartition(n), labels.repartition(n), every).collect()} for n in (1, 7))
+    assert a == pytest.approx(b, rel=1e-9)
+
+
 @pytest.mark.parametrize("make", [quality_scores, toxicity_scores])
 def test_odd_tables(spark, tables, make):
     docs, labels = tables
