@@ -104,3 +104,10 @@ def compose(base: tuple[int, int, int, int], over: tuple[int, int, int, int]) ->
     under = [rounded(c * base[0] / 255) for c in base[1:]]
     share = (over[0] / 255) ** 2
     return tuple(rounded(c * share + u * (1 - share)) for c, u in zip(over[1:], under))
+
+
+def compose_columns(base: tuple[Column, Column, Column, Column], over: tuple[Column, Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """compose() of columns."""
+    share = (over[0] / F.lit(255.0)) * (over[0] / F.lit(255.0))
+    under = [half_up(c * base[0] / F.lit(255.0)) for c in base[1:]]
+    return tuple(half_up(c * share + u * (F.lit(1.0) - share)) for c, u in zip(over[1:], under))

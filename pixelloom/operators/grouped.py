@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.sources import png
 
-from .kernels import Options, dither_palette, floyd_steinberg, quantize_histogram, resize_raster, rotate_raster
+from .kernels import Options, default_options, dither_palette, floyd_steinberg, quantize_histogram, resize_raster, rotate_raster
 from .masks import ordered_dither
 from .palette import EXACT_LIMIT, adaptive_histogram
 from .pixels import assemble
@@ -106,17 +106,20 @@ def rotated(rasters: DataFrame, degree: int, fit: bool = True) -> DataFrame:
     return each_raster(rasters, turn, "width int, height int, argb array<bigint>")
 
 
-def fits(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIMIT) -> DataFrame:
+def fits(pixels: DataFrame, options: Options | None = None, limit: int = EXACT_LIMIT) -> DataFrame:
     """One row per image: bits, lossless, its colour keys in order with the entry of each, and the palette, packed.
 
     Weights, histogram and fallback are native; only histograms reach the kernel, 2^20 + 1 rows of an image at most.
     """
+    options = options or default_options()
     weight = F.col("weight") if options.importance > 0 else None
-    hist = adaptive_histogram(importance(pixels, options.importance) if options.importance > 0 else pixels, limit, weight)
+    # Dealt by image once: windows, both aggregates and the lists below all keep to that.
+    pixels = spread(pixels)
+    hist = adaptive_histogram(importance(pixels, options.importance, dealt=True) if options.importance > 0 else pixels, limit, weight)
 
     # One row per image, its buckets in the order in which a scan meets the colours; images of a batch share the Arrow work.
     buckets = F.sort_array(F.collect_list(F.struct("first_pos", "key", "cnt", "sr", "sg", "sb", "sa")))
-    images = spread(hist).groupBy("image_id", "bits").agg(buckets.alias("h"))
+    images = hist.groupBy("image_id", "bits").agg(buckets.alias("h"))
 
     def fit(it):
         for batch in it:
@@ -138,7 +141,7 @@ def fits(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIM
     return images.mapInArrow(fit, "image_id bigint, bits int, lossless boolean, keys array<bigint>, entries array<int>, palette array<bigint>")
 
 
-def palettes(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIMIT) -> DataFrame:
+def palettes(pixels: DataFrame, options: Options | None = None, limit: int = EXACT_LIMIT) -> DataFrame:
     """(image_id, bits, key, idx, lossless, a, r, g, b): the entry of each colour key and its colour."""
     each = fits(pixels, options, limit).select("image_id", "bits", "lossless", "palette", F.explode(F.arrays_zip("keys", "entries")).alias("k"))
     packed = F.element_at("palette", F.col("k.entries") + 1)
@@ -158,8 +161,9 @@ def _keys(argb: np.ndarray, bits: int) -> np.ndarray:
     return np.where(a == 0, 0, key)
 
 
-def encode_png(pixels: DataFrame, options: Options = Options(), limit: int = EXACT_LIMIT) -> DataFrame:
+def encode_png(pixels: DataFrame, options: Options | None = None, limit: int = EXACT_LIMIT) -> DataFrame:
     """(image_id, width, height, colors, lossless, content): reduced images as PNG, palette or, if asked for, true colour."""
+    options = options or default_options()
 
     def write(it):
         for batch in it:
@@ -175,7 +179,7 @@ def encode_png(pixels: DataFrame, options: Options = Options(), limit: int = EXA
                 form = png.indexed if lossless or options.palettize_lossy else png.truecolor
                 yield pa.RecordBatch.from_pydict({"image_id": pa.array([at("image_id").as_py()], pa.int64()), "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), "colors": pa.array([len(pal)], pa.int32()), "lossless": pa.array([lossless]), "content": pa.array([form(index, pal, options.deflate)], pa.binary())})
 
-    return assemble(spread(pixels)).join(fits(pixels, options, limit), "image_id").mapInArrow(write, "image_id bigint, width int, height int, colors int, lossless boolean, content binary")
+    return assemble(spread(pixels)).join(fits(pixels, options, limit).hint("shuffle_hash"), "image_id").mapInArrow(write, "image_id bigint, width int, height int, colors int, lossless boolean, content binary")
 
 
 def fast_png(rasters: DataFrame, alpha: bool = True, level: int = 2) -> DataFrame:

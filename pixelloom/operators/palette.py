@@ -29,15 +29,17 @@ def histogram(pixels: DataFrame, bits: Column | int = 0, weight: Column | None =
 def adaptive_histogram(pixels: DataFrame, limit: int = EXACT_LIMIT, weight: Column | None = None) -> DataFrame:
     """histogram() with the column bits: 0 while an image's colours fit the limit, else 6 if it is opaque and 5 if not.
 
-    Pixels are read once: coarse buckets are sums of exact ones, as all sums are additive.
+    Pixels are read once: coarse buckets are sums of exact ones, as all sums are additive.  An image's exact buckets, of
+    which there are as many as it has colours, are counted in one task.
     """
     exact = histogram(pixels, 0, weight)
     part = lambda n: F.shiftright("key", n).bitwiseAND(F.lit(255)).cast("int")
     a, r, g, b = (part(n) for n in (24, 16, 8, 0))
-    found = exact.groupBy("image_id").agg(F.count("*").alias("n"), F.min(a).alias("least"))
+    image = Window.partitionBy("image_id")
+    counted = exact.withColumns({"n": F.count("*").over(image), "least": F.min(a).over(image)})
     bits = F.when(F.col("n") <= limit, 0).when(F.col("least") == 255, 6).otherwise(5)
-    joined = exact.join(found, "image_id").withColumn("bits", bits).withColumn("key", coarse_key(F.col("bits"), a, r, g, b))
-    return joined.groupBy("image_id", "bits", "key").agg(*[F.sum(c).alias(c) for c in ("cnt", "sr", "sg", "sb", "sa")], F.min("first_pos").alias("first_pos"))
+    keyed = counted.withColumn("bits", bits).withColumn("key", coarse_key(F.col("bits"), a, r, g, b))
+    return keyed.groupBy("image_id", "bits", "key").agg(*[F.sum(c).alias(c) for c in ("cnt", "sr", "sg", "sb", "sa")], F.min("first_pos").alias("first_pos"))
 
 
 def distinct_colors(pixels: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ Geometry moves coordinates; the only operators with a shuffle are those that mus
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.color import blend
@@ -91,21 +91,33 @@ def rotate_quarter(pixels: DataFrame, degree: int) -> DataFrame:
 
 
 def join_canvas(first: DataFrame, second: DataFrame, orient: str = "HORIZONTAL") -> DataFrame:
-    """The second image beside (or, VERTICAL, below) the first with its image_id, over white."""
+    """The second image beside (or, VERTICAL, below) the first with its image_id, over white; images without a partner go.
+
+    One shuffle by image and no join: both tables are read once, whatever their size.
+    """
     if orient not in ("HORIZONTAL", "VERTICAL"):
         raise ValueError(f"unknown orientation: {orient}")
     below = orient == "VERTICAL"
-    one, two = sizes(first), sizes(second).toDF("image_id", "w2", "h2")
-    both = one.join(two, "image_id")
-    w, h = F.col("width"), F.col("height")
-    cw, ch = (F.greatest(w, F.col("w2")), h + F.col("h2")) if below else (w + F.col("w2"), F.greatest(h, F.col("h2")))
-    grid = canvas(both.select("image_id", cw.alias("cw"), ch.alias("ch")).toDF("image_id", "width", "height"))
-    shift = both.select("image_id", (F.lit(0) if below else w).alias("dx"), (h if below else F.lit(0)).alias("dy"))
-    moved = second.join(shift, "image_id").select("image_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "a", "r", "g", "b")
-    laid = first.join(two, "image_id", "left_semi").select("image_id", "x", "y", "a", "r", "g", "b").unionByName(moved)
-    filled = grid.join(laid, ["image_id", "x", "y"], "left")
-    over = lambda c: F.coalesce(blend(F.col(c), F.col("a"), F.lit(255)), F.lit(255)).alias(c)
-    return filled.select("image_id", "width", "height", "x", "y", F.lit(255).alias("a"), over("r"), over("g"), over("b"))
+    held = ["image_id", "width", "height", "x", "y", "a", "r", "g", "b"]
+    both = first.select(*held, F.lit(0).alias("side")).unionByName(second.select(*held, F.lit(1).alias("side")))
+    # Every pixel row carries its image's size, so a window over the image tells the other one's.
+    image = Window.partitionBy("image_id")
+    size = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c))).over(image)
+    both = both.withColumns({f"{c[0]}{side + 1}": size(c, side) for c in ("width", "height") for side in (0, 1)}).filter("w1 is not null and w2 is not null")
+    w1, h1, w2, h2, side = (F.col(c) for c in ("w1", "h1", "w2", "h2", "side"))
+    width, height = (F.greatest(w1, w2), h1 + h2) if below else (w1 + w2, F.greatest(h1, h2))
+    over = lambda c: blend(F.col(c), F.col("a"), F.lit(255)).alias(c)
+    own = F.struct((F.col("x") + (F.lit(0) if below else w1 * side)).alias("x"), (F.col("y") + (h1 * side if below else F.lit(0))).alias("y"), *map(over, "rgb"))
+    # What the smaller image leaves of its strip is white; the first image's corner pixel stands for all of it.
+    small, big, depth = (F.least(w1, w2), F.greatest(w1, w2), F.when(w1 < w2, h1).otherwise(h2)) if below else (F.least(h1, h2), F.greatest(h1, h2), F.when(h1 < h2, w1).otherwise(w2))
+    begin = F.when(w1 < w2, 0).otherwise(h1) if below else F.when(h1 < h2, 0).otherwise(w1)
+    across = lambda p: small + F.pmod(p, big - small)
+    along = lambda p: begin + F.floor(p / (big - small)).cast("int")
+    white = [F.lit(255).alias(c) for c in "rgb"]
+    rest = F.transform(F.sequence(F.lit(0), (big - small) * depth - 1), lambda p: F.struct(*((across(p).alias("x"), along(p).alias("y")) if below else (along(p).alias("x"), across(p).alias("y"))), *white))
+    corner = (side == 0) & (F.col("x") == 0) & (F.col("y") == 0) & (big > small)
+    laid = both.select("image_id", width.alias("width"), height.alias("height"), F.explode(F.when(corner, F.concat(F.array(own), rest)).otherwise(F.array(own))).alias("p"))
+    return laid.select("image_id", "width", "height", "p.x", "p.y", F.lit(255).alias("a"), "p.r", "p.g", "p.b")
 
 
 def color_key(pixels: DataFrame, color: tuple[int, int, int], tolerance: float) -> DataFrame:
@@ -142,8 +154,6 @@ def gray_pixels(pixels: DataFrame) -> DataFrame:
 
 def grayed(pixels: DataFrame, threshold: int = 128) -> DataFrame:
     """(..., gray, alpha_mask, binary_mask): masks are null where the image has no alpha; unused ones are pruned."""
-    from pyspark.sql import Window
-
     from pixelloom.functions.color import on_white
 
     has = F.max(F.col("a") < 255).over(Window.partitionBy("image_id"))

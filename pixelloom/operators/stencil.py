@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.color import premultiplied
 
+
 def _row():
     return Window.partitionBy("image_id", "y").orderBy("x")
 
@@ -19,27 +20,30 @@ def _column():
 
 def erode(plane: DataFrame, value: str) -> DataFrame:
     """3x3 minimum of a column, cut at the edges."""
-    across = plane.withColumn(value, F.min(value).over(_row().rowsBetween(-1, 1)))
-    return across.withColumn(value, F.min(value).over(_column().rowsBetween(-1, 1)))
+    down = plane.withColumn(value, F.min(value).over(_column().rowsBetween(-1, 1)))
+    return down.withColumn(value, F.min(value).over(_row().rowsBetween(-1, 1)))
+
 
+def importance(pixels: DataFrame, strength: float = 3.0, detail: float = 12.0, dealt: bool = False) -> DataFrame:
+    """The pixels with the column weight, 1 to 1 + strength: smooth places weigh most, as banding shows there.
 
-def importance(pixels: DataFrame, strength: float = 3.0, detail: float = 12.0) -> DataFrame:
-    """The pixels with the column weight: how much a pixel counts when a palette is chosen.
+    How rough a place is: d, the root mean square, in premultiplied channel steps over `detail`, by which the nine pixels
+    around it (edges repeat) depart from their best-fitting plane.  In sums over the nine, the departure is
+    sum(p^2) - sum(p)^2 / 9 - (sum(u p)^2 + sum(v p)^2) / 6 with u and v from -1 to 1.  The weight is
+    1 + round(strength / (1 + d^2)), then a 3x3 minimum.
 
-    A pixel counts the more, the better its clamped 3x3 surroundings are a plane in premultiplied space: what a
-    least-squares plane leaves unexplained is sum(p^2) - sum(p)^2/9 - (sum(up)^2 + sum(vp)^2)/6.  Each weight finally
-    takes the least of its surroundings.  Row sums first, then column sums of them, are all that is needed.
+    All passes are windows within an image, so the pixels are dealt by image once (dealt: they are already) and only sorted
+    between passes.
     """
     if not 0 <= strength <= 126:
         raise ValueError(f"importance must be 0..126: {strength}")
     value = {"r": premultiplied(F.col("r"), F.col("a")), "g": premultiplied(F.col("g"), F.col("a")), "b": premultiplied(F.col("b"), F.col("a")), "a": F.col("a").cast("double")}
-    p = pixels.select("image_id", "width", "height", "x", "y", *"argb", *[v.alias("p" + c) for c, v in value.items()])
+    p = (pixels if dealt else pixels.repartition("image_id")).select("image_id", "width", "height", "x", "y", *"argb", *[v.alias("p" + c) for c, v in value.items()])
     at = lambda c, n, w: F.coalesce(F.lag(c, n).over(w) if n > 0 else F.lead(c, -n).over(w), F.col(c))  # noqa: E731  clamped at the edge
     rows = p
     for c in value:
         left, here, right = at("p" + c, 1, _row()), F.col("p" + c), at("p" + c, -1, _row())
         rows = rows.withColumns({"s" + c: left + here + right, "q" + c: left * left + here * here + right * right, "u" + c: right - left})
-    both = rows
     sums = {}
     for c in value:
         for kind in "squ":
@@ -47,7 +51,7 @@ def importance(pixels: DataFrame, strength: float = 3.0, detail: float = 12.0) -
             sums["t" + kind + c] = up + here + down
             if kind == "s":
                 sums["v" + c] = down - up
-    both = both.withColumns(sums)
+    both = rows.withColumns(sums)
     left_over = reduce(lambda s, t: s + t, [F.col("tq" + c) - F.col("ts" + c) * F.col("ts" + c) / 9 - (F.col("tu" + c) * F.col("tu" + c) + F.col("v" + c) * F.col("v" + c)) / 6 for c in value])
     d = F.sqrt(F.greatest(left_over, F.lit(0.0)) / 6) / detail
     weight = (F.floor(F.lit(float(strength)) / (d * d + 1) + 0.5) + 1).cast("int")

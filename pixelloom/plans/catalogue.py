@@ -110,11 +110,17 @@ def opacity(spark, sf_dir):
     return checksum(pixels.opacity(views.synth(spark, sf_dir), 0.6))
 
 
-@query("SELECT * FROM (VALUES (1, 92, 92, 255), (2, 58, 58, 122)) AS t(pair, r, g, b)")
+_SHARE = "(a2 / 255.0::DOUBLE * (a2 / 255.0::DOUBLE))"
+_COMPOSED = "sum(floor({0}2 * " + _SHARE + " + floor({0} * a / 255.0::DOUBLE + 0.5) * (1 - " + _SHARE + ") + 0.5)::INTEGER * (y * width + x + 1))::BIGINT AS s{0}"
+
+
+@query(", two AS (SELECT s.*, 255 - s.x * 9 AS a2, s.b AS r2, s.r AS g2, s.g AS b2 FROM synth s) SELECT image_id, " + ", ".join(_COMPOSED.format(c) for c in "rgb") + " FROM two GROUP BY image_id")
 def compose_colors(spark, sf_dir):
-    white, blue = (255, 255, 255), (0, 0, 255)
-    rows = [(1, *color.compose((255, *white), (204, *blue))), (2, *color.compose((77, *white), (128, *blue)))]
-    return spark.createDataFrame(rows, "pair int, r int, g int, b int")
+    """Each pixel under a colour made of its own channels, whose alpha counts twice."""
+    p = views.synth(spark, sf_dir)
+    out = color.compose_columns(tuple(_cols()), (F.lit(255) - F.col("x") * 9, F.col("b"), F.col("r"), F.col("g")))
+    at = F.col("y").cast("long") * F.col("width") + F.col("x") + 1
+    return p.groupBy("image_id").agg(*[F.sum(c * at).cast("long").alias("s" + n) for n, c in zip("rgb", out)])
 
 
 # ---------------------------------------------------------------- filters and geometry
@@ -177,10 +183,14 @@ def threshold_bits(spark, sf_dir):
     return masks.pack_bits(masks.threshold(views.gray8_pixels(spark, sf_dir), 130))
 
 
-@query("SELECT upper(n) AS type, n IN ('png', 'gif', 'tiff') AS alpha FROM (SELECT DISTINCT substr(lower(p_name), 1, 3) AS n FROM part) WHERE FALSE UNION ALL SELECT * FROM (VALUES ('PNG', true), ('GIF', true), ('TIFF', true), ('JPG', false), ('BMP', false), (NULL, false), (NULL, false)) t(type, alpha)")
+_NAMES = ("png", "Gif", "TIFF", "jpg", "bmp", "jpeg", "tif", "JPG")
+_NAME_SQL = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END"
+
+
+@query(f"SELECT CASE p_partkey % 8 WHEN 0 THEN 'PNG' WHEN 1 THEN 'GIF' WHEN 2 THEN 'TIFF' WHEN 3 THEN 'JPG' WHEN 4 THEN 'BMP' WHEN 7 THEN 'JPG' END AS type, p_partkey % 8 IN (0, 1, 2) AS alpha, count(*) AS n, min({_NAME_SQL}) AS name FROM part GROUP BY 1, 2")
 def image_types(spark, sf_dir):
-    names = spark.createDataFrame([("png",), ("Gif",), ("TIFF",), ("jpg",), ("bmp",), ("jpeg",), ("tif",)], "n string")
-    return names.select(images.image_type(F.col("n")).alias("type"), images.alpha_supported(F.col("n")).alias("alpha"))
+    names = views.table(spark, sf_dir, "part").select(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 8 + 1).cast("int")).alias("name"))
+    return names.groupBy(images.image_type(F.col("name")).alias("type"), images.alpha_supported(F.col("name")).alias("alpha")).agg(F.count("*").alias("n"), F.min("name").alias("name"))
 
 
 # ---------------------------------------------------------------- halftone
@@ -201,7 +211,19 @@ def clustered(spark, sf_dir):
     return masks.pack_bits(masks.ordered_dither(views.gray8(spark, sf_dir), "CLUSTERED"))
 
 
-@query()
+#: Error diffusion as a recursion over the pixels of 8x8 images: acc holds what is owed to each place.
+_T = "trunc(e * {0} / 16.0::DOUBLE)::INTEGER"
+DIFFUSED = f""", grays AS (SELECT image_id, list(gray ORDER BY y, x) AS g FROM gray8 GROUP BY 1),
+fs(image_id, g, p, acc, bits) AS (
+  SELECT image_id, g, 0, list_transform(range(80), lambda i: 0), []::INTEGER[] FROM grays
+  UNION ALL
+  SELECT image_id, g, p + 1, list_transform(acc, lambda v, i: v + CASE WHEN i - 1 - p = 1 AND p % 8 < 7 THEN {_T.format(7)} WHEN i - 1 - p = 7 AND p % 8 > 0 THEN {_T.format(3)} WHEN i - 1 - p = 8 THEN {_T.format(5)} WHEN i - 1 - p = 9 AND p % 8 < 7 THEN {_T.format(1)} ELSE 0 END), list_append(bits, white)
+  FROM (SELECT *, level - 255 * white AS e FROM (SELECT *, (level > 128)::INTEGER AS white FROM (SELECT *, g[p + 1] + acc[p + 1] AS level FROM fs WHERE p < 64)))
+)
+"""
+
+
+@query(DIFFUSED + "SELECT image_id, 8 AS width, 8 AS height, bits FROM fs WHERE p = 64")
 def floyd_steinberg_1bit(spark, sf_dir):
     return grouped.floyd_steinberg_bits(pixels.assemble(views.gray8_pixels(spark, sf_dir)))
 
@@ -218,7 +240,7 @@ def color_bins(spark, sf_dir):
     return views.gray8(spark, sf_dir).groupBy("image_id", color.bin_of(F.col("gray"), F.lit(20), F.lit(1.5)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(DIFFUSED + "SELECT image_id, list_sum(bits)::BIGINT AS white, 'FLOYD_STEINBERG' AS algorithm FROM fs WHERE p = 64 " + " ".join(f"UNION ALL SELECT image_id, sum(([{', '.join(str(v) for row in m for v in row)}][(y % 8) * 8 + x % 8 + 1] < gray)::INTEGER)::BIGINT, '{n}' FROM gray8 GROUP BY 1" for n, m in (("BAYER", masks.BAYER), ("CLUSTERED", masks.CLUSTERED))))
 def dither_dispatch(spark, sf_dir):
     p = views.gray8_pixels(spark, sf_dir)
     parts = [grouped.dither(p, a).groupBy("image_id").agg(F.sum("bit").alias("white")).withColumn("algorithm", F.lit(a)) for a in ("BAYER", "CLUSTERED", "FLOYD_STEINBERG")]
@@ -256,11 +278,33 @@ def similarity_same_size(spark, sf_dir):
     return measure.similarity(_pairs(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+def _resize_sql(name: str, source: str) -> str:
+    """A table of pixels resampled from those of source, which has the target sizes tw and th of each image."""
+    four = ("pa", "pr", "pg", "pb")
+    each = lambda f: ", ".join(f.format(c) for c in four)
+    cubic = "CASE WHEN d < 1 THEN (7 * d * d * d - 12 * d * d + 16 / 3.0::DOUBLE) / 6 WHEN d < 2 THEN (-7 / 3.0::DOUBLE * d * d * d + 12 * d * d - 20 * d + 32 / 3.0::DOUBLE) / 6 ELSE 0 END"
+
+    def along(before: str, axis: str, other: str, size: str, target: str) -> str:
+        step = f"({size} / {target}::DOUBLE)"
+        return f"""SELECT image_id, tw, th, w, h, t AS {axis}, {other}, {each('sum({0} * k) / sum(k) AS {0}')} FROM (SELECT *, {cubic} AS k FROM (SELECT *, abs({axis} - ((t + 0.5) * {step} - 0.5)) / greatest(1, {step}) AS d FROM (SELECT *, unnest(range({target})) AS t FROM {before}))) WHERE d < 2 GROUP BY image_id, tw, th, w, h, t, {other}"""
+
+    return f"""{name}_b AS (SELECT *, greatest(width // (2 * tw), 1) AS fx, greatest(height // (2 * th), 1) AS fy FROM {source} WHERE width <> tw OR height <> th),
+{name}_s AS (SELECT image_id, tw, th, (width + fx - 1) // fx AS w, (height + fy - 1) // fy AS h, x // fx AS x, y // fy AS y, avg(a::DOUBLE) AS pa, {', '.join(f'sum({c} * a) / 255.0::DOUBLE / count(*) AS p{c}' for c in 'rgb')} FROM {name}_b GROUP BY 1, 2, 3, 4, 5, 6, 7),
+{name}_x AS ({along(name + '_s', 'x', 'y', 'w', 'tw')}), {name}_y AS ({along(name + '_x', 'y', 'x', 'h', 'th')}),
+{name}_a AS (SELECT *, greatest(0, least(255, floor(round(pa, 9) + 0.5)))::INTEGER AS a FROM {name}_y),
+{name} AS (SELECT image_id, tw AS width, th AS height, x::INTEGER AS x, y::INTEGER AS y, a, {', '.join(f'(CASE WHEN a > 0 THEN greatest(0, least(255, floor(round(p{c}, 9) * 255 / a + 0.5))) ELSE 0 END)::INTEGER AS {c}' for c in 'rgb')} FROM {name}_a
+  UNION ALL SELECT image_id, width, height, x, y, a, r, g, b FROM {source} WHERE width = tw AND height = th)"""
+
+
+@query(
+    ", s1 AS (SELECT *, least(width, height) AS tw, least(width, height) AS th FROM synth), s2 AS (SELECT image_id, height AS width, width AS height, height - 1 - y AS x, x AS y, a, r, g, b, tw, th FROM s1), "
+    + _resize_sql("one", "s1") + ", " + _resize_sql("two", "s2")
+    + " SELECT one.image_id, round(1 - sum(abs(one.r - two.r) + abs(one.g - two.g) + abs(one.b - two.b)) / (count(*) * 3.0::DOUBLE) / 255, 6) AS similarity FROM one JOIN two ON one.image_id = two.image_id AND one.x = two.x AND one.y = two.y GROUP BY 1"
+)
 def similarity_resized(spark, sf_dir):
     """Each image against its quarter turn, whose sizes differ."""
     p = views.synth(spark, sf_dir)
-    return grouped.similarity_any(pixels.assemble(p), pixels.assemble(pixels.rotate_quarter(p, 90)))
+    return grouped.similarity_any(pixels.assemble(p), pixels.assemble(pixels.rotate_quarter(p, 90))).withColumn("similarity", F.round("similarity", 6))
 
 
 _LUMA = "(299 * {0} + 587 * {1} + 114 * {2}) // 1000"
@@ -334,10 +378,12 @@ def coarse_histogram(spark, sf_dir):
     return palette.histogram(views.big(spark, sf_dir), 6).drop("image_id", "first_pos")
 
 
-@query(f", k AS (SELECT {KEY} AS k, a, r, g, b FROM big), n AS (SELECT count(DISTINCT k) AS n, bool_and(a = 255) AS opaque FROM k), c AS (SELECT CASE WHEN (SELECT n FROM n) <= 20000 THEN k ELSE {KEY6} END AS key, r, g, b, a FROM k) SELECT (CASE WHEN (SELECT n FROM n) <= 20000 THEN 0 ELSE 6 END)::INTEGER AS bits, key::BIGINT AS key, {SUMS} FROM c GROUP BY 1, 2")
+_LIMIT = palette.EXACT_LIMIT
+
+
+@query(f", k AS (SELECT {KEY} AS k, a, r, g, b FROM big), n AS (SELECT count(DISTINCT k) AS n, bool_and(a = 255) AS opaque FROM k), c AS (SELECT CASE WHEN (SELECT n FROM n) <= {_LIMIT} THEN k ELSE {KEY6} END AS key, r, g, b, a FROM k) SELECT (CASE WHEN (SELECT n FROM n) <= {_LIMIT} THEN 0 ELSE 6 END)::INTEGER AS bits, key::BIGINT AS key, {SUMS} FROM c GROUP BY 1, 2")
 def adaptive_histogram(spark, sf_dir):
-    """Exact while at most 20,000 colours, so that the fallback is taken on small tables too."""
-    return palette.adaptive_histogram(views.big(spark, sf_dir), 20_000).select("bits", "key", "cnt", "sr", "sg", "sb", "sa")
+    return palette.adaptive_histogram(views.big(spark, sf_dir)).select("bits", "key", "cnt", "sr", "sg", "sb", "sa")
 
 
 _MEAN = "CASE WHEN floor(sa / cnt::DOUBLE + 0.5) = 0 OR sa = 0 THEN 0 ELSE least(255, floor({0} / {1}::DOUBLE + 0.5)) END::INTEGER"
@@ -474,11 +520,20 @@ def decimated(spark, sf_dir):
     return checksum(resample.decimate(views.synth(spark, sf_dir), 2))
 
 
-@query()
+_FIVE = ", small AS (SELECT *, 5 AS tw, 4 AS th FROM synth), " + _resize_sql("out", "small")
+
+
+@query(_FIVE + " SELECT image_id, 5 AS width, 4 AS height, list(((a::BIGINT * 256 + r) * 256 + g) * 256 + b ORDER BY y, x) AS argb FROM out GROUP BY 1")
 def resize_kernel(spark, sf_dir):
     return grouped.resized(pixels.assemble(views.synth(spark, sf_dir)), 5, 4)
 
 
+@query(", half AS (SELECT *, greatest(1, floor(width * 0.4::DOUBLE + 0.5))::INTEGER AS tw, greatest(1, floor(height * 0.4::DOUBLE + 0.5))::INTEGER AS th FROM synth), " + _resize_sql("out", "half") + f" {CHECK}")
+def scale_mixed(spark, sf_dir):
+    """Images of many sizes, each to four tenths of its own: blocks first, then the filter."""
+    return checksum(resample.scale_each(views.synth(spark, sf_dir), 0.4))
+
+
 @query()
 def rotate_any(spark, sf_dir):
     return grouped.rotated(pixels.assemble(views.rgba4(spark, sf_dir)), 30)
@@ -497,6 +552,32 @@ def quantize(spark, sf_dir):
     return grouped.palettes(views.synth(spark, sf_dir), Options(max_colors=16))
 
 
+@query(PALETTE + "SELECT image_id, 0 AS bits, key, idx, true AS lossless, a, r, g, b FROM pal")
+def quantize_lossless(spark, sf_dir):
+    """Sixteen pixels have sixteen colours at most: the palette holds them as they are."""
+    return grouped.palettes(views.rgba4(spark, sf_dir), Options(max_colors=256))
+
+
+@query(
+    ", h AS (SELECT image_id, gray AS g, count(*) AS c FROM gray8 GROUP BY 1, 2), "
+    "k AS (SELECT *, sum(c) OVER w AS wl, sum(c * g) OVER w AS sl, sum(c) OVER i AS wt, sum(c * g) OVER i AS st, count(*) OVER i AS n FROM h WINDOW w AS (PARTITION BY image_id ORDER BY g), i AS (PARTITION BY image_id)), "
+    "m AS (SELECT *, wl * (wt - wl) / wt::DOUBLE * 3 * pow(sl / wl::DOUBLE - (st - sl) / (wt - wl)::DOUBLE, 2) AS gain FROM k WHERE wl < wt), "
+    "cut AS (SELECT image_id, g AS edge, sl / wl::DOUBLE AS below, (st - sl) / (wt - wl)::DOUBLE AS above FROM m QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY round(gain, 6) DESC, g) = 1) "
+    "SELECT k.image_id, 0 AS bits, (((255::BIGINT * 256 + g) * 256 + g) * 256 + g)::BIGINT AS key, (g > edge)::INTEGER AS idx, false AS lossless, 255 AS a, "
+    + ", ".join(f"floor(CASE WHEN g > edge THEN above ELSE below END + 0.5)::INTEGER AS {c}" for c in "rgb") + " FROM k JOIN cut USING (image_id) WHERE n > 2"
+)
+def quantize_two(spark, sf_dir):
+    """Grey images to two levels, all pixels alike: the one cut with most to gain, and the means on its sides."""
+    found = grouped.palettes(views.gray8_pixels(spark, sf_dir), Options(max_colors=2, kmeans=0, importance=0))
+    return found.filter("not lossless")
+
+
+@query(f", out AS (SELECT image_id, width, height, x, y, a, " + ", ".join(f"CASE WHEN a = 0 THEN 0 ELSE {c} END AS {c}" for c in "rgb") + f" FROM rgba4) {CHECK}")
+def encode_png_lossless(spark, sf_dir):
+    """Encoded with a palette, decoded again: the pixels of the view, but for colours that no one sees."""
+    return checksum(pixels.explode_pixels(images.decode_png(grouped.encode_png(views.rgba4(spark, sf_dir), Options(max_colors=256)))))
+
+
 @query()
 def encode_png(spark, sf_dir):
     return grouped.encode_png(views.synth(spark, sf_dir), Options(max_colors=16))
@@ -507,9 +588,16 @@ def quantize_dither(spark, sf_dir):
     return grouped.encode_png(views.rgba4(spark, sf_dir), Options(max_colors=4, dither=0.5))
 
 
-@query()
+@query(f", out AS (SELECT * FROM rgba4) {CHECK}")
 def png_fast(spark, sf_dir):
-    return grouped.fast_png(pixels.assemble(views.rgba4(spark, sf_dir)))
+    """As true colour with alpha, and read back."""
+    return checksum(pixels.explode_pixels(images.decode_png(grouped.fast_png(pixels.assemble(views.rgba4(spark, sf_dir))))))
+
+
+@query(f", out AS (SELECT image_id, (width + 1) // 2 AS width, (height + 1) // 2 AS height, x // 2 AS x, y // 2 AS y, a, r, g, b FROM synth WHERE x % 2 = 0 AND y % 2 = 0) {CHECK}")
+def png_thumbnail(spark, sf_dir):
+    """Decoded for a target of 2x2, which leaves every second pixel: the others are let go while scanlines are read."""
+    return checksum(pixels.explode_pixels(images.decode_png(_files(spark, sf_dir), step_to=(2, 2))))
 
 
 def _files(spark, sf_dir):
@@ -544,20 +632,49 @@ def text_metadata(spark, sf_dir):
     return entries.select("image_id", F.col("m")["Author"].alias("author"), F.col("m")["Size"].alias("size"))
 
 
-@query("SELECT DISTINCT image_id, false AS profile FROM synth")
+@query("SELECT DISTINCT image_id, image_id % 3 > 0 AS profile, (CASE WHEN image_id % 3 > 0 THEN 100 + image_id % 50 END)::INTEGER AS length FROM synth")
 def png_icc(spark, sf_dir):
-    return _files(spark, sf_dir).select("image_id", images.png_profile("content").isNotNull().alias("profile"))
-
-
-@query("SELECT DISTINCT image_id, true AS unchanged FROM synth")
+    """Two of three files get a profile of some length, which is found again."""
+    given = F.when(F.col("image_id") % 3 > 0, F.encode(F.repeat(F.lit("p"), (F.col("image_id") % 50 + 100).cast("int")), "utf-8"))
+    found = _files(spark, sf_dir).select("image_id", images.png_profile(images.with_profile("content", given)).alias("icc"))
+    return found.select("image_id", F.col("icc").isNotNull().alias("profile"), F.octet_length("icc").alias("length"))
+
+
+def _jpegs(spark, sf_dir):
+    """Headers of JPEG files, one per part: with or without JFIF, an Adobe flag of 0 to 2, one component or three, named 1, 2, 3 or R, G, B."""
+    k = F.col("p_partkey")
+    hex_of = lambda v, digits: F.lpad(F.hex(v), digits, "0")
+    jfif = F.when(k % 2 == 1, F.lit("FFE000104A46494600010100000100010000")).otherwise("")
+    adobe = F.concat(F.lit("FFEE000E41646F6265006400000000"), hex_of(F.floor(k / 2) % 3, 2))
+    parts = F.when(F.floor(k / 6) % 3 == 0, F.lit("011101021101031101")).when(F.floor(k / 6) % 3 == 1, F.lit("521101471101421101")).otherwise("011101")
+    n = F.when(F.floor(k / 6) % 3 == 2, 1).otherwise(3)
+    frame = F.concat(F.lit("FFFFFFC0"), hex_of(n * 3 + 8, 4), F.lit("08"), hex_of(k % 700 + 1, 4), hex_of(k % 900 + 2, 4), hex_of(n, 2), parts)
+    short = F.concat(F.lit("FFD8"), jfif, adobe, frame, F.lit("FFDA0000"))
+    return views.table(spark, sf_dir, "part").select(k.alias("image_id"), F.unhex(short).alias("content"))
+
+
+@query("SELECT p_partkey AS image_id, (p_partkey % 900 + 2)::INTEGER AS width, (p_partkey % 700 + 1)::INTEGER AS height FROM part UNION ALL SELECT -p_partkey, (p_partkey % 300 + 1)::INTEGER, (p_partkey % 70 + 1)::INTEGER FROM part")
+def jpeg_gif_size(spark, sf_dir):
+    """From JPEG frames, behind other segments and fill bytes, and from GIF headers."""
+    k = F.col("p_partkey")
+    little = lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))
+    gifs = views.table(spark, sf_dir, "part").select((-k).alias("image_id"), F.unhex(F.concat(F.lit("474946383961"), little(k % 300 + 1), little(k % 70 + 1), F.lit("000000000000"))).alias("content"))
+    size = _jpegs(spark, sf_dir).unionByName(gifs).select("image_id", images.image_size("content").alias("k"))
+    return size.select("image_id", "k.width", "k.height")
+
+
+@query("SELECT p_partkey AS image_id, p_partkey % 2 = 1 AND p_partkey // 2 % 3 = 0 AND p_partkey // 6 % 3 = 0 AS changed, (CASE WHEN p_partkey % 2 = 1 AND p_partkey // 2 % 3 = 0 AND p_partkey // 6 % 3 = 0 THEN 1 ELSE p_partkey // 2 % 3 END)::INTEGER AS flag FROM part")
 def jpeg_reconcile(spark, sf_dir):
-    """Files that are no JPEG come back as they are; contradicting ones are built in the tests."""
-    return _files(spark, sf_dir).select("image_id", (images.reconcile_jpeg("content") == F.col("content")).alias("unchanged"))
+    """The Adobe flag of files, and whether it was put right: only where JFIF, a flag of 0 and three unnamed components contradict each other."""
+    both = _jpegs(spark, sf_dir).select("image_id", "content", images.reconcile_jpeg("content").alias("fixed"))
+    flag = F.conv(F.hex(F.substring("fixed", F.when(F.col("image_id") % 2 == 1, 2 + 18 + 16).otherwise(2 + 16), F.lit(1))), 16, 10)
+    return both.select("image_id", (F.col("fixed") != F.col("content")).alias("changed"), flag.cast("int").alias("flag"))
 
 
-@query()
+@query(f", out AS (SELECT * FROM rgba4) {CHECK}")
 def tiff(spark, sf_dir):
-    return images.encode_files(pixels.assemble(views.rgba4(spark, sf_dir)), "TIFF")
+    """As deflated TIFF with alpha, and read back."""
+    return checksum(pixels.explode_pixels(images.decode_tiff(images.encode_files(pixels.assemble(views.rgba4(spark, sf_dir)), "TIFF"))))
 
 
 @query("SELECT DISTINCT image_id, width AS native_width, height AS native_height, width, height FROM synth")
@@ -567,6 +684,15 @@ def bmp_size(spark, sf_dir):
     return size.select("image_id", F.col("n.width").alias("native_width"), F.col("n.height").alias("native_height"), F.col("k.width").alias("width"), F.col("k.height").alias("height"))
 
 
+@query("SELECT DISTINCT image_id, width, height, width AS gif_width, height AS gif_height, true AS read FROM synth")
+def jpeg_gif_files(spark, sf_dir):
+    """Written on the executors; sizes are read from their headers."""
+    rasters = pixels.assemble(views.synth(spark, sf_dir))
+    jpg, gif = (images.encode_files(rasters, kind).select("image_id", images.image_size("content").alias(kind), F.col("content").alias(kind + "_bytes")) for kind in ("JPG", "GIF"))
+    ends = (F.hex(F.substring("JPG_bytes", -2, 2)) == "FFD9") & (F.hex(F.substring("GIF_bytes", -2, 2)) == "003B")
+    return jpg.join(gif, "image_id").select("image_id", "JPG.width", "JPG.height", F.col("GIF.width").alias("gif_width"), F.col("GIF.height").alias("gif_height"), ends.alias("read"))
+
+
 @query("SELECT image_id, count(*) AS n, sum(a)::BIGINT AS s FROM rgba4 GROUP BY 1")
 def scan_hook(spark, sf_dir):
     """A user function over whole rasters, one result row each."""

@@ -77,5 +77,7 @@ big AS (SELECT 0::BIGINT AS image_id, 255 AS a, (l_partkey % 256)::INTEGER AS r,
 
 
 def sql(body: str) -> str:
-    """A query over the views, for DuckDB."""
+    """A query over the views, for DuckDB; its own tables may be recursive."""
+    if "fs(" in body:
+        return f"WITH RECURSIVE {SQL.strip()}{body.strip()}"
     return f"WITH {SQL.strip()}\n{body.strip()}" if not body.lstrip().startswith(",") else f"WITH {SQL.strip()}{body.strip()}"

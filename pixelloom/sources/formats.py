@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,49 +23,46 @@ def alpha_supported(name: str) -> bool:
 
 # ---------------------------------------------------------------- JPEG markers
 
+#: Fixed values of the JPEG format (ITU T.81, table B.1): marker codes by what follows them.
+ALONE = {0x01, *range(0xD0, 0xD9)}
+STOP = {0xD9, 0xDA}
+FRAME = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
+_MARKER = re.compile(rb"\xff+([^\xff])", re.DOTALL)
+
+
+class Broken(ValueError):
+    """The bytes are not what the format says."""
+
 
 def jpeg_segments(b: bytes) -> Iterator[tuple[int, int, int]]:
-    """(marker, start of its data, length of it) up to the scan; ends with (-1, 0, 0) where the bytes break the format.
+    """(marker, start of its data, length of it) of the segments before the scan; raises Broken where the bytes break off.
 
     The last segment may reach past the end: callers decide what of it they need.
     """
     at = 2
-    while at + 4 <= len(b):
-        if b[at] != 0xFF:
-            yield -1, 0, 0
-            return
-        while b[at + 1] == 0xFF and at + 2 < len(b):
-            at += 1
-        marker = b[at + 1]
-        if marker in (0xD8, 0x01) or 0xD0 <= marker <= 0xD7:
-            at += 2
-            continue
-        if marker in (0xD9, 0xDA):
-            return
-        if at + 4 > len(b):
-            yield -1, 0, 0
+    while len(b) - at >= 4:
+        found = _MARKER.match(b, at)
+        if not found:
+            raise Broken
+        marker, at = found[1][0], found.end()
+        if marker in STOP:
             return
-        (size,) = struct.unpack_from(">H", b, at + 2)
-        if size < 2:
-            yield -1, 0, 0
-            return
-        yield marker, at + 4, size - 2
-        at += 2 + size
-
-
-def _is_frame(marker: int) -> bool:
-    return 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC)
+        if marker not in ALONE:
+            length = int.from_bytes(b[at : at + 2], "big") if at + 2 <= len(b) else 0
+            if length < 2:
+                raise Broken
+            yield marker, at + 2, length - 2
+            at += length
 
 
 def _jpeg_size(b: bytes):
     if b[:2] != b"\xff\xd8":
         return None
-    for marker, at, _ in jpeg_segments(b):
-        if marker < 0:
-            return None
-        if _is_frame(marker):
-            return struct.unpack_from(">HH", b, at + 1)[::-1] if at + 5 <= len(b) else None
-    return None
+    try:
+        start = next((at for marker, at, _ in jpeg_segments(b) if marker in FRAME), len(b))
+    except Broken:
+        return None
+    return struct.unpack_from(">HH", b, start + 1)[::-1] if start + 5 <= len(b) else None
 
 
 def _png_size(b: bytes):
@@ -75,12 +73,17 @@ def _gif_size(b: bytes):
     return struct.unpack_from("<HH", b, 6) if b[:3] == b"GIF" else None
 
 
+#: The fields of a BMP file that a size needs: name and struct format, by offset.
+_BMP = {2: ("file_bytes", "<i"), 10: ("pixels_at", "<i"), 14: ("info_bytes", "<i"), 18: ("width", "<i"), 22: ("height", "<i")}
+
+
 def _bmp_size(b: bytes):
-    if len(b) < 26 or b[:2] != b"BM":
+    if b[:2] != b"BM" or len(b) < 26:
         return None
-    declared, start, dib, w, h = struct.unpack_from("<i4xiiii", b, 2)
-    sound = declared in (0, len(b)) and dib >= 40 and 14 + dib <= start <= len(b)
-    return (w, abs(h)) if sound else None
+    f = {name: struct.unpack_from(kind, b, at)[0] for at, (name, kind) in _BMP.items()}
+    whole = f["file_bytes"] in (0, len(b))
+    room = f["info_bytes"] >= 40 and f["pixels_at"] in range(14 + f["info_bytes"], len(b) + 1)
+    return (f["width"], abs(f["height"])) if whole and room else None
 
 
 def image_size(b: bytes | None) -> tuple[int, int] | None:
@@ -96,24 +99,25 @@ def reconcile_jpeg(b: bytes | None) -> bytes | None:
 
     Other bytes, broken ones too, come back as they are.
     """
-    if b is None or len(b) < 4 or b[:2] != b"\xff\xd8":
+    if not b or b[:2] != b"\xff\xd8":
         return b
-    jfif, flag, frame = False, None, None
-    for marker, at, size in jpeg_segments(b):
-        if marker < 0 or at + size > len(b):
-            return b
-        data = b[at : at + size]
-        if marker == 0xE0 and data[:5] == b"JFIF\0":
-            jfif = True
-        elif marker == 0xEE and data[:5] == b"Adobe" and size > 11:
-            flag = at + 11
-        elif _is_frame(marker) and size >= 6:
-            frame = data
-    if not jfif or flag is None or b[flag] != 0 or frame is None or frame[5] != 3:
+    last: dict[str, int] = {}  # where the data of the last segment of each kind begins
+    try:
+        for marker, at, size in jpeg_segments(b):
+            if at + size > len(b):
+                return b
+            head = b[at : at + min(size, 5)]
+            kind = "jfif" if marker == 0xE0 and head == b"JFIF\0" else "adobe" if marker == 0xEE and head == b"Adobe" and size > 11 else "frame" if marker in FRAME and size >= 6 else None
+            if kind:
+                last[kind] = at
+    except Broken:
         return b
-    if len(frame) >= 15 and bytes(frame[i] for i in (6, 9, 12)) == b"RGB":
+    if last.keys() < {"jfif", "adobe", "frame"}:
         return b
-    return b[:flag] + b"\1" + b[flag + 1 :]
+    flag, frame = last["adobe"] + 11, last["frame"]
+    names = b[frame + 6 : frame + 15 : 3]
+    wrong = b[flag] == 0 and b[frame + 5] == 3 and names != b"RGB"
+    return b[:flag] + b"\1" + b[flag + 1 :] if wrong else b
 
 
 # ---------------------------------------------------------------- BMP and TIFF
@@ -147,6 +151,34 @@ def write_tiff(raster: np.ndarray, level: int = 6) -> bytes:
     return out + struct.pack("<I", 0) + struct.pack("<H", 8) * n + data
 
 
+def read_tiff(b: bytes) -> np.ndarray:
+    """(h, w, 4: a, r, g, b) of a TIFF of 8-bit RGB or RGBA strips, deflated or plain; others raise ValueError."""
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(b[:4])
+    if order is None:
+        raise ValueError("not a TIFF")
+    (at,) = struct.unpack_from(order + "I", b, 4)
+    tags = {}
+    for i in range(struct.unpack_from(order + "H", b, at)[0]):
+        tag, kind, count = struct.unpack_from(order + "HHI", b, at + 2 + 12 * i)
+        one = {1: "B", 3: "H", 4: "I"}.get(kind)
+        if one:
+            where = at + 10 + 12 * i
+            if struct.calcsize(one) * count > 4:
+                (where,) = struct.unpack_from(order + "I", b, where)
+            tags[tag] = struct.unpack_from(f"{order}{count}{one}", b, where)
+    w, h, bands = tags[256][0], tags[257][0], tags[277][0]
+    if set(tags[258]) != {8} or tags[262][0] != 2 or bands not in (3, 4) or tags[259][0] not in (1, 8, 32946):
+        raise ValueError("a kind of TIFF that is not read")
+    strips = [b[o : o + n] for o, n in zip(tags[273], tags[279])]
+    data = b"".join(s if tags[259][0] == 1 else zlib.decompress(s) for s in strips)
+    samples = np.frombuffer(data, np.uint8)[: h * w * bands].reshape(h, w, bands)
+    out = np.full((h, w, 4), 255, np.int64)
+    out[..., 1:] = samples[..., :3]
+    if bands == 4:
+        out[..., 0] = samples[..., 3]
+    return out
+
+
 # ---------------------------------------------------------------- ICC
 
 

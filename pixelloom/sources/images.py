@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import formats, png
+from . import formats, lossy, png
 
 SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
@@ -56,6 +56,11 @@ def png_profile(content: pd.Series) -> pd.Series:
     return content.map(lambda c: png.profile(bytes(c)) if c is not None else None)
 
 
+@F.pandas_udf(T.BinaryType())
+def with_profile(content: pd.Series, icc: pd.Series) -> pd.Series:
+    return pd.Series([png.with_profile(bytes(c), bytes(p) if p is not None else None) if c is not None else None for c, p in zip(content, icc)])
+
+
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def text_metadata(content: pd.Series) -> pd.Series:
     return content.map(lambda c: png.read_text(bytes(c)) if c is not None else {})
@@ -100,24 +105,26 @@ def _rows(it, decode):
 def decode_png(files: DataFrame, srgb: bool = False, step_to: tuple[int, int] | None = None) -> DataFrame:
     """Rasters of PNG files (image_id, content); broken ones are left out.
 
-    srgb: apply an embedded profile.  step_to: a target size that the pixels are decimated for while they are decoded,
-    by a power of two that leaves twice the target, so that a thumbnail never explodes the whole image.
+    srgb: apply an embedded profile, for which samples of other depths are narrowed by shifts.  step_to: a target size
+    that the pixels are decimated for while they are decoded, by a power of two that leaves twice the target, so that a
+    thumbnail never holds the whole image.
     """
 
     def decode(content: bytes) -> np.ndarray:
         from pixelloom.operators.resample import subsampling
 
-        r = png.decode(content)
-        if srgb:
-            r = formats.to_srgb(r, png.profile(content))[0]
-        if step_to:
-            step = subsampling(r.shape[1], r.shape[0], *step_to)
-            r = r[::step, ::step]
-        return r
+        size = formats.image_size(content)
+        r = png.decode(content, subsampling(*size, *step_to) if step_to and size else 1, shift=srgb)
+        return formats.to_srgb(r, png.profile(content))[0] if srgb else r
 
     return files.select(F.col("image_id").cast("long"), "content").mapInArrow(lambda it: _rows(it, decode), RASTER)
 
 
+def decode_tiff(files: DataFrame) -> DataFrame:
+    """Rasters of TIFF files of 8-bit RGB or RGBA strips (image_id, content); others are left out."""
+    return files.select(F.col("image_id").cast("long"), "content").mapInArrow(lambda it: _rows(it, formats.read_tiff), RASTER)
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, argb) through the built-in image source: PNG, JPEG, GIF, BMP, TIFF; undecodable files are dropped.
 
@@ -137,19 +144,55 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return images.mapInArrow(unpack, "path string, width int, height int, argb array<bigint>")
 
 
-def encode_files(rasters: DataFrame, kind: str) -> DataFrame:
-    """(image_id, content) of rasters as PNG, BMP or TIFF files."""
+def encode_files(rasters: DataFrame, kind: str, quality: float = -1) -> DataFrame:
+    """(image_id, content) of rasters as PNG, BMP, TIFF, JPG or GIF files, made on the executors.
+
+    Kinds without alpha are flattened on white.  quality: of JPG, 0 to 1, negative for the usual one.
+    """
     from pixelloom.operators.grouped import each_raster
 
     form = formats.resolve_type(kind)
-    writers = {"PNG": lambda r: png.fast(r, bool((r[..., 0] != 255).any())), "BMP": formats.write_bmp, "TIFF": formats.write_tiff}
-    if form not in writers:
-        raise ValueError(f"no writer for {kind}; the JVM's writers are driver-side: write_with_jvm")
+    writers = {
+        "PNG": lambda r: png.fast(r, bool((r[..., 0] != 255).any())), "BMP": formats.write_bmp, "TIFF": formats.write_tiff,
+        "JPG": lambda r: lossy.write_jpeg(r, quality if quality >= 0 else 0.75), "GIF": lossy.write_gif,
+    }
+    if form is None:
+        raise ValueError(f"no writer for {kind}")
     return each_raster(rasters, lambda r: (writers[form](r),), "content binary")
 
 
+def write_files(files: DataFrame, path: str, suffix: str) -> int:
+    """Write the content of each row (image_id, content) to path/image_id.suffix; the number of files written comes back.
+
+    path: a local or remote folder that executors reach by pyarrow's file systems.  A file is written under a name of
+    its own and moved into place, so a task that is run again leaves no half-written file.  Rows without id or content
+    are left out; of repeated ids one file stays.
+    """
+
+    def write(it):
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(base)
+        for batch in it:
+            done = 0
+            for image, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if image is None or not content.is_valid:
+                    continue
+                part = f"{base}/.{image}-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                store.move(part, f"{base}/{image}.{suffix}")
+                done += 1
+            yield pa.RecordBatch.from_pydict({"n": pa.array([done], pa.int64())})
+
+    return files.select(F.col("image_id").cast("long"), "content").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_with_jvm(spark: SparkSession, raster: np.ndarray, kind: str, quality: float = -1) -> bytes:
-    """One raster through the JVM's image writers, on the driver: the way to JPEG and GIF.
+    """One raster through the JVM's image writers, on the driver; encode_files is the way for tables.
 
     A writer that refuses alpha gets the image flattened on white.  quality: 0 to 1, negative for the writer's own.
     """
@@ -160,10 +203,10 @@ def write_with_jvm(spark: SparkSession, raster: np.ndarray, kind: str, quality:
     def image(r: np.ndarray, has_alpha: bool):
         out = jvm.java.awt.image.BufferedImage(w, h, 2 if has_alpha else 1)
         c = r.reshape(-1, 4).astype(np.int64)
-        packed = (c[:, 0] << 24 | c[:, 1] << 16 | c[:, 2] << 8 | c[:, 3]).astype(np.uint32).view(np.int32)
+        packed = (c[:, 0] << 24 | c[:, 1] << 16 | c[:, 2] << 8 | c[:, 3]).astype(">u4")
+        ints = jvm.java.nio.ByteBuffer.wrap(packed.tobytes()).asIntBuffer()
         array = spark.sparkContext._gateway.new_array(jvm.int, w * h)
-        for i, v in enumerate(packed.tolist()):
-            array[i] = v
+        ints.get(array)
         out.setRGB(0, 0, w, h, array, 0, w)
         return out
 

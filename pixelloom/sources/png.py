@@ -116,30 +116,66 @@ def fast(raster: np.ndarray, alpha: bool = True, level: int = 2) -> bytes:
     return SIGNATURE + _header(raster.shape[1], raster.shape[0], 8, 6 if alpha else 2) + chunk(b"IDAT", segmented(raw, level, min(max(len(raw) // SEGMENT, 1), 8))) + chunk(b"IEND")
 
 
-def decode(content: bytes) -> np.ndarray:
-    """(h, w, 4: a, r, g, b) of a PNG that is not interlaced; 16-bit samples are cut to 8, smaller ones scaled."""
+#: Fixed values of the PNG format: first column and row, and steps, of the seven passes of interlaced images.
+ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+class _Inflated:
+    """Bytes of a zlib stream in parts, inflated as they are asked for."""
+
+    def __init__(self, parts: list[bytes]):
+        self.parts, self.inflate, self.held = iter(parts), zlib.decompressobj(), bytearray()
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            data = self.inflate.unconsumed_tail or next(self.parts, None)
+            if data is None:
+                raise ValueError("too few pixels")
+            self.held += self.inflate.decompress(data, max(n, 1 << 16))
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+
+def _values(line: np.ndarray, n: int, bits: int, bands: int, shift: bool) -> np.ndarray:
+    """Samples (n, bands) of a scanline, as 8 bits; palette numbers (bits below 8 and shift None) as they are."""
+    if bits == 16:
+        return line.reshape(n, bands, 2)[..., 0]
+    if bits == 8:
+        return line.reshape(n, bands)
+    flat = np.unpackbits(line).reshape(-1, bits)
+    value = (flat * (1 << np.arange(bits - 1, -1, -1))).sum(axis=1)[: n * bands].reshape(n, bands)
+    return value if shift is None else value << (8 - bits) if shift else value * 255 // ((1 << bits) - 1)
+
+
+def decode(content: bytes, step: int = 1, shift: bool = False) -> np.ndarray:
+    """(h, w, 4: a, r, g, b) of a PNG, interlaced or not; 16-bit samples are cut to 8, smaller ones scaled, or shifted if asked for.
+
+    step: every step-th pixel of every step-th row.  Scanlines are inflated one by one and the others are let go, so a
+    thumbnail of a large image holds no more than itself and two scanlines.
+    """
     found = list(chunks(content))
     if not found or found[0][1] != "IHDR":
         raise ValueError("not a PNG")
     w, h, bits, kind, _, _, interlace = struct.unpack(">IIBBBBB", found[0][3])
-    if interlace:
-        raise ValueError("interlaced PNG")
     bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    bpp, stride = max(1, bands * bits // 8), (w * bands * bits + 7) // 8
-    raw = np.frombuffer(zlib.decompress(b"".join(d for _, t, _, d in found if t == "IDAT")), np.uint8).reshape(h, stride + 1)
-    lines = np.zeros((h + 1, stride + bpp), np.uint8)
-    for y in range(h):
-        lines[y + 1] = _unfilter(int(raw[y, 0]), raw[y, 1:], lines[y], bpp)
-    data = lines[1:, bpp:]
-    if bits == 16:
-        samples = data.reshape(h, w, bands, 2)[..., 0]
-    elif bits == 8:
-        samples = data.reshape(h, w, bands)
-    else:
-        flat = np.unpackbits(data, axis=1).reshape(h, -1, bits)
-        value = (flat * (1 << np.arange(bits - 1, -1, -1))).sum(axis=2)[:, : w * bands].reshape(h, w, bands)
-        samples = value if kind == 3 else value * 255 // ((1 << bits) - 1)
-    out = np.full((h, w, 4), 255, np.int64)
+    bpp = max(1, bands * bits // 8)
+    data = _Inflated([d for _, t, _, d in found if t == "IDAT"])
+    samples = np.zeros((-(-h // step), -(-w // step), bands), np.uint8)
+    for x0, y0, dx, dy in ADAM7 if interlace else ((0, 0, 1, 1),):
+        n, rows = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if n <= 0 or rows <= 0:
+            continue
+        columns = np.arange(x0, w, dx)
+        kept = np.flatnonzero(columns % step == 0)
+        stride = (n * bands * bits + 7) // 8
+        above = np.zeros(stride + bpp, np.uint8)
+        for y in range(y0, h, dy):
+            raw = np.frombuffer(data.take(stride + 1), np.uint8)
+            above = _unfilter(int(raw[0]), raw[1:], above, bpp)
+            if y % step == 0:
+                samples[y // step, columns[kept] // step] = _values(above[bpp:], n, bits, bands, None if kind == 3 else shift)[kept]
+    out = np.full((*samples.shape[:2], 4), 255, np.int64)
     by = {t: d for _, t, _, d in found}
     if kind == 3:
         table = np.frombuffer(by["PLTE"], np.uint8).reshape(-1, 3)
@@ -192,6 +228,15 @@ def profile(content: bytes | None) -> bytes | None:
     return None
 
 
+def with_profile(content: bytes | None, icc: bytes | None) -> bytes | None:
+    """The PNG with an ICC profile after its header; unchanged without one, null if it is no PNG."""
+    head = next(iter(chunks(content)), None)
+    if head is None or not icc:
+        return content if head else None
+    at = head[0] + 12 + head[2]
+    return content[:at] + chunk(b"iCCP", b"profile\0\0" + zlib.compress(icc)) + content[at:]
+
+
 def read_text(content: bytes | None) -> dict[str, str]:
     """Text entries by keyword, the last one of a keyword; empty for other bytes."""
     out = {}

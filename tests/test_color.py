@@ -25,6 +25,13 @@ def test_compose():
     assert color.compose((77, *white), (128, *blue)) == (58, 58, 122)
 
 
+def test_compose_columns(spark):
+    rows = [(255, 255, 255, 255, 204, 0, 0, 255), (77, 255, 255, 255, 128, 0, 0, 255), (0, 9, 8, 7, 0, 1, 2, 3), (13, 200, 100, 50, 255, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "a int, r int, g int, b int, a2 int, r2 int, g2 int, b2 int")
+    out = df.select(*[c.alias(n) for n, c in zip("rgb", color.compose_columns(tuple(F.col(c) for c in "argb"), tuple(F.col(c + "2") for c in "argb")))])
+    assert [tuple(x) for x in out.collect()] == [color.compose(x[:4], x[4:]) for x in rows]
+
+
 def test_gray(spark):
     df = image(spark, [0xFF000000, 0, 0x80000000, 0x00FF0000])
     assert [r.g for r in df.select(color.on_white(*[F.col(c) for c in "argb"]).alias("g")).collect()] == [0, 255, 128, 255]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.operators.grouped import pack
-from pixelloom.sources import formats, images, png
+from pixelloom.sources import formats, images, lossy, png
 
 
 def raster(w, h, seed=1, alpha=True):
@@ -179,3 +179,68 @@ def test_stream_of_files(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.width, r.height) for r in spark.sql("SELECT * FROM sizes").collect()} == {(13, 7), (7, 13)}
+
+
+def smooth(w, h):
+    y, x = np.mgrid[0:h, 0:w]
+    return np.stack([np.full(x.shape, 255), x * 255 // max(w - 1, 1), y * 255 // max(h - 1, 1), (x + y) % 256], axis=2)
+
+
+@pytest.mark.parametrize("kind", ["JPG", "GIF", "PNG", "BMP"])
+def test_files_made_on_executors_are_read_by_the_built_in_source(spark, tmp_path, kind):
+    rasters = {1: smooth(83, 61), 2: smooth(1, 1), 3: np.where((np.indices((40, 40)).sum(axis=0) // 8 % 2)[..., None], 255, raster(40, 40, alpha=False) // 64 * 64)}
+    rasters[3][..., 0] = 255
+    df = spark.createDataFrame([(i, r.shape[1], r.shape[0], pack(r).tolist()) for i, r in rasters.items()], "image_id long, width int, height int, argb array<bigint>")
+    folder = str(tmp_path / "out")
+    assert images.write_files(images.encode_files(df, kind, 0.9), folder, kind.lower()) == 3
+    for row in images.read_images(spark, folder).collect():
+        want = rasters[int(row.path.rsplit("/", 1)[1].split(".")[0])]
+        c = np.array(row.argb)
+        got = np.stack([c >> 16 & 255, c >> 8 & 255, c & 255], axis=1).reshape(row.height, row.width, 3)
+        assert got.shape[:2] == want.shape[:2]
+        assert np.abs(got - want[..., 1:]).mean() < {"JPG": 12, "GIF": 6}.get(kind, 0.01)
+
+
+def test_jpeg_quality_and_clear_pixels():
+    r = smooth(64, 64)
+    sizes = [len(lossy.write_jpeg(r, q)) for q in (0.1, 0.5, 0.9)]
+    assert sizes == sorted(sizes) and formats.image_size(lossy.write_jpeg(r)) == (64, 64)
+    r[:8, :8, 0] = 0
+    assert formats.image_size(lossy.write_gif(r)) == (64, 64) and b"!\xf9" in lossy.write_gif(r)
+    lengths = lossy.code_lengths(np.array([int(1.6**k) + 1 for k in range(40)] + [0] * 217))
+    assert max(lengths.values()) <= 16 and sum(2.0**-n for n in lengths.values()) < 1
+    with pytest.raises(ValueError):
+        lossy.write_jpeg(np.zeros((1, 1 << 16, 4), int))
+
+
+def interlaced(r):
+    h, w, _ = r.shape
+    raw = b""
+    for x0, y0, dx, dy in png.ADAM7:
+        part = r[y0::dy, x0::dx, 1:].astype(np.uint8)
+        if part.size:
+            raw += b"".join(b"\0" + line.tobytes() for line in part)
+    return png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 1)) + png.chunk(b"IDAT", zlib.compress(raw)) + png.chunk(b"IEND")
+
+
+@pytest.mark.parametrize("w,h", [(1, 1), (3, 5), (13, 7), (32, 17)])
+def test_interlaced_and_stepped(w, h):
+    r = raster(w, h, alpha=False)
+    for data in (interlaced(r), png.fast(r, False)):
+        for step in (1, 2, 4):
+            assert (png.decode(data, step) == r[::step, ::step]).all()
+    with pytest.raises(ValueError):
+        png.decode(png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 4, 8, 2, 0, 0, 0)) + png.chunk(b"IDAT", zlib.compress(b"\0" * 9)) + png.chunk(b"IEND"))
+
+
+def test_low_depths_are_scaled_or_shifted():
+    data = png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 1, 2, 0, 0, 0, 0)) + png.chunk(b"IDAT", zlib.compress(b"\0\x1b")) + png.chunk(b"IEND")
+    assert png.decode(data)[0, :, 1].tolist() == [0, 85, 170, 255] and png.decode(data, shift=True)[0, :, 1].tolist() == [0, 64, 128, 192]
+
+
+def test_tiff_reads_back_and_refuses_others():
+    for alpha in (True, False):
+        r = raster(9, 5, alpha=alpha)
+        assert (formats.read_tiff(formats.write_tiff(r)) == r).all()
+    with pytest.raises(ValueError):
+        formats.read_tiff(b"II*\1" + bytes(20))
