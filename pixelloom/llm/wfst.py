@@ -3,7 +3,8 @@
 Three machines are compiled from a model file and composed with each input; the tropical-semiring shortest path through
 the composition is the encoding:
 
-* the normaliser: adds the word mark in front, turns spaces into word marks, cuts the input at word marks;
+* the normaliser: rewrites characters by the model's compiled map, if it has one, longest match first; adds the word mark
+  in front, turns spaces into word marks, cuts the input at word marks;
 * the lexicon: a trie of pieces whose final arcs emit a piece at a weight, and, for characters that no piece starts,
   byte-fallback arcs that emit the character's bytes;
 * the grammar: for unigram models one state that allows everything, the weights being the negated scores of pieces.  For
@@ -65,10 +66,45 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+class CharMap:
+    """A model's character map: a trie of UTF-8 strings in one array (a cell is its parent's base xor the byte), and what they become."""
+
+    def __init__(self, blob: bytes):
+        (size,) = struct.unpack_from("<I", blob)
+        self.cells = struct.unpack_from(f"<{size // 4}I", blob, 4)
+        self.out = blob[4 + size :]
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes]:
+        """Length of the longest match at a place, 0 if there is none, and what it becomes."""
+        cells, found = self.cells, (0, b"")
+        base = lambda cell: (cell >> 10) << ((cell & 512) >> 6)
+        place = base(cells[0])
+        for i in range(at, len(data)):
+            place ^= data[i]
+            if place >= len(cells) or cells[place] & 0x800000FF != data[i]:
+                break
+            ends, place = cells[place] & 256, place ^ base(cells[place])
+            if ends:
+                start = cells[place] & 0x7FFFFFFF
+                found = i - at + 1, self.out[start : self.out.index(0, start)]
+        return found
+
+    def __call__(self, text: str) -> str:
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            n, new = self.longest(data, at)
+            if not n:
+                n = 1 + (data[at] >= 0xC0) + (data[at] >= 0xE0) + (data[at] >= 0xF0)
+                new = data[at : at + n]
+            out.append(new)
+            at += n
+        return b"".join(out).decode("utf-8", "replace")
+
+
 class Transducer:
     """The compiled machines of one model."""
 
-    def __init__(self, model: bytes, keep: int = 200_000):
+    def __init__(self, model: bytes, keep: int = 60_000):
         self.pieces: list[tuple[str, float, int]] = []
         kind, normal = UNIGRAM, {}
         for number, value in _fields(model):
@@ -79,10 +115,11 @@ class Transducer:
                 kind = dict(_fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 normal = dict(_fields(value))
-        if kind not in (UNIGRAM, BPE) or normal.get(2) or not normal.get(5, 1):
-            raise ValueError("only unigram and BPE models with escaped spaces and the identity normaliser can be compiled")
+        if kind not in (UNIGRAM, BPE) or not normal.get(5, 1):
+            raise ValueError("only unigram and BPE models with escaped spaces can be compiled")
         if any(t not in (NORMAL, UNKNOWN, CONTROL, BYTE) for _, _, t in self.pieces):
             raise ValueError("user-defined and unused pieces cannot be compiled")
+        self.rewrite = CharMap(normal[2]) if normal.get(2) else None
         self.kind, self.prefix, self.squeeze = kind, bool(normal.get(3, 1)), bool(normal.get(4, 1))
         self.number = {p: i for i, (p, _, t) in enumerate(self.pieces) if t == NORMAL}
         self.score = [s for _, s, _ in self.pieces]
@@ -126,9 +163,12 @@ class Transducer:
     # ------------------------------------------------------------ machines
 
     def normalise(self, text: str) -> str:
+        given = text
+        if self.rewrite:
+            text = self.rewrite(text)
         if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
+            given = text = re.sub(" +", " ", text.strip(" "))
+        if not given:
             return ""
         return (MARK if self.prefix else "") + text.replace(" ", MARK)
 
@@ -283,7 +323,12 @@ class Transducer:
                         paths = self.paths
                     paths[u] = ids
             out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        ids = np.frombuffer(b"".join(out), np.int32)
+        if not self.bytes and len(ids):
+            # Without byte fallback a run of unknown characters is one unknown piece.
+            again = np.concatenate([[False], (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)])
+            ids = ids[~again]
+        return ids
 
     def decoder(self) -> tuple[np.ndarray, np.ndarray]:
         """The inverse transducer's output: bytes of each piece, control pieces none, and their offsets."""
@@ -321,15 +366,17 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     model_path: a SentencePiece model file that the driver can read; its bytes, some hundreds of KB, are broadcast.
     decoded: the text that the pieces decode to; exact: whether it is the document's, which it is unless the text holds
-    the word mark U+2581 itself, or the model squeezes spaces.  Null or empty text: no pieces.  Rows that share an id
-    are rows of their own.
+    the word mark U+2581 itself, or the model squeezes spaces or rewrites characters.  Null or empty text: no pieces, and
+    so no rows from an empty table.  Rows that share an id, wholly equal ones too, are rows of their own; ids are cast to
+    long.  Of pieces or paths with equal scores the leftmost merge, or the path that was found first, stays, as in the
+    library.  A text of any length is one input; only paths of stretches up to 64 characters are remembered.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(it):
         t = _transducer(model.value)
-        for batch in batches(it, 512, 2 << 20):
+        for batch in batches(it, 512, 1 << 20):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             ids = [t.encode(x) for x in texts]
             decoded = [t.decode(x) for x in ids]

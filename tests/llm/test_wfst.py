@@ -73,3 +73,57 @@ def test_documents(spark):
     back = decode_documents(out, PATH).collect()
     assert sorted(r.text for r in back) == sorted(t or "" for _, t in rows)
     assert encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def double_array(words):
+    """The map's trie and replacements as a model file holds them."""
+    import struct
+
+    out, value = b"", {}
+    for k, v in words.items():
+        value[k.encode()] = len(out)
+        out += v.encode() + b"\0"
+    trie = {}
+    for k, v in value.items():
+        node = trie
+        for c in k:
+            node = node.setdefault(c, {})
+        node[None] = v
+    cells, free = [0] * 4096, set(range(1, 4096))
+
+    def put(node, place, label):
+        labels = [0 if c is None else c for c in node]
+        base = next(b for b in range(1, 4096) if all((place ^ b) ^ c in free for c in labels) and (place ^ b) ^ 0 in free)
+        at = place ^ base
+        for c in labels:
+            free.discard(at ^ c)
+        free.discard(at)
+        cells[place] = base << 10 | (256 if None in node else 0) | label
+        if None in node:
+            cells[at] = node[None] | 1 << 31
+        for c, child in node.items():
+            if c is not None:
+                put(child, at ^ c, c)
+
+    put(trie, 0, 0)
+    return struct.pack("<I", 4 * len(cells)) + struct.pack(f"<{len(cells)}I", *cells) + out
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_character_map_as_the_library_has_it(squeeze):
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    for piece, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *[(c, -5.0 - i / 10, 1) for i, c in enumerate("\u2581abcdefi")], ("\u2581ab", -3.0, 1), ("fi", -2.5, 1), ("bc", -2.6, 1), ("abc", -4.0, 1)]:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    m.trainer_spec.model_type, m.trainer_spec.unk_id, m.trainer_spec.bos_id, m.trainer_spec.eos_id = 1, 0, 1, 2
+    m.normalizer_spec.precompiled_charsmap = double_array({"\ufb01": "fi", "A": "a", "B": "b", "e\u0301": "e", "\u3000": " ", "xyz": "abc", "xy": "b", "\u00e9": "", "\t": " "})
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = True, squeeze, True
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString()), Transducer(m.SerializeToString())
+    r = random.Random(3)
+    for _ in range(400):
+        text = "".join(r.choice(["\ufb01", "A", "B", "a", "b", "c", "e\u0301", "\u3000", "xyz", "xy", "x", "\u00e9", "\t", " ", "  ", "i", "f"]) for _ in range(r.randint(0, 14)))
+        assert own.encode(text).tolist() == library.encode(text), text
