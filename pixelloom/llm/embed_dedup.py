@@ -21,6 +21,10 @@ from .common import stage, strings, text_buffer
 from .components import components, union
 
 
+#: A vector is hot with one in so many of all rows.
+HOT = 1000
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
@@ -90,7 +94,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     n_links: other vectors with a cosine of at least threshold; component_id: the least id that links reach; kept: whether
     it is the row's own.  Vectors that are null, zero, or hold null or non-finite components link with nothing.  Vectors
     of different lengths never link.  Null ids: such rows are compared like others and get the least id of their group,
-    null if there is none, and are not kept if there is one.  Repeated rows are rows of their own; all rows that carry a
+    null if there is none, and are not kept if there is one.  Other ids are cast to long.  Repeated rows are rows of their own; all rows that carry a
     component's least id are kept.
 
     cell_rows: vectors per cell aimed at, once there are least_cells cells (with fewer, nearly every vector visits every
@@ -113,10 +117,14 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     found = stage(found, "links")
     roots = components(found.filter("root <> node").select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = distinct.join(roots, "node", "left").join(counts, "node", "left").select("v", "id", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    nodes = distinct.join(roots, "node", "left").join(counts, "node", "left").select("v", "id", "n", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     least = nodes.groupBy("root").agg(F.min("id").alias("component_id"))
-    member = nodes.join(least, "root").select(F.col("v").alias("mv"), "n_links", "component_id")
-    linked = rows.filter("v is not null").join(member, F.col("v") == F.col("mv")).select("id", "n_links", "component_id")
+    member = stage(nodes.join(least, "root").select(F.col("v").alias("mv"), "n", "n_links", "component_id"), "members")
+    # Vectors with a thousandth of all rows, a thousand of them at most, are broadcast; so no join task gets one whole.
+    every = distinct.agg(F.sum("n")).first()[0] or 0
+    hot, same = F.broadcast(member.filter(F.col("n") * HOT >= every)), F.col("v") == F.col("mv")
+    whole = rows.filter("v is not null")
+    linked = whole.join(hot, same).select("id", "n_links", "component_id").union(whole.join(hot, same, "left_anti").join(member, same).select("id", "n_links", "component_id"))
     alone = rows.filter("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
