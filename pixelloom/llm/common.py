@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,8 @@ def stage(df: DataFrame, name: str, buckets: tuple[str, int] | None = None) -> D
             spark.conf.set(key, before)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if _open:
+        _open[-1].append(path)
     if not buckets:
         return spark.read.schema(df.schema).parquet(path)
     out = spark.table(unique)
@@ -67,12 +70,37 @@ def stage(df: DataFrame, name: str, buckets: tuple[str, int] | None = None) -> D
     return out
 
 
+#: Folders of the tables staged since settle() began, innermost last.
+_open: list[list[str]] = []
+
+
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stage what make() gives, and delete all that was staged on the way to it."""
+    _open.append([])
+    try:
+        df = make()
+        passing = _open[-1]
+        _open.append([])
+        try:
+            return stage(df, name)
+        finally:
+            _open.pop()
+            for path in passing:
+                _delete(spark, path)
+    finally:
+        _open.pop()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(file)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(spark, path)
 
 
 # ---------------------------------------------------------------- texts in Arrow buffers

@@ -242,12 +242,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, usable, label_col: str =
     usable(id): a condition that says whose labels may be learnt.  Labels other than 0 and 1 and null ids are set aside;
     of repeated labels of one id the largest counts; copies in the sample count once.  A null or empty text has no terms
     and gets the score of the bias; without labels of both kinds every score is their share of label 1, 0.5 without
-    labels; an empty table gives no rows.  Rows that share an id are scored each by itself.  Ids, labels and other
+    labels; an empty table gives no rows.  Ids are cast to long to find their labels.  Columns score and predicted that
+    docs has are replaced.  Rows that share an id are scored each by itself.  Ids, labels and other
     columns are no inputs of a score.
     """
     machine = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, label_col, usable, sample, id_col=id_col, text_col=text_col, **fit))
-    names = docs.columns
-    inner = docs.toDF(*[f"x{i}" for i in range(len(names))])
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    inner = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*[f"x{i}" for i in range(len(names))])
     inner = inner.withColumn("text", F.coalesce(F.col(f"x{names.index(text_col)}").cast("string"), F.lit("")))
 
     def score(it):

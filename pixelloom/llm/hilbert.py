@@ -73,7 +73,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
     size: UTF-8 bytes of the text (null: none) plus 1.  shard: the run, of `shards`, in which the middle of the row's
     unit falls, counting bytes along the curve; a unit of more than a shard's share is cut by its salts instead, which
     splits equal texts only if they alone have a thousandth of all rows.  slot: the row's number in its shard, from 0 and gapless.  grown_shard: null under this
-    law.  Null metadata and null ids are values like others; repeated rows get a slot each; an empty table gives none.
+    law.  Null metadata and null ids are values like others, ids are cast to long; repeated rows get a slot each; an empty table gives none.
     """
     if not 1 <= len(meta) + 1 <= 7:
         raise ValueError("one to six metadata columns")

@@ -195,11 +195,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, usable, label_col: str =
     labels of one id (of which the least counts) are set aside.  A null or empty text, or one that resembles no
     labelled row, gets the share of label 1 in the sample (0.5 without labels).  Voters with equal vectors are one, with
     the mean of their labels.  Ids, labels and other columns are no inputs of a score.  Every row of docs, repeated ones
-    too, is scored by itself; an empty table gives no rows.  docs must have no columns score and predicted of its own.
+    too, is scored by itself; an empty table gives no rows.  Ids are cast to long to find their labels.  Columns score and predicted that docs has are
+    replaced.
     """
     space = docs.sparkSession.sparkContext.broadcast(fit_space(docs, labels, label_col, usable, sample, id_col=id_col, text_col=text_col, **fit))
-    names = docs.columns
-    inner = docs.toDF(*[f"x{i}" for i in range(len(names))])
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    inner = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*[f"x{i}" for i in range(len(names))])
     inner = inner.withColumn("text", F.coalesce(F.col(f"x{names.index(text_col)}").cast("string"), F.lit("")))
     fields = inner.schema.fields[: len(names)]
 

@@ -245,7 +245,10 @@ def _roots(bare: DataFrame, rows: DataFrame, records: DataFrame, shingle: int) -
     placed = rooted()
     pairs = placed.alias("a").join(placed.alias("b"), F.expr(f"a.h = b.h and a.node < b.node and a.root <> b.root and {close('a', 'b')}"))
     pairs = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-    return components(found.union(verified(pairs)))
+    out = components(found.union(verified(pairs)))
+    for table in (hits, prints, linked):
+        release(table)
+    return out
 
 
 def shingle_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, batches, eight, gather, stage, text_buffer, word_spans
+from .common import LOWER, SPACED, batches, eight, gather, release, stage, text_buffer, word_spans
 from .components import components, union
 
 SEED = 42
@@ -230,7 +230,9 @@ def near_fingerprints(fps: DataFrame, radius: int = 2, cell_rows: int = 200_000)
     whole = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("part")))
     by_bits = F.array(*[F.struct(F.lit(k).alias("k"), F.pmod(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask.view(np.int64).item()))), "parts").alias("part")) for k, mask in enumerate(_blocks(radius))])
     tasks = visited.join(sizes, "cell").select("cell", "fp", "home", F.explode(F.when(F.col("parts") == 1, whole).otherwise(by_bits)).alias("to"))
-    return tasks.select("cell", "to.k", "to.part", "fp", "home").groupBy("cell", "k", "part").applyInArrow(meet, "u long, v long")
+    links = stage(tasks.select("cell", "to.k", "to.part", "fp", "home").groupBy("cell", "k", "part").applyInArrow(meet, "u long, v long").distinct(), "links")
+    release(visited)
+    return links
 
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -253,11 +255,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: s
     Words: maximal runs of bytes other than space and \\x09-\\x0D, after A-Z are lower-cased.  A text of fewer words than
     a shingle is one shingle; a null text, or one without words, has fingerprint 0, which links like any other.  Equal
     fingerprints (so all copies) are one node; documents with a null id get the least id of their group, null if it has
-    none.  Repeated rows are rows of their own with the same answer.
+    none; other ids are cast to long.  Repeated rows are rows of their own with the same answer; an empty table gives none.
     """
     table = stage(fingerprint_table(docs, id_col, text_col, shingle), "fingerprints")
     nodes = stage(table.groupBy("fp").agg(F.min("doc").alias("least")), "nodes")
-    roots = components(near_fingerprints(nodes, radius))
+    links = near_fingerprints(nodes, radius)
+    roots = components(links)
+    release(links)
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = rooted.join(least, "root").select("fp", "component_id")

@@ -146,7 +146,7 @@ def suffix_dedup(docs: DataFrame, window: int = 100, id_col: str = "doc_id", tex
 
     kept: binary, the bytes that no repeated window covers (cuts may fall within a character); spans: the bytes removed,
     from 0, ends exclusive.  Earlier means a smaller id, or the same document and an earlier start; rows that share an id
-    have a fixed order that their texts decide.  Null or empty text: no bytes.  Null ids come before all others.  window: 64 at least.
+    have a fixed order that their texts decide.  Null or empty text: no bytes.  Null ids come before all others; ids are cast to long.  window: 64 at least.
     """
     if window < 2 * PERIOD:
         raise ValueError(f"window must be {2 * PERIOD} or more")

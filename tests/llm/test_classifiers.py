@@ -159,3 +159,5 @@ def test_odd_tables(spark, tables, make):
     extra = spark.createDataFrame([(1, "a b", 1, "z"), (1, "a b", 2, "z"), (None, "c", 3, None)], "doc_id long, text string, x0 int, label string")
     out = make(extra, odd, every)
     assert out.columns == ["doc_id", "text", "x0", "label", "score", "predicted"] and out.count() == 3
+    own = make(docs, labels, every)  # has a column score, which is replaced
+    assert own.columns == ["doc_id", "text", "score", "predicted"] and dict(own.dtypes)["score"] == "double" and own.count() == docs.count()
