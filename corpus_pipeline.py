@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return
 the columns of documents, and pass others by, whatever their names.  A stage judges rows, never ids: rows may share an
-id or have none.  run() writes each stage to the shared folder and reads it again as the next one's input.
+id or have none.  run() writes each stage to the shared folder, reads it again as the next one's input, and
+deletes what the stage needed on the way.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import release, stage
+from pixelloom.llm.common import release, settle
 from pixelloom.llm.decontaminate import decontaminate
 from pixelloom.llm.fm_toxicity import remainder
 from pixelloom.llm.knn_quality import quality_scores
@@ -83,7 +84,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given = _table(spark, sf_dir, "documents")
     for name, function in STAGES:
-        following = stage(function(spark, docs, sf_dir), name)
+        following = settle(spark, lambda: function(spark, docs, sf_dir), name)  # noqa: B023
         if docs is not given:
             release(docs)
         docs = following
