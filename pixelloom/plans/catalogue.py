@@ -534,7 +534,20 @@ def scale_mixed(spark, sf_dir):
     return checksum(resample.scale_each(views.synth(spark, sf_dir), 0.4))
 
 
-@query()
+_TURN = "0.8660254037844386::DOUBLE", "0.5::DOUBLE"  # cosine and sine of 30 degrees
+_CUBIC = "(CASE WHEN abs({0}) < 1 THEN 1.5 * pow(abs({0}), 3) - 2.5 * pow({0}, 2) + 1 WHEN abs({0}) < 2 THEN -0.5 * pow(abs({0}), 3) + 2.5 * pow({0}, 2) - 4 * abs({0}) + 2 ELSE 0 END)"
+
+
+@query(
+    f", c AS (SELECT image_id, x, y, x - 2.5::DOUBLE AS dx, y - 2.5::DOUBLE AS dy FROM (SELECT DISTINCT image_id FROM rgba4), (SELECT unnest(range(6)) AS x), (SELECT unnest(range(6)) AS y)), "
+    f"g AS (SELECT image_id, x, y, round({_TURN[0]} * dx + {_TURN[1]} * dy + 1.5, 9) AS sx, round({_TURN[0]} * dy - {_TURN[1]} * dx + 1.5, 9) AS sy FROM c), "
+    f"t AS (SELECT g.*, floor(sx)::INTEGER + i AS px, floor(sy)::INTEGER + j AS py, {_CUBIC.format('(sx - floor(sx) - i)')} * {_CUBIC.format('(sy - floor(sy) - j)')} AS k FROM g, (SELECT unnest(range(-1, 3)) AS i), (SELECT unnest(range(-1, 3)) AS j)), "
+    "s AS (SELECT t.image_id, t.x, t.y, sx, sy, sum(k * p.a) AS pa, " + ", ".join(f"sum(k * p.{c} * p.a / 255.0::DOUBLE) AS p{c}" for c in "rgb")
+    + " FROM t JOIN rgba4 p ON p.image_id = t.image_id AND p.x = greatest(0, least(3, px)) AND p.y = greatest(0, least(3, py)) GROUP BY 1, 2, 3, 4, 5), "
+    "a AS (SELECT *, CASE WHEN sx > -0.5 AND sx < 3.5 AND sy > -0.5 AND sy < 3.5 THEN greatest(0, least(255, floor(pa + 0.5))) ELSE 0 END AS a FROM s), "
+    "v AS (SELECT image_id, x, y, a, " + ", ".join(f"CASE WHEN a > 0 THEN greatest(0, least(255, floor(p{c} * 255 / a + 0.5))) ELSE 0 END AS {c}" for c in "rgb") + " FROM a) "
+    "SELECT image_id, 6 AS width, 6 AS height, list((((a::BIGINT * 256 + r) * 256 + g) * 256 + b)::BIGINT ORDER BY y, x) AS argb FROM v GROUP BY 1"
+)
 def rotate_any(spark, sf_dir):
     return grouped.rotated(pixels.assemble(views.rgba4(spark, sf_dir)), 30)
 
@@ -572,6 +585,15 @@ def quantize_two(spark, sf_dir):
     return found.filter("not lossless")
 
 
+@query(", b AS (SELECT image_id, CASE WHEN image_id % 2 = 0 THEN 255 * (gray > 100)::INTEGER ELSE gray END AS v FROM gray8) SELECT image_id, count(DISTINCT v) <= 2 AS is_binary FROM b GROUP BY 1")
+def binary_files(spark, sf_dir):
+    """Whether a file holds one bit a pixel, by its header: of the images, every second one is black and white."""
+    p = views.gray8_pixels(spark, sf_dir)
+    level = lambda c: F.when(F.col("image_id") % 2 == 0, F.when(F.col(c) > 100, 255).otherwise(0)).otherwise(F.col(c)).alias(c)
+    files = grouped.encode_png(p.select("image_id", "width", "height", "x", "y", "a", *map(level, "rgb")), Options(max_colors=256, importance=0))
+    return files.select("image_id", images.is_binary_file(F.col("content")).alias("is_binary"))
+
+
 @query(f", out AS (SELECT image_id, width, height, x, y, a, " + ", ".join(f"CASE WHEN a = 0 THEN 0 ELSE {c} END AS {c}" for c in "rgb") + f" FROM rgba4) {CHECK}")
 def encode_png_lossless(spark, sf_dir):
     """Encoded with a palette, decoded again: the pixels of the view, but for colours that no one sees."""

@@ -34,6 +34,12 @@ def native_size(content: Column) -> Column:
     return F.when(is_png, size(number(16, 4), number(20, 4))).when(is_gif, size(number(6, 2, True), number(8, 2, True))).when(is_bmp, size(signed(number(18, 4, True)), F.abs(signed(number(22, 4, True)))))
 
 
+def is_binary_file(content: Column) -> Column:
+    """Whether a PNG holds grey levels or palette entries of one bit a pixel, by its header alone; null for other files."""
+    part = lambda at, n: F.hex(F.substring(content, at + 1, n))
+    return F.when((part(0, 4) == "89504E47") & (part(12, 4) == "49484452"), (part(24, 1) == "01") & part(25, 1).isin("00", "03"))
+
+
 def _bytes(content: Column, at: int, n: int, little: bool) -> Column:
     order = range(n - 1, -1, -1) if little else range(n)
     return F.concat(*[F.hex(F.substring(content, at + i + 1, 1)) for i in order])
@@ -63,12 +69,12 @@ def with_profile(content: pd.Series, icc: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def text_metadata(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: png.read_text(bytes(c)) if c is not None else {})
+    return content.map(lambda c: formats.read_text(bytes(c)) if c is not None else {})
 
 
 @F.pandas_udf(T.BinaryType())
 def add_text(content: pd.Series, entries: pd.Series) -> pd.Series:
-    return pd.Series([png.write_text(bytes(c), dict(e or {})) if c is not None else None for c, e in zip(content, entries)])
+    return pd.Series([formats.write_text(bytes(c), dict(e or {})) if c is not None else None for c, e in zip(content, entries)])
 
 
 @F.udtf(returnType="pos long, type string, length long, data binary")

@@ -244,3 +244,29 @@ def test_tiff_reads_back_and_refuses_others():
         assert (formats.read_tiff(formats.write_tiff(r)) == r).all()
     with pytest.raises(ValueError):
         formats.read_tiff(b"II*\1" + bytes(20))
+
+
+def test_comments_of_jpeg_and_gif(spark, tmp_path):
+    r = smooth(30, 20)
+    for name, data in (("a.jpg", lossy.write_jpeg(r)), ("b.gif", lossy.write_gif(r))):
+        assert formats.read_text(data) == {}
+        tagged = formats.write_text(formats.write_text(data, {"Title": "one"}), {"Title": "two " * 100})
+        assert formats.read_text(tagged) == {"comment": "two " * 100}
+        assert formats.image_size(tagged) == (30, 20)
+        (tmp_path / name).write_bytes(tagged)
+    assert {(x.width, x.height) for x in images.read_images(spark, str(tmp_path)).collect()} == {(30, 20)} and images.read_images(spark, str(tmp_path)).count() == 2
+    assert formats.read_text(b"no image at all, but long enough") == {} and formats.write_text(b"no", {}) is None and formats.read_text(b"\xff\xd8\xff\xe0\0\1") == {}
+
+
+def test_counts_of_a_stream(spark, tmp_path):
+    from pixelloom.streaming.ingest import size_counts, stream_files
+
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / f"in/{i}.png").write_bytes(png.fast(raster(4 + i, 3)))
+    (tmp_path / "in/none.png").write_bytes(b"no image")
+    q = size_counts(stream_files(spark, str(tmp_path / "in")), window="36500 days").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.sql("SELECT sum(images) AS n, sum(bytes) AS b FROM counts").collect()
+    assert [(x.n, x.b) for x in rows] == [(5, sum(f.stat().st_size for f in (tmp_path / "in").iterdir()))]
