@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACED, batches, gather, in_blocks, mix, pair, release, stage, text_buffer, word_codes, word_spans
+from .common import LOWER, SPACED, batches, gather, in_blocks, mix, pair, release, settle, stage, text_buffer, word_codes, word_spans
 from .components import components
 from .repeats import in_order, key_bounds, pack, unpack
 from .simhash import majority, near_fingerprints
@@ -184,7 +184,9 @@ def near_groups(docs: DataFrame, shingle: int, id_col: str, text_col: str, extra
 
     records = stage(bare.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(hit, "h long, node long, size int, place int"), "shared_prefixes")
     release(sent)
-    return Near(blocks, rows, _roots(bare, rows, records.distinct(), shingle))
+    roots = settle(docs.sparkSession, lambda: _roots(bare, rows, records.distinct(), shingle), "roots")
+    release(records)
+    return Near(blocks, rows, roots)
 
 
 def _roots(bare: DataFrame, rows: DataFrame, records: DataFrame, shingle: int) -> DataFrame:
@@ -245,10 +247,7 @@ def _roots(bare: DataFrame, rows: DataFrame, records: DataFrame, shingle: int) -
     placed = rooted()
     pairs = placed.alias("a").join(placed.alias("b"), F.expr(f"a.h = b.h and a.node < b.node and a.root <> b.root and {close('a', 'b')}"))
     pairs = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-    out = components(found.union(verified(pairs)))
-    for table in (hits, prints, linked):
-        release(table)
-    return out
+    return components(found.union(verified(pairs)))
 
 
 def shingle_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
@@ -271,7 +270,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
     near = near_groups(docs, shingle, id_col, text_col, rest, **sizes)
     member = near.rows.join(near.roots, "node", "left").select("row", "known", "id", F.coalesce("root", "node").alias("component"))
     first = member.groupBy("component").agg(F.min(F.struct(~F.col("known"), "id", "row")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("component", F.col("m.row").alias("first"))
-    gone = member.join(first, "component").filter("row <> first").select(F.shiftright("row", 24).alias("block"), "row")
+    # Staged, so that a join with one very large group can be split, or the few groups broadcast.
+    gone = member.join(stage(first, "firsts"), "component").filter("row <> first").select(F.shiftright("row", 24).alias("block"), "row")
     names = ["doc", "text", *[f"x{i}" for i in range(len(rest))]]
     fields = {f.name: f for f in near.blocks.schema.fields}
 
