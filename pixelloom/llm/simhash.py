@@ -160,19 +160,19 @@ def _blocks(radius: int) -> list[np.uint64]:
     return [np.uint64(sum(1 << b for b in range(lo, hi))) for lo, hi in zip(cuts[:-1], cuts[1:])]
 
 
-def link(fp: np.ndarray, home: np.ndarray, radius: int, only: int = -1) -> np.ndarray:
-    """Labels (least index of the set) after linking all pairs of distinct fingerprints within the radius.
+def link(fp: np.ndarray, home: np.ndarray, cell: np.ndarray, radius: int, only: int = -1) -> np.ndarray:
+    """Labels (least index of the set) after linking all pairs of distinct fingerprints of one cell within the radius.
 
-    A pair counts if one of the two is at home here.  only: the one block of bits in which pairs are to agree.  A
+    A pair counts if one of the two is at home there.  only: the one block of bits in which pairs are to agree.  A
     block's group is compared pairwise while small; in a large one each member looks up its neighbours by flipping the
     other bits, so the work is linear in the group.
     """
     label = np.arange(len(fp))
     for mask in _blocks(radius)[only:][:1] if only >= 0 else _blocks(radius):
         key = fp & mask
-        order = np.lexsort((fp, key))
-        k = key[order]
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        order = np.lexsort((fp, key, cell))
+        k, c = key[order], cell[order]
+        starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(k) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(k)))
         flips = _flips([b for b in range(64) if not int(mask) >> b & 1], radius)[1:]
         small = (sizes > 1) & (sizes <= len(flips))
@@ -220,17 +220,19 @@ def near_fingerprints(fps: DataFrame, radius: int = 2, cell_rows: int = 200_000)
 
     def meet(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
-        label = link(fp, table.column("home").to_numpy(), radius, table.column("k")[0].as_py())
+        label = link(fp, table.column("home").to_numpy(), table.column("cell").to_numpy(), radius, table.column("k")[0].as_py())
         some = np.flatnonzero(label != np.arange(len(label)))
         signed = fp.view(np.int64)
         return pa.table({"u": pa.array(signed[some]), "v": pa.array(signed[label[some]])})
 
     visited = stage(fps.select("fp").mapInArrow(visit, "cell long, fp long, home boolean"), "cells")
     sizes = visited.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).alias("parts"))
-    whole = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("part")))
-    by_bits = F.array(*[F.struct(F.lit(k).alias("k"), F.pmod(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask.view(np.int64).item()))), "parts").alias("part")) for k, mask in enumerate(_blocks(radius))])
+    # Small cells are put together to tasks of about a quarter of cell_rows.
+    together = visited.count() * 4 // cell_rows + 1
+    whole = F.array(F.struct(F.lit(-1).alias("k"), F.lit(None).cast("long").alias("one"), F.pmod(F.xxhash64("cell"), F.lit(together)).alias("part")))
+    by_bits = F.array(*[F.struct(F.lit(k).alias("k"), F.col("cell").alias("one"), F.pmod(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask.view(np.int64).item()))), "parts").alias("part")) for k, mask in enumerate(_blocks(radius))])
     tasks = visited.join(sizes, "cell").select("cell", "fp", "home", F.explode(F.when(F.col("parts") == 1, whole).otherwise(by_bits)).alias("to"))
-    links = stage(tasks.select("cell", "to.k", "to.part", "fp", "home").groupBy("cell", "k", "part").applyInArrow(meet, "u long, v long").distinct(), "links")
+    links = stage(tasks.select("cell", "to.k", "to.one", "to.part", "fp", "home").groupBy("one", "k", "part").applyInArrow(meet, "u long, v long").distinct(), "links")
     release(visited)
     return links
 

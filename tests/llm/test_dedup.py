@@ -280,7 +280,8 @@ def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 180)] + [(500, i) for i in range(501, 600)] + [(r.randint(700, 800), r.randint(700, 800)) for _ in range(70)]
     nodes = {x for e in edges if e[0] != e[1] for x in e}
-    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = groups(edges, {x for e in edges for x in e})
-    assert got == {n: w for n, w in want.items() if n in nodes and w != n}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    for limit in (1 << 20, 0):  # in one task, and in many
+        got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long"), limit).collect()}
+        assert got == {n: w for n, w in want.items() if n in nodes and w != n}
+        assert components(spark.createDataFrame([], "u long, v long"), limit).count() == 0
