@@ -79,16 +79,13 @@ def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Dat
     _open.append([])
     try:
         df = make()
-        passing = _open[-1]
-        _open.append([])
-        try:
-            return stage(df, name)
-        finally:
-            _open.pop()
-            for path in passing:
-                _delete(spark, path)
     finally:
-        _open.pop()
+        passing = _open.pop()
+    try:
+        return stage(df, name)
+    finally:
+        for path in passing:
+            _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
