@@ -3,9 +3,14 @@
 import importlib
 import sys
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pixelloom.plans import catalogue
+from pixelloom.operators import grouped, kernels
+from pixelloom.operators.kernels import Options
+from pixelloom.plans import catalogue, views
+from pixelloom.sources import png
 from tests.oracle import connection, rows_of, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
@@ -23,9 +28,74 @@ def test_equals_sql(spark, duck, name):
     assert got[1] == want[1]
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.ORACLES])
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
+def test_only_these_have_no_sql():
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"quantize", "encode_png", "quantize_dither"}
+
+
+def rasters_of(spark, view, some):
+    """(h, w, 4: a, r, g, b) of some images of a view."""
+    out = {}
+    for r in getattr(views, view)(spark, SF).filter(F.col("image_id").isin(some)).collect():
+        out.setdefault(r.image_id, np.zeros((r.height, r.width, 4), np.int64))[r.y, r.x] = (r.a, r.r, r.g, r.b)
+    return out
+
+
+def naive_weights(raster, strength=3.0):
+    """By a least-squares plane through each pixel's surroundings, then the least weight around it."""
+    p = raster[..., 1:] * raster[..., :1] / 255.0
+    p = np.concatenate([p, raster[..., :1]], axis=2)
+    h, w, _ = p.shape
+    grid = np.array([(u, v, 1) for v in (-1, 0, 1) for u in (-1, 0, 1)], float)
+    weight = np.zeros((h, w), int)
+    for y in range(h):
+        for x in range(w):
+            near = np.array([p[min(max(y + v, 0), h - 1), min(max(x + u, 0), w - 1)] for u, v, _ in grid.astype(int)])
+            fit = np.linalg.lstsq(grid, near, rcond=None)[0]
+            d = np.sqrt(round(((near - grid @ fit) ** 2).sum(), 9) / 6) / 12
+            weight[y, x] = int(strength / (1 + d * d) + 0.5) + 1
+    wide = np.pad(weight, 1, "edge")
+    return np.min([wide[v : v + h, u : u + w] for v in range(3) for u in range(3)], axis=0)
+
+
+def naive_palette(raster, weight, options):
+    packed = grouped.pack(raster)
+    packed = np.where(raster[..., 0].ravel() == 0, 0, packed)
+    keys, first, of = np.unique(packed, return_index=True, return_inverse=True)
+    flat, w = raster.reshape(-1, 4).astype(float), weight.ravel().astype(float)
+    cnt = np.bincount(of, weights=w)
+    sums = np.stack([np.bincount(of, weights=w * flat[:, c] * (flat[:, 0] if c else 1)) for c in (1, 2, 3, 0)], axis=1)
+    order = np.argsort(first)
+    pal, label, lossless = kernels.quantize_histogram(cnt[order], sums[order], options)
+    return {int(k): int(i) for k, i in zip(keys[order], label)}, pal, lossless
+
+
+def test_quantize_by_naive_weights_and_histograms(spark):
+    some = [1, 2, 3, 5, 8, 13]
+    found = {}
+    for r in catalogue.QUERIES["quantize"](spark, SF).filter(F.col("image_id").isin(some)).collect():
+        found.setdefault(r.image_id, {})[r.key] = (r.idx, r.a, r.r, r.g, r.b, r.bits, r.lossless)
+    for image, raster in rasters_of(spark, "synth", some).items():
+        index, pal, lossless = naive_palette(raster, naive_weights(raster), Options(max_colors=16))
+        assert found[image] == {k: (i, *pal[i].tolist(), 0, lossless) for k, i in index.items()}
+
+
+@pytest.mark.parametrize("name,view,options", [("encode_png", "synth", Options(max_colors=16)), ("quantize_dither", "rgba4", Options(max_colors=4, dither=0.5))])
+def test_encoded_files_hold_the_reduced_pixels(spark, name, view, options):
+    some = [0, 1, 2, 3, 5, 8]
+    rows = catalogue.QUERIES[name](spark, SF).filter(F.col("image_id").isin(some)).collect()
+    rasters = rasters_of(spark, view, some)
+    assert {r.image_id for r in rows} == set(rasters) and len(rows) >= 5
+    for r in rows:
+        raster = rasters[r.image_id]
+        index, pal, lossless = naive_palette(raster, naive_weights(raster), options)
+        got = png.decode(bytes(r.content))
+        assert (r.width, r.height, r.colors, r.lossless) == (raster.shape[1], raster.shape[0], len(pal), lossless)
+        if options.dither and not lossless:
+            want = pal[kernels.dither_palette(raster, pal, options.dither)]
+        else:
+            keys = np.where(raster[..., 0] == 0, 0, grouped.pack(raster).reshape(raster.shape[:2]))
+            want = pal[np.vectorize(index.get)(keys)]
+        assert (got == want).all()
 
 
 def test_entry(spark):
@@ -46,9 +116,7 @@ def test_entry_without_the_optional_package(monkeypatch):
 
 
 def test_same_rows_from_one_partition_and_many(spark):
-    from pixelloom.operators import grouped, stencil
-    from pixelloom.operators.kernels import Options
-    from pixelloom.plans import views
+    from pixelloom.operators import stencil
 
     p = views.synth(spark, SF).filter("image_id < 20")
     for make in (lambda d: stencil.importance(d), lambda d: grouped.palettes(d, Options(max_colors=8))):
@@ -56,8 +124,6 @@ def test_same_rows_from_one_partition_and_many(spark):
 
 
 def test_skips_unused_columns_and_pushes_filters(spark):
-    from pixelloom.plans import views
-
     plan = catalogue.QUERIES["bayer"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "label" not in plan.split("ReadSchema")[1].split("\n")[0]
     assert "p_name" not in views.synth(spark, SF)._jdf.queryExecution().executedPlan().toString()
