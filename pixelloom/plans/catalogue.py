@@ -505,12 +505,7 @@ def box_shrink(spark, sf_dir):
     return resample.box_shrink(views.synth(spark, sf_dir), 3, 3).select("image_id", "x", "y", F.round("pa", 6).alias("pa"), F.round("pr", 6).alias("pr"))
 
 
-def _mitchell_sql(target: int) -> str:
-    rows = ", ".join(f"({i}, {k}, {w!r}::DOUBLE)" for i, k, w in resample.weights(8, target))
-    return f", w(t, s, w) AS (VALUES {rows}), h AS (SELECT image_id, y, t, sum(gray * w) AS g FROM gray8 JOIN w ON x = s GROUP BY 1, 2, 3), v AS (SELECT image_id, h.t AS x, w.t AS y, sum(g * w) AS g FROM h JOIN w ON y = s GROUP BY 1, 2, 3) SELECT image_id, x::INTEGER AS x, y::INTEGER AS y, greatest(0, least(255, floor(round(g, 9) + 0.5)))::INTEGER AS r FROM v"
-
-
-@query(_mitchell_sql(5))
+@query(", five AS (SELECT *, 5 AS tw, 5 AS th FROM gray8p), " + _resize_sql("out", "five") + " SELECT image_id, x, y, r FROM out")
 def mitchell_resize(spark, sf_dir):
     return resample.resize(views.gray8_pixels(spark, sf_dir), 8, 8, 5, 5).select("image_id", "x", "y", "r")
 
@@ -622,6 +617,15 @@ def png_thumbnail(spark, sf_dir):
     return checksum(pixels.explode_pixels(images.decode_png(_files(spark, sf_dir), step_to=(2, 2))))
 
 
+@query(f", out AS (SELECT * FROM rgba4) {CHECK}")
+def image_source(spark, sf_dir):
+    """Files written by executors and read by the built-in image source: the pixels of the view."""
+    folder = images.scratch_folder(spark)
+    images.write_files(grouped.fast_png(pixels.assemble(views.rgba4(spark, sf_dir))), folder, "png")
+    number = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long")
+    return checksum(pixels.explode_pixels(images.read_images(spark, folder).withColumn("image_id", number)))
+
+
 def _files(spark, sf_dir):
     return grouped.fast_png(pixels.assemble(views.synth(spark, sf_dir)))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -131,25 +134,44 @@ def decode_tiff(files: DataFrame) -> DataFrame:
     return files.select(F.col("image_id").cast("long"), "content").mapInArrow(lambda it: _rows(it, formats.read_tiff), RASTER)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str, step_to: tuple[int, int] | None = None) -> DataFrame:
     """(path, width, height, argb) through the built-in image source: PNG, JPEG, GIF, BMP, TIFF; undecodable files are dropped.
 
-    The source's bytes are BGR, BGRA or grey, row by row.
+    The source's bytes are BGR, BGRA or grey, row by row.  step_to: a target size for which pixels are decimated, by a
+    power of two that leaves twice the target, before anything is made of them.
     """
     images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
 
     def unpack(it):
+        from pixelloom.operators.resample import subsampling
+
         for batch in it:
-            for row in batch.to_pylist():
-                d = np.frombuffer(row["data"], np.uint8).reshape(-1, row["nChannels"]).astype(np.int64)
-                a = d[:, 3] if row["nChannels"] == 4 else np.full(len(d), 255)
-                b, g, r = (d[:, 0], d[:, 1], d[:, 2]) if row["nChannels"] >= 3 else (d[:, 0],) * 3
-                packed = a << 24 | r << 16 | g << 8 | b
-                yield pa.RecordBatch.from_pydict({"path": pa.array([row["origin"]]), "width": pa.array([row["width"]], pa.int32()), "height": pa.array([row["height"]], pa.int32()), "argb": pa.array([packed], pa.list_(pa.int64()))})
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in ("origin", "width", "height", "nChannels", "data")}
+                w, h, n = (row[c].as_py() for c in ("width", "height", "nChannels"))
+                step = subsampling(w, h, *step_to) if step_to else 1
+                d = np.frombuffer(row["data"].as_buffer(), np.uint8).reshape(h, w, n)[::step, ::step].astype(np.int64)
+                a = d[..., 3] if n == 4 else np.full(d.shape[:2], 255)
+                b, g, r = (d[..., min(c, n - 1)] if n >= 3 else d[..., 0] for c in range(3))
+                packed = (a << 24 | r << 16 | g << 8 | b).ravel()
+                yield pa.RecordBatch.from_pydict({"path": pa.array([row["origin"].as_py()]), "width": pa.array([d.shape[1]], pa.int32()), "height": pa.array([d.shape[0]], pa.int32()), "argb": pa.array([packed], pa.list_(pa.int64()))})
 
     return images.mapInArrow(unpack, "path string, width int, height int, argb array<bigint>")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that all machines share, below spark.checkpoint.dir, or a temporary one on this machine alone; gone when the JVM ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="pixelloom-")
+    path = f"{top.rstrip('/')}/files-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def encode_files(rasters: DataFrame, kind: str, quality: float = -1) -> DataFrame:
     """(image_id, content) of rasters as PNG, BMP, TIFF, JPG or GIF files, made on the executors.
 
@@ -176,11 +198,9 @@ def write_files(files: DataFrame, path: str, suffix: str) -> int:
     """
 
     def write(it):
-        import uuid
-
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
         store.create_dir(base)
         for batch in it:
             done = 0

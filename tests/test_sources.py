@@ -270,3 +270,13 @@ def test_counts_of_a_stream(spark, tmp_path):
     q.stop()
     rows = spark.sql("SELECT sum(images) AS n, sum(bytes) AS b FROM counts").collect()
     assert [(x.n, x.b) for x in rows] == [(5, sum(f.stat().st_size for f in (tmp_path / "in").iterdir()))]
+
+
+def test_the_image_source_with_a_target_size(spark, tmp_path):
+    big = smooth(64, 48)
+    (tmp_path / "a.jpg").write_bytes(lossy.write_jpeg(big, 0.95))
+    (tmp_path / "b.png").write_bytes(png.fast(big, False))
+    (tmp_path / "c.png").write_bytes(png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 2, 8, 0, 0, 0, 0)) + png.chunk(b"IDAT", zlib.compress(b"\0\1\2\3\4" * 2)) + png.chunk(b"IEND"))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in images.read_images(spark, str(tmp_path), step_to=(8, 6)).collect()}
+    assert {k: (r.width, r.height) for k, r in rows.items()} == {"a.jpg": (16, 12), "b.png": (16, 12), "c.png": (4, 2)}
+    assert rows["b.png"].argb == pack(big[::4, ::4]).tolist() and [x & 255 for x in rows["c.png"].argb] == [1, 2, 3, 4] * 2
