@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from .common import gather, grams, in_blocks, mix, pair, stage, text_buffer
 
 _INDEX_BITS = np.uint64(24)
+#: Symbols that are fingerprinted at once: arrays of so many stay in a core's cache.
+CHUNK = 1 << 15
 ANCHORS, PHRASES, WINDOWS, SYMBOLS = range(4)
 
 
@@ -95,16 +97,20 @@ def phrases(codes: np.ndarray, docs: np.ndarray, window: int, gram: int, most: i
     if n >= most:
         # Places are kept in 24 bits: longer blocks are looked at in pieces that have W - 1 symbols in common.
         return _pieces(codes, docs, window, gram, most, span)
-    g = grams(codes, gram, span)
-    # Sliding minimum over window - gram + 1 anchors; the place breaks ties, to the left.
-    least = ((g >> _INDEX_BITS) << _INDEX_BITS) | np.arange(len(g), dtype=np.uint64)
-    width, want = 1, window - gram + 1
-    while width * 2 <= want:
-        least = np.minimum(least[: len(least) - width], least[width:])
-        width *= 2
-    if want > width:
-        least = np.minimum(least[: len(least) - (want - width)], least[want - width :])
-    place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+    g, place = np.empty(n - gram + 1, np.uint64), np.empty(n - window + 1, np.int64)
+    for lo in range(0, len(place), CHUNK):
+        hi = min(lo + CHUNK, len(place))
+        part = grams(codes[lo : hi + window - 1], gram, span)
+        g[lo : lo + len(part)] = part
+        # Sliding minimum over window - gram + 1 anchors; the place breaks ties, to the left.
+        least = ((part >> _INDEX_BITS) << _INDEX_BITS) | np.arange(len(part), dtype=np.uint64)
+        width, want = 1, window - gram + 1
+        while width * 2 <= want:
+            least = np.minimum(least[: len(least) - width], least[width:])
+            width *= 2
+        if want > width:
+            least = np.minimum(least[: len(least) - (want - width)], least[want - width :])
+        place[lo:hi] = (least & np.uint64((1 << 24) - 1)).astype(np.int64) + lo
     # Starts whose window lies in one document.
     edge = np.zeros(n + 2, np.int8)
     long = np.flatnonzero(np.diff(docs) >= window)
