@@ -1,8 +1,11 @@
 """Cells, blocks and links against brute force."""
 
+import time
+
 import numpy as np
 import pytest
 
+from pixelloom.llm import embed_dedup
 from pixelloom.llm.embed_dedup import cells_of, embedding_groups, spherical_kmeans
 from tests.llm.test_dedup import groups
 
@@ -53,3 +56,37 @@ def test_odd_tables(spark):
     rows = [(None, [1.0, 2.0], 1, "a"), (4, [1.0, 2.0], 1, "a"), (4, [1.0, 2.0], 2, "b"), (None, [5.0, -1.0], 1, "a"), (None, None, 1, "a")]
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embedding_groups(spark.createDataFrame(rows, schema)).collect())
     assert got == sorted([("None", 2, "4", False), ("4", 2, "4", True), ("4", 2, "4", True), ("None", 0, "None", True), ("None", 0, "None", True)])
+
+
+def test_disk_of_vectors_without_clusters(spark, monkeypatch):
+    """Each vector visits some twenty of 64 cells: what leaves for them at once, and what is left behind, is a few times the input."""
+    monkeypatch.setattr(embed_dedup, "WAVE", 1, raising=False)
+    r = np.random.default_rng(5)
+    x = r.standard_normal((6000, 64))
+    x[:1500] = x[1500:3000] + r.uniform(0.25, 0.4, (1500, 1)) * r.standard_normal((1500, 64))  # on both sides of the threshold
+    x = x.astype(np.float32)
+    jvm, sc = spark.sparkContext._gateway.jvm, spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    def left():
+        files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    known, before = stages(), left()
+    out = embedding_groups(rows)
+    for _ in range(20):  # files go a moment after their job
+        if (more := left() - before) <= x.nbytes:
+            break
+        time.sleep(0.5)
+    assert more <= x.nbytes
+    written = [n for k, n in stages().items() if k not in known]
+    assert max(written) <= 4 * x.nbytes < sum(written)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    close = u @ u.T >= 0.95
+    assert 300 < close.sum() - len(x) < 2700
+    assert {r.vec_id: r.n_links for r in out.collect()} == dict(enumerate((close.sum(axis=1) - 1).tolist()))
