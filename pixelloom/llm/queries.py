@@ -13,13 +13,18 @@ from .hilbert import oracle as shards_oracle
 from .knn_quality import quality_scores
 from .license_scan import license_scan
 from .license_scan import oracle as license_oracle
+from .segment_bpe import bpe_encode
 from .simhash import hex_fingerprint, simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_alignment import token_alignment
 from .wfst import encode_documents
 
 #: A public SentencePiece model; operators take its path as a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Public tokenizer files: byte-level BPE, and BPE with word ends.
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
 #: Words within which all words of a benchmark window stand in a proximity match.
 NEAR = 20
 
@@ -74,6 +79,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated", "n_near")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(_table(spark, sf_dir, "documents"), BYTE_BPE, MODEL)
+
+
+def op12_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(_table(spark, sf_dir, "documents"), WORD_BPE).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -158,5 +171,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op3_license_scan, op4_wfst_sentencepiece, op5_embedding_dedup, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op3_license_scan, op4_wfst_sentencepiece, op5_embedding_dedup, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate, op11_token_alignment, op12_segment_bpe)}
 ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_license_scan": license_oracle(), "op5_embedding_dedup": OP5_SQL, "op8_suffix_dedup": OP8_SQL, "op9_hilbert_shards": shards_oracle(), "op10_decontaminate": OP10_SQL}
