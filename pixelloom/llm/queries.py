@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .decontaminate import decontaminate
 from .embed_dedup import embedding_groups
 from .fm_toxicity import remainder, toxicity_scores
@@ -87,6 +88,10 @@ def op12_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_table(spark, sf_dir, "documents"), WORD_BPE).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -171,5 +176,34 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op3_license_scan, op4_wfst_sentencepiece, op5_embedding_dedup, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate, op11_token_alignment, op12_segment_bpe)}
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_license_scan": license_oracle(), "op5_embedding_dedup": OP5_SQL, "op8_suffix_dedup": OP8_SQL, "op9_hilbert_shards": shards_oracle(), "op10_decontaminate": OP10_SQL}
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) AS p
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+), words AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1
+), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS front, array_to_string(w[cut + 1:], ' ') AS back FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+), scored AS (
+  SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, 2000000::HUGEINT * u.a // (l.f::HUGEINT + r.f) AS score
+  FROM cuts u JOIN f l ON l.lang = u.lang AND l.phrase = u.front JOIN f r ON r.lang = u.lang AND r.phrase = u.back
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), around AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, a, w, size, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM c WHERE k > 2)) GROUP BY ALL
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_fm_toxicity, op3_license_scan, op4_wfst_sentencepiece, op5_embedding_dedup, op6_knn_quality, op7_simhash, op8_suffix_dedup, op9_hilbert_shards, op10_decontaminate, op11_token_alignment, op12_segment_bpe, op13_collocations)}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_license_scan": license_oracle(), "op5_embedding_dedup": OP5_SQL, "op8_suffix_dedup": OP8_SQL, "op9_hilbert_shards": shards_oracle(), "op10_decontaminate": OP10_SQL, "op13_collocations": OP13_SQL}
