@@ -28,6 +28,8 @@ from .common import LOWER, batches, gather, grams, mix, pair, stage, strings, te
 LEAST, MOST, STRIPE = 16, 26, 16
 #: Bytes of text for each cell of a row.
 PER_CELL = 40
+#: Bytes of text that a task looks at at once.
+PIECE = 2 << 20
 #: Tasks whose sketches are merged at once.
 FAN = 64
 ROWS = 2
@@ -112,7 +114,7 @@ def frequent_bits(texts: DataFrame, power: int, longest: int, least: int) -> np.
     def sketch(it):
         rows = None
         task = TaskContext.get().partitionId()
-        for batch in batches(it, 60_000, 8 << 20):
+        for batch in batches(it, 60_000, PIECE):
             if rows is None:
                 rows = np.zeros((ROWS, 1 << power), kind)
             words = Words(batch.column(1), batch.column(0).to_pylist(), longest)
@@ -163,7 +165,7 @@ def phrase_counts(texts: DataFrame, longest: int, least: int) -> DataFrame:
         return out
 
     def survivors(it):
-        for batch in batches(it, 60_000, 8 << 20):
+        for batch in batches(it, 60_000, PIECE):
             words = Words(batch.column(1), batch.column(0).to_pylist(), longest)
             n, numbers = len(words.codes), words.numbers()
             ks, starts, counts = [], [], []

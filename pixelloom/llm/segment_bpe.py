@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -26,52 +27,100 @@ from .common import batches, gather
 _NEVER = 1 << 62
 
 
-def merge_word(ids: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
-    """The symbols that merging leaves of a word.  ranks: of a pair of ids, left << 32 | right, its rank and what it becomes."""
+def merge_word(ids: list[int], ranks: dict[int, int], made: list[int], shift: int) -> list[int]:
+    """The symbols that merging leaves of a word.
+
+    ranks: of a pair of ids, left << shift | right, its rank; made: of each rank the id that its pair becomes.
+    """
     n = len(ids)
     if n < 2:
         return ids
-    leaves = 1 << (n - 2).bit_length()
+    bits = (n - 2).bit_length()
+    leaves = 1 << bits
     get, tree = ranks.get, [_NEVER] * (2 * leaves)
-    for i in range(n - 1):
-        found = get(ids[i] << 32 | ids[i + 1])
-        if found is not None:
-            tree[leaves + i] = found[0] << 32 | i
+    left, k = ids[0], leaves
+    for right in ids[1:]:
+        rank = get(left << shift | right)
+        if rank is not None:
+            tree[k] = rank << bits | k - leaves
+        left = right
+        k += 1
     for k in range(leaves - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-    ids = [*ids]
-    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-    while (best := tree[1]) != _NEVER:
-        i = best & 0xFFFFFFFF
+    best = tree[1]
+    if best == _NEVER:
+        return ids
+    ids, after, before = [*ids], [*range(1, n + 1)], [*range(-1, n - 1)]
+    while best != _NEVER:
+        i = best & leaves - 1
         j = after[i]
-        ids[i] = get(ids[i] << 32 | ids[j])[1]
+        merged = ids[i] = made[best >> bits]
         ids[j] = -1
         last = after[i] = after[j]
+        rank = None
         if last < n:
             before[last] = i
+            rank = get(merged << shift | ids[last])
+        changed = [(leaves + i, _NEVER if rank is None else rank << bits | i)]
+        if j < n - 1:  # the last symbol has no leaf
+            changed.append((leaves + j, _NEVER))
         first = before[i]
-        for at, right in ((j, n), (i, last), (first, i)):
-            if at < 0:
-                continue
-            found = get(ids[at] << 32 | ids[right]) if right < n else None
-            k = leaves + at
-            if k >= 2 * leaves:  # the last symbol has no leaf
-                continue
-            value = _NEVER if found is None else found[0] << 32 | at
-            while k and tree[k] != value:
+        if first >= 0:
+            rank = get(ids[first] << shift | merged)
+            changed.append((leaves + first, _NEVER if rank is None else rank << bits | first))
+        for k, value in changed:
+            while tree[k] != value:
                 tree[k] = value
+                if k == 1:
+                    break
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
                 k >>= 1
-                if k:
-                    a, b = tree[2 * k], tree[2 * k + 1]
-                    value = a if a < b else b
+        best = tree[1]
     return [x for x in ids if x >= 0]
 
 
+class Recent:
+    """A table of at least `keep` and at most twice as many of the keys that were used last."""
+
+    def __init__(self, keep: int):
+        self.keep, self.new, self.old = keep, {}, {}
+
+    def get(self, key: str):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
+        if len(self.new) >= self.keep:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+def _ascii_words(spec: dict):
+    """What splits printable ASCII in small letters as the file's pre-tokenizer splits it, if it can be said in this way.
+
+    Such text needs no normaliser but for capitals; the pattern's classes of letters and digits are those of ASCII there.
+    """
+    steps, norms = (spec.get("pre_tokenizer") or {}).get("pretokenizers", []), (spec.get("normalizer") or {}).get("normalizers", [])
+    kinds = [s.get("type") for s in norms], [s.get("type") for s in steps]
+    if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or norms[1]["pattern"] != {"Regex": "\\s+"} or norms[1]["content"] != " ":
+        return None
+    if not (steps[0]["invert"] and steps[0]["behavior"] == "Removed") or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return None
+    pattern = steps[0]["pattern"].get("Regex", "\\p").replace("\\p{L}", "a-zA-Z").replace("\\p{N}", "0-9")
+    return None if "\\p" in pattern else re.compile(pattern, re.ASCII).findall
+
+
 class SegmentBPE:
     """A byte-level BPE tokenizer of the tokenizers library's JSON form, with or without a mark at the end of words."""
 
-    def __init__(self, file: bytes, keep: int = 200_000):
+    def __init__(self, file: bytes, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         spec = json.loads(file)
@@ -84,11 +133,11 @@ class SegmentBPE:
         self.normalise = library.normalizer.normalize_str if library.normalizer else lambda text: text
         self.split = library.pre_tokenizer.pre_tokenize_str
         self.vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
-        self.ranks = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            key = self.vocab[a] << 32 | self.vocab[b]
-            self.ranks[key] = (rank, self.vocab[a + b])
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+        self.shift = max(self.vocab.values(), default=0).bit_length()
+        self.ranks = {self.vocab[a] << self.shift | self.vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
+        self.ascii = _ascii_words(spec)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         # Of added tokens that start at one place the longest counts.
         self.raw = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -96,47 +145,45 @@ class SegmentBPE:
         texts = [tokens.get(i, "").encode() for i in range(max(tokens, default=-1) + 1)]
         self.ends = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
         self.bytes = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-        self.keep, self.known, self.older = keep, {}, {}
-        self.words: dict[str, list[int]] = {}
+        self.chunks, self.words = Recent(keep), Recent(keep)
 
-    def word(self, text: str) -> list[int]:
-        """The ids of a word; symbols outside the vocabulary have none."""
+    def word(self, text: str) -> bytes:
+        """The packed ids of a word; symbols outside the vocabulary have none."""
         found = self.words.get(text)
         if found is None:
             vocab = self.vocab
             symbols = [*text[:-1], text[-1] + self.end]
-            found = merge_word([vocab[s] for s in symbols if s in vocab], self.ranks)
+            ids = merge_word([vocab[s] for s in symbols if s in vocab], self.ranks, self.made, self.shift)
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(text) <= 64:
-                if len(self.words) >= self.keep:
-                    self.words.clear()
-                self.words[text] = found
+                self.words.put(text, found)
         return found
 
-    def chunk(self, text: str) -> list[int]:
-        """The ids of a text without white space at which it could be cut."""
+    def chunk(self, text: str) -> bytes:
+        """The packed ids of a text without white space at which it could be cut."""
         out, at = [], 0
         for m in self.raw.finditer(text) if self.raw else ():
-            out += self.plain(text[at : m.start()])
-            out.append(self.added[m.group()])
+            out += [self.plain(text[at : m.start()]), struct.pack("<I", self.added[m.group()])]
             at = m.end()
-        return out + self.plain(text[at:])
+        return b"".join([*out, self.plain(text[at:])])
 
-    def plain(self, text: str) -> list[int]:
-        return [i for word, _ in self.split(self.normalise(text)) if word for i in self.word(word)] if text else []
+    def plain(self, text: str) -> bytes:
+        if self.ascii and text.isascii() and text.isprintable():
+            return b"".join(map(self.word, self.ascii(text.lower())))
+        return b"".join([self.word(word) for word, _ in self.split(self.normalise(text)) if word]) if text else b""
 
     def encode(self, text: str) -> np.ndarray:
-        known, out = self.known, []
+        chunks, out = self.chunks, []
+        new = chunks.new
         for u in _CUT.split(text):
-            ids = known.get(u)
+            ids = new.get(u)
             if ids is None:
-                ids = self.older.get(u)
+                ids = chunks.get(u)
                 if ids is None:
-                    ids = np.array(self.chunk(u), "<u4").tobytes()
-                if len(u) <= 64:
-                    if len(known) >= self.keep:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[u] = ids
+                    ids = self.chunk(u)
+                    if len(u) <= 64:
+                        chunks.put(u, ids)
+                new = chunks.new
             out.append(ids)
         return np.frombuffer(b"".join(out), "<u4")
 

@@ -127,7 +127,7 @@ def align(sides: Sides, texts: list[str]) -> dict:
     doc_g = doc_a[left[both]]
     return {
         "n_a": count(doc_a), "n_b": count(doc_b), "n_groups": count(doc_g), "n_links": count(doc_a[left]),
-        "groups": _hashes(sides, a, b, group[of_a], group[of_b], doc_g, n), "doc": doc_a[left], "a": a[left], "b": b[right],
+        "groups": _hashes(sides, a, b, group[of_a], group[of_b], doc_g, n), "doc": doc_a[left].astype(np.int32), "a": a[left], "b": b[right],
     }
 
 
@@ -193,11 +193,19 @@ def token_alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     total = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     salts = int(total // (PART * stripes)) + 1
 
+    def aligned(s, it):
+        """Ids and alignment of batches of documents; their texts are looked at piece by piece."""
+        for batch in batches(it, 60_000, 8 << 20):
+            got, at = [], 0
+            for piece in batches([batch], 60_000, 1 << 20):
+                got.append(align(s, [x or "" for x in piece.column(1).to_pylist()]))
+                got[-1]["doc"] += at
+                at += piece.num_rows
+            yield batch.column(0).to_pylist(), {c: sum((g[c] for g in got), []) if c == "groups" else np.concatenate([g[c] for g in got]) for c in got[0]}
+
     def send(it):
         s, task = _sides(*files.value), TaskContext.get().partitionId()
-        for i, batch in enumerate(batches(it, 60_000, 8 << 20)):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            got = align(s, texts)
+        for i, (ids, got) in enumerate(aligned(s, it)):
             # Sorted by stripe, pair and document; a pair's code is its place in the stripe's matrix.
             code = (got["b"] // stripes).astype(np.uint64) * np.uint64(wide) + got["a"].astype(np.uint64)
             key = ((got["b"] % stripes).astype(np.uint64) << np.uint64(48)) | (code << np.uint64(16)) | got["doc"].astype(np.uint64)
@@ -214,12 +222,12 @@ def token_alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
             inner = np.concatenate([starts, [len(key)]])[cut]
             part = lambda x, at: pa.array([x[at[k] : at[k + 1]].tobytes() for k in range(stripes)], pa.binary())
             number = task << 20 | i
-            told = (batch.column(0).to_pylist(), *(got[c].tolist() for c in _SUMMARY[1:-1]), got["groups"])
+            told = (ids, *(got[c].tolist() for c in _SUMMARY[1:-1]), got["groups"])
             # The stripe that carries what is known of the documents already differs by batch.
             lists = [pa.array([x if k == (task + i) % stripes else None for k in range(stripes)], pa.list_(pa.string() if c == "groups" else pa.int64())) for c, x in zip(_SUMMARY, told)]
             cell = np.arange(stripes) * salts + number % salts
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int64()), pa.array(np.full(stripes, number), pa.int64()), pa.array(np.full(stripes, len(texts)), pa.int64()), part(codes, cut), part(sizes, cut), part(docs16, inner), part(times, inner), *lists],
+                [pa.array(cell, pa.int64()), pa.array(np.full(stripes, number), pa.int64()), pa.array(np.full(stripes, len(ids)), pa.int64()), part(codes, cut), part(sizes, cut), part(docs16, inner), part(times, inner), *lists],
                 ["cell", "batch", "n", "codes", "sizes", "docs", "times", *_SUMMARY],
             )
 
