@@ -100,7 +100,11 @@ def filtered(pixels: DataFrame, channels: str = "rgb") -> DataFrame:
 
 def filter_choice(pixels: DataFrame, channels: str = "rgb") -> DataFrame:
     """(image_id, y, filter, cost): the filter with the least sum of absolute signed bytes; the first among equals."""
+    return cheapest(filtered(pixels, channels))
+
+
+def cheapest(filtered: DataFrame) -> DataFrame:
     cost = lambda c: F.sum(F.when(F.col(c) < 128, F.col(c)).otherwise(F.lit(256) - F.col(c)))
-    sums = filtered(pixels, channels).groupBy("image_id", "y").agg(*[cost(f"f{i}").alias(f"c{i}") for i in range(5)])
+    sums = filtered.groupBy("image_id", "y").agg(*[cost(f"f{i}").alias(f"c{i}") for i in range(5)])
     best = F.array_min(F.array(*[F.struct(F.col(f"c{i}").alias("cost"), F.lit(i).alias("filter")) for i in range(5)]))
     return sums.select("image_id", "y", best["filter"].alias("filter"), best["cost"].alias("cost"))

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color
-from pixelloom.operators import grouped, masks, measure, palette, pixels, resample, stencil
+from pixelloom.operators import grouped, masks, measure, palette, pixels, resample, stencil, tiles
 from pixelloom.operators.kernels import Options
-from pixelloom.sources import images
+from pixelloom.sources import datasource, images
 
 from . import views
 from .views import sql
@@ -476,9 +476,9 @@ def sharpen3x3(spark, sf_dir):
     return stencil.sharpen(views.gray8_pixels(spark, sf_dir), 1).select("image_id", "x", "y", "a", "r")
 
 
-def _filters_sql() -> str:
+def _filters_sql(view: str = "synth") -> str:
     lag = lambda c, by, over: f"coalesce(lag({c}) OVER (PARTITION BY image_id, ch, {by} ORDER BY {over}), 0)"
-    return f""", f0 AS (SELECT image_id, y, x, ch, v FROM (SELECT image_id, x, y, 0 AS ch, r AS v FROM synth UNION ALL SELECT image_id, x, y, 1, g FROM synth UNION ALL SELECT image_id, x, y, 2, b FROM synth)),
+    return f""", f0 AS (SELECT image_id, y, x, ch, v FROM (SELECT image_id, x, y, 0 AS ch, r AS v FROM {view} UNION ALL SELECT image_id, x, y, 1, g FROM {view} UNION ALL SELECT image_id, x, y, 2, b FROM {view})),
 f1 AS (SELECT *, {lag('v', 'y', 'x')} AS l FROM f0), f2 AS (SELECT *, {lag('v', 'x', 'y')} AS u, {lag('l', 'x', 'y')} AS k FROM f1),
 f3 AS (SELECT *, abs(u - k) AS dl, abs(l - k) AS du, abs(l + u - 2 * k) AS dc FROM f2),
 f4 AS (SELECT *, CASE WHEN dl <= du AND dl <= dc THEN l WHEN du <= dc THEN u ELSE k END AS p FROM f3),
@@ -497,6 +497,64 @@ def up_filter(spark, sf_dir):
     return stencil.filtered(views.synth(spark, sf_dir)).groupBy("image_id", "channel").agg(F.sum("f2").alias("up"), F.sum("f4").alias("paeth"))
 
 
+def _by_row(p: DataFrame, *columns: str) -> DataFrame:
+    """Sums and place-weighted sums of each row of an image."""
+    at = F.col("x").cast("long") + 1
+    return p.groupBy("image_id", "y").agg(*[F.sum(F.col(c)).alias(f"s{c}") for c in columns], *[F.sum(F.col(c) * at).alias(f"c{c}") for c in columns])
+
+
+def _by_row_sql(*columns: str) -> str:
+    return "SELECT image_id, y::INTEGER AS y, " + ", ".join([f"sum({c})::BIGINT AS s{c}" for c in columns] + [f"sum({c} * (x + 1))::BIGINT AS c{c}" for c in columns]) + " FROM out GROUP BY image_id, y"
+
+
+def _tiled_importance_sql() -> str:
+    """The same weights by window functions, as a join of a large image with itself would take too long."""
+    at = lambda c, way, over: f"coalesce({way}({c}) OVER ({over}), {c})"
+    row, column = "PARTITION BY image_id, y ORDER BY x", "PARTITION BY image_id, x ORDER BY y"
+    rows = ", ".join(f"{at('p' + c, 'lag', row)} AS l{c}, {at('p' + c, 'lead', row)} AS n{c}" for c in "argb")
+    sums = ", ".join(f"l{c} + p{c} + n{c} AS s{c}, l{c} * l{c} + p{c} * p{c} + n{c} * n{c} AS q{c}, n{c} - l{c} AS u{c}" for c in "argb")
+    all_of = ", ".join(f"{at(k + c, 'lag', column)} + {k}{c} + {at(k + c, 'lead', column)} AS t{k}{c}" for c in "argb" for k in "squ") + ", " + ", ".join(f"{at('s' + c, 'lead', column)} - {at('s' + c, 'lag', column)} AS v{c}" for c in "argb")
+    left = " + ".join(f"(tq{c} - ts{c} * ts{c} / 9 - (tu{c} * tu{c} + v{c} * v{c}) / 6)" for c in "argb")
+    least = "min({0}) OVER ({1} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+    return (
+        ", p0 AS (SELECT image_id, x, y, " + ", ".join(f"{e} AS p{c}" for c, e in _P.items()) + f" FROM mosaic), r0 AS (SELECT *, {rows} FROM p0), r1 AS (SELECT image_id, x, y, {sums} FROM r0), r2 AS (SELECT image_id, x, y, {all_of} FROM r1), "
+        f"w AS (SELECT image_id, x, y, floor(3.0::DOUBLE / (1 + pow(sqrt(greatest(0, round({left}, 9)) / 6) / 12, 2)) + 0.5)::INTEGER + 1 AS w FROM r2), "
+        f"o AS (SELECT *, {least.format('w', row)} AS m FROM w), out AS (SELECT image_id, x, y, {least.format('m', column)} AS weight FROM o) "
+    )
+
+
+@query(_tiled_importance_sql() + _by_row_sql("weight"))
+def tiled_importance(spark, sf_dir):
+    """Weights of one large image, in tiles of 96 pixels: many tasks, each with its tiles and two pixels around them."""
+    return _by_row(tiles.importance(views.mosaic(spark, sf_dir), side=96), "weight")
+
+
+@query(", r AS (SELECT *, min(b) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM mosaic), out AS (SELECT image_id, x, y, min(m) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM r) " + _by_row_sql("v"))
+def tiled_erode(spark, sf_dir):
+    return _by_row(tiles.erode(views.mosaic(spark, sf_dir).select("image_id", "width", "height", "x", "y", F.col("b").alias("v")), "v", side=96), "v")
+
+
+@query(_filters_sql("mosaic") + "SELECT image_id, y::INTEGER AS y, (CASE " + " ".join(f"WHEN c{i} = least(c0, c1, c2, c3, c4) THEN {i}" for i in range(5)) + " END)::INTEGER AS filter, least(c0, c1, c2, c3, c4)::BIGINT AS cost FROM f6")
+def tiled_filter_choice(spark, sf_dir):
+    return tiles.filter_choice(views.mosaic(spark, sf_dir), side=96)
+
+
+def _sharpen_sql() -> str:
+    sums = lambda f: ", ".join(f"sum({f(c)}) OVER (PARTITION BY image_id, {{0}} ORDER BY {{1}} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS {{2}}{c}" for c in "argb")
+    new = ", ".join(f"CASE WHEN x > 0 AND y > 0 AND x < width - 1 AND y < height - 1 THEN least(greatest(10 * p{c} - t{c}, 0), 255) ELSE 0 END AS n{c}" for c in "argb")
+    straight = ", ".join(f"CASE WHEN na = 0 THEN 0 ELSE floor(least(n{c}, na) * 255.0::DOUBLE / na + 0.5) END::INTEGER AS {c}" for c in "rgb")
+    return (
+        ", p AS (SELECT image_id, width, height, x, y, a AS pa, " + ", ".join(f"floor({c} * a / 255.0::DOUBLE + 0.5)::BIGINT AS p{c}" for c in "rgb") + " FROM mosaic), "
+        "s AS (SELECT *, " + sums(lambda c: "p" + c).format("y", "x", "s") + " FROM p), t AS (SELECT *, " + sums(lambda c: "s" + c).format("x", "y", "t") + " FROM s), "
+        f"n AS (SELECT image_id, x, y, {new} FROM t), out AS (SELECT image_id, x, y, na AS a, {straight} FROM n) "
+    )
+
+
+@query(_sharpen_sql() + _by_row_sql(*"argb"))
+def tiled_sharpen(spark, sf_dir):
+    return _by_row(tiles.sharpen(views.mosaic(spark, sf_dir), 1, side=96), *"argb")
+
+
 # ---------------------------------------------------------------- resampling
 
 
@@ -626,6 +684,42 @@ def image_source(spark, sf_dir):
     return checksum(pixels.explode_pixels(images.read_images(spark, folder).withColumn("image_id", number)))
 
 
+@query("SELECT image_id, 'PNG' AS kind, w AS width, h AS height, true AS head_only FROM (SELECT DISTINCT image_id, width AS w, height AS h FROM synth) WHERE w >= 12 AND h < 12")
+def size_source(spark, sf_dir):
+    """Written by the committing sink and read by the source of sizes, which applies both filters to headers of 32 bytes."""
+    datasource.register(spark)
+    folder = images.scratch_folder(spark)
+    pixels.assemble(views.synth(spark, sf_dir)).write.format("image_files").option("kind", "PNG").mode("append").save(folder)
+    found = spark.read.format("image_sizes").load(folder).filter("width >= 12 and height < 12")
+    return found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id"), "kind", "width", "height", (F.col("bytes_read") <= 32).alias("head_only"))
+
+
+_SHOWN = "CASE WHEN a >= 128 THEN {0} ELSE 0 END"
+
+
+@query(", out AS (SELECT image_id, width, height, x, y, " + ", ".join(f"{_SHOWN.format(255 if c == 'a' else c)} AS {c}" for c in "argb") + " FROM rgba4 UNION ALL SELECT -image_id - 1, width, height, x, y, 255, " + ", ".join(BLEND.format(c) for c in "rgb") + f" FROM rgba4) {CHECK}")
+def gif_bmp_decode(spark, sf_dir):
+    """GIF and BMP files in a column and their pixels again: GIF keeps up to 256 colours and one that is clear, BMP is flattened on white."""
+    rasters = pixels.assemble(views.rgba4(spark, sf_dir))
+    bmp = images.encode_files(rasters, "BMP").withColumn("image_id", -F.col("image_id") - 1)
+    return checksum(pixels.explode_pixels(images.decode_files(images.encode_files(rasters, "GIF").unionByName(bmp))))
+
+
+@query("SELECT image_id, any_value(width)::INTEGER AS width, any_value(height)::INTEGER AS height, count(*) AS n, true AS near FROM gray8 GROUP BY image_id UNION ALL SELECT -image_id - 1, 4, 4, 16, true FROM (SELECT DISTINCT image_id FROM gray8)")
+def jpeg_decode(spark, sf_dir):
+    """JPEG files decoded whole and, below zero, at half their size from the start: grey levels within 2 of the pixels, or of their means by fours."""
+    given = views.gray8_pixels(spark, sf_dir)
+    files = images.encode_files(pixels.assemble(given), "JPG", 1.0)
+    whole = pixels.explode_pixels(images.decode_files(files))
+    half = pixels.explode_pixels(images.decode_files(files, step_to=(2, 2))).withColumn("image_id", -F.col("image_id") - 1)
+    # A reduced transform leaves out what changes fast, so for halves the block's mean is what must agree.
+    means = given.select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"), "x", "y", F.col("r").alias("want"))
+    near = whole.join(means, ["image_id", "width", "height", "x", "y"]).groupBy("image_id", "width", "height").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("r") - F.col("want"))) <= 2).alias("near"))
+    mean = given.groupBy((-F.col("image_id") - 1).alias("image_id")).agg(F.avg("r").alias("want"))
+    small = half.groupBy("image_id", "width", "height").agg(F.count("*").alias("n"), F.avg("r").alias("got")).join(mean, "image_id")
+    return near.unionByName(small.select("image_id", "width", "height", "n", (F.abs(F.col("got") - F.col("want")) <= 2).alias("near")))
+
+
 def _files(spark, sf_dir):
     return grouped.fast_png(pixels.assemble(views.synth(spark, sf_dir)))
 

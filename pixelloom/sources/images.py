@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import formats, lossy, png
+from . import decode, formats, lossy, png
 
 SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
@@ -134,6 +134,36 @@ def decode_tiff(files: DataFrame) -> DataFrame:
     return files.select(F.col("image_id").cast("long"), "content").mapInArrow(lambda it: _rows(it, formats.read_tiff), RASTER)
 
 
+def decode_files(files: DataFrame, step_to: tuple[int, int] | None = None) -> DataFrame:
+    """Rasters of PNG, JPEG, GIF, BMP and TIFF files in a column (image_id, content), by what the bytes say they are.
+
+    step_to: a target size for which the pixels are decimated while they are decoded, by a power of two that leaves twice the target: PNG
+    and BMP leave rows and pixels out, JPEG transforms fewer coefficients; GIF and TIFF are cut after decoding.  Of a GIF the first
+    picture counts.  Null, broken and other content, also progressive JPEG, is left out; rows that share an id stay rows of their own.
+    """
+
+    def read(content: bytes) -> np.ndarray:
+        from pixelloom.operators.resample import subsampling
+
+        if content is None:
+            raise ValueError("no content")
+        size = formats.image_size(content)
+        step = subsampling(*size, *step_to) if step_to and size else 1
+        if content[:4] == b"\x89PNG":
+            return png.decode(content, step)
+        if content[:2] == b"\xff\xd8":
+            return decode.read_jpeg(content, step)
+        if content[:3] == b"GIF":
+            return decode.read_gif(content)[::step, ::step]
+        if content[:2] == b"BM":
+            return decode.read_bmp(content, step)
+        out = formats.read_tiff(content)
+        step = subsampling(out.shape[1], out.shape[0], *step_to) if step_to else 1
+        return out[::step, ::step]
+
+    return files.select(F.col("image_id").cast("long"), "content").mapInArrow(lambda it: _rows(it, read), RASTER)
+
+
 def read_images(spark: SparkSession, path: str, step_to: tuple[int, int] | None = None) -> DataFrame:
     """(path, width, height, argb) through the built-in image source: PNG, JPEG, GIF, BMP, TIFF; undecodable files are dropped.
 
@@ -172,13 +202,8 @@ def scratch_folder(spark: SparkSession) -> str:
     return path
 
 
-def encode_files(rasters: DataFrame, kind: str, quality: float = -1) -> DataFrame:
-    """(image_id, content) of rasters as PNG, BMP, TIFF, JPG or GIF files, made on the executors.
-
-    Kinds without alpha are flattened on white.  quality: of JPG, 0 to 1, negative for the usual one.
-    """
-    from pixelloom.operators.grouped import each_raster
-
+def file_writer(kind: str, quality: float = -1):
+    """What makes a file of a raster, and the suffix of such files."""
     form = formats.resolve_type(kind)
     writers = {
         "PNG": lambda r: png.fast(r, bool((r[..., 0] != 255).any())), "BMP": formats.write_bmp, "TIFF": formats.write_tiff,
@@ -186,7 +211,18 @@ def encode_files(rasters: DataFrame, kind: str, quality: float = -1) -> DataFram
     }
     if form is None:
         raise ValueError(f"no writer for {kind}")
-    return each_raster(rasters, lambda r: (writers[form](r),), "content binary")
+    return writers[form], form.lower()
+
+
+def encode_files(rasters: DataFrame, kind: str, quality: float = -1) -> DataFrame:
+    """(image_id, content) of rasters as PNG, BMP, TIFF, JPG or GIF files, made on the executors.
+
+    Kinds without alpha are flattened on white.  quality: of JPG, 0 to 1, negative for the usual one.
+    """
+    from pixelloom.operators.grouped import each_raster
+
+    write, _ = file_writer(kind, quality)
+    return each_raster(rasters, lambda r: (write(r),), "content binary")
 
 
 def write_files(files: DataFrame, path: str, suffix: str) -> int:

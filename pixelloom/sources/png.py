@@ -161,6 +161,8 @@ def decode(content: bytes, step: int = 1, shift: bool = False) -> np.ndarray:
     bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
     bpp = max(1, bands * bits // 8)
     data = _Inflated([d for _, t, _, d in found if t == "IDAT"])
+    if w * h * bands * bits > 8 * 1040 * len(content):  # deflate makes 1,032 bytes of one at most
+        raise ValueError("fewer pixels than the header says")
     samples = np.zeros((-(-h // step), -(-w // step), bands), np.uint8)
     for x0, y0, dx, dy in ADAM7 if interlace else ((0, 0, 1, 1),):
         n, rows = -(-(w - x0) // dx), -(-(h - y0) // dy)
