@@ -6,8 +6,9 @@ skips most shards.  Runs are cut by bytes.
 
 Equal texts are one group and take the metadata of their least member, so a group has one place on the curve and stays
 whole, unless it alone is larger than a shard.  Order is made without one big sort: cell of the curve, then unit, then
-salt.  A text with a thousandth of all rows is a unit of its own, salted by ids, with more salts the more rows it has;
-all others are in units by their checksum, salted by what is left of it, so that no cut splits a group.  Only totals by
+salt.  A text with a thousandth of all rows, or more bytes than a shard's share, is a unit of its own, salted by ids (or by rows,
+where ids are few), with more salts the more rows it has; only if its bytes exceed a shard's share do cuts follow the salts.
+All others are in units by their checksum, salted by what is left of it, so that no cut splits a group.  Only totals by
 cell, of which there are 8^dims at most, pass through a single window; rows are numbered within (cell, unit, salt), so
 no task gets a hot source, text or cell whole.
 """
@@ -72,7 +73,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
 
     size: UTF-8 bytes of the text (null: none) plus 1.  shard: the run, of `shards`, in which the middle of the row's
     unit falls, counting bytes along the curve; a unit of more than a shard's share is cut by its salts instead, which
-    splits equal texts only if they alone have a thousandth of all rows.  slot: the row's number in its shard, from 0 and gapless.  grown_shard: null under this
+    splits equal texts only if they alone have more bytes than a shard's share.  slot: the row's number in its shard, from 0 and gapless.  grown_shard: null under this
     law.  Null metadata and null ids are values like others, ids are cast to long; repeated rows get a slot each; an empty table gives none.
     """
     if not 1 <= len(meta) + 1 <= 7:
@@ -86,7 +87,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
         *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")).alias(f"m{i}") for i, c in enumerate(meta)],
     )
     # One place for all equal texts: text hash, checksum and size stand for the text.
-    narrow = stage(narrow, "narrow")
+    narrow = stage(narrow.withColumn("row", F.monotonically_increasing_id()), "narrow")
+    all_rows, all_bytes = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     group = ["hash", "crc", "size"]
     least = narrow.groupBy(*group).agg(F.min(F.struct(*[f"m{i}" for i in range(len(meta))])).alias("m"), F.count("*").alias("n"))
     levels = 1 << bits
@@ -94,13 +96,18 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
     scale = sum(((F.col("size") >= 4 ** (j + 1)).cast("int") for j in range(1, levels)), F.lit(0))
     cell = hilbert_index([*[F.pmod(F.crc32(F.col(f"m.m{i}").cast("binary")), levels).cast("int") for i in range(len(meta))], scale], bits)
     placed = least.select(*group, cell.alias("cell"), "n")
-    # Texts with a thousandth of all rows or more, a thousand of them at most, are broadcast; so no join task gets one whole.
-    hot = placed.filter(F.col("n") * HOT >= narrow.count())
-    plain = narrow.select("doc", *group)
+    # Texts with a thousandth of all rows or more, or with more than a shard's bytes, are a thousand and `shards` at most, so they
+    # are broadcast, and no join task gets one whole.
+    hot = placed.filter((F.col("n") * HOT >= all_rows) | (F.col("n") * F.col("size") * shards > all_bytes))
+    plain = narrow.select("doc", "row", *group)
     buckets = max(BUCKETS, 8 * shards)
+    # Rows without ids, or with one id over and over, are told apart by their numbers.
+    ids = plain.join(F.broadcast(hot.select(*group)), group).groupBy(*group).agg(F.approx_count_distinct("doc").alias("ids"))
+    hot = hot.join(F.broadcast(ids), group)
     by_id = F.crc32(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary"))
     salts = F.greatest(F.lit(SALTS), F.ceil(F.col("n") / SALT_ROWS))
-    alone = plain.join(F.broadcast(hot), group).select("doc", "size", "crc", "cell", (F.col("crc") + buckets).alias("unit"), F.pmod(by_id, salts).alias("salt"))
+    salt = F.pmod(F.when(F.col("ids") * 2 <= F.col("n"), F.col("row")).otherwise(by_id), salts)
+    alone = plain.join(F.broadcast(hot), group).select("doc", "size", "crc", "cell", (F.col("crc") + buckets).alias("unit"), salt.alias("salt"))
     others = plain.join(F.broadcast(hot), group, "left_anti").join(placed, group)
     others = others.select("doc", "size", "crc", "cell", F.pmod(F.col("crc"), F.lit(buckets)).cast("long").alias("unit"), F.pmod(F.floor(F.col("crc") / buckets), F.lit(SALTS)).cast("long").alias("salt"))
     rows = alone.union(others)
@@ -129,8 +136,12 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
-    """Write docs as Parquet, one folder per shard, sorted by cell within files so that row groups can be skipped too."""
-    placed = hilbert_shards(docs, shards, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("placed_id"), F.col("size").alias("placed_size"), F.col("text_crc32").alias("placed_crc"), "shard", "cell").dropDuplicates()
+    """Write docs as Parquet, one folder per shard, sorted by cell within files so that row groups can be skipped too.
+
+    Rows that share both id and text go to the first of their shards together, since nothing tells one from another.
+    """
+    placed = hilbert_shards(docs, shards, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("placed_id"), F.col("size").alias("placed_size"), F.col("text_crc32").alias("placed_crc"), F.struct("shard", "cell").alias("place"))
+    placed = placed.groupBy("placed_id", "placed_size", "placed_crc").agg(F.min("place").alias("place")).select("placed_id", "placed_size", "placed_crc", "place.*")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("placed_id")) & (F.crc32(text) == F.col("placed_crc"))
     same &= F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 1 == F.col("placed_size")
@@ -153,12 +164,13 @@ def oracle(shards: int = 8, bits: int = BITS) -> str:
         return f"xor(coalesce(list_reduce({code}, lambda c, x: xor(c >> 8, list_extract(t, (xor(c, x) & 255) + 1)), 4294967295::BIGINT), 4294967295), 4294967295)"
 
     scale = " + ".join(f"(size >= {4 ** (j + 1)})::INTEGER" for j in range(1, levels))
+    hot = f"(g.n * {HOT} >= (SELECT count(*) FROM d) OR g.n * d.size * {shards} > (SELECT sum(size) FROM d))"
     return f"""
 WITH t AS (SELECT [{", ".join(map(str, table))}]::BIGINT[] AS t),
 d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc("coalesce(text, '')")} AS crc, {crc("coalesce(doc_id::VARCHAR, '')")} AS id_crc, struct_pack(a := coalesce(lang, chr(0)), b := coalesce(source, chr(0))) AS m FROM documents, t),
 g AS (SELECT text, min(m) AS m, count(*) AS n FROM d GROUP BY 1),
-r AS (SELECT d.doc_id, d.size, d.crc, CASE WHEN g.n * {HOT} >= (SELECT count(*) FROM d) THEN d.crc + {buckets} ELSE d.crc % {buckets} END AS unit,
-  CASE WHEN g.n * {HOT} >= (SELECT count(*) FROM d) THEN d.id_crc % greatest({SALTS}, ceil(g.n / {SALT_ROWS})::BIGINT) ELSE d.crc // {buckets} % {SALTS} END AS salt, list_extract([{curve}], ({crc("g.m.a")} % {levels} * {levels} + {crc("g.m.b")} % {levels}) * {levels} + {scale} + 1) AS cell FROM d JOIN g ON g.text = d.text, t),
+r AS (SELECT d.doc_id, d.size, d.crc, CASE WHEN {hot} THEN d.crc + {buckets} ELSE d.crc % {buckets} END AS unit,
+  CASE WHEN {hot} THEN d.id_crc % greatest({SALTS}, ceil(g.n / {SALT_ROWS})::BIGINT) ELSE d.crc // {buckets} % {SALTS} END AS salt, list_extract([{curve}], ({crc("g.m.a")} % {levels} * {levels} + {crc("g.m.b")} % {levels}) * {levels} + {scale} + 1) AS cell FROM d JOIN g ON g.text = d.text, t),
 p AS (SELECT cell, unit, salt, sum(size)::BIGINT AS b FROM r GROUP BY 1, 2, 3),
 q AS (SELECT *, sum(b) OVER (ORDER BY cell, unit, salt)::BIGINT - b AS pos, sum(b) OVER ()::BIGINT AS total FROM p),
 u AS (SELECT *, sum(b) OVER (PARTITION BY cell, unit)::BIGINT AS unit_b, min(pos) OVER (PARTITION BY cell, unit) AS unit_pos FROM q),

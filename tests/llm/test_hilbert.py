@@ -74,3 +74,42 @@ def test_no_python_and_files(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.select(docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
     assert back.select("shard").distinct().count() == 8
+
+
+def test_few_copies_of_a_large_text_are_cut(spark):
+    """Nine copies of a text of 100,000 bytes among 10,000 small ones: far from a thousandth of the rows, but most of the bytes."""
+    large = "large " * 16_667
+    rows = [(i, large, "l", "s") for i in range(9)] + [(100 + i, f"small {i}", f"l{i % 5}", "s") for i in range(10_000)]
+    got = hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(sizes) == 8 and max(sizes.values()) <= 2 * len(large) + 100_000
+    homes = check(rows, got, 8, 9)
+    assert {k for k, h in homes.items() if len(h) > 1} == {(zlib.crc32(large.encode()), len(large) + 1)}
+
+
+def test_copies_without_ids_are_dealt_by_rows(spark, monkeypatch):
+    from pixelloom.llm import hilbert
+
+    seen = {}
+    real = hilbert.stage
+    monkeypatch.setattr(hilbert, "stage", lambda df, name: seen.setdefault(name, real(df, name)))
+    for doc in ("null", "7"):
+        seen.clear()
+        docs = spark.range(0, 9000, 1, 4).selectExpr(f"if(id < 8000, {doc}, id) AS doc_id", "if(id < 8000, 'a copy', concat('text ', id)) AS text", "'l' AS lang", "'s' AS source")
+        got = hilbert_shards(docs).collect()
+        assert len(got) == 9000
+        slots = defaultdict(list)
+        for r in got:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert seen["placed"].groupBy("cell", "unit", "salt").count().agg(F.max("count")).first()[0] < 400
+
+
+def test_files_of_repeated_rows(spark, tmp_path):
+    rows = [(None, "a"), (None, "a"), (1, "a"), (1, "a"), (1, "b"), (2, None), (3, "")] * 3
+    docs = spark.createDataFrame([(*r, "l", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    write_shards(docs, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).select(docs.columns)
+    assert back.count() == docs.count() and back.exceptAll(docs).count() == 0
