@@ -281,7 +281,7 @@ class Block:
         for i in np.flatnonzero(np.diff(self.symbol_parts)).tolist():
             one = self.one[self.ask_symbols[self.symbol_parts[i] : self.symbol_parts[i + 1]]]
             length, doc = p.last[one] - p.first[one] + self.kind.window, self.doc_of[one]
-            out.append((i, SYMBOLS, pack(self.data[gather(p.first[one], length)], length.astype(np.uint16), (p.first[one] - self.docs[doc]).astype(np.uint32), *self.rows(doc))))
+            out.append((i, SYMBOLS, pack(self.data[gather(p.first[one], length)], length.astype(np.uint32), (p.first[one] - self.docs[doc]).astype(np.uint32), *self.rows(doc))))
         return out
 
     def repeats(self, answers: Answers) -> Repeats:
@@ -394,7 +394,7 @@ def judge_anchors(hot: int) -> Callable:
 def judge_symbols(kind: Kind) -> Callable:
     def judge(blocks: np.ndarray, payloads: list[bytes]) -> list[bytes]:
         """Bits of the windows of the phrases sent."""
-        got = [unpack(x, np.uint8, np.uint16, np.uint32, *_ROWS) for x in payloads]
+        got = [unpack(x, np.uint8, np.uint32, np.uint32, *_ROWS) for x in payloads]
         sizes = np.array([len(g[1]) for g in got])
         symbols, length = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64)
         by = np.argsort(_order(blocks, got, 2)[0], kind="stable")

@@ -285,3 +285,13 @@ def test_components(spark):
         got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long"), limit).collect()}
         assert got == {n: w for n, w in want.items() if n in nodes and w != n}
         assert components(spark.createDataFrame([], "u long, v long"), limit).count() == 0
+
+
+def test_windows_longer_than_a_16_bit_number(spark):
+    """Phrases of windows of 40,000 bytes are up to twice as long."""
+    r = random.Random(12)
+    a = "".join(r.choice("abcdefgh") for _ in range(90_000))
+    rows = [(1, a), (2, "x" * 500 + a[:60_000]), (3, a[20_000:59_000])]
+    want = brute([(d, t.encode()) for d, t in rows], 40_000)
+    for got in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=40_000).collect():
+        assert got.n_removed == sum(want[got.doc_id][1])
