@@ -7,7 +7,10 @@ columns, whatever their names, pass by.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -46,23 +49,16 @@ def stage(df: DataFrame, name: str, buckets: tuple[str, int] | None = None) -> D
     spark = df.sparkSession
     unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/pixelloom/{unique}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    if before is not None:
-        spark.conf.set(key, "true")
-    try:
+    with freeing(spark):
         if buckets:
             by, n = buckets
             df.repartition(n, by).write.option("compression", "zstd").option("path", path).bucketBy(n, by).saveAsTable(unique)
         else:
             df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(key, before)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    if _open:
-        _open[-1].append(path)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     if not buckets:
         return spark.read.schema(df.schema).parquet(path)
     out = spark.table(unique)
@@ -70,17 +66,18 @@ def stage(df: DataFrame, name: str, buckets: tuple[str, int] | None = None) -> D
     return out
 
 
-#: Folders of the tables staged since settle() began, innermost last.
-_open: list[list[str]] = []
+#: Folders of the tables staged since the innermost settle() of this thread began.
+_passing: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
 
 
 def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Stage what make() gives, and delete all that was staged on the way to it."""
-    _open.append([])
+    """Stage what make() gives, and delete all that this thread staged on the way to it."""
+    passing: list[str] = []
+    token = _passing.set(passing)
     try:
         df = make()
     finally:
-        passing = _open.pop()
+        _passing.reset(token)
     try:
         return stage(df, name)
     finally:
@@ -88,6 +85,32 @@ def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Dat
             _delete(spark, path)
 
 
+_lock = threading.Lock()
+#: How many callers want shuffle files freed now, and the session's setting from before the first.
+_wanting: list = [0, None]
+
+
+@contextlib.contextmanager
+def freeing(spark: SparkSession):
+    """Shuffle files go when the job that wrote them ends, not when the driver happens to collect its garbage.
+
+    The setting is the session's; it goes back to what it was when the last of the callers, in whatever threads, is done.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _lock:
+        if not _wanting[0]:
+            _wanting[1] = spark.conf.get(key, None)
+            spark.conf.set(key, "true")
+        _wanting[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _wanting[0] -= 1
+            if not _wanting[0]:
+                spark.conf.unset(key) if _wanting[1] is None else spark.conf.set(key, _wanting[1])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

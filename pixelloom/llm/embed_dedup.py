@@ -14,7 +14,6 @@ times the input however many cells a vector visits.
 
 from __future__ import annotations
 
-import contextlib
 import functools
 from typing import NamedTuple
 
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .common import gather, mix, release, stage, strings, text_buffer
+from .common import freeing, gather, mix, release, stage, strings, text_buffer
 from .components import components, union
 
 
@@ -178,7 +177,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     fine = F.coalesce((F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0), F.lit(False))
     # -0.0 and 0.0 are one value: adding 0.0 makes them so.
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(fine, F.transform(v, lambda e: e + F.lit(0.0).cast(element))).alias("v"))
-    with _freeing(spark):
+    with freeing(spark):
         member, every = _members(rows, element, threshold, cell_rows, least_cells, most_cells, sample, block_rows)
     # Vectors with a thousandth of all rows, a thousand of them at most, are broadcast; so no join task gets one whole.
     hot = F.broadcast(member.filter(F.col("n") * HOT >= every))
@@ -189,18 +188,6 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-@contextlib.contextmanager
-def _freeing(spark: SparkSession):
-    """Shuffle files go when the job that wrote them ends, not when the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def _members(rows: DataFrame, element: str, threshold: float, cell_rows: int, least_cells: int, most_cells: int, sample: int, block_rows: int) -> tuple[DataFrame, int]:
     """Staged (h1, h2, n, n_links, component_id), a row per distinct vector, and the number of rows that have a vector."""
     spark = rows.sparkSession

@@ -43,3 +43,27 @@ def test_buckets_need_no_shuffle(spark):
     t = stage(spark.range(1000).selectExpr("id % 50 AS k", "id"), "buckets", ("k", 8))
     plan = t.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and t.groupBy("k").count().count() == 50 and not spark.catalog.listTables()
+
+
+def test_settle_in_two_threads(spark):
+    """What one thread stages is no business of another's settle."""
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting, both = files(spark), spark.conf.get(key, None), threading.Barrier(2, timeout=60)
+
+    def run(n):
+        def make():
+            a = stage(spark.range(n), "a")
+            both.wait()
+            b = stage(a.filter("id > 3"), "b", ("id", 3))
+            both.wait()
+            return a.join(b, "id")
+
+        return sorted(r.id for r in settle(spark, make, f"outer{n}").collect())
+
+    with ThreadPoolExecutor(2) as pool:
+        assert [*pool.map(run, (10, 20))] == [list(range(4, 10)), list(range(4, 20))]
+    assert {f.rsplit("_", 1)[0] for f in files(spark) - before} == {"outer10", "outer20"}
+    assert spark.conf.get(key, None) == setting
