@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ from .simhash import majority, near_fingerprints
 ENOUGH = (4, 5)
 #: The table of counts has 2 to this power entries.
 BITS = 20
+#: Members of a list up to which all pairs of it are looked at.
+LONG = 32
 MESSAGE = "block long, part long, payload binary"
 #: Messages about the rows of a block go to this part.
 ROWS = -1
@@ -138,7 +140,8 @@ class Near:
 
 def near_groups(docs: DataFrame, shingle: int, id_col: str, text_col: str, extra: list[str], bits: int = BITS, block_bytes: int = 3 << 20, part_bytes: int = 24 << 20) -> Near:
     """Members of a prefix's list are first held against one alone, then those that are left against one of them, so that a
-    dense group costs as many pairs as members; then all pairs that these links leave apart are.
+    dense group costs as many pairs as members; then all pairs that these links leave apart are.  Members of lists that are still
+    long by then get an order of their own, by counting their shingles exactly.
 
     The one is that whose prefix is shared by others most fully: the text that copies were made from, as every change
     brings shingles of its own into a copy's prefix.
@@ -212,10 +215,12 @@ def _roots(bare: DataFrame, rows: DataFrame, records: DataFrame, shingle: int) -
 
     one = rows.groupBy("node").agg(F.min("row").alias("row"))
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        asked = one.join(nodes, "node", "left_semi").select(F.shiftright("row", 24).alias("block"), "row", "node")
+        return stage(bare.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(emit, "node long, hs array<long>"), "sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        asked = one.join(need, "node", "left_semi").select(F.shiftright("row", 24).alias("block"), "row", "node")
-        sets = stage(bare.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(emit, "node long, hs array<long>"), "sets")
+        sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         of = lambda c: sets.select(F.col("node").alias(c), F.col("hs").alias(f"{c}s"))
         both = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("n", F.size(F.array_intersect("us", "vs")))
         out = stage(both.filter((num + den) * F.col("n") >= num * (F.size("us") + F.size("vs"))).select("u", "v"), "verified")
@@ -235,19 +240,48 @@ def _roots(bare: DataFrame, rows: DataFrame, records: DataFrame, shingle: int) -
         held = placed.alias("a").join(centre, "h").filter("a.root <> m.root").filter(close("a", "m"))
         return held.select(F.least("m.node", "a.node").alias("u"), F.greatest("m.node", "a.node").alias("v")).distinct()
 
+    def rooted(hits: DataFrame, found: DataFrame) -> DataFrame:
+        return stage(hits.join(components(found), "node", "left").select("h", "node", "size", "place", "full", F.coalesce("root", "node").alias("root")), "placed")
+
+    def link(hits: DataFrame, found: DataFrame, tried: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """More links, all pairs looked at, and the sets in lists that are still apart and longer than `most`."""
+        placed = rooted(hits, found)
+        # Of those that the fullest one did not draw, the fullest.
+        first = placed.groupBy("h").agg(F.max(F.struct("full", "node", "root")).alias("m"))
+        others = placed.join(first, "h").filter("root <> m.root").drop("m")
+        again = stage(stars(others).join(tried, ["u", "v"], "left_anti"), "stars")
+        release(placed)
+        found, tried = found.union(verified(again)), tried.union(again)
+        placed = rooted(hits, found)
+        lists = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+        short = lists if most is None else lists.filter(F.col("n") <= most)
+        held = placed.join(short.select("h"), "h", "left_semi")
+        pairs = held.alias("a").join(held.alias("b"), F.expr(f"a.h = b.h and a.node < b.node and a.root <> b.root and {close('a', 'b')}"))
+        pairs = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+        apart = placed.limit(0) if most is None else placed.join(lists.filter(F.col("n") > most).select("h"), "h", "left_semi")
+        apart = stage(apart.select("node").distinct(), "apart")
+        release(placed)
+        return found.union(verified(pairs)), tried.union(pairs), apart
+
     tried = stage(stars(hits.withColumn("root", F.col("node"))).union(proposed).distinct(), "stars")
-    found = verified(tried)
-    rooted = lambda: hits.join(components(found), "node", "left").select("h", "node", "size", "place", "full", F.coalesce("root", "node").alias("root"))
-    placed = stage(rooted(), "placed")
-    # Of those that the fullest one did not draw, the fullest.
-    first = placed.groupBy("h").agg(F.max(F.struct("full", "node", "root")).alias("m"))
-    others = placed.join(first, "h").filter("root <> m.root").drop("m")
-    again = stage(stars(others).join(tried, ["u", "v"], "left_anti"), "stars")
-    found, tried = found.union(verified(again)), tried.union(again)
-    placed = rooted()
-    pairs = placed.alias("a").join(placed.alias("b"), F.expr(f"a.h = b.h and a.node < b.node and a.root <> b.root and {close('a', 'b')}"))
-    pairs = stage(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-    return components(found.union(verified(pairs)))
+    found, tried, apart = link(hits, verified(tried), tried, LONG)
+    if apart.isEmpty():
+        return components(found)
+    # The table told too little about these: their order is made anew, by how many of them hold a shingle.  What all of them share
+    # then comes last, so a passage common to texts that differ otherwise leads to no pairs.
+    sets = sets_of(apart)
+    members = sets.select("node", F.size("hs").alias("size"), F.explode("hs").alias("h"))
+    members = members.join(members.groupBy("h").agg(F.count("*").alias("n")), "h")
+    members = members.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("n", "h")) - 1)
+    reach = F.col("size") - F.ceil(F.col("size") * F.lit(num) / F.lit(den)) + 1
+    few = members.filter((F.col("place") < reach) & (F.col("n") > 1))
+    exact = stage(few.select("h", "node", "size", "place", (F.count("*").over(Window.partitionBy("node")) / reach).alias("full")), "exact")
+    release(sets)
+    placed = rooted(exact, found)
+    again = stage(stars(placed).join(tried, ["u", "v"], "left_anti"), "stars")
+    release(placed)
+    found, _, _ = link(exact, found.union(verified(again)), tried.union(again), None)
+    return components(found)
 
 
 def shingle_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:

@@ -76,3 +76,45 @@ def test_stage_judges_rows_not_ids(spark):
     got = [(x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, table(spark, rows), "").collect()]
     assert len(got) == 5 and sum(x in got for x in rows[:2]) == 1
     assert {x for x in got if x not in rows[:2]} == {(5, text(b)), (None, text(c)), (7, text(d)), (3, copy(e))}
+
+
+@pytest.mark.parametrize("bits", [20, 1])
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch, bits):
+    """Texts that share 60 of 100 words: similarity 0.4.  Whatever the table tells, pairs looked at grow with the texts, not their square."""
+    from pixelloom.llm import shingle_dedup
+
+    looked = []
+    real = shingle_dedup.stage
+
+    def stage(df, name, *more):
+        out = real(df, name, *more)
+        if name in ("pairs", "stars"):
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "stage", stage)
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(60)]
+    counts = []
+    for n in (100, 200):
+        rows = [(i, " ".join([*common, *(f"w{r.randint(0, 10**9)}" for _ in range(40))])) for i in range(n)]
+        rows += [(1000, rows[7][1] + " more"), (1001, "again " + rows[7][1])]
+        looked.clear()
+        got = {x.doc_id: x.component for x in shingle_groups(frame(spark, rows), bits=bits).collect()}
+        assert got[7] == got[1000] == got[1001] and len(set(got.values())) == n
+        counts.append(sum(looked))
+    assert counts[1] <= 2.2 * counts[0] + 50 and counts[1] < 5 * 200
+
+
+def test_exact_order_as_by_brute_force(spark, monkeypatch):
+    """Every list counts as long, so all links that stars leave open come from the exact order."""
+    from pixelloom.llm import shingle_dedup
+
+    monkeypatch.setattr(shingle_dedup, "LONG", 1)
+    rows = edited(9) + [(1000 + i, t) for i, t in texts(4)]
+    _, want = near(rows)
+    got = {r.doc_id: r.component for r in shingle_groups(frame(spark, rows), bits=1).collect()}
+    first = {}
+    for n, (i, _) in enumerate(rows):
+        assert first.setdefault(want[n], got[i]) == got[i]
+    assert len(set(first.values())) == len(first)
