@@ -1,10 +1,11 @@
 """Phrase collocations: count-min sketches choose what is counted exactly, then phrases are scored and subsumed.
 
-1. Each task adds all phrases of one to four words to a sketch: two rows of counters, each phrase in one cell of either.  Counters
-   stop at the least frequency, as no more is asked of them, so a cell is a byte for frequencies up to 255.  Sketches are merged in stripes by adding (again
-   up to that bound), and a merged cell becomes one bit: whether it reached the bound.
+1. Each task adds its words and pairs of words to a sketch: two rows of counters, each phrase in one cell of either.  Counters
+   stop at the least frequency, as no more is asked of them, so a cell is a byte for frequencies up to 255.  Sketches are merged in
+   stripes by adding (again up to that bound), and a merged cell becomes one bit: whether it reached the bound.  A second sketch
+   takes the longer phrases, all of whose pairs the first one lets pass: few, so it is small.
 2. A cell counts each of its phrases at least as often as it occurs, so a phrase whose bit is missing in a row is too rare, and so
-   is one with a part that is.  A second pass counts the others exactly, by their words.  Nothing frequent is lost; what
+   is one with a part that is.  A last pass counts the others exactly, by their words.  Nothing frequent is lost; what
    two rows of cells let through by chance falls out by its exact count.
 3. All parts of a frequent phrase are frequent, so the counts that scores need are all there: joins by phrase look them up.
 
@@ -26,8 +27,8 @@ from .common import LOWER, batches, gather, grams, mix, pair, stage, strings, te
 
 #: Cells of a sketch's row at least and at most, as powers of two, and of a stripe.
 LEAST, MOST, STRIPE = 16, 26, 16
-#: Bytes of text for each cell of a row.
-PER_CELL = 40
+#: Bytes of text for each cell of a row: of the sketch of words and pairs, and of that of longer phrases.
+PER_CELL = (128, 256)
 #: Bytes of text that a task looks at at once.
 PIECE = 2 << 20
 #: Tasks whose sketches are merged at once.
@@ -107,8 +108,34 @@ def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.diff(np.concatenate([first, [len(h)]]))
 
 
-def frequent_bits(texts: DataFrame, power: int, longest: int, least: int) -> np.ndarray:
-    """One bit for each cell of both rows: whether the merged sketches reach `least` there."""
+class Bits:
+    """What a merged sketch says: one bit for each cell of both rows, whether it reached the least frequency."""
+
+    def __init__(self, power: int, rows: np.ndarray):
+        self.power, self.rows = power, rows
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for row, cells in zip(self.rows, _cells(h, self.power)):
+            out &= (row[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def hopeful(words: Words, pairs: Bits | None, longer: Bits | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, first word, fingerprint) of phrases that the sketches so far let pass, in themselves and all their parts."""
+    good = None
+    for k, at, h in words.phrases():
+        bits = pairs if k <= 2 else longer
+        ok = bits.passes(h) if bits else np.ones(len(h), bool)
+        if good is not None:
+            ok &= good[at] & good[at + 1]
+        good = np.zeros(len(words.codes) + 1, bool)
+        good[at[ok]] = True
+        yield k, at[ok], h[ok]
+
+
+def frequent_bits(texts: DataFrame, power: int, longest: int, least: int, pairs=None) -> Bits:
+    """Bits of the words and pairs of all texts, or if `pairs` is their broadcast, of the longer phrases that they allow."""
     per_row, kind = 1 << (power - STRIPE), np.min_scalar_type(least)
 
     def sketch(it):
@@ -117,8 +144,10 @@ def frequent_bits(texts: DataFrame, power: int, longest: int, least: int) -> np.
         for batch in batches(it, 60_000, PIECE):
             if rows is None:
                 rows = np.zeros((ROWS, 1 << power), kind)
-            words = Words(batch.column(1), batch.column(0).to_pylist(), longest)
-            for _, _, h in words.phrases():
+            words = Words(batch.column(1), batch.column(0).to_pylist(), longest if pairs else min(longest, 2))
+            for k, _, h in hopeful(words, pairs.value if pairs else None, None):
+                if k <= 2 and pairs:
+                    continue
                 h, n = _counted(h)
                 for row, cells in zip(rows, _cells(h, power)):
                     _add(row, cells, n, least)
@@ -145,7 +174,7 @@ def frequent_bits(texts: DataFrame, power: int, longest: int, least: int) -> np.
     out = np.zeros((ROWS * per_row, (1 << STRIPE) // 8), np.uint8)
     for r in once.groupBy("stripe").applyInArrow(bits, "stripe long, bits binary").collect():
         out[r.stripe] = np.frombuffer(r.bits, np.uint8)
-    return out.reshape(ROWS, -1)
+    return Bits(power, out.reshape(ROWS, -1))
 
 
 def phrase_counts(texts: DataFrame, longest: int, least: int) -> DataFrame:
@@ -155,25 +184,17 @@ def phrase_counts(texts: DataFrame, longest: int, least: int) -> DataFrame:
     """
     spark = texts.sparkSession
     total = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    power = min(max(int(total // PER_CELL).bit_length(), LEAST), MOST)
-    kept = spark.sparkContext.broadcast(frequent_bits(texts, power, longest, least))
-
-    def passes(h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for row, cells in zip(kept.value, _cells(h, power)):
-            out &= (row[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
-        return out
+    power = lambda i: min(max(int(total // PER_CELL[i]).bit_length(), LEAST), MOST)
+    pairs = spark.sparkContext.broadcast(frequent_bits(texts, power(0), longest, least))
+    longer = spark.sparkContext.broadcast(frequent_bits(texts, power(1), longest, least, pairs))
 
     def survivors(it):
         for batch in batches(it, 60_000, PIECE):
             words = Words(batch.column(1), batch.column(0).to_pylist(), longest)
             n, numbers = len(words.codes), words.numbers()
             ks, starts, counts = [], [], []
-            group = np.zeros(n + 1, np.int64)  # of the phrase of one word less from each word on; -1 if it is rare
-            for k, at, h in words.phrases():
-                at = at[passes(h)]
-                if k > 1:
-                    at = at[(group[at] >= 0) & (group[at + 1] >= 0)]
+            group = np.zeros(n + 1, np.int64)  # of the phrase of one word less from each word on
+            for k, at, _ in hopeful(words, pairs.value, longer.value):
                 # A phrase is known by the number of its first words and its last one: no fingerprints decide counts.
                 key = (group[at] if k > 1 else words.lang[at]) << 32 | numbers[at + k - 1]
                 order = np.argsort(key, kind="stable")

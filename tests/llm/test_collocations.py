@@ -63,7 +63,7 @@ def test_equals_counting(spark, monkeypatch, seed, power):
     given = texts(seed)
     docs = spark.createDataFrame([(*x, "clash", 1) for x in given], "lang string, text string, phrase string, a long").repartition(5)
     assert rows_of(collocations(docs, least=6, longest=4, top=50)) == brute(given, 6, 4, 50)
-    counts = phrase_counts(docs, 4, 6)
+    counts = phrase_counts(docs.fillna("und", ["lang"]), 4, 6)
     assert {r.lang: r.f for r in counts.filter("k = 0").collect()} == {lang: n for lang, n in ((lang, sum(len(re.findall(r"[^\x20\x09.,;:!?\x0a-\x0d]+", t or "")) for x, t in given if (x if x is not None else "und") == lang)) for lang in ("en", "de", "und", "", "fr"))}
 
 
