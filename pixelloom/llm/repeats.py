@@ -14,6 +14,9 @@ the windows, about one phrase for (W - K + 2) / 2 symbols.  Blocks of documents
    an anchor that is not hot meet in the part that owns the anchor.  The first place of any window lies in the first
    copy of its phrase, so this is complete.
 3. Every block adds up the answers and its own repeats; each repeated window has the place where it starts first.
+4. An operator that parses the text against its sources (reach) gets them: each block asks for the stretches where its repeats start
+   first, each distinct stretch is read once in the block that holds it, and a join brings it to all who asked, so a
+   passage that everyone asks for is no single task's work.
 
 First means least in (id, block, row of the block, start), null ids before all others; blocks need no order by id.
 A block sends an entry for a phrase, a window or an anchor, however often it holds it, so an index part gets one entry a
@@ -29,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import gather, grams, in_blocks, mix, pair, stage, text_buffer
@@ -36,7 +40,7 @@ from .common import gather, grams, in_blocks, mix, pair, stage, text_buffer
 _INDEX_BITS = np.uint64(24)
 #: Symbols that are fingerprinted at once: arrays of so many stay in a core's cache.
 CHUNK = 1 << 15
-ANCHORS, PHRASES, WINDOWS, SYMBOLS = range(4)
+ANCHORS, PHRASES, WINDOWS, SYMBOLS, SOURCES = range(5)
 
 
 @dataclass(frozen=True)
@@ -176,7 +180,8 @@ class Answers:
     def of(cls, table: pa.Table) -> Answers:
         found: list[dict] = [{}, {}, {}, {}]
         for part, phase, payload in zip(table.column("part").to_pylist(), table.column("phase").to_pylist(), table.column("payload")):
-            found[phase][part] = payload.as_py()
+            if phase != SOURCES:
+                found[phase][part] = payload.as_py()
         return cls(found[PHRASES], found[ANCHORS], found[WINDOWS], found[SYMBOLS])
 
 
@@ -189,6 +194,18 @@ class Repeats:
     start: np.ndarray
 
 
+def runs(r: Repeats, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each run: consecutive windows of one document whose first places are consecutive too."""
+    begins = np.zeros(len(r.starts) + 1, bool)
+    begins[docs] = True
+    on = np.zeros(len(r.starts), bool)
+    on[1:] = r.starts[1:] & r.starts[:-1] & (r.row[1:] == r.row[:-1]) & (r.start[1:] == r.start[:-1] + 1)
+    on &= ~begins[:-1]
+    ends = r.starts.copy()
+    ends[:-1] &= ~on[1:]
+    return np.flatnonzero(r.starts & ~on), np.flatnonzero(ends)
+
+
 def in_order(table: pa.Table) -> pa.Table:
     """A block's rows in the order of the corpus; wholly equal ids and texts may change places, other rows never do."""
     table = table.combine_chunks().sort_by([("doc", "ascending"), ("hash", "ascending"), ("text", "ascending")])
@@ -409,12 +426,19 @@ def judge_symbols(kind: Kind) -> Callable:
     return judge
 
 
-def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Block, Repeats], dict[str, pa.Array]], schema: str, extra: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 3 << 20, part_bytes: int = 24 << 20, hot: int = 100_000) -> DataFrame:
+def _sources(table: pa.Table) -> dict[tuple[int, int, int], bytes]:
+    of = [table.column(c).to_pylist() for c in ("phase", "part", "start", "n")]
+    return {(row, start, n): payload.as_py() for phase, row, start, n, payload in zip(*of, table.column("payload")) if phase == SOURCES}
+
+
+def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Block, Repeats], dict[str, pa.Array]], schema: str, extra: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 3 << 20, part_bytes: int = 24 << 20, hot: int = 100_000, reach: int | None = None, spans: Callable | None = None) -> DataFrame:
     """finish(block, repeats) of every block, as columns of the given schema.
 
     extra: columns of docs that come along, whatever they hold.  block_bytes: text held by a task at once.  part_bytes:
     text whose phrases an index part owns; the number of parts, a power of two, follows the input, so what a task holds
-    does not grow with it.  hot: phrases of one anchor that may meet in one part.
+    does not grow with it.  hot: phrases of one anchor that may meet in one part.  reach: finish also gets the texts at the runs' first
+    places, {(row, start, n): text of n symbols or fewer}, each `reach` symbols longer than its run; spans: (data, offsets) ->
+    (starts, ends, n + 1 offsets) of the symbols in a block's bytes.
     """
     blocks, n_blocks = in_blocks(docs, id_col, text_col, extra or [], block_bytes)
     n_parts = 1 << int(np.ceil(np.log2(max(1, n_blocks * block_bytes / part_bytes))))
@@ -446,7 +470,8 @@ def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Block, Repea
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         b, answers = Block(left, kind, n_parts), Answers.of(right)
         b.read(answers)
-        made = {f: b.table.column(f) for f in names} | finish(b, b.repeats(answers))
+        more = () if reach is None else (_sources(right),)
+        made = {f: b.table.column(f) for f in names} | finish(b, b.repeats(answers), *more)
         return pa.table({f: made[f] for f in out.names})
 
     names = [f.name for f in carried]
@@ -454,6 +479,35 @@ def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Block, Repea
     first = stage(sent.groupBy("phase", "part").applyInArrow(judge, message), "phrases")
     asked = bare.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_asked, message)
     second = stage(asked.groupBy("phase", "part").applyInArrow(judge, message), "windows")
+    answers = first.union(second)
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each stretch of another place that the block's runs start from, once."""
+        places = np.zeros((3, 0), np.int64)
+        if len(left):
+            b, found = Block(left, kind, n_parts), Answers.of(right)
+            b.read(found)
+            r = b.repeats(found)
+            at, last = runs(r, b.docs)
+            places = np.unique(np.stack([r.row[at], r.start[at], last - at + kind.window + reach]), axis=1)
+        return pa.table({"source": places[0] >> 24, "row": places[0], "start": places[1], "n": places[2], "block": np.full(places.shape[1], b.number if len(left) else 0)})
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, where = [], right.select(["row", "start", "n"])
+        if len(left) and len(right):
+            data, offsets = text_buffer(in_order(left).column("text"))
+            s, e, docs = spans(data, offsets)
+            row, start, n = (where.column(c).to_numpy() for c in ("row", "start", "n"))
+            lo = docs[row & 0xFFFFFF] + start
+            hi = np.minimum(lo + n, docs[(row & 0xFFFFFF) + 1])
+            texts = [data[a:z].tobytes() for a, z in zip(s[lo].tolist(), e[hi - 1].tolist())]
+        return where.slice(0, len(texts)).append_column("payload", pa.array(texts, pa.binary()))
+
+    if reach is not None:
+        asked = stage(bare.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, "source long, row long, start long, n long, block long"), "asked")
+        told = bare.groupBy("block").cogroup(asked.drop("block").distinct().groupBy("source")).applyInArrow(tell, "row long, start long, n long, payload binary")
+        given = asked.join(told, ["row", "start", "n"]).select("block", F.col("row").alias("part"), F.lit(SOURCES).alias("phase"), "payload", "start", "n")
+        answers = answers.unionByName(given, allowMissingColumns=True)
     out = T.StructType([*carried, *T.StructType.fromDDL(schema).fields])
-    ended = blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(end, out)
+    ended = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(end, out)
     return ended.toDF(id_col, *(extra or []), *[f.name for f in out.fields[len(carried) :]])

@@ -1,12 +1,13 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 The corpus itself, cut in blocks of documents, is the reference.  All blocks are indexed by content (see repeats): the
-index tells, for every window of `window` words, the first place in the corpus where its words start.  A document is
-then factored greedily against that: at a word where a window has an earlier source, the factor runs on for as long as
-the source does, over as many documents' worth of phrases as it takes; else the word is a literal.  A factor of at least
-`window` words is a duplicate span.  At a factor's boundary the windows that straddle it have sources of their own and
-open the next factor, which overlaps the one before, so a repeat that greedy factoring would cut in two is still found:
-the spans are exactly the words covered by windows that start earlier in the corpus.
+index tells, for every window of `window` words, the first place in the corpus where its words start, and the words at those
+places come to the block that asks.  A document is then parsed greedily: at a word whose window has an earlier source the
+factor runs on for as long as the words there and here are the same, word by word; other words are literals.  A factor
+of at least `window` words is a duplicate span; a source that turns out to be shorter gives none.  At a factor's end only the
+windows that straddle it are looked at again: the first of them with a source opens the next factor, which overlaps the one
+before, so a repeat that greedy factoring would cut in two is still found.  Spans are what the factors cover: exactly
+the words covered by windows that start earlier in the corpus.
 """
 
 from __future__ import annotations
@@ -16,30 +17,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import SPACED, gather, strings, word_codes, word_spans
-from .repeats import Block, Kind, Repeats, repeated_windows
+from .repeats import Block, Kind, Repeats, repeated_windows, runs
 
+#: Words that a factor may run on beyond the place where first places change; there the next one opens with a source of its own.
+REACH = 64
 
-def factors(r: Repeats, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of each greedy factor of the documents, which begin at docs (n + 1 offsets).
-
-    A factor runs on while the next window's source is the next place of the same document.
-    """
-    begins = np.zeros(len(r.starts) + 1, bool)
-    begins[docs] = True
-    runs_on = np.zeros(len(r.starts), bool)
-    runs_on[1:] = r.starts[1:] & r.starts[:-1] & (r.row[1:] == r.row[:-1]) & (r.start[1:] == r.start[:-1] + 1)
-    runs_on &= ~begins[:-1]
-    ends = r.starts.copy()
-    ends[:-1] &= ~runs_on[1:]
-    return np.flatnonzero(r.starts & ~runs_on), np.flatnonzero(ends)
 
+def factors(codes: np.ndarray, docs: np.ndarray, r: Repeats, sources: dict[tuple[int, int, int], bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each greedy factor of the documents, which begin at docs (n + 1 offsets).
 
-def factored(block: Block, r: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    r: windows that have sources, and where; sources: the words at the first place of each run of such windows.
+    """
+    first, last = runs(r, docs)
+    keys = list(zip(r.row[first].tolist(), r.start[first].tolist(), (last - first + window + REACH).tolist()))
+    used = {k: i for i, k in enumerate(dict.fromkeys(k for k in keys if k in sources))}
+    data = np.frombuffer(b"".join(sources[k] for k in used), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(sources[k]) for k in used], dtype=np.int64)])
+    s, e, at = word_spans(data, offsets, SPACED)
+    there = word_codes(data, s, e)
+    ends = docs[np.searchsorted(docs, first, "right")]  # of the document of each run
+    starts, stops, done, at = [], [], -1, at.tolist()
+    for i, z, key, end in zip(first.tolist(), last.tolist(), keys, ends.tolist()):
+        number = used.get(key)
+        if number is None:
+            continue
+        # Windows that start before `done` lie in the factor before, if that is of this document.
+        here = max(i, done)
+        while here <= z:
+            source = there[at[number] + here - i : at[number + 1]]
+            n = min(len(source), end - here)
+            same = source[:n] == codes[here : here + n]
+            length = n if same.all() else int(np.argmin(same))
+            if length >= window:
+                starts.append(here)
+                stops.append(here + length)
+                done = here = here + length - window + 1
+            else:
+                here += 1
+    return np.array(starts, np.int64), np.array(stops, np.int64)
+
+
+def factored(block: Block, r: Repeats, sources: dict) -> tuple[np.ndarray, np.ndarray]:
     """Whether each word lies in a factor, and the number of factors of each document."""
-    first, last = factors(r, block.docs)
+    first, stop = factors(block.codes, block.docs, r, sources, block.kind.window)
     edge = np.zeros(len(block.codes) + 1, np.int32)
     np.add.at(edge, first, 1)
-    np.subtract.at(edge, last + block.kind.window, 1)
+    np.subtract.at(edge, stop, 1)
     return np.cumsum(edge[:-1]) > 0, np.diff(np.searchsorted(first, block.docs))
 
 
@@ -87,8 +110,8 @@ def _layout(block: Block, gone: np.ndarray) -> pa.Array:
     return strings(block.data[~cut], block.offsets - np.concatenate([[0], np.cumsum(cut)])[block.offsets])
 
 
-def _finish(block: Block, r: Repeats) -> dict[str, pa.Array]:
-    gone, n_factors = factored(block, r)
+def _finish(block: Block, r: Repeats, sources: dict, layout: bool = False) -> dict[str, pa.Array]:
+    gone, n_factors = factored(block, r, sources)
     data = np.append(block.data, np.uint8(32))
     s, e, docs = word_spans(block.data, block.offsets, SPACED)
     keep = np.flatnonzero(~gone)
@@ -102,11 +125,15 @@ def _finish(block: Block, r: Repeats) -> dict[str, pa.Array]:
     drop = at[1:][np.diff(kept_at) > 0] - 1
     out = np.delete(out, drop)
     at = at - np.concatenate([[0], np.cumsum(np.diff(kept_at) > 0)])
-    return {"n_words": pa.array(np.diff(docs), pa.int64()), "n_removed": pa.array(per_document(gone, docs), pa.int64()), "kept": strings(out, at), "spans": span_lists(gone, docs), "n_factors": pa.array(n_factors, pa.int64())}
+    return {"n_words": pa.array(np.diff(docs), pa.int64()), "n_removed": pa.array(per_document(gone, docs), pa.int64()), "kept": _layout(block, gone) if layout else strings(out, at), "spans": span_lists(gone, docs), "n_factors": pa.array(n_factors, pa.int64())}
+
+
+def _finish_layout(block: Block, r: Repeats, sources: dict) -> dict[str, pa.Array]:
+    return _finish(block, r, sources, True)
 
 
-def _finish_layout(block: Block, r: Repeats) -> dict[str, pa.Array]:
-    return _finish(block, r) | {"kept": _layout(block, factored(block, r)[0])}
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return word_spans(data, offsets, SPACED)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, layout: bool = False, with_factors: bool = False, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None, **sizes: int) -> DataFrame:
@@ -121,4 +148,4 @@ def substring_dedup(docs: DataFrame, window: int = 20, layout: bool = False, wit
     """
     kind = Kind(window, max(1, min(8, window // 2)), _words)
     schema = "n_words long, n_removed long, kept string, spans array<struct<first:long,last:long>>" + (", n_factors long" if with_factors else "")
-    return repeated_windows(docs, kind, _finish_layout if layout else _finish, schema, extra, id_col, text_col, **sizes)
+    return repeated_windows(docs, kind, _finish_layout if layout else _finish, schema, extra, id_col, text_col, reach=REACH, spans=_spans, **sizes)

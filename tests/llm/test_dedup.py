@@ -212,6 +212,61 @@ def test_factors_run_across_phrases(spark):
     assert got == {1: (0, 0), 2: (0, 0), 3: (1, 250), 4: (2, 160), 5: (0, 0)}
 
 
+def test_a_factor_follows_its_source(spark):
+    """The second half of the third text stands first in another document than the first half; its source runs on all the same."""
+    r = random.Random(4)
+    x, y = [[f"w{r.randint(0, 99999)}" for _ in range(60)] for _ in range(2)]
+    rows = [(1, " ".join(y)), (2, " ".join(x + y)), (3, " ".join(x + y)), (4, " ".join(x[:30] + y[30:]))]
+    got = {d.doc_id: (d.n_factors, d.n_removed) for d in substring_dedup(frame(spark, rows), with_factors=True).collect()}
+    assert got == {1: (0, 0), 2: (1, 60), 3: (1, 120), 4: (2, 60)}
+
+
+def parsed(texts, sources=None, window=4):
+    """Factors of some texts in a block, with their windows' first places found by hand; sources: changes what stands there."""
+    import numpy as np
+
+    from pixelloom.llm.common import text_buffer
+    from pixelloom.llm.repeats import Repeats, runs
+    from pixelloom.llm.substring_dedup import REACH, _words, factors
+
+    import pyarrow as pa
+
+    codes, docs = _words(*text_buffer(pa.array(texts)))
+    words = [t.split() for t in texts]
+    n = len(codes)
+    r, first = Repeats(np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)), {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - window + 1):
+            place = first.setdefault(tuple(w[i : i + window]), (d, i))
+            if place != (d, i):
+                r.starts[docs[d] + i], (r.row[docs[d] + i], r.start[docs[d] + i]) = True, place
+    at, last = runs(r, docs)
+    given = {}
+    for k in zip(r.row[at].tolist(), r.start[at].tolist(), (last - at + window + REACH).tolist()):
+        given[k] = " ".join(words[k[0]][k[1] : k[1] + k[2]]).encode()
+    return [(int(a), int(b)) for a, b in zip(*factors(codes, docs, r, (sources or (lambda g: g))(given), window))]
+
+
+def test_sources_decide_the_spans():
+    texts = ["a b c d e f g h i j", "x a b c d e f y", "d e f g h z a b c d"]
+    assert parsed(texts) == [(11, 17), (18, 23), (24, 28)]
+    # Without its source, or with another one, a window is no factor, whatever the index said.
+    assert parsed(texts, lambda g: {}) == []
+    assert parsed(texts, lambda g: {k: b"no such words here at all" for k in g}) == []
+    # One word of the source is another: the factor ends there, and what follows is too short.
+    assert parsed(texts, lambda g: {k: v.replace(b"f", b"q") for k, v in g.items()}) == [(11, 16), (24, 28)]
+
+
+def test_factoring_with_random_sources_covers_less():
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefghijkl") for _ in range(60)) for _ in range(40)]
+    texts += [f"{t} {r.choice(texts)}" for t in texts[:20]]
+    covered = lambda spans: {i for a, b in spans for i in range(a, b)}
+    whole = covered(parsed(texts))
+    mixed = covered(parsed(texts, lambda g: dict(zip(g, r.sample(list(g.values()), len(g))))))
+    assert whole and len(mixed) < len(whole) / 4 and mixed <= whole
+
+
 def simhash(text, k=3):
     w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
