@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import release, settle
+from pixelloom.llm.common import release, settle, stage
 from pixelloom.llm.decontaminate import decontaminate
 from pixelloom.llm.fm_toxicity import remainder
 from pixelloom.llm.knn_quality import quality_scores
@@ -61,13 +61,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold no window of a benchmark item; the others go.
 
     The text alone decides, so texts are searched under their hashes, and the hash of a text that is hit leads back to
-    the rows that have it.
+    the rows that have it.  These rows, few as they are, are searched again under another hash: a row goes if both are hit, so
+    that no clean text goes for the sake of one hash that it shares.
     """
-    key = F.xxhash64("text")
-    found = decontaminate(docs.select(key.alias("key"), "text"), _table(spark, sf_dir, "benchmark"), size=10, id_col="key")
-    bad = found.filter("contaminated").select(F.col("key").alias("bad")).distinct()
+    one, two = F.xxhash64("text"), F.xxhash64(F.lit("again"), "text")
+    items = _table(spark, sf_dir, "benchmark")
+
+    def hit(texts: DataFrame, name: str) -> DataFrame:
+        """Keys of the texts (key, text) that are hit."""
+        return decontaminate(texts, items, size=10, id_col="key").filter("contaminated").select(F.col("key").alias(name)).distinct()
+
+    first = stage(hit(docs.select(one.alias("key"), "text"), "one"), "hit")
+    again = stage(docs.select(one.alias("one"), two.alias("key"), "text").join(first, "one", "left_semi"), "again")
+    bad = again.select("one", F.col("key").alias("two")).distinct().join(hit(again.select("key", "text"), "two"), "two")
     plain, names = _plain(docs)
-    return plain.join(bad, key == F.col("bad"), "left_anti").select(*names).toDF(*docs.columns)
+    return plain.join(bad, (one == F.col("one")) & (two == F.col("two")), "left_anti").select(*names).toDF(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
