@@ -7,7 +7,7 @@ skips most shards.  Runs are cut by bytes.
 Equal texts are one group and take the metadata of their least member, so a group has one place on the curve and stays
 whole, unless it alone is larger than a shard.  Order is made without one big sort: cell of the curve, then unit, then
 salt.  A text with a thousandth of all rows, or more bytes than a shard's share, is a unit of its own, salted by ids (or by rows,
-where ids are few), with more salts the more rows it has; only if its bytes exceed a shard's share do cuts follow the salts.
+if most have none or all ids lie in a narrow range), with more salts the more rows it has; only if its bytes exceed a shard's share do cuts follow the salts.
 All others are in units by their checksum, salted by what is left of it, so that no cut splits a group.  Only totals by
 cell, of which there are 8^dims at most, pass through a single window; rows are numbered within (cell, unit, salt), so
 no task gets a hot source, text or cell whole.
@@ -90,25 +90,23 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
     narrow = stage(narrow.withColumn("row", F.monotonically_increasing_id()), "narrow")
     all_rows, all_bytes = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     group = ["hash", "crc", "size"]
-    least = narrow.groupBy(*group).agg(F.min(F.struct(*[f"m{i}" for i in range(len(meta))])).alias("m"), F.count("*").alias("n"))
+    least = narrow.groupBy(*group).agg(F.min(F.struct(*[f"m{i}" for i in range(len(meta))])).alias("m"), F.count("*").alias("n"), F.least(F.count("doc"), F.max("doc") - F.min("doc") + 1).alias("ids"))
     levels = 1 << bits
     # Sizes by powers of 4, from 16 on; compared as integers, as logarithms round.
     scale = sum(((F.col("size") >= 4 ** (j + 1)).cast("int") for j in range(1, levels)), F.lit(0))
     cell = hilbert_index([*[F.pmod(F.crc32(F.col(f"m.m{i}").cast("binary")), levels).cast("int") for i in range(len(meta))], scale], bits)
-    placed = least.select(*group, cell.alias("cell"), "n")
+    placed = least.select(*group, cell.alias("cell"), "n", "ids")
     # Texts with a thousandth of all rows or more, or with more than a shard's bytes, are a thousand and `shards` at most, so they
     # are broadcast, and no join task gets one whole.
     hot = placed.filter((F.col("n") * HOT >= all_rows) | (F.col("n") * F.col("size") * shards > all_bytes))
     plain = narrow.select("doc", "row", *group)
     buckets = max(BUCKETS, 8 * shards)
-    # Rows without ids, or with one id over and over, are told apart by their numbers.
-    ids = plain.join(F.broadcast(hot.select(*group)), group).groupBy(*group).agg(F.approx_count_distinct("doc").alias("ids"))
-    hot = hot.join(F.broadcast(ids), group)
     by_id = F.crc32(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary"))
     salts = F.greatest(F.lit(SALTS), F.ceil(F.col("n") / SALT_ROWS))
-    salt = F.pmod(F.when(F.col("ids") * 2 <= F.col("n"), F.col("row")).otherwise(by_id), salts)
+    # Rows without ids, or with a few over and over, are told apart by their numbers.
+    salt = F.pmod(F.when(F.coalesce(F.col("ids") * 2 <= F.col("n"), F.lit(True)), F.col("row")).otherwise(by_id), salts)
     alone = plain.join(F.broadcast(hot), group).select("doc", "size", "crc", "cell", (F.col("crc") + buckets).alias("unit"), salt.alias("salt"))
-    others = plain.join(F.broadcast(hot), group, "left_anti").join(placed, group)
+    others = plain.drop("row").join(F.broadcast(hot), group, "left_anti").join(placed, group)
     others = others.select("doc", "size", "crc", "cell", F.pmod(F.col("crc"), F.lit(buckets)).cast("long").alias("unit"), F.pmod(F.floor(F.col("crc") / buckets), F.lit(SALTS)).cast("long").alias("salt"))
     rows = alone.union(others)
     # The totals and the numbering both start from here.
