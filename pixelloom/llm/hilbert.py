@@ -90,7 +90,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, meta: tuple[str, ...] = ("l
     narrow = stage(narrow.withColumn("row", F.monotonically_increasing_id()), "narrow")
     all_rows, all_bytes = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     group = ["hash", "crc", "size"]
-    least = narrow.groupBy(*group).agg(F.min(F.struct(*[f"m{i}" for i in range(len(meta))])).alias("m"), F.count("*").alias("n"), F.least(F.count("doc"), F.max("doc") - F.min("doc") + 1).alias("ids"))
+    least = narrow.groupBy(*group).agg(F.min(F.struct(*[f"m{i}" for i in range(len(meta))])).alias("m"), F.count("*").alias("n"), F.least(F.count("doc"), F.try_add(F.try_subtract(F.max("doc"), F.min("doc")), F.lit(1))).alias("ids"))
     levels = 1 << bits
     # Sizes by powers of 4, from 16 on; compared as integers, as logarithms round.
     scale = sum(((F.col("size") >= 4 ** (j + 1)).cast("int") for j in range(1, levels)), F.lit(0))

@@ -61,7 +61,7 @@ def test_a_text_that_fills_a_third(spark):
 def test_odd_tables(spark):
     schema = "doc_id long, text string, lang string, source string, cell int, size int"
     assert hilbert_shards(spark.createDataFrame([], schema)).count() == 0
-    rows = [(None, "a", None, "s", 1, 1), (1, "a", "l", None, 1, 1), (1, "a", "l", None, 2, 2), (1, "b", "l", "s", 2, 2)]
+    rows = [(None, "a", None, "s", 1, 1), (2**63 - 1, "c", "l", "s", 1, 1), (-(2**63), "c", "l", "s", 1, 1), (1, "a", "l", None, 1, 1), (1, "a", "l", None, 2, 2), (1, "b", "l", "s", 2, 2)]
     docs = spark.createDataFrame(rows, schema)
     check(rows, hilbert_shards(docs).collect(), 8, 9)
 
