@@ -10,9 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.sources import png
+
 from . import stencil
 
 #: Side of a tile in pixels.
@@ -64,3 +68,44 @@ def filtered(pixels: DataFrame, channels: str = "rgb", side: int = SIDE) -> Data
 def filter_choice(pixels: DataFrame, channels: str = "rgb", side: int = SIDE) -> DataFrame:
     """stencil.filter_choice of images of any size: tiles sum up their parts of a row, rows their tiles."""
     return stencil.cheapest(filtered(pixels, channels, side))
+
+
+def banded_png(pixels: DataFrame, rows: int = SIDE, alpha: bool = True, level: int = 2) -> DataFrame:
+    """(image_id, width, height, content): PNG files of the pixels as they are, each band of `rows` rows deflated by a task of its own.
+
+    A band sees the row above it, ends with a sync flush and brings the checksum of its bytes; checksums of bands combine to that of the
+    image, so only compressed bytes meet in one task.  Images need all their pixels, one each; others fail.
+    """
+    if rows < 1:
+        raise ValueError(f"bad bands: {rows}")
+    order = "rgba" if alpha else "rgb"
+    seen = pixels.select("image_id", "width", "height", "x", "y", *[F.col(c).cast("int").alias(c) for c in "argb"])
+    # The last row of a band is also the row above the next one.
+    last = F.floor((F.col("height") - 1) / rows)
+    seen = seen.withColumn("band", F.explode(F.sequence(F.floor(F.col("y") / rows), F.least(F.floor((F.col("y") + 1) / rows), last))))
+
+    def deflate(table: pa.Table) -> pa.Table:
+        number, w, h = (table.column(c)[0].as_py() for c in ("band", "width", "height"))
+        first = max(number * rows - 1, 0)
+        n = min((number + 1) * rows, h) - first
+        place = (table.column("y").to_numpy() - first) * w + table.column("x").to_numpy()
+        if len(place) != n * w or (np.bincount(place, minlength=n * w) != 1).any():
+            raise ValueError(f"image {table.column('image_id')[0]}: pixels are missing or stand twice")
+        lines = np.empty((n * w, len(order)), np.uint8)
+        lines[place] = np.stack([table.column(c).to_numpy() for c in order], axis=1)
+        lines = lines.reshape(n, -1)
+        above = lines[0] if number else None
+        data, checksum, length = png.band(lines[1:] if number else lines, above, (number + 1) * rows >= h, level)
+        return pa.table({"image_id": table.column("image_id").slice(0, 1), "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), "band": pa.array([number]), "data": pa.array([data], pa.binary()), "checksum": pa.array([checksum]), "length": pa.array([length])})
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("band")
+        w, h = table.column("width")[0].as_py(), table.column("height")[0].as_py()
+        bands = [*zip(*(table.column(c).to_pylist() for c in ("data", "checksum", "length")))]
+        if table.column("band").to_pylist() != [*range(-(-h // rows))]:
+            raise ValueError(f"image {table.column('image_id')[0]}: rows are missing")
+        return pa.table({"image_id": table.column("image_id").slice(0, 1), "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), "content": pa.array([png.from_bands(w, h, bands, alpha)], pa.binary())})
+
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    bands = seen.groupBy("image_id", "band").applyInArrow(deflate, f"image_id {kind}, width int, height int, band long, data binary, checksum long, length long")
+    return bands.groupBy("image_id").applyInArrow(join, f"image_id {kind}, width int, height int, content binary")

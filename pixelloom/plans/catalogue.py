@@ -555,6 +555,12 @@ def tiled_sharpen(spark, sf_dir):
     return _by_row(tiles.sharpen(views.mosaic(spark, sf_dir), 1, side=96), *"argb")
 
 
+@query(", out AS (SELECT image_id, x, y, a, r, g, b FROM mosaic) " + _by_row_sql(*"argb"))
+def banded_png(spark, sf_dir):
+    """One file of a large image from bands deflated by many tasks, and its pixels again."""
+    return _by_row(pixels.explode_pixels(images.decode_png(tiles.banded_png(views.mosaic(spark, sf_dir), rows=64))), *"argb")
+
+
 # ---------------------------------------------------------------- resampling
 
 

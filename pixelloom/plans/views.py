@@ -60,14 +60,14 @@ def big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image, 480 pixels wide and as high as there are events for: 24 pixels of each, 20 events a row."""
+    """One image, 640 pixels wide and as high as there are events for: 32 pixels of each, 20 events a row."""
     events = table(spark, sf_dir, "events")
-    place = F.col("event_id") * 24 + F.col("k")
-    p = events.select("event_id", "user_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("k"))
-    p = p.select("*", (place % 480).cast("int").alias("x"), F.floor(place / 480).cast("int").alias("y"))
+    place = F.col("event_id") * 32 + F.col("k")
+    p = events.select("event_id", "user_id", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("k"))
+    p = p.select("*", (place % 640).cast("int").alias("x"), F.floor(place / 640).cast("int").alias("y"))
     level = lambda c: (c % 256).cast("int")
     return p.select(
-        F.lit(0).cast("long").alias("image_id"), F.lit(480).alias("width"), F.lit(-(-events.count() // 20)).alias("height"), "x", "y", F.when(F.col("event_id") % 5 == 0, F.col("k") + 160).otherwise(255).cast("int").alias("a"),
+        F.lit(0).cast("long").alias("image_id"), F.lit(640).alias("width"), F.lit(-(-events.count() // 20)).alias("height"), "x", "y", F.when(F.col("event_id") % 5 == 0, F.col("k") + 160).otherwise(255).cast("int").alias("a"),
         level(F.col("x") * 2 + F.col("y")).alias("r"), level(F.col("user_id") * 3 + F.col("k")).alias("g"), level(F.col("event_id") * 31).alias("b"),
     )
 
@@ -85,8 +85,8 @@ synth AS (SELECT image_id, width, height, x, y, (x + y) % 256 AS a, x * 255 // g
       FROM (SELECT p_partkey AS image_id, (8 + p_size % 9)::INTEGER AS width, (8 + p_partkey % 7)::INTEGER AS height FROM part)))),
 coarser AS (SELECT image_id, width, height, x, y, a, r // 16 * 16 AS r, g // 16 * 16 AS g, b // 16 * 16 AS b FROM synth),
 pairs AS (SELECT s.*, c.a AS a2, c.r AS r2, c.g AS g2, c.b AS b2 FROM synth s JOIN coarser c USING (image_id, x, y)),
-mosaic AS (SELECT 0::BIGINT AS image_id, 480 AS width, ((max(event_id) OVER () + 20) // 20)::INTEGER AS height, (p % 480)::INTEGER AS x, (p // 480)::INTEGER AS y, CASE WHEN event_id % 5 = 0 THEN 160 + k ELSE 255 END::INTEGER AS a,
-  ((p % 480 * 2 + p // 480) % 256)::INTEGER AS r, ((user_id * 3 + k) % 256)::INTEGER AS g, (event_id * 31 % 256)::INTEGER AS b FROM (SELECT event_id, user_id, k, event_id * 24 + k AS p FROM events, (SELECT unnest(range(24)) AS k))),
+mosaic AS (SELECT 0::BIGINT AS image_id, 640 AS width, ((max(event_id) OVER () + 20) // 20)::INTEGER AS height, (p % 640)::INTEGER AS x, (p // 640)::INTEGER AS y, CASE WHEN event_id % 5 = 0 THEN 160 + k ELSE 255 END::INTEGER AS a,
+  ((p % 640 * 2 + p // 640) % 256)::INTEGER AS r, ((user_id * 3 + k) % 256)::INTEGER AS g, (event_id * 31 % 256)::INTEGER AS b FROM (SELECT event_id, user_id, k, event_id * 32 + k AS p FROM events, (SELECT unnest(range(32)) AS k))),
 big AS (SELECT 0::BIGINT AS image_id, 255 AS a, (l_partkey % 256)::INTEGER AS r, (l_suppkey % 256)::INTEGER AS g, ((31 * l_orderkey + 7 * l_linenumber) % 256)::INTEGER AS b FROM lineitem)
 """
 

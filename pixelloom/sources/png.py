@@ -116,6 +116,40 @@ def fast(raster: np.ndarray, alpha: bool = True, level: int = 2) -> bytes:
     return SIGNATURE + _header(raster.shape[1], raster.shape[0], 8, 6 if alpha else 2) + chunk(b"IDAT", segmented(raw, level, min(max(len(raw) // SEGMENT, 1), 8))) + chunk(b"IEND")
 
 
+def joined_checksum(first: int, second: int, length: int) -> int:
+    """Adler-32 of two stretches of bytes from those of each; length: of the second.
+
+    The low half is 1 and the sum of all bytes; the high half sums the low one after each byte, so the first stretch's sum counts
+    once more for each byte of the second.
+    """
+    base = 65521
+    low = (first & 0xFFFF) + (second & 0xFFFF) - 1
+    high = (first >> 16) + (second >> 16) + ((first & 0xFFFF) - 1) * length
+    return high % base << 16 | low % base
+
+
+def band(lines: np.ndarray, above: np.ndarray | None, last: bool, level: int = 2) -> tuple[bytes, int, int]:
+    """Some scanlines under the Up filter as a part of a deflate stream, with the Adler-32 and the number of the bytes in it."""
+    up = lines.copy()
+    up[1:] -= lines[:-1]
+    if above is not None:
+        up[0] -= above
+    raw = np.concatenate([np.full((len(up), 1), 2, np.uint8), up], axis=1).tobytes()
+    c = zlib.compressobj(level, zlib.DEFLATED, -15)
+    return c.compress(raw) + c.flush(zlib.Z_FINISH if last else zlib.Z_SYNC_FLUSH), zlib.adler32(raw), len(raw)
+
+
+def from_bands(width: int, height: int, bands: list[tuple[bytes, int, int]], alpha: bool = True) -> bytes:
+    """One file of all bands of an image, in order; each is an IDAT chunk of its own."""
+    total = 1
+    for _, checksum, length in bands:
+        total = joined_checksum(total, checksum, length)
+    data = [d for d, _, _ in bands]
+    data[0] = b"\x78\x01" + data[0]
+    data[-1] += struct.pack(">I", total)
+    return SIGNATURE + _header(width, height, 8, 6 if alpha else 2) + b"".join(chunk(b"IDAT", d) for d in data) + chunk(b"IEND")
+
+
 #: Fixed values of the PNG format: first column and row, and steps, of the seven passes of interlaced images.
 ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 

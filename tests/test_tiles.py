@@ -1,9 +1,13 @@
 """Tiles give the rows of the whole image, whatever their size, and no task holds a large image."""
 
+import random
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.operators import stencil, tiles
+from pixelloom.sources import png
 from tests.oracle import rows_of
 
 
@@ -59,3 +63,29 @@ def test_one_large_image_is_many_tasks(spark):
 
 def test_empty_table(spark):
     assert tiles.importance(image(spark, [(3, 3)]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rows,alpha", [(1, True), (7, False), (100, True)])
+def test_a_file_from_bands(spark, rows, alpha):
+    from pixelloom.operators.pixels import explode_pixels
+    from pixelloom.sources import images
+
+    p = image(spark, SIZES)
+    files = tiles.banded_png(p, rows, alpha)
+    got = explode_pixels(images.decode_png(files)).select(p.columns)
+    assert rows_of(got) == rows_of(p if alpha else p.withColumn("a", F.lit(255)))
+    for r in files.collect():
+        found = [(t, d) for _, t, _, d in png.chunks(bytes(r.content))]
+        assert [t for t, _ in found].count("IDAT") == -(-r.height // rows)
+        assert len(zlib.decompress(b"".join(d for t, d in found if t == "IDAT"))) == r.height * (r.width * (4 if alpha else 3) + 1)
+    with pytest.raises(Exception):
+        tiles.banded_png(p.filter("not (image_id = 0 and x = 3 and y = 3)"), rows).collect()
+
+
+def test_checksums_combine():
+    rnd = random.Random(2)
+    for _ in range(300):
+        a, b = (bytes(rnd.randrange(256) for _ in range(rnd.randrange(400))) for _ in range(2))
+        assert png.joined_checksum(zlib.adler32(a), zlib.adler32(b), len(b)) == zlib.adler32(a + b)
+    a = bytes([255]) * 300_000
+    assert png.joined_checksum(zlib.adler32(a), zlib.adler32(a), len(a)) == zlib.adler32(a + a)
