@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.color import luma, oklab
+from pixelloom.functions.exact import exact_avg
 
 GROUNDS = ("BLACK", "WHITE", "CHECKERBOARD")
 
@@ -79,7 +80,7 @@ def ssim(pairs: DataFrame) -> DataFrame:
     mp, mq = p / n, q / n
     vp, vq, c = (F.col("pp") - p * p / n) / less, (F.col("qq") - q * q / n) / less, (F.col("pq") - p * q / n) / less
     score = ((mp * mq * 2 + 6.5025) * (c * 2 + 58.5225)) / ((mp * mp + mq * mq + 6.5025) * (vp + vq + 58.5225))
-    return w.groupBy("image_id").agg(F.avg(score).alias("ssim"))
+    return w.groupBy("image_id").agg(exact_avg(score).alias("ssim"))
 
 
 def ground_level(ground: str) -> Column:
@@ -96,7 +97,7 @@ def color_error(pairs: DataFrame, ground: str) -> DataFrame:
     two = oklab(*[F.col(c + "2") for c in "argb"], level)
     square = sum(((s - t) * (s - t) for s, t in zip(one[1:], two[1:])), (one[0] - two[0]) * (one[0] - two[0]))
     d = pairs.select("image_id", (F.sqrt(square) * 100).alias("d"))
-    return d.groupBy("image_id").agg(F.avg("d").alias("mean"), F.expr("percentile_disc(0.95) within group (order by d)").alias("p95"), F.max("d").alias("max"))
+    return d.groupBy("image_id").agg(exact_avg(F.col("d")).alias("mean"), F.expr("percentile_disc(0.95) within group (order by d)").alias("p95"), F.max("d").alias("max"))
 
 
 __all__ = ["avg_error", "color_error", "max_error", "pair_pixels", "premultiplied_error", "similarity", "ssim"]
