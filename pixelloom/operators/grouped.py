@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.sources import png
 
+from . import tiles
 from .kernels import Options, default_options, dither_palette, floyd_steinberg, quantize_histogram, resize_raster, rotate_raster
 from .masks import ordered_dither
 from .palette import EXACT_LIMIT, adaptive_histogram
@@ -106,16 +107,21 @@ def rotated(rasters: DataFrame, degree: int, fit: bool = True) -> DataFrame:
     return each_raster(rasters, turn, "width int, height int, argb array<bigint>")
 
 
-def fits(pixels: DataFrame, options: Options | None = None, limit: int = EXACT_LIMIT) -> DataFrame:
+def fits(pixels: DataFrame, options: Options | None = None, limit: int = EXACT_LIMIT, side: int | None = None) -> DataFrame:
     """One row per image: bits, lossless, its colour keys in order with the entry of each, and the palette, packed.
 
-    Weights, histogram and fallback are native; only histograms reach the kernel, 2^20 + 1 rows of an image at most.
+    Weights, histogram and fallback are native; only histograms reach the kernel, 2^20 + 1 rows of an image at most.  side: compute
+    weights and partial histograms in tiles of so many pixels a side, for images too large for a task.
     """
     options = options or default_options()
     weight = F.col("weight") if options.importance > 0 else None
-    # Dealt by image once: windows, both aggregates and the lists below all keep to that.
-    pixels = spread(pixels)
-    hist = adaptive_histogram(importance(pixels, options.importance, dealt=True) if options.importance > 0 else pixels, limit, weight)
+    if side:
+        weighted = tiles.importance(pixels, options.importance, side=side) if weight is not None else pixels
+    else:
+        # Dealt by image once: windows, both aggregates and the lists below all keep to that.
+        pixels = spread(pixels)
+        weighted = importance(pixels, options.importance, dealt=True) if weight is not None else pixels
+    hist = adaptive_histogram(weighted, limit, weight)
 
     # One row per image, its buckets in the order in which a scan meets the colours; images of a batch share the Arrow work.
     buckets = F.sort_array(F.collect_list(F.struct("first_pos", "key", "cnt", "sr", "sg", "sb", "sa")))
@@ -141,9 +147,9 @@ def fits(pixels: DataFrame, options: Options | None = None, limit: int = EXACT_L
     return images.mapInArrow(fit, "image_id bigint, bits int, lossless boolean, keys array<bigint>, entries array<int>, palette array<bigint>")
 
 
-def palettes(pixels: DataFrame, options: Options | None = None, limit: int = EXACT_LIMIT) -> DataFrame:
+def palettes(pixels: DataFrame, options: Options | None = None, limit: int = EXACT_LIMIT, side: int | None = None) -> DataFrame:
     """(image_id, bits, key, idx, lossless, a, r, g, b): the entry of each colour key and its colour."""
-    each = fits(pixels, options, limit).select("image_id", "bits", "lossless", "palette", F.explode(F.arrays_zip("keys", "entries")).alias("k"))
+    each = fits(pixels, options, limit, side).select("image_id", "bits", "lossless", "palette", F.explode(F.arrays_zip("keys", "entries")).alias("k"))
     packed = F.element_at("palette", F.col("k.entries") + 1)
     part = lambda n: F.shiftright(packed, n).bitwiseAND(F.lit(255)).cast("int")
     return each.select("image_id", "bits", F.col("k.keys").alias("key"), F.col("k.entries").alias("idx"), "lossless", *[part(n).alias(c) for c, n in zip("argb", (24, 16, 8, 0))])

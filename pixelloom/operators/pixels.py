@@ -107,17 +107,18 @@ def join_canvas(first: DataFrame, second: DataFrame, orient: str = "HORIZONTAL")
     w1, h1, w2, h2, side = (F.col(c) for c in ("w1", "h1", "w2", "h2", "side"))
     width, height = (F.greatest(w1, w2), h1 + h2) if below else (w1 + w2, F.greatest(h1, h2))
     over = lambda c: blend(F.col(c), F.col("a"), F.lit(255)).alias(c)
-    own = F.struct((F.col("x") + (F.lit(0) if below else w1 * side)).alias("x"), (F.col("y") + (h1 * side if below else F.lit(0))).alias("y"), *map(over, "rgb"))
-    # What the smaller image leaves of its strip is white; the first image's corner pixel stands for all of it.
+    white = [F.lit(255).alias(c) for c in "rgb"]
+    own = F.struct((F.col("x") + (F.lit(0) if below else w1 * side)).alias("x"), (F.col("y") + (h1 * side if below else F.lit(0))).alias("y"), *map(over, "rgb"), F.lit(1).alias("run"))
+    # What the smaller image leaves of its strip is white; the first image's corner pixel stands for the rows of it, which then
+    # become pixels one by one, so no row of the plan holds an area.
     small, big, depth = (F.least(w1, w2), F.greatest(w1, w2), F.when(w1 < w2, h1).otherwise(h2)) if below else (F.least(h1, h2), F.greatest(h1, h2), F.when(h1 < h2, w1).otherwise(w2))
     begin = F.when(w1 < w2, 0).otherwise(h1) if below else F.when(h1 < h2, 0).otherwise(w1)
-    across = lambda p: small + F.pmod(p, big - small)
-    along = lambda p: begin + F.floor(p / (big - small)).cast("int")
-    white = [F.lit(255).alias(c) for c in "rgb"]
-    rest = F.transform(F.sequence(F.lit(0), (big - small) * depth - 1), lambda p: F.struct(*((across(p).alias("x"), along(p).alias("y")) if below else (along(p).alias("x"), across(p).alias("y"))), *white))
+    x, y, lines, run = (small, begin, depth, big - small) if below else (begin, small, big - small, depth)
+    rest = F.transform(F.sequence(F.lit(0), lines - 1), lambda i: F.struct(x.alias("x"), (y + i).alias("y"), *white, run.alias("run")))
     corner = (side == 0) & (F.col("x") == 0) & (F.col("y") == 0) & (big > small)
     laid = both.select("image_id", width.alias("width"), height.alias("height"), F.explode(F.when(corner, F.concat(F.array(own), rest)).otherwise(F.array(own))).alias("p"))
-    return laid.select("image_id", "width", "height", "p.x", "p.y", F.lit(255).alias("a"), "p.r", "p.g", "p.b")
+    laid = laid.select("image_id", "width", "height", "p.*", F.explode(F.sequence(F.lit(0), F.col("p.run") - 1)).alias("i"))
+    return laid.select("image_id", "width", "height", (F.col("x") + F.col("i")).alias("x"), "y", F.lit(255).alias("a"), "r", "g", "b")
 
 
 def color_key(pixels: DataFrame, color: tuple[int, int, int], tolerance: float) -> DataFrame:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color
 from pixelloom.operators import grouped, masks, measure, palette, pixels, resample, stencil, tiles
 from pixelloom.operators.kernels import Options
-from pixelloom.sources import datasource, images
+from pixelloom.sources import datasource, formats, images
 
 from . import views
 from .views import sql
@@ -630,12 +631,17 @@ def quantize_lossless(spark, sf_dir):
     return grouped.palettes(views.rgba4(spark, sf_dir), Options(max_colors=256))
 
 
-@query(
+#: Each grey image cut in two where most is gained: its levels with the mean of their side.
+_TWO = (
     ", h AS (SELECT image_id, gray AS g, count(*) AS c FROM gray8 GROUP BY 1, 2), "
     "k AS (SELECT *, sum(c) OVER w AS wl, sum(c * g) OVER w AS sl, sum(c) OVER i AS wt, sum(c * g) OVER i AS st, count(*) OVER i AS n FROM h WINDOW w AS (PARTITION BY image_id ORDER BY g), i AS (PARTITION BY image_id)), "
     "m AS (SELECT *, wl * (wt - wl) / wt::DOUBLE * 3 * pow(sl / wl::DOUBLE - (st - sl) / (wt - wl)::DOUBLE, 2) AS gain FROM k WHERE wl < wt), "
     "cut AS (SELECT image_id, g AS edge, sl / wl::DOUBLE AS below, (st - sl) / (wt - wl)::DOUBLE AS above FROM m QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY round(gain, 6) DESC, g) = 1) "
-    "SELECT k.image_id, 0 AS bits, (((255::BIGINT * 256 + g) * 256 + g) * 256 + g)::BIGINT AS key, (g > edge)::INTEGER AS idx, false AS lossless, 255 AS a, "
+)
+
+
+@query(
+    _TWO + "SELECT k.image_id, 0 AS bits, (((255::BIGINT * 256 + g) * 256 + g) * 256 + g)::BIGINT AS key, (g > edge)::INTEGER AS idx, false AS lossless, 255 AS a, "
     + ", ".join(f"floor(CASE WHEN g > edge THEN above ELSE below END + 0.5)::INTEGER AS {c}" for c in "rgb") + " FROM k JOIN cut USING (image_id) WHERE n > 2"
 )
 def quantize_two(spark, sf_dir):
@@ -669,6 +675,51 @@ def quantize_dither(spark, sf_dir):
     return grouped.encode_png(views.rgba4(spark, sf_dir), Options(max_colors=4, dither=0.5))
 
 
+@query(_TWO + ", many AS (SELECT DISTINCT image_id FROM k WHERE n > 2), out AS (SELECT p.image_id, width, height, x, y, 255 AS a, " + ", ".join(f"floor(CASE WHEN gray > edge THEN above ELSE below END + 0.5)::INTEGER AS {c}" for c in "rgb") + f" FROM gray8 p JOIN many USING (image_id) JOIN cut USING (image_id)) SELECT c.*, 2 AS kind, 'IHDR sRGB gAMA IDAT IEND' AS chunks FROM ({CHECK}) c")
+def truecolor_png(spark, sf_dir):
+    """Two-colour reductions as true-colour files, of the smaller of filtered and plain scanlines, and read back."""
+    options = Options(max_colors=2, kmeans=0, importance=0, palettize_lossy=False)
+    files = grouped.encode_png(views.gray8_pixels(spark, sf_dir), options).filter("not lossless")
+    kinds = files.select("image_id", F.conv(F.hex(F.substring("content", 26, 1)), 16, 10).cast("int").alias("kind"), images.chunk_types("content").alias("chunks"))
+    return checksum(pixels.explode_pixels(images.decode_png(files))).join(kinds, "image_id")
+
+
+def _profile(kind: bytes, tags: list[tuple[bytes, bytes]], pcs: bytes = b"XYZ ") -> bytes:
+    """An ICC profile of some tags."""
+    at, table, body = 132 + 12 * len(tags), b"", b""
+    for name, data in tags:
+        table += name + (at + len(body)).to_bytes(4, "big") + len(data).to_bytes(4, "big")
+        body += data + bytes(-len(data) % 4)
+    head = bytearray(128)
+    head[16:20], head[20:24], head[36:40] = kind, pcs, b"acsp"
+    return bytes(head) + len(tags).to_bytes(4, "big") + table + body
+
+
+def _turned() -> bytes:
+    """A table profile whose red, green and blue are sRGB's blue, red and green: (r, g, b) stands for sRGB (g, b, r)."""
+    level = np.arange(256) / 255
+    curve = np.where(level <= 0.04045, level / 12.92, ((level + 0.055) / 1.055) ** 2.4)
+    corners = np.array([[r, g, b] for r in (0, 1) for g in (0, 1) for b in (0, 1)]) @ formats.SRGB_D50[:, [2, 0, 1]].T
+    words = lambda v: np.rint(v).astype(">u2").tobytes()
+    one = np.array([0, 65535])
+    return _profile(b"RGB ", [(b"A2B0", b"mft2" + bytes(4) + bytes([3, 3, 2, 0]) + bytes(36) + words([256, 2]) + words(np.tile(curve * 65535, 3)) + words(corners.ravel() * 32768) + words(np.tile(one, 3)))])
+
+
+_CODED = "floor((CASE WHEN v <= 0.0031308 THEN 12.92 * v ELSE 1.055 * pow(v, 1 / 2.4::DOUBLE) - 0.055 END) * 255 + 0.5)::INTEGER"
+
+
+@query(f", g AS (SELECT image_id, width, height, x, y, gray / 255.0::DOUBLE AS v FROM gray8), out AS (SELECT image_id, width, height, x, y, 255 AS a, {_CODED} AS r, {_CODED} AS g, {_CODED} AS b FROM g UNION ALL SELECT -image_id - 1, width, height, x, y, a, CASE WHEN image_id % 3 = 0 THEN r ELSE g END, CASE WHEN image_id % 3 = 0 THEN g ELSE b END, CASE WHEN image_id % 3 = 0 THEN b ELSE r END FROM rgba4) {CHECK}")
+def profiles_to_srgb(spark, sf_dir):
+    """Linear grey profiles and, below zero, table profiles whose channels are turned; every third of these is cut off and leaves the pixels alone."""
+    linear, turned = _profile(b"GRAY", [(b"kTRC", b"curv" + bytes(8))]), _turned()
+    gray = grouped.fast_png(pixels.assemble(views.gray8_pixels(spark, sf_dir)), alpha=False)
+    color = grouped.fast_png(pixels.assemble(views.rgba4(spark, sf_dir)))
+    icc = F.when(F.col("image_id") % 3 == 0, F.lit(turned[:900])).otherwise(F.lit(turned))
+    files = gray.select("image_id", images.with_profile("content", F.lit(linear)).alias("content"))
+    files = files.unionByName(color.select((-F.col("image_id") - 1).alias("image_id"), images.with_profile("content", icc).alias("content")))
+    return checksum(pixels.explode_pixels(images.decode_png(files, srgb=True)))
+
+
 @query(f", out AS (SELECT * FROM rgba4) {CHECK}")
 def png_fast(spark, sf_dir):
     """As true colour with alpha, and read back."""

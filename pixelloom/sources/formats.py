@@ -266,8 +266,63 @@ def _curve(data: bytes):
     return None
 
 
+def lattice(grid: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values (n, m) of a cubic lattice (g, g, g, m) at points (n, 3) in 0..1, by tetrahedra.
+
+    A point's cell is cut into six tetrahedra that share the diagonal from its least to its greatest corner; which one holds the point
+    is told by the order of its three fractions.  From the least corner on, each step goes along the next largest fraction.
+    """
+    g = grid.shape[0]
+    scaled = np.clip(at, 0, 1) * (g - 1)
+    corner = np.minimum(scaled.astype(np.int64), max(g - 2, 0))
+    part = scaled - corner
+    order = np.argsort(-part, axis=1, kind="stable")
+    n = np.arange(len(at))
+    here = grid[corner[:, 0], corner[:, 1], corner[:, 2]]
+    out = here.copy()
+    for step in range(3):
+        axis = order[:, step]
+        corner[n, axis] = np.minimum(corner[n, axis] + 1, g - 1)
+        there = grid[corner[:, 0], corner[:, 1], corner[:, 2]]
+        out += (there - here) * part[n, axis][:, None]
+        here = there
+    return out
+
+
+def _table_profile(data: bytes, pcs: bytes):
+    """The XYZ (D50) of colours (n, 3) in 0..1 by an A2B0 tag of 8 or 16 bits, null if it is of another kind."""
+    wide = {b"mft1": 1, b"mft2": 2}.get(data[:4])
+    if not wide or pcs not in (b"XYZ ", b"Lab "):
+        return None
+    n_in, n_out, g = data[8:11]
+    if (n_in, n_out) != (3, 3) or g < 2:
+        return None
+    in_size, out_size = struct.unpack_from(">HH", data, 48) if wide == 2 else (256, 256)
+    numbers = np.frombuffer(data, ">u2" if wide == 2 else np.uint8, 3 * in_size + 3 * g**3 + 3 * out_size, 52 if wide == 2 else 48) / (65535 if wide == 2 else 255)
+    first = numbers[: 3 * in_size].reshape(3, in_size)
+    grid = numbers[3 * in_size : 3 * in_size + 3 * g**3].reshape(g, g, g, 3)
+    last = numbers[3 * in_size + 3 * g**3 :].reshape(3, out_size)
+    bend = lambda v, tables: np.stack([np.interp(v[:, c], np.linspace(0, 1, tables.shape[1]), tables[c]) for c in range(3)], axis=1)
+
+    def convert(rgb: np.ndarray) -> np.ndarray:
+        v = bend(lattice(grid, bend(rgb, first)), last)
+        if pcs == b"XYZ ":
+            return v * (1 + 32767 / 32768)
+        # 16-bit tables put 100 at 0xFF00 and 0 of a and b at 0x8000; 8-bit ones at 255 and 128.
+        full = 65280 / 65535 if wide == 2 else 1.0
+        light, a, b = v[:, 0] / full * 100, v[:, 1] / full * 255 - 128, v[:, 2] / full * 255 - 128
+        y = (light + 16) / 116
+        f = np.stack([y + a / 500, y, y - b / 200], axis=1)
+        return np.where(f > 6 / 29, f**3, (f - 4 / 29) * 3 * (6 / 29) ** 2) * WHITE_D50
+
+    return convert
+
+
 def to_srgb(raster: np.ndarray, icc: bytes | None) -> tuple[np.ndarray, bool]:
-    """(raster in sRGB, whether it was converted): matrix and grey profiles; with any other the pixels stay as they are."""
+    """(raster in sRGB, whether it was converted): table, matrix and grey profiles; with any other the pixels stay as they are.
+
+    Tables (A2B0 of 8 or 16 bits to XYZ or Lab) come first where a profile has both.
+    """
     try:
         if not icc or icc[36:40] != b"acsp":
             return raster, False
@@ -278,6 +333,8 @@ def to_srgb(raster: np.ndarray, icc: bytes | None) -> tuple[np.ndarray, bool]:
         if icc[16:20] == b"GRAY":
             curve = _curve(part(b"kTRC"))
             linear = np.repeat(curve(unit[..., :1]), 3, axis=2)
+        elif icc[16:20] == b"RGB " and b"A2B0" in tags and (table := _table_profile(part(b"A2B0"), icc[20:24])):
+            linear = (table(unit.reshape(-1, 3)) @ np.linalg.inv(SRGB_D50).T).reshape(unit.shape)
         elif icc[16:20] == b"RGB ":
             curves = [_curve(part(t)) for t in (b"rTRC", b"gTRC", b"bTRC")]
             columns = np.array([[v / 65536 for v in struct.unpack_from(">3i", part(t), 8)] for t in (b"rXYZ", b"gXYZ", b"bXYZ")]).T
@@ -294,5 +351,7 @@ def to_srgb(raster: np.ndarray, icc: bytes | None) -> tuple[np.ndarray, bool]:
         return raster, False
 
 
+#: The white of the profile connection space (ICC.1).
+WHITE_D50 = np.array([0.9642, 1.0, 0.8249])
 #: sRGB primaries adapted to D50, columns r, g, b.
 SRGB_D50 = np.array([[0.4360747, 0.3850649, 0.1430804], [0.2225045, 0.7168786, 0.0606169], [0.0139322, 0.0971045, 0.7141733]])

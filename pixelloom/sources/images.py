@@ -80,6 +80,12 @@ def add_text(content: pd.Series, entries: pd.Series) -> pd.Series:
     return pd.Series([formats.write_text(bytes(c), dict(e or {})) if c is not None else None for c, e in zip(content, entries)])
 
 
+@F.pandas_udf(T.StringType())
+def chunk_types(content: pd.Series) -> pd.Series:
+    """Names of a PNG's whole chunks, in order."""
+    return content.map(lambda c: " ".join(kind for _, kind, _, _ in png.chunks(bytes(c))) if c is not None else None)
+
+
 @F.udtf(returnType="pos long, type string, length long, data binary")
 class PngChunks:
     """png_chunks(content): one row per whole chunk."""

@@ -79,6 +79,42 @@ def test_quantize_by_naive_weights_and_histograms(spark):
         assert found[image] == {k: (i, *pal[i].tolist(), 0, lossless) for k, i in index.items()}
 
 
+def naive_dither(raster, pal, amount):
+    """Rows in turns from the left and from the right; each pixel's error to the next one and to three of the row below."""
+    h, w, _ = raster.shape
+    owed = [[[0.0, 0.0, 0.0] for _ in range(w)] for _ in range(h)]
+    index = np.zeros((h, w), int)
+    entries = [[e[c] * e[0] / 255 for c in (1, 2, 3)] + [e[0]] for e in pal.tolist()]
+    for y in range(h):
+        step = -1 if y % 2 else 1
+        for x in range(w)[::step]:
+            a, *rgb = raster[y, x].tolist()
+            aim = [min(max(v * a / 255 + owed[y][x][c] * amount, 0), a) for c, v in enumerate(rgb)]
+            if a == 255:
+                aim = [float(np.floor(v + 0.5)) for v in aim]
+            far = [sum((s - t) ** 2 for s, t in zip([*aim, a], e)) for e in entries]
+            pick = index[y, x] = min(range(len(far)), key=lambda i: (round(far[i], 6), i))
+            if not a:
+                continue
+            for dx, dy, part in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
+                tx, ty = x + dx * step, y + dy
+                if 0 <= tx < w and ty < h:
+                    for c in range(3):
+                        owed[ty][tx][c] += (aim[c] - entries[pick][c]) * part / 16
+    return index
+
+
+@pytest.mark.parametrize("amount", [0.3, 0.5, 1.0])
+def test_palette_dither_by_a_naive_walk(amount):
+    rnd = np.random.default_rng(int(amount * 10))
+    for size in ((7, 9), (1, 12), (12, 1), (16, 16)):
+        raster = rnd.integers(0, 256, (*size, 4))
+        raster[..., 0] = rnd.choice([0, 128, 255, 255], size)
+        pal = rnd.integers(0, 256, (6, 4))
+        pal[0] = 0
+        assert (kernels.dither_palette(raster, pal, amount) == naive_dither(raster, pal, amount)).all()
+
+
 @pytest.mark.parametrize("name,view,options", [("encode_png", "synth", Options(max_colors=16)), ("quantize_dither", "rgba4", Options(max_colors=4, dither=0.5))])
 def test_encoded_files_hold_the_reduced_pixels(spark, name, view, options):
     some = [0, 1, 2, 3, 5, 8]
@@ -91,7 +127,7 @@ def test_encoded_files_hold_the_reduced_pixels(spark, name, view, options):
         got = png.decode(bytes(r.content))
         assert (r.width, r.height, r.colors, r.lossless) == (raster.shape[1], raster.shape[0], len(pal), lossless)
         if options.dither and not lossless:
-            want = pal[kernels.dither_palette(raster, pal, options.dither)]
+            want = pal[naive_dither(raster, pal, options.dither)]
         else:
             keys = np.where(raster[..., 0] == 0, 0, grouped.pack(raster).reshape(raster.shape[:2]))
             want = pal[np.vectorize(index.get)(keys)]

@@ -280,3 +280,39 @@ def test_the_image_source_with_a_target_size(spark, tmp_path):
     rows = {r.path.rsplit("/", 1)[1]: r for r in images.read_images(spark, str(tmp_path), step_to=(8, 6)).collect()}
     assert {k: (r.width, r.height) for k, r in rows.items()} == {"a.jpg": (16, 12), "b.png": (16, 12), "c.png": (4, 2)}
     assert rows["b.png"].argb == pack(big[::4, ::4]).tolist() and [x & 255 for x in rows["c.png"].argb] == [1, 2, 3, 4] * 2
+
+
+def test_lattice_by_tetrahedra():
+    """Linear tables are kept exactly; of others the corners are, and a cell's diagonal is straight."""
+    rnd = np.random.default_rng(4)
+    points = rnd.random((500, 3))
+    axes = np.stack(np.meshgrid(*[np.linspace(0, 1, 5)] * 3, indexing="ij"), axis=-1)
+    turn = rnd.random((3, 3))
+    assert np.allclose(formats.lattice(axes @ turn, points), points @ turn)
+    grid = rnd.random((4, 4, 4, 3))
+    for i, j, k in ((0, 0, 0), (3, 3, 3), (1, 2, 3), (3, 0, 1)):
+        assert np.allclose(formats.lattice(grid, np.array([[i, j, k]]) / 3), grid[i, j, k])
+    assert np.allclose(formats.lattice(grid, np.array([[0.5, 0.5, 0.5]])), (grid[1, 1, 1] + grid[2, 2, 2]) / 2)
+    # Six tetrahedra: of three fractions in order, weights are the differences.
+    r, g, b = 0.9 / 3, 0.5 / 3, 0.2 / 3
+    want = 0.1 * grid[0, 0, 0] + 0.4 * grid[1, 0, 0] + 0.3 * grid[1, 1, 0] + 0.2 * grid[1, 1, 1]
+    assert np.allclose(formats.lattice(grid, np.array([[r, g, b]])), want)
+
+
+def test_table_profiles_to_lab():
+    """A table of 8 bits that says Lab for grey levels: its lightness curve is what comes out."""
+    from pixelloom.plans.catalogue import _profile
+
+    ramp = bytes(range(256))
+    corners = bytes([c for r in (0, 1) for g in (0, 1) for b in (0, 1) for c in (255 * g, 128, 128)])
+    icc = _profile(b"RGB ", [(b"A2B0", b"mft1" + bytes(4) + bytes([3, 3, 2, 0]) + bytes(36) + ramp * 3 + corners + ramp * 3)], b"Lab ")
+    raster = np.full((1, 256, 4), 255)
+    raster[0, :, 1:] = np.arange(256)[:, None]
+    out, done = formats.to_srgb(raster, icc)
+    light = np.arange(256) / 255 * 100
+    y = np.where(light > 8, ((light + 16) / 116) ** 3, light / 903.2963)
+    want = np.where(y <= 0.0031308, 12.92 * y, 1.055 * y ** (1 / 2.4) - 0.055) * 255
+    assert done and np.abs(out[0, :, 1:] - want[:, None]).max() <= 1
+    for broken in (icc[:200], icc.replace(b"mft1", b"mABx"), icc[:132] + b"A2B0" + b"\xff" * 8 + icc[144:]):
+        same, done = formats.to_srgb(raster, broken)
+        assert not done and same is raster

@@ -89,3 +89,12 @@ def test_checksums_combine():
         assert png.joined_checksum(zlib.adler32(a), zlib.adler32(b), len(b)) == zlib.adler32(a + b)
     a = bytes([255]) * 300_000
     assert png.joined_checksum(zlib.adler32(a), zlib.adler32(a), len(a)) == zlib.adler32(a + a)
+
+
+def test_palettes_of_tiles(spark):
+    from pixelloom.operators.grouped import palettes
+    from pixelloom.operators.kernels import Options
+
+    p = image(spark, [(45, 37), (9, 9)])
+    for options in (Options(max_colors=12), Options(max_colors=7, importance=0)):
+        assert rows_of(palettes(p, options, side=16)) == rows_of(palettes(p, options))
