@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color
-from pixelloom.operators import grouped, masks, measure, palette, pixels, resample, stencil, tiles
+from pixelloom.operators import grouped, masks, measure, palette, pixels, resample, shared_palette, stencil, tiles
 from pixelloom.operators.kernels import Options
 from pixelloom.sources import datasource, formats, images
 
@@ -650,6 +650,16 @@ def quantize_two(spark, sf_dir):
     return found.filter("not lossless")
 
 
+@query(
+    _TWO.replace("FROM gray8 GROUP BY 1, 2", "FROM (SELECT 0 AS image_id, gray FROM gray8) GROUP BY 1, 2") + "SELECT (g > edge)::INTEGER AS idx, 255 AS a, "
+    + ", ".join(f"floor(CASE WHEN g > edge THEN above ELSE below END + 0.5)::INTEGER AS {c}" for c in "rgb") + ", sum(c)::BIGINT AS n, count(*) AS keys FROM k JOIN cut USING (image_id) GROUP BY ALL"
+)
+def shared_palette_two(spark, sf_dir):
+    """Two levels for all grey images together, and how many of the levels each stands for."""
+    entries, keys = shared_palette.shared_palette(views.gray8_pixels(spark, sf_dir), Options(max_colors=2, kmeans=0, importance=0))
+    return entries.join(keys.groupBy("idx").agg(F.count("*").alias("keys")), "idx")
+
+
 @query(", b AS (SELECT image_id, CASE WHEN image_id % 2 = 0 THEN 255 * (gray > 100)::INTEGER ELSE gray END AS v FROM gray8) SELECT image_id, count(DISTINCT v) <= 2 AS is_binary FROM b GROUP BY 1")
 def binary_files(spark, sf_dir):
     """Whether a file holds one bit a pixel, by its header: of the images, every second one is black and white."""
