@@ -245,6 +245,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, usable, label_col: str =
     labels; an empty table gives no rows.  Ids are cast to long to find their labels.  Columns score and predicted that
     docs has are replaced.  Rows that share an id are scored each by itself.  Ids, labels and other
     columns are no inputs of a score.
+
+    The machine is fitted on a bounded sample and bounded in size.  sample: labelled rows at most, half of either label.  fit: most_terms,
+    terms that it holds (4,096: those that tell most); least_docs, rows of the sample that a term or a pair must stand in (4);
+    least_z, how far from chance it must be, in standard errors (5); pool, terms that are tried in pairs (1,024).  Other
+    terms of a text add nothing to its score; all documents are scored by the same machine whatever their number.
     """
     machine = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, label_col, usable, sample, id_col=id_col, text_col=text_col, **fit))
     names = [c for c in docs.columns if c not in ("score", "predicted")]
