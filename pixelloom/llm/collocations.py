@@ -207,16 +207,17 @@ def phrase_counts(texts: DataFrame, longest: int, least: int) -> DataFrame:
                 counts.append(np.diff(np.concatenate([first, [len(key)]])))
                 ks.append(np.full(len(first), k))
             starts, counts, ks = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (starts, counts, ks))
-            size = len(words.names)
-            lang = np.concatenate([words.lang[starts], np.arange(size)])
-            columns = [
-                pa.array(words.names, pa.string()).take(pa.array(lang)), pa.array(np.concatenate([ks, np.zeros(size, np.int64)])), pa.array(words.text(starts, ks) + [""] * size, pa.string()),
-                pa.array(np.concatenate([counts, np.bincount(words.lang, minlength=size)])),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "phrase", "f"])
-
-    found = texts.select("lang", "text").mapInArrow(survivors, "lang string, k long, phrase string, f long")
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
+            # One key for language and phrase, as rows of fewer fields are shuffled in fewer bytes; no phrase holds a tab.
+            names = [f"{name}\t" for name in words.names]
+            keys = [names[i] + text for i, text in zip(words.lang[starts].tolist(), words.text(starts, ks))] + names
+            counts = np.concatenate([counts, np.bincount(words.lang, minlength=len(names))])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts)], ["key", "f"])
+
+    found = texts.select("lang", "text").mapInArrow(survivors, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\t", -1)
+    found = found.select(F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
+    k = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
+    return found.select("lang", k.cast("long").alias("k"), "phrase", "f").filter((F.col("f") >= least) | (F.col("k") == 0))
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, scale: int = 2_000_000, covered: int = 80, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
