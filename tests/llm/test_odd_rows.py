@@ -9,10 +9,12 @@ from pixelloom.llm.fm_toxicity import toxicity_scores
 from pixelloom.llm.hilbert import hilbert_shards
 from pixelloom.llm.knn_quality import quality_scores
 from pixelloom.llm.license_scan import license_scan
+from pixelloom.llm.segment_bpe import bpe_encode
 from pixelloom.llm.shingle_dedup import drop_near_copies
 from pixelloom.llm.simhash import simhash_groups
 from pixelloom.llm.substring_dedup import substring_dedup
 from pixelloom.llm.suffix_dedup import suffix_dedup
+from pixelloom.llm.token_alignment import token_alignment
 from pixelloom.llm.wfst import encode_documents
 
 NAMES = ["doc_id", "text", "lang", "source", "n_chars", "doc", "fp", "row", "block", "part", "payload", "term", "cell", "x0", "score", "size", "label"]
@@ -45,10 +47,12 @@ def operators(labels, items):
         "op8": lambda d: suffix_dedup(d, extra=["row", "block"]),
         "op9": hilbert_shards,
         "op10": lambda d: decontaminate(d, items, proximity=20),
+        "op11": lambda d: token_alignment(d, queries.BYTE_BPE, queries.MODEL),
+        "op12": lambda d: bpe_encode(d, queries.WORD_BPE),
     }
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10", "op11", "op12"])
 def test_one_row_for_each_row(docs, tables, name):
     make = operators(*tables)[name]
     rows = make(docs).collect()

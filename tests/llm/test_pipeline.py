@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pixelloom.llm.common import stage
@@ -111,3 +112,25 @@ def test_rows_and_columns_of_any_name(spark):
         assert row("decontamination") == [k for k in range(len(rows)) if k not in (0, 4)]
     finally:
         spark.conf.set("spark.sql.caseSensitive", before)
+
+
+def test_a_shared_hash_costs_no_clean_text(spark, tmp_path, monkeypatch):
+    """The first hash of all texts is one and the same here: only the text that is hit goes, and its copies."""
+    import corpus_pipeline
+
+    class Poor:
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        @staticmethod
+        def xxhash64(*columns):
+            return F.lit(1).cast("long") if len(columns) == 1 else F.xxhash64(*columns)
+
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, f"before {item} after"), (2, "clean text"), (2, None), (None, "another clean text"), (5, f"before {item} after"), (6, "")]
+    docs = spark.createDataFrame([(i, t, "one", "two") for i, t in rows], "doc_id long, text string, one string, two string")
+    monkeypatch.setattr(corpus_pipeline, "F", Poor())
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in rows if item not in (t or ""))
