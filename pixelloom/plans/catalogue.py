@@ -588,6 +588,12 @@ def resize_kernel(spark, sf_dir):
     return grouped.resized(pixels.assemble(views.synth(spark, sf_dir)), 5, 4)
 
 
+@query(", five AS (SELECT *, 5 AS tw, 5 AS th FROM synth), " + _resize_sql("out", "five") + f" {CHECK}")
+def streamed_thumbnails(spark, sf_dir):
+    """PNG files of many sizes to 5x5 while their scanlines are inflated."""
+    return checksum(pixels.explode_pixels(images.thumbnails(_files(spark, sf_dir), 5, 5)))
+
+
 @query(", half AS (SELECT *, greatest(1, floor(width * 0.4::DOUBLE + 0.5))::INTEGER AS tw, greatest(1, floor(height * 0.4::DOUBLE + 0.5))::INTEGER AS th FROM synth), " + _resize_sql("out", "half") + f" {CHECK}")
 def scale_mixed(spark, sf_dir):
     """Images of many sizes, each to four tenths of its own: blocks first, then the filter."""

@@ -140,6 +140,27 @@ def decode_tiff(files: DataFrame) -> DataFrame:
     return files.select(F.col("image_id").cast("long"), "content").mapInArrow(lambda it: _rows(it, formats.read_tiff), RASTER)
 
 
+def _read_any(content: bytes | None, step_to: tuple[int, int] | None = None) -> np.ndarray:
+    """The raster of a file of any kind that is decoded here; others raise ValueError."""
+    from pixelloom.operators.resample import subsampling
+
+    if content is None:
+        raise ValueError("no content")
+    size = formats.image_size(content)
+    step = subsampling(*size, *step_to) if step_to and size else 1
+    if content[:4] == b"\x89PNG":
+        return png.decode(content, step)
+    if content[:2] == b"\xff\xd8":
+        return decode.read_jpeg(content, step)
+    if content[:3] == b"GIF":
+        return decode.read_gif(content)[::step, ::step]
+    if content[:2] == b"BM":
+        return decode.read_bmp(content, step)
+    out = formats.read_tiff(content)
+    step = subsampling(out.shape[1], out.shape[0], *step_to) if step_to else 1
+    return out[::step, ::step]
+
+
 def decode_files(files: DataFrame, step_to: tuple[int, int] | None = None) -> DataFrame:
     """Rasters of PNG, JPEG, GIF, BMP and TIFF files in a column (image_id, content), by what the bytes say they are.
 
@@ -148,24 +169,23 @@ def decode_files(files: DataFrame, step_to: tuple[int, int] | None = None) -> Da
     picture counts.  Null, broken and other content, also progressive JPEG, is left out; rows that share an id stay rows of their own.
     """
 
+    return files.select(F.col("image_id").cast("long"), "content").mapInArrow(lambda it: _rows(it, lambda c: _read_any(c, step_to)), RASTER)
+
+
+def thumbnails(files: DataFrame, to_width: int, to_height: int) -> DataFrame:
+    """Rasters of to_width x to_height of image files in a column (image_id, content), resampled as resample.resize does it.
+
+    PNG files are resampled while their scanlines are inflated, in the memory of the thumbnail; others are decoded first.  Null, broken
+    and unknown content is left out.
+    """
+
     def read(content: bytes) -> np.ndarray:
-        from pixelloom.operators.resample import subsampling
+        from pixelloom.operators.kernels import resize_raster, resize_rows
 
-        if content is None:
-            raise ValueError("no content")
-        size = formats.image_size(content)
-        step = subsampling(*size, *step_to) if step_to and size else 1
-        if content[:4] == b"\x89PNG":
-            return png.decode(content, step)
-        if content[:2] == b"\xff\xd8":
-            return decode.read_jpeg(content, step)
-        if content[:3] == b"GIF":
-            return decode.read_gif(content)[::step, ::step]
-        if content[:2] == b"BM":
-            return decode.read_bmp(content, step)
-        out = formats.read_tiff(content)
-        step = subsampling(out.shape[1], out.shape[0], *step_to) if step_to else 1
-        return out[::step, ::step]
+        if content is not None and content[:4] == b"\x89PNG":
+            w, h, rows = png.scanlines(content)
+            return resize_rows(rows, w, h, to_width, to_height)
+        return resize_raster(_read_any(content), to_width, to_height)
 
     return files.select(F.col("image_id").cast("long"), "content").mapInArrow(lambda it: _rows(it, read), RASTER)
 

@@ -211,7 +211,12 @@ def decode(content: bytes, step: int = 1, shift: bool = False) -> np.ndarray:
             above = _unfilter(int(raw[0]), raw[1:], above, bpp)
             if y % step == 0:
                 samples[y // step, columns[kept] // step] = _values(above[bpp:], n, bits, bands, None if kind == 3 else shift)[kept]
-    out = np.full((*samples.shape[:2], 4), 255, np.int64)
+    return _colors(samples, kind, found)
+
+
+def _colors(samples: np.ndarray, kind: int, found: list) -> np.ndarray:
+    """(..., 4: a, r, g, b) of samples (..., bands) by the file's colour type and palette."""
+    out = np.full((*samples.shape[:-1], 4), 255, np.int64)
     by = {t: d for _, t, _, d in found}
     if kind == 3:
         table = np.frombuffer(by["PLTE"], np.uint8).reshape(-1, 3)
@@ -225,6 +230,30 @@ def decode(content: bytes, step: int = 1, shift: bool = False) -> np.ndarray:
     return out
 
 
+def scanlines(content: bytes) -> tuple[int, int, Iterator[np.ndarray]]:
+    """Width, height and the rows (w, 4: a, r, g, b) of a PNG one after another; of an interlaced file they come from all its pixels."""
+    found = list(chunks(content))
+    if not found or found[0][1] != "IHDR":
+        raise ValueError("not a PNG")
+    w, h, bits, kind, _, _, interlace = struct.unpack(">IIBBBBB", found[0][3])
+    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    if w * h * bands * bits > 8 * 1040 * len(content):
+        raise ValueError("fewer pixels than the header says")
+
+    def rows():
+        if interlace:
+            yield from decode(content)
+            return
+        data, bpp, stride = _Inflated([d for _, t, _, d in found if t == "IDAT"]), max(1, bands * bits // 8), (w * bands * bits + 7) // 8
+        above = np.zeros(stride + bpp, np.uint8)
+        for _ in range(h):
+            raw = np.frombuffer(data.take(stride + 1), np.uint8)
+            above = _unfilter(int(raw[0]), raw[1:], above, bpp)
+            yield _colors(_values(above[bpp:], w, bits, bands, None if kind == 3 else False), kind, found)
+
+    return w, h, rows()
+
+
 def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, bpp: int) -> np.ndarray:
     out = np.zeros(len(row) + bpp, np.uint8)
     if kind in (0, 2):

@@ -180,3 +180,34 @@ def test_progressive_files_are_refused(spark):
     b[b.index(b"\xff\xc0") + 1] = 0xC2
     with pytest.raises(ValueError):
         decode.read_jpeg(bytes(b))
+
+
+@pytest.mark.parametrize("size,target", [((37, 21), (5, 4)), ((64, 64), (64, 3)), ((9, 100), (20, 2)), ((5, 5), (5, 5)), ((3, 2), (9, 7)), ((200, 150), (1, 1))])
+def test_rows_resample_as_a_raster_does(size, target):
+    from pixelloom.operators.kernels import resize_raster, resize_rows
+    from pixelloom.sources import png
+
+    r = photo(*size, alpha=True)
+    w, h, rows = png.scanlines(png.fast(r))
+    assert (w, h) == size and np.array_equal(resize_rows(rows, w, h, *target), resize_raster(r, *target))
+    few = r // 128 * 128
+    few[..., 0] = 255
+    colors, index = np.unique(few.reshape(-1, 4), axis=0, return_inverse=True)
+    w, h, rows = png.scanlines(png.indexed(index.reshape(size[1], size[0]), colors))
+    assert np.array_equal(np.stack([*rows]), few)
+
+
+def test_a_streamed_thumbnail_holds_some_rows(spark):
+    from pixelloom.operators.kernels import resize_rows
+    from pixelloom.sources import png
+
+    b = png.fast(photo(600, 800, alpha=True))
+    tracemalloc.start()
+    w, h, rows = png.scanlines(b)
+    small = resize_rows(rows, w, h, 30, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert small.shape == (40, 30, 4) and peak < 600 * 800 * 4 / 2 + len(b)
+    files = spark.createDataFrame([(1, bytearray(b)), (2, bytearray(b"none")), (3, None), (4, bytearray(lossy.write_jpeg(photo(40, 30)))), (5, bytearray(b[:900]))], "image_id long, content binary")
+    got = {x.image_id: (x.width, x.height) for x in images.thumbnails(files, 8, 6).collect()}
+    assert got == {1: (8, 6), 4: (8, 6)}
