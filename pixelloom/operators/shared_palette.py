@@ -92,8 +92,8 @@ def _cuts(hist: DataFrame, box: Column, boxes: list[Box], new: list[int]) -> Non
                 continue
             apart = sl / wl[:, None] - (s.sum(axis=0) - sl) / wr[:, None]
             gain = wl * wr / w.sum() * (apart * apart).sum(axis=1)
-            k = int(gain.argmax())
-            if gain[k] > b.gain:
+            k = int(np.round(gain, 6).argmax())
+            if gain[k] > 0 and (b.gain <= 0 or np.round(gain[k], 6) > np.round(b.gain, 6)):
                 b.gain, b.axis, b.cut = float(gain[k]), axis, int(of["bin"][mine][k])
 
 
