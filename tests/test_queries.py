@@ -163,3 +163,15 @@ def test_skips_unused_columns_and_pushes_filters(spark):
     plan = catalogue.QUERIES["bayer"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "label" not in plan.split("ReadSchema")[1].split("\n")[0]
     assert "p_name" not in views.synth(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["place_crop", "align_box", "box_shrink", "binary_mask_bytes", "color_histogram", "distinct_colors", "scale_mixed", "ssim", "color_error_white", "png_filter_choice"])
+def test_pixels_of_images_are_not_shuffled(spark, name):
+    """The only exchanges are of rows of the table, before pixels are made of them, and nothing is broadcast."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0
+
+
+def test_rasters_are_compared_without_a_broadcast(spark):
+    assert "Broadcast" not in catalogue.QUERIES["similarity_resized"](spark, SF)._jdf.queryExecution().executedPlan().toString()
