@@ -82,6 +82,23 @@ def test_a_file_from_bands(spark, rows, alpha):
         tiles.banded_png(p.filter("not (image_id = 0 and x = 3 and y = 3)"), rows).collect()
 
 
+@pytest.mark.parametrize("rows,alpha", [(5, True), (64, False)])
+def test_parts_join_to_a_file(spark, rows, alpha):
+    """No task holds a file: parts in their order are one, and each band is read by itself."""
+    from pixelloom.operators.pixels import explode_pixels
+    from pixelloom.sources import images
+
+    p = image(spark, SIZES)
+    parts = tiles.banded_parts(p, rows, alpha)
+    want = rows_of(p if alpha else p.withColumn("a", F.lit(255)))
+    assert rows_of(tiles.parts_pixels(parts, rows, alpha).select(p.columns)) == want
+    files = {}
+    for r in parts.orderBy("image_id", "part").collect():
+        files[r.image_id] = files.get(r.image_id, b"") + bytes(r.content)
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "image_id long, content binary")
+    assert rows_of(explode_pixels(images.decode_png(files)).select(p.columns)) == want
+
+
 def test_checksums_combine():
     rnd = random.Random(2)
     for _ in range(300):
