@@ -89,9 +89,15 @@ def header(read, length: int) -> tuple[str | None, int | None, int | None]:
     return (kind, w, h) if kind and w > 0 and h > 0 else (kind, None, None)
 
 
+#: First letters of the folders that tasks of image_files leave with the option folders.
+PART = "part-"
+
+
 class _Files(D.InputPartition):
-    def __init__(self, files: list[tuple[str, int]]):
-        self.files = files
+    """Files by path and length, or a folder whose files its task lists."""
+
+    def __init__(self, files: list[tuple[str, int]], folder: str | None = None):
+        self.files, self.folder = files, folder
 
 
 #: What pushed filters compare with, by their classes.
@@ -124,19 +130,37 @@ class SizesReader(D.DataSourceReader):
         """As in SQL: no comparison with null holds."""
         return all(row[name] is not None and value is not None and _TESTS[kind](row[name], value) or kind is D.IsNotNull and row[name] is not None for name, kind, value in tests)
 
-    def partitions(self):
+    def _list(self, folder: str) -> tuple[list[tuple[str, int]], list[str]]:
+        """Files below a folder that the filters pass, and the folders that tasks list themselves."""
         from pyarrow import fs
 
-        store, base, lead = _open(self.path)
-        found = store.get_file_info(fs.FileSelector(base, recursive=True)) if store.get_file_info(base).type == fs.FileType.Directory else [store.get_file_info(base)]
-        files = [(lead + f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")) and (not self.glob or fnmatch.fnmatch(f.base_name, self.glob))]
-        files = sorted(f for f in files if self._passes(self.listed, {"path": f[0], "length": f[1]}))
-        return [_Files(files[i : i + self.files]) for i in range(0, len(files), self.files)] or [_Files([])]
+        store, base, lead = _open(folder)
+        info = store.get_file_info(base)
+        found = store.get_file_info(fs.FileSelector(base)) if info.type == fs.FileType.Directory else [info]
+        files, parts = [], []
+        for f in found:
+            if f.type == fs.FileType.Directory and f.base_name.startswith(PART):
+                parts.append(lead + f.path)
+            elif f.type == fs.FileType.Directory:
+                more = self._list(lead + f.path)
+                files, parts = files + more[0], parts + more[1]
+            elif f.type == fs.FileType.File and not f.base_name.startswith((".", "_")) and (not self.glob or fnmatch.fnmatch(f.base_name, self.glob)):
+                files.append((lead + f.path, f.size))
+        return sorted(f for f in files if self._passes(self.listed, {"path": f[0], "length": f[1]})), sorted(parts)
+
+    def partitions(self):
+        files, parts = self._list(self.path)
+        files.sort()
+        return [_Files(files[i : i + self.files]) for i in range(0, len(files), self.files)] + [_Files([], p) for p in parts] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        files, folders = partition.files, [partition.folder] if partition.folder else []
+        while folders:
+            more = self._list(folders.pop())
+            files, folders = files + more[0], folders + more[1]
         rows = []
         needs = {"kind", "width", "height", "bytes_read"} & {*self.names, *(t[0] for t in self.inside)}
-        for path, length in partition.files:
+        for path, length in files:
             row = {"path": path, "length": length, "kind": None, "width": None, "height": None, "bytes_read": 0}
             if needs:
                 store, inner, _ = _open(path)
@@ -158,7 +182,7 @@ class ImageSizes(D.DataSource):
 
     Options: pathGlobFilter, filesPerTask.  A schema of fewer columns reads no file if path and length are all of them.  Files whose
     names begin with a dot or an underscore are left out.  Filters on path and length are applied to the list, those on kind, width and
-    height in the tasks (with spark.sql.python.filterPushdown.enabled; Spark applies them itself without it).
+    height in the tasks (folders named part-... are listed by tasks, all others by the driver; with spark.sql.python.filterPushdown.enabled; Spark applies them itself without it).
     """
 
     @classmethod
@@ -185,7 +209,7 @@ class FilesWriter(D.DataSourceArrowWriter):
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.kind, self.quality = options["path"], options.get("kind", "PNG"), float(options.get("quality", -1))
-        self.overwrite, self.job = overwrite, uuid.uuid4().hex
+        self.overwrite, self.job, self.folders = overwrite, uuid.uuid4().hex, str(options.get("folders", "false")).lower() == "true"
         self.temporary = f"_temporary/{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
@@ -207,7 +231,7 @@ class FilesWriter(D.DataSourceArrowWriter):
                 with store.open_output_stream(f"{folder}/{name}") as out:
                     out.write(encode(unpack(column["argb"][i].values.to_numpy(), w, h)))
                 names.append(name)
-        return _Written(folder, [*dict.fromkeys(names)])
+        return _Written(folder, [] if self.folders else [*dict.fromkeys(names)])
 
     def commit(self, messages) -> None:
         from pyarrow import fs
@@ -219,7 +243,10 @@ class FilesWriter(D.DataSourceArrowWriter):
                     store.delete_file(f.path)
                 elif f.base_name != "_temporary":
                     store.delete_dir(f.path)
-        moves = [(f"{m.folder}/{n}", f"{base}/{n}") for m in messages if m for n in m.names]
+        if self.folders:
+            moves = [(m.folder, f"{base}/{PART}{m.folder.rsplit('/', 1)[1]}") for m in messages if m]
+        else:
+            moves = [(f"{m.folder}/{n}", f"{base}/{n}") for m in messages if m for n in m.names]
         with ThreadPoolExecutor(16) as pool:
             list(pool.map(lambda m: store.move(*m), moves))
         self._clear(store, base)
@@ -242,7 +269,8 @@ class ImageFiles(D.DataSource):
     """Writes rasters (image_id, width, height, argb) as path/image_id.suffix.
 
     Options: kind (PNG, JPG, GIF, BMP, TIFF; PNG), quality of JPG from 0 to 1.  Mode append replaces files of the same names, overwrite
-    all that was there, both when the job commits.  Rows without id or pixels are left out; of repeated ids one file stays.
+    all that was there, both when the job commits.  folders: true leaves the files of each task in a folder part-... of its own, which is
+    moved whole, so that the driver sees no names of files; append then replaces none, and repeated ids of two tasks both stay.  Rows without id or pixels are left out; of repeated ids one file stays.
     """
 
     @classmethod

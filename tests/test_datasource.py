@@ -115,3 +115,17 @@ def test_of_two_attempts_one_counts(tmp_path):
     again.write(iter([batch]))
     again.abort([])
     assert [p.name for p in tmp_path.rglob("*")] == ["7.png"]
+
+
+def test_folders_of_tasks_keep_names_from_the_driver(spark, folder):
+    """A commit moves a folder for each task, and a folder's files are listed by the task that reads them."""
+    out = folder / "out"
+    rasters(spark, 40).write.format("image_files").option("folders", True).mode("append").save(str(out))
+    assert all(p.is_dir() and p.name.startswith("part-") for p in out.iterdir()) and len([*out.glob("*/*.png")]) == 40
+    df = spark.read.format("image_sizes").load(str(folder))
+    reader = datasource.SizesReader(df.schema, {"path": str(folder)})
+    assert not [p for part in reader.partitions() for p, _ in part.files if "/out/" in p]
+    assert df.filter(F.col("path").contains("/out/") & (F.col("width") == 5)).count() == 40
+    assert spark.read.format("image_sizes").load(str(folder)).count() == 47
+    rasters(spark, 3).write.format("image_files").option("folders", True).mode("overwrite").save(str(out))
+    assert len([*out.glob("*/*.png")]) == 3
