@@ -1,6 +1,7 @@
 """Tiles give the rows of the whole image, whatever their size, and no task holds a large image."""
 
 import random
+import re
 import zlib
 
 import pytest
@@ -16,6 +17,10 @@ def image(spark, sizes):
     p = spark.createDataFrame([(i, w, h) for i, (w, h) in enumerate(sizes)], "image_id long, width int, height int")
     p = p.select("*", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("p"))
     p = p.select("image_id", "width", "height", (F.col("p") % F.col("width")).cast("int").alias("x"), F.floor(F.col("p") / F.col("width")).cast("int").alias("y"))
+    return colored(p)
+
+
+def colored(p):
     noise = lambda n: F.pmod(F.xxhash64("image_id", "x", "y", F.lit(n)), F.lit(40)) + (F.col("x") * 5 + F.col("y") * 3) % 216
     return p.select("*", *[noise(n).cast("int").alias(c) for n, c in enumerate("argb")])
 
@@ -61,6 +66,38 @@ def test_one_large_image_is_many_tasks(spark):
     assert len(by_task) == 4 and max(r["count"] for r in by_task) < 512 * 384 * 0.6
 
 
+@pytest.mark.parametrize("wide,high", [(5, 4), (8, 3), (1, 1), (64, 64)])
+def test_blocks_are_dealt_by_tile_before_they_become_pixels(spark, monkeypatch, wide, high):
+    monkeypatch.setattr(tiles, "TASK", 100)
+    sizes = [(40, 15), (8, 3), (24, 6)]
+    blocks = [(i, w, h, x, y) for i, (w, h) in enumerate(sizes) for x in range(0, w, 8) for y in range(0, h, 3)]
+    tasks = []
+
+    def pixels(deal):
+        dealt = deal(spark.createDataFrame(blocks, "image_id long, width int, height int, x int, y int"), len(blocks), 8, 3)
+        tasks.append(dealt.rdd.getNumPartitions())
+        dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(23))))
+        dealt = dealt.withColumns({"x": F.col("x") + F.col("k") % 8, "y": F.col("y") + F.floor(F.col("k") / 8).cast("int")}).drop("k")
+        return colored(dealt.withColumn("of", F.col("image_id")).withColumn("image_id", F.col("of.image_id"))).withColumn("image_id", F.col("of")).drop("of")
+
+    p = image(spark, sizes).cache()
+    for operator, reach in ((stencil.importance, 2), (lambda q: stencil.sharpen(q, 2), 2), (stencil.filtered, 1)):
+        assert rows_of(tiles.in_tiles(pixels, operator, reach, wide, high)) == rows_of(operator(p))
+    p.unpersist()
+    assert tasks == [-(-len(blocks) * 24 // 100)] * 3
+
+
+@pytest.mark.parametrize("name", ["tiled_erode"])
+def test_tasks_of_tiled_queries_grow_with_the_image(spark, monkeypatch, name):
+    """Rows of the table are shuffled, to as many tasks as their pixels need, and pixels are not."""
+    from pixelloom.plans import catalogue
+
+    monkeypatch.setattr(tiles, "TASK", 1000, raising=False)
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(image_id#\d+, (\d+)\)", plan) == ["32"]
+    assert "sequence(0, 31" not in plan[plan.rindex("Exchange") :]
+
+
 def test_empty_table(spark):
     assert tiles.importance(image(spark, [(3, 3)]).limit(0)).count() == 0
 
