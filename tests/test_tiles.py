@@ -87,7 +87,7 @@ def test_blocks_are_dealt_by_tile_before_they_become_pixels(spark, monkeypatch,
     assert tasks == [-(-len(blocks) * 24 // 100)] * 3
 
 
-@pytest.mark.parametrize("name", ["tiled_erode"])
+@pytest.mark.parametrize("name", ["tiled_erode", "tiled_importance", "tiled_sharpen", "tiled_filter_choice"])
 def test_tasks_of_tiled_queries_grow_with_the_image(spark, monkeypatch, name):
     """Rows of the table are shuffled, to as many tasks as their pixels need, and pixels are not."""
     from pixelloom.plans import catalogue
