@@ -175,3 +175,22 @@ def test_pixels_of_images_are_not_shuffled(spark, name):
 
 def test_rasters_are_compared_without_a_broadcast(spark):
     assert "Broadcast" not in catalogue.QUERIES["similarity_resized"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["header_size", "png_round_trip", "png_icc"])
+def test_rasters_dealt_by_image_are_not_dealt_again(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.rindex("MapInArrow") :].count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == (2 if name == "png_round_trip" else 1)  # its sums by image are a shuffle
+
+
+def test_rasters_of_a_batch_keep_to_their_own_pixels(spark):
+    """Too many pixels are cut, and the next raster begins where its own begin; high bits of a packed pixel count nothing."""
+    rows = [(i, w, 2, [(k << 32) + 4000000000 + 100 * i + k for k in range(2 * w + i % 3)]) for i, w in enumerate([3, 1, 4, 2, 5, 1])]
+    rasters = spark.createDataFrame(rows, "image_id long, width int, height int, argb array<bigint>").coalesce(1)
+    want = sorted((i, h * w, sum((v >> 24 & 255) + (v & 255) for v in argb[: w * h])) for i, w, h, argb in rows)
+    for dealt in (True, False):
+        got = grouped.each_raster(rasters, lambda r: (r[..., 0].size, int((r[..., 0] + r[..., 3]).sum())), "n bigint, s bigint", dealt)
+        assert sorted(map(tuple, got.collect())) == want
+    with pytest.raises(Exception, match="bad image"):
+        grouped.each_raster(spark.createDataFrame([(1, 2, 2, [1, 2, 3])], rasters.schema), lambda r: (r.size,), "n bigint").collect()
